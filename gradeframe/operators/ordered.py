@@ -118,7 +118,7 @@ def sequence_number(df: DataFrame, by: list[str], order_cols: list[str], out_col
     # groups, so this table has at most N / hot_rows * buckets rows
     off = off.where(F.col(_B) > 0)
     w = Window.partitionBy(*by, _B).orderBy(*order_cols)
-    d = d.withColumn("_rn", F.row_number().over(w))
+    d = d.withColumn("_rn0", F.row_number().over(w))
     d = d.join(off, by + [_B], "left")
-    return (d.withColumn(out_col, (F.col("_rn") + F.coalesce("_off", F.lit(0))).cast("long"))
-             .drop("_rn", "_off", "_ov", _B))
+    return (d.withColumn(out_col, (F.col("_rn0") + F.coalesce("_off", F.lit(0))).cast("long"))
+             .drop("_rn0", "_off", "_ov", _B))
