@@ -49,7 +49,16 @@ def ngrams(tokens, n) -> Column:
     ``array_distinct`` / group keys) and is compact to shuffle.
     """
     t = _c(tokens)
-    n = F.lit(n) if isinstance(n, int) else n
+    if isinstance(n, int):
+        # fixed order: zip n shifted slices, O(len * n) per row
+        if n == 1:
+            return t
+        k = F.size(t) - n + 1
+        shifted = [F.slice(t, F.lit(j + 1), F.greatest(k, F.lit(1))) for j in range(n)]
+        z = F.arrays_zip(*shifted)
+        fields = [str(j) for j in range(n)]
+        joined = F.transform(z, lambda e: F.concat_ws(" ", *[e[f] for f in fields]))
+        return F.when(k >= 1, joined).otherwise(F.array().cast("array<string>"))
     k = F.size(t) - n + 1
     return F.when(k >= 1, F.transform(F.sequence(F.lit(1), k),
                                       lambda i: F.array_join(F.slice(t, i, n), " "))) \

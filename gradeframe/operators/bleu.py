@@ -287,7 +287,17 @@ def distinct_n(texts: DataFrame, text: str, n: int, tokenize) -> DataFrame:
     """Per text, distinct n-grams / token count (0 for an empty text,
     which still counts), averaged over all texts.  Per-row hash-set work
     (``array_distinct`` on string n-grams), one global average."""
-    t = tokenize(F.col(text))
-    per = F.when(F.size(t) > 0,
-                 F.size(F.array_distinct(ngrams(t, n))) / F.size(t)).otherwise(F.lit(0.0))
-    return texts.agg(F.avg(per).alias(f"distinct_{n}"))
+    return distinct_ns(texts, text, [n], tokenize)
+
+
+def distinct_ns(texts: DataFrame, text: str, orders: list[int], tokenize) -> DataFrame:
+    """B5 for several orders over one scan; tokens are materialised once
+    per row (a column), never re-derived inside the n-gram lambda."""
+    tok = texts.select(tokenize(F.col(text)).alias("_t"))
+    t = F.col("_t")
+    aggs = []
+    for n in orders:
+        per = F.when(F.size(t) > 0, F.size(F.array_distinct(ngrams(t, n))) / F.size(t)) \
+            .otherwise(F.lit(0.0))
+        aggs.append(F.avg(per).alias(f"distinct_{n}"))
+    return tok.agg(*aggs)

@@ -99,14 +99,7 @@ def _distinct_sql(n: int) -> str:
 SELECT {_distinct_sql(1)}, {_distinct_sql(2)}, {_distinct_sql(3)} FROM x""")
 def b5(spark, d):
     p = A.text_pairs(spark, d)
-    cols = [B.distinct_n(p, "hyp", n, X.ws_tokens).select(r6(f"distinct_{n}").alias(f"distinct_{n}"))
-            for n in (1, 2, 3)]
-    # three one-row aggregates over the same scan, combined as one row
-    out = p.agg(*[F.avg(F.when(F.size(X.ws_tokens(F.col("hyp"))) > 0,
-                               F.size(F.array_distinct(X.ngrams(X.ws_tokens(F.col("hyp")), n)))
-                               / F.size(X.ws_tokens(F.col("hyp")))).otherwise(0.0)).alias(f"distinct_{n}")
-                  for n in (1, 2, 3)])
-    del cols
+    out = B.distinct_ns(p, "hyp", [1, 2, 3], X.ws_tokens)
     return out.select(*[r6(f"distinct_{n}").alias(f"distinct_{n}") for n in (1, 2, 3)])
 
 
