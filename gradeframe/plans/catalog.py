@@ -35,4 +35,4 @@ def r6(c):
 
 
 # import the query modules for their registration side effects
-from gradeframe.plans import q_code, q_curate, q_grade, q_metrics, q_score, q_text, q_tree  # noqa: E402,F401
+from gradeframe.plans import q_code, q_curate, q_grade, q_io, q_metrics, q_score, q_text, q_tree  # noqa: E402,F401

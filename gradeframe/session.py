@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # exact pandas-style bad-line detection in CSV sources (see sources.io)
+    "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
 
 
