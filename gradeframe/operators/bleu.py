@@ -102,27 +102,64 @@ def _stats(matches: DataFrame, lengths: DataFrame, key: list[str], max_n: int,
     return u.groupBy(*key).agg(*aggs) if by_pair else u.agg(*aggs)
 
 
-def _smoothed(max_n: int, smoothing: str, epsilon: float) -> list[Column]:
-    """Precision columns p_1..p_N after a smoothing variant."""
-    num = [F.col(f"num_{k}").cast("double") for k in range(1, max_n + 1)]
-    den = [F.col(f"den_{k}") for k in range(1, max_n + 1)]
+def _smoothed(max_n: int, smoothing: str, epsilon: float, k: float = 5.0,
+              alpha: float = 5.0) -> list[Column]:
+    """Precision columns p_1..p_N after a smoothing variant.
+
+    method0 none, 1 epsilon, 2 add-one, 3 NIST geometric, 4 length-scaled
+    (k), 5 neighbour mean (needs order N+1 statistics), 6 interpolated
+    (alpha), 7 = 4 then 5.  Variants 5-7 are defined per row.
+    """
+    num = [F.col(f"num_{i}").cast("double") for i in range(1, max_n + 2)]
+    den = [F.col(f"den_{i}") for i in range(1, max_n + 2)]
+    guess = [F.col(f"guess_{i}") for i in range(1, max_n + 2)]
+    hl = F.col("hyp_len")
+    plain = [a / b for a, b in zip(num, den)]
     out = []
     if smoothing == "method0":
-        for a, b in zip(num, den):
+        for a, b in zip(num[:max_n], den):
             out.append(F.when(a != 0, a / b).otherwise(F.lit(FLOAT_MIN)))
     elif smoothing == "method1":
-        for a, b in zip(num, den):
+        for a, b in zip(num[:max_n], den):
             out.append(F.when(a == 0, (a + epsilon) / b).otherwise(a / b))
     elif smoothing == "method2":
-        for a, b in zip(num, den):
+        for a, b in zip(num[:max_n], den):
             out.append((a + 1) / (b + 1))
     elif smoothing == "method3":
         zeros = F.lit(0)
-        for a, b in zip(num, den):
+        for a, b in zip(num[:max_n], den):
             zeros = zeros + F.when(a == 0, 1).otherwise(0)
             out.append(F.when(a == 0, 1.0 / (F.pow(F.lit(2.0), zeros) * b)).otherwise(a / b))
+    elif smoothing in ("method4", "method7"):
+        for i, (a, b) in enumerate(zip(num[:max_n], den)):
+            inc = F.lit(float(i)) + F.lit(k) / F.log(hl)
+            out.append(F.when((a == 0) & (hl != 0), inc / b).otherwise(a / b))
+        if smoothing == "method7":
+            out = _neighbour_mean(out, plain[max_n])
+    elif smoothing == "method5":
+        out = _neighbour_mean(plain[:max_n], plain[max_n])
+    elif smoothing == "method6":
+        out = list(plain[:2])
+        for i in range(2, max_n):
+            pi0 = F.when(out[i - 2] == 0, F.lit(0.0)).otherwise(out[i - 1] * out[i - 1] / out[i - 2])
+            out.append((num[i] + alpha * pi0) / (guess[i] + alpha))
+        # the variant requires a non-zero trigram precision
+        out = [F.when(num[2] != 0, p) for p in out]
     else:
-        raise ValueError(f"corpus smoothing {smoothing!r} not supported")
+        raise ValueError(f"unknown smoothing {smoothing!r}")
+    return out
+
+
+def _neighbour_mean(p: list[Column], p_next: Column) -> list[Column]:
+    """method5 core: p_i <- (m_{i-1} + p_i + p_{i+1}) / 3, m_{-1} = p_1 + 1,
+    with p_{i+1} the unsmoothed input (order N+1 for the last)."""
+    ext = list(p) + [p_next]
+    prev = p[0] + 1
+    out = []
+    for i in range(len(p)):
+        cur = (prev + p[i] + ext[i + 1]) / 3
+        out.append(cur)
+        prev = cur
     return out
 
 
@@ -134,7 +171,7 @@ def _brevity(hyp_len: Column, ref_len: Column) -> Column:
 def _score(max_n: int, weights, smoothing: str, epsilon: float, auto_reweigh: bool,
            ref_len: str) -> Column:
     weights = list(weights or [1.0 / max_n] * max_n)
-    p = _smoothed(max_n, smoothing, epsilon)
+    p = _smoothed(max_n, smoothing, epsilon)[:max_n]
     hl = F.col("hyp_len")
     terms = []
     for k, (w, pk) in enumerate(zip(weights, p), start=1):
@@ -155,6 +192,8 @@ def corpus_bleu(hyps: DataFrame, refs: DataFrame, key: list[str], max_n: int = 4
     """B1: micro-averaged corpus BLEU (clip by max over references; each
     pair's denominator at least 1; closest reference length, ties shorter;
     no unigram match -> 0).  One row: bleu, the statistics and brevity."""
+    if smoothing in ("method5", "method6", "method7"):
+        raise ValueError("smoothing methods 5-7 are defined per row: use sentence_bleu")
     st = _stats(precision_matches(hyps, refs, key, max_n), pair_lengths(hyps, refs, key),
                 key, max_n, by_pair=False)
     return st.withColumn("bleu", _score(max_n, weights, smoothing, epsilon, auto_reweigh,
@@ -166,8 +205,10 @@ def sentence_bleu(hyps: DataFrame, refs: DataFrame, key: list[str], max_n: int =
                   weights=None, smoothing: str = "method1", epsilon: float = 0.1,
                   auto_reweigh: bool = False) -> DataFrame:
     """B2: BLEU of every pair on its own (B1 with the pair as group key)."""
-    st = _stats(precision_matches(hyps, refs, key, max_n), pair_lengths(hyps, refs, key),
-                key, max_n, by_pair=True)
+    # variants 5 and 7 look one order further
+    top = max_n + 1 if smoothing in ("method5", "method7") else max_n
+    st = _stats(precision_matches(hyps, refs, key, top), pair_lengths(hyps, refs, key),
+                key, top, by_pair=True)
     return st.withColumn("bleu", _score(max_n, weights, smoothing, epsilon, auto_reweigh,
                                         "ref_closest"))
 

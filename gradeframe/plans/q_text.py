@@ -140,3 +140,66 @@ def b10(spark, d):
     h, r = _sides(spark, d)
     s = B.weighted_recall_bleu(h, r, KEY)
     return s.select(r6("bleu").alias("bleu"), r6("num_1").alias("num_1"), r6("den_1").alias("den_1"))
+
+
+def _nist_tokens(c):
+    return X.nist_normalize(X.split_puncts(F.lower(c)))
+
+
+def _norm_sql(x: str) -> str:
+    s = f"array_to_string(regexp_extract_all(lower({x}), '{X.PUNCT_TOKEN}'), ' ')"
+    s = f"replace({s}, '<skipped>', '')"
+    s = f"regexp_replace({s}, '-' || chr(10), '', 'g')"
+    s = f"replace({s}, chr(10), ' ')"
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        s = f"replace({s}, '{a}', '{b}')"
+    s = f"lower(' ' || {s} || ' ')"
+    s = f"regexp_replace({s}, '([\\{{-\\~\\[-\\` -\\&\\(-\\+\\:-\\@\\/])', ' \\1 ', 'g')"
+    s = f"regexp_replace({s}, '([^0-9])([\\.,])', '\\1 \\2 ', 'g')"
+    s = f"regexp_replace({s}, '([\\.,])([^0-9])', ' \\1 \\2', 'g')"
+    s = f"regexp_replace({s}, '([0-9])(-)', '\\1 \\2 ', 'g')"
+    return f"regexp_extract_all({s}, '{WS}')"
+
+
+TOK_NIST = TOK.replace(f"regexp_extract_all(hyp, '{WS}')", _norm_sql("hyp")) \
+    .replace(f"regexp_extract_all(ref, '{WS}')", _norm_sql("ref"))
+TINY = "2.2250738585072014e-308"
+
+
+@register("X17_nist_normalize", f"""WITH {Q.PAIRS}
+SELECT conv_id, turn, len({_norm_sql('hyp')}) AS n_tokens,
+  md5(array_to_string({_norm_sql('hyp')}, ' ')) AS tokens_md5 FROM pairs""")
+def x17(spark, d):
+    p = A.text_pairs(spark, d)
+    t = _nist_tokens(F.col("hyp"))
+    return p.select(*KEY, F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+@register("X18_split_puncts", f"""WITH {Q.PAIRS}
+SELECT conv_id, turn, md5(array_to_string(regexp_extract_all(hyp, '{X.PUNCT_TOKEN}'), ' ')) AS split_md5
+FROM pairs""")
+def x18(spark, d):
+    p = A.text_pairs(spark, d)
+    return p.select(*KEY, F.md5(X.split_puncts("hyp")).alias("split_md5"))
+
+
+@register("B4_smoothed_pair_bleu", f"""WITH {Q.PAIRS}, {TOK_NIST}, {_stats_sql(True)},
+b AS (SELECT exp(((ln(num_1 + {TINY}) - ln(g1 + {TINY}))
+    + (ln(num_2 + 1 + {TINY}) - ln(g2 + 1 + {TINY})) + (ln(num_3 + 1 + {TINY}) - ln(g3 + 1 + {TINY}))
+    + (ln(num_4 + 1 + {TINY}) - ln(g4 + 1 + {TINY}))) / 4 + least(0, 1 - (rl + 1) / (hl + 1))) AS b0,
+  {", ".join(f"CASE WHEN g{k} = 0 THEN 0.0 ELSE exp(ln(num_{k} + {TINY}) - ln(g{k})) END AS b{k}" for k in range(1, 5))}
+  FROM st)
+SELECT round(avg(b0) * 100, 6) AS bleu, {", ".join(f"round(avg(b{k}) * 100, 6) AS bleu_{k}" for k in range(1, 5))} FROM b""")
+def b4(spark, d):
+    h, r = _sides(spark, d, _nist_tokens)
+    s = B.smoothed_pair_bleu(h, r, KEY)
+    return s.select(*[r6(c).alias(c) for c in ("bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4")])
+
+
+@register("B12_sentence_smoothing", f"""WITH {Q.PAIRS}, {TOK}, {_stats_sql(True)}
+SELECT conv_id, turn, round(CASE WHEN num_1 = 0 THEN 0.0 ELSE (CASE WHEN hl > rl THEN 1.0 WHEN hl = 0 THEN 0.0
+  ELSE exp(1 - rl/hl) END) * exp({" + ".join(f"0.25*ln((num_{k} + 1.0)/(d{k} + 1))" for k in range(1, 5))}) END, 6) AS bleu
+FROM st""")
+def b12(spark, d):
+    h, r = _sides(spark, d)
+    return B.sentence_bleu(h, r, KEY, smoothing="method2").select(*KEY, r6("bleu").alias("bleu"))

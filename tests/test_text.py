@@ -93,3 +93,65 @@ def test_fixture_text_values(spark):
     assert b1.bleu == pytest.approx(0.001103, abs=1e-6)
     b5 = catalog.QUERIES["B5_distinct_n"](spark, d).collect()[0]
     assert (b5.distinct_1, b5.distinct_2, b5.distinct_3) == (0.858484, 0.986603, 0.979671)
+
+
+def _py_smooth(method, nums, dens, guesses, hyp_len, k=5.0, alpha=5.0, eps=0.1):
+    """Plain-Python smoothing variants (as published) on (num, den) lists;
+    the last entry is order N+1."""
+    import math
+    n = len(nums) - 1
+    p = [nums[i] / dens[i] for i in range(n + 1)]
+    if method == "method1":
+        return [(nums[i] + eps) / dens[i] if nums[i] == 0 else p[i] for i in range(n)]
+    if method == "method2":
+        return [(nums[i] + 1) / (dens[i] + 1) for i in range(n)]
+    if method == "method3":
+        out, inc = [], 1
+        for i in range(n):
+            if nums[i] == 0:
+                out.append(1 / (2 ** inc * dens[i])); inc += 1
+            else:
+                out.append(p[i])
+        return out
+    if method in ("method4", "method7"):
+        out = [(i + k / math.log(hyp_len)) / dens[i] if nums[i] == 0 else p[i] for i in range(n)]
+        if method == "method4":
+            return out
+        base, nxt = out, p
+    else:
+        base, nxt = p[:n], p
+    if method in ("method5", "method7"):
+        ext = base + [nxt[n]]
+        m_prev, out = base[0] + 1, []
+        for i in range(n):
+            cur = (m_prev + base[i] + (ext[i + 1] if method == "method7" and i + 1 < n else nxt[i + 1])) / 3
+            out.append(cur); m_prev = cur
+        return out
+    if method == "method6":
+        out = p[:n]
+        for i in range(2, n):
+            pi0 = 0 if out[i - 2] == 0 else out[i - 1] ** 2 / out[i - 2]
+            out[i] = (nums[i] + alpha * pi0) / (guesses[i] + alpha)
+        return out
+
+
+@pytest.mark.parametrize("method", ["method1", "method2", "method3", "method4", "method5",
+                                    "method6", "method7"])
+def test_sentence_smoothing_variants(spark, method):
+    import math
+    h, r = _tables(spark, {1: H1, 2: H2}, {1: [R1, R2, R3], 2: [R1, R2, R3]})
+    got = {x.id: x.bleu for x in B.sentence_bleu(h, r, ["id"], smoothing=method).collect()}
+    st = {x.id: x for x in B._stats(B.precision_matches(h, r, ["id"], 5), B.pair_lengths(h, r, ["id"]),
+                                     ["id"], 5, True).collect()}
+    for i in (1, 2):
+        s = st[i]
+        nums = [s[f"num_{k}"] for k in range(1, 6)]
+        dens = [s[f"den_{k}"] for k in range(1, 6)]
+        guesses = [s[f"guess_{k}"] for k in range(1, 6)]
+        if method == "method6" and nums[2] == 0:
+            assert got[i] is None
+            continue
+        p = _py_smooth(method, nums, dens, guesses, s.hyp_len)
+        bp = 1.0 if s.hyp_len > s.ref_closest else math.exp(1 - s.ref_closest / s.hyp_len)
+        exp = bp * math.exp(sum(0.25 * math.log(x) for x in p))
+        assert got[i] == pytest.approx(exp, rel=1e-9), (i, method)
