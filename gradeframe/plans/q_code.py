@@ -221,3 +221,22 @@ def x8(spark, d):
     src = T.harness_source("code", fn, F.concat(F.upper(fn), F.col("l_orderkey").cast("string")),
                            F.col("t.q"), F.lit("int"))
     return j.select("l_orderkey", F.length(src).alias("length"), F.md5(src).alias("source_md5"))
+
+
+@register("A11_extraction_counters", f"""WITH {METHODS_SQL}
+SELECT count(*) FILTER (WHERE split_part(split_part(code, '(', 1), ' ', 3) IS NULL) AS edge_cases,
+  count(*) FILTER (WHERE split_part(split_part(code, '(', 1), ' ', 3) <> 'm' || CAST(p_partkey % 100 AS VARCHAR))
+    AS name_mismatch,
+  count(*) FILTER (WHERE contains(code, '}}')) AS valid, count(*) AS total FROM m""")
+def a11(spark, d):
+    """Extraction counters over generated methods: NULL name or type
+    (edge case), name differing from the expected one, valid (has a
+    closing brace), total."""
+    m = _methods(spark, d).withColumn("f", T.main_function("code", F.concat(
+        F.lit("m"), (F.col("p_partkey") % 100).cast("string"))))
+    f = T.function_name("code")
+    return m.agg(F.count_if(F.col("f.name").isNull() | F.col("f.type").isNull()).alias("edge_cases"),
+                 F.count_if(f != F.concat(F.lit("m"), (F.col("p_partkey") % 100).cast("string")))
+                 .alias("name_mismatch"),
+                 F.count_if(F.col("code").contains("}")).alias("valid"),
+                 F.count(F.lit(1)).alias("total"))

@@ -299,3 +299,24 @@ def t4(spark, d):
 def t5(spark, d):
     s = S.split_by_hash(A.submissions(spark, d), ["code_state_id"], 0.2, 42)
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("P3_valid_problems", """SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'""")
+def p3(spark, d):
+    o = A.load(spark, d, "orders")
+    return C.valid_problems(o, status="F", col="o_orderstatus").select("o_orderkey", "o_orderpriority")
+
+
+@register("P9_non_empty", """SELECT count(*) FILTER (WHERE text IS NOT NULL AND length(text) > 0) AS non_empty,
+  count(*) AS total FROM conversations""")
+def p9(spark, d):
+    c = A.load(spark, d, "conversations")
+    return c.agg(F.count_if(C.non_empty("text")).alias("non_empty"), F.count(F.lit(1)).alias("total"))
+
+
+@register("P11_clean_ids", """SELECT CAST(trunc(o_totalprice) AS BIGINT) AS price_id, count(*) AS cnt FROM orders
+WHERE o_totalprice IS NOT NULL AND NOT isnan(o_totalprice) GROUP BY 1""")
+def p11(spark, d):
+    o = A.load(spark, d, "orders")
+    c = C.clean_ids(o, "o_totalprice", "price_id")
+    return c.groupBy("price_id").agg(F.count(F.lit(1)).alias("cnt"))

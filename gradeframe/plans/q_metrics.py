@@ -137,3 +137,46 @@ FROM s""")
 def m7(spark, d):
     r = M.welch_t(A.predictions(spark, d), "prob", "label", 0, 1)
     return r.select(r6("t").alias("t"), r6("df").alias("df"))
+
+
+@register("P8_padding_mask", f"""WITH {Q.PRED},
+pad AS (SELECT submission_id, test_no, label, prob FROM pred
+  UNION ALL SELECT submission_id, test_no + 100, -100, 0.9 FROM pred WHERE test_no = 1)
+SELECT round(avg(CASE WHEN (CASE WHEN prob > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 6)
+  AS accuracy, count(*) AS valid FROM pad WHERE label <> -100""")
+def p8(spark, d):
+    """Padded rows carry the -100 sentinel; inside the engine it becomes
+    NULL and every metric skips it."""
+    p = _pred(spark, d)
+    pad = p.where(F.col("test_no") == 1).select(
+        "submission_id", (F.col("test_no") + 100).alias("test_no"), F.lit(-100).alias("label"),
+        F.lit(0.9).alias("prob"), F.lit(None).cast("double").alias("logit"), F.lit(1).alias("pred"))
+    u = p.unionByName(pad).withColumn("label", F.when(F.col("label") != -100, F.col("label")))
+    c = M.confusion(u)
+    valid = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return c.select(r6((F.col("tp") + F.col("tn")).cast("double") / valid).alias("accuracy"),
+                    valid.alias("valid"))
+
+
+@register("M9_majority_baseline", f"""WITH {Q.PRED}
+SELECT round(avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pred""")
+def m9(spark, d):
+    p = M.majority_baseline(A.predictions(spark, d))
+    return M.accuracy(p).select(r6("accuracy").alias("accuracy"))
+
+
+@register("M9_random_baseline")
+def m9r(spark, d):
+    p = M.random_baseline(A.predictions(spark, d), seed=7)
+    return M.accuracy(p).select(r6("accuracy").alias("accuracy"))
+
+
+@register("M10_split_summary", f"""WITH {_LOG}, l2 AS (SELECT *, CASE WHEN loss > 2.5 THEN 1 ELSE 0 END AS acc_hits,
+  1 AS acc_n FROM log)
+SELECT split, round(avg(loss), 6) AS loss_batch_mean, count(*) AS batches,
+  round(sum(acc_hits) / sum(acc_n), 6) AS acc FROM l2 GROUP BY split""")
+def m10(spark, d):
+    log = A.metric_log(spark, d).withColumn("acc_hits", F.when(F.col("loss") > 2.5, 1).otherwise(0)) \
+        .withColumn("acc_n", F.lit(1))
+    s = M.aggregate_log(log, by=["split"])
+    return s.select("split", r6("loss_batch_mean").alias("loss_batch_mean"), "batches", r6("acc").alias("acc"))
