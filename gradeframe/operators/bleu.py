@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.functions.text import ngrams
+from gradeframe.session import ensure_parallelism
 
 FLOAT_MIN = sys.float_info.min
 
@@ -46,7 +47,7 @@ def sides(pairs: DataFrame, key: list[str], hyp: str, ref: str, tokenize) -> tup
 
 def gram_rows(df: DataFrame, cols: list[str], max_n: int, tokens: str = "tokens") -> DataFrame:
     """(cols, n, gram) for every n-gram of order 1..max_n."""
-    return (df.select(*cols, tokens, F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
+    return (ensure_parallelism(df).select(*cols, tokens, F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
               .select(*cols, "n", F.explode(ngrams(F.col(tokens), F.col("n"))).alias("gram")))
 
 
@@ -102,6 +103,97 @@ def _stats(matches: DataFrame, lengths: DataFrame, key: list[str], max_n: int,
     return u.groupBy(*key).agg(*aggs) if by_pair else u.agg(*aggs)
 
 
+def pair_gram_counts(pairs: DataFrame, key: list[str], hyp: str, ref: str, tokenize,
+                     max_n: int = 4) -> DataFrame:
+    """Single-reference fast path: (key, n, gram, hc, rc) in ONE pass.
+
+    Each pair row is tokenised once; both sides' n-grams (orders 1..N) and
+    one length row (n = 0: hc = hypothesis length, rc = reference length)
+    are exploded together and counted by one hash aggregate, so the pairs
+    input is scanned once and the n-grams cross the network once, after
+    map-side partial counting.
+    """
+    t = ensure_parallelism(pairs).select(*key, tokenize(F.col(hyp)).alias("_ht"),
+                                         tokenize(F.col(ref)).alias("_rt"))
+
+    def side(col, h, r):
+        per_n = F.transform(F.sequence(F.lit(1), F.lit(max_n)), lambda n: F.transform(
+            ngrams(F.col(col), n), lambda g: F.struct(n.alias("n"), g.alias("g"),
+                                                      F.lit(h).alias("h"), F.lit(r).alias("r"))))
+        return F.flatten(per_n)
+
+    lens = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("g"),
+                            F.size("_ht").alias("h"), F.size("_rt").alias("r")))
+    e = t.select(*key, F.explode(F.concat(lens, side("_ht", 1, 0), side("_rt", 0, 1))).alias("_e"))
+    return e.groupBy(*key, F.col("_e.n").alias("n"), F.col("_e.g").alias("gram")).agg(
+        F.sum("_e.h").alias("hc"), F.sum("_e.r").alias("rc"))
+
+
+def pair_stats(pairs: DataFrame, key: list[str], hyp: str, ref: str, tokenize,
+               max_n: int = 4, by_pair: bool = False) -> DataFrame:
+    """BLEU statistics (same columns as the multi-reference path) for
+    single-reference pairs, from :func:`pair_gram_counts`."""
+    c = pair_gram_counts(pairs, key, hyp, ref, tokenize, max_n)
+    n = F.col("n")
+    hl = F.when(n == 0, F.col("hc").cast("double"))
+    rl = F.when(n == 0, F.col("rc").cast("double"))
+    aggs = []
+    for k in range(1, max_n + 1):
+        aggs.append(F.coalesce(F.sum(F.when(n == k, F.least("hc", "rc"))), F.lit(0)).cast("long")
+                    .alias(f"num_{k}"))
+        aggs.append(F.sum(F.when(n == 0, F.greatest(F.lit(1.0), hl - k + 1))).alias(f"den_{k}"))
+        aggs.append(F.sum(F.when(n == 0, F.greatest(F.lit(0.0), hl - k + 1))).alias(f"guess_{k}"))
+    aggs += [F.sum(hl).alias("hyp_len")] + [F.sum(rl).alias(c_) for c_ in
+                                            ("ref_closest", "ref_shortest", "ref_first_closest", "ref_avg")]
+    aggs.append(F.count(hl).alias("pairs"))
+    return c.groupBy(*key).agg(*aggs) if by_pair else c.agg(*aggs)
+
+
+def weighted_pair_stats(pairs: DataFrame, key: list[str], hyp: str, ref: str, tokenize,
+                        keywords: list[str] | None = None, max_n: int = 4,
+                        keyword_weight: float = 1.0, other_weight: float = 0.2) -> DataFrame:
+    """B10 statistics for single-reference pairs from the one-pass counts;
+    keyword weights are an ``isin`` on a fixed list (no join)."""
+    keywords = JAVA_KEYWORDS if keywords is None else keywords
+    c = pair_gram_counts(pairs, key, hyp, ref, tokenize, max_n)
+    n = F.col("n")
+    w = F.when(n == 1, F.when(F.col("gram").isin(keywords), F.lit(keyword_weight))
+               .otherwise(F.lit(other_weight))).otherwise(F.lit(1.0))
+    per = c.groupBy(*key, "n").agg(
+        F.sum(F.when(n > 0, F.least("hc", "rc") * w)).alias("_num"),
+        F.sum(F.when(n > 0, F.col("rc") * w)).alias("_rsum"),
+        F.max(F.when(n == 0, F.col("hc"))).alias("_hl"),
+        F.max(F.when(n == 0, F.col("rc"))).alias("_rl"))
+    aggs = []
+    for k in range(1, max_n + 1):
+        aggs.append(F.coalesce(F.sum(F.when(n == k, F.col("_num"))), F.lit(0.0)).alias(f"num_{k}"))
+        # a reference with no order-k n-gram still adds a denominator of 1
+        aggs.append((F.coalesce(F.sum(F.when((n == k) & (F.col("_rsum") > 0),
+                                             F.greatest(F.lit(1.0), F.col("_rsum")))), F.lit(0.0))
+                     + F.count_if((n == 0) & (F.col("_rl") < k))).alias(f"den_{k}"))
+    aggs += [F.sum(F.when(n == 0, F.col("_hl"))).cast("double").alias("hyp_len"),
+             F.sum(F.when(n == 0, F.col("_rl"))).cast("double").alias("ref_closest"),
+             F.count_if(n == 0).cast("double").alias("pairs")]
+    return per.agg(*aggs)
+
+
+def bleu_from_stats(st: DataFrame, max_n: int = 4, weights=None, smoothing: str = "method1",
+                    epsilon: float = 0.1, auto_reweigh: bool = False,
+                    ref_len: str = "ref_closest") -> DataFrame:
+    """B1 / B2 / B12 score columns on a statistics table."""
+    return st.withColumn("bleu", _score(max_n, weights, smoothing, epsilon, auto_reweigh, ref_len)) \
+             .withColumn("brevity", _brevity(F.col("hyp_len"), F.col(ref_len)))
+
+
+def weighted_bleu_from_stats(st: DataFrame, max_n: int = 4, smoothing: str = "method1",
+                             epsilon: float = 0.1, brevity: str = "reference_compatible") -> DataFrame:
+    """B10 score on :func:`weighted_pair_stats` (D25 brevity choice)."""
+    ref_len = (F.col("pairs") * 2.0) if brevity == "reference_compatible" else F.col("ref_closest")
+    st = st.withColumn("_ref_len", ref_len)
+    return st.withColumn("bleu", _score(max_n, None, smoothing, epsilon, False, "_ref_len")) \
+             .drop("_ref_len")
+
+
 def _smoothed(max_n: int, smoothing: str, epsilon: float, k: float = 5.0,
               alpha: float = 5.0) -> list[Column]:
     """Precision columns p_1..p_N after a smoothing variant.
@@ -215,11 +307,17 @@ def sentence_bleu(hyps: DataFrame, refs: DataFrame, key: list[str], max_n: int =
 
 def nmt_bleu(hyps: DataFrame, refs: DataFrame, key: list[str], max_n: int = 4,
              smooth: bool = False) -> DataFrame:
+    """B3 over hypothesis / multi-reference tables (see
+    :func:`nmt_bleu_from_stats`)."""
+    st = _stats(precision_matches(hyps, refs, key, max_n), pair_lengths(hyps, refs, key),
+                key, max_n, by_pair=False)
+    return nmt_bleu_from_stats(st, max_n, smooth)
+
+
+def nmt_bleu_from_stats(st: DataFrame, max_n: int = 4, smooth: bool = False) -> DataFrame:
     """BLEU with the shortest reference length; optional add-one
     smoothing on every order; else 0 when any order has no match.  One row:
     bleu, precision_1..N, bp, ratio, translation_length, reference_length."""
-    st = _stats(precision_matches(hyps, refs, key, max_n), pair_lengths(hyps, refs, key),
-                key, max_n, by_pair=False)
     prec = []
     for k in range(1, max_n + 1):
         m, g = F.col(f"num_{k}").cast("double"), F.col(f"guess_{k}")
@@ -242,12 +340,19 @@ def nmt_bleu(hyps: DataFrame, refs: DataFrame, key: list[str], max_n: int = 4,
 
 def smoothed_pair_bleu(hyps: DataFrame, refs: DataFrame, key: list[str], max_n: int = 4,
                        ref_length: str = "shortest") -> DataFrame:
-    """Per pair, add-one smoothing on orders above 1, brevity
-    ``min(0, 1 - (r+1)/(h+1))`` in log space, then the mean over pairs x 100
-    of five numbers: overall and each order's plain precision.  The inputs
-    are already normalised token arrays (X17 / X18)."""
+    """B4 over hypothesis / multi-reference tables (see
+    :func:`smoothed_from_stats`)."""
     st = _stats(precision_matches(hyps, refs, key, max_n), pair_lengths(hyps, refs, key),
                 key, max_n, by_pair=True)
+    return smoothed_from_stats(st, key, max_n, ref_length)
+
+
+def smoothed_from_stats(st: DataFrame, key: list[str], max_n: int = 4,
+                        ref_length: str = "shortest") -> DataFrame:
+    """Per pair (``st`` holds per-pair statistics), add-one smoothing on
+    orders above 1, brevity ``min(0, 1 - (r+1)/(h+1))`` in log space, then
+    the mean over pairs x 100 of five numbers: overall and each order's
+    plain precision.  Inputs are normalised token arrays (X17 / X18)."""
     rl = {"shortest": "ref_shortest", "average": "ref_avg",
           "closest": "ref_first_closest"}[ref_length]
     lb = None
@@ -334,7 +439,7 @@ def distinct_n(texts: DataFrame, text: str, n: int, tokenize) -> DataFrame:
 def distinct_ns(texts: DataFrame, text: str, orders: list[int], tokenize) -> DataFrame:
     """B5 for several orders over one scan; tokens are materialised once
     per row (a column), never re-derived inside the n-gram lambda."""
-    tok = texts.select(tokenize(F.col(text)).alias("_t"))
+    tok = ensure_parallelism(texts).select(tokenize(F.col(text)).alias("_t"))
     t = F.col("_t")
     aggs = []
     for n in orders:

@@ -51,6 +51,11 @@ def _bleu_sql() -> str:
             f"ELSE exp(1 - rl/hl) END) * exp({logs}) END")
 
 
+def _pstats(spark, d, by_pair: bool, tok=X.ws_tokens):
+    """One-pass single-reference statistics over the turn pairs."""
+    return B.pair_stats(A.text_pairs(spark, d), KEY, "hyp", "ref", tok, by_pair=by_pair)
+
+
 def _sides(spark, d, tok=X.ws_tokens):
     return B.sides(A.text_pairs(spark, d), KEY, "hyp", "ref", tok)
 
@@ -60,8 +65,7 @@ SELECT round({_bleu_sql()}, 6) AS bleu, CAST(num_1 AS BIGINT) AS num_1, CAST(num
   CAST(num_3 AS BIGINT) AS num_3, CAST(num_4 AS BIGINT) AS num_4,
   CAST(hl AS BIGINT) AS hyp_len, CAST(rl AS BIGINT) AS ref_len FROM st""")
 def b1(spark, d):
-    h, r = _sides(spark, d)
-    s = B.corpus_bleu(h, r, KEY)
+    s = B.bleu_from_stats(_pstats(spark, d, by_pair=False))
     return s.select(r6("bleu").alias("bleu"), "num_1", "num_2", "num_3", "num_4",
                     F.col("hyp_len").cast("long").alias("hyp_len"),
                     F.col("ref_closest").cast("long").alias("ref_len"))
@@ -70,8 +74,7 @@ def b1(spark, d):
 @register("B2_sentence_bleu", f"""WITH {Q.PAIRS}, {TOK}, {_stats_sql(True)}
 SELECT conv_id, turn, round({_bleu_sql()}, 6) AS bleu FROM st""")
 def b2(spark, d):
-    h, r = _sides(spark, d)
-    return B.sentence_bleu(h, r, KEY).select(*KEY, r6("bleu").alias("bleu"))
+    return B.bleu_from_stats(_pstats(spark, d, by_pair=True)).select(*KEY, r6("bleu").alias("bleu"))
 
 
 @register("B3_nmt_bleu", f"""WITH {Q.PAIRS}, {TOK}, {_stats_sql(False)},
@@ -83,8 +86,7 @@ SELECT round(exp((ln(p1)+ln(p2)+ln(p3)+ln(p4))/4) * CASE WHEN ratio > 1 THEN 1.0
   round(CASE WHEN ratio > 1 THEN 1.0 ELSE exp(1 - 1/ratio) END, 6) AS bp, round(ratio,6) AS ratio,
   CAST(hl AS BIGINT) AS translation_length, CAST(rl AS BIGINT) AS reference_length FROM p""")
 def b3(spark, d):
-    h, r = _sides(spark, d)
-    s = B.nmt_bleu(h, r, KEY, smooth=True)
+    s = B.nmt_bleu_from_stats(_pstats(spark, d, by_pair=False), smooth=True)
     return s.select(*[r6(c).alias(c) for c in ("bleu", "precision_1", "precision_2", "precision_3",
                                                 "precision_4", "bp", "ratio")],
                     "translation_length", "reference_length")
@@ -137,8 +139,8 @@ s AS (SELECT {", ".join(f"sum(num) FILTER (WHERE n={k}) AS num_{k}, sum(den) FIL
   (SELECT sum(len(ht)) FROM tok) AS hl, (SELECT 2.0 * count(*) FROM tok) AS rl FROM full_)
 SELECT round({_bleu_sql()}, 6) AS bleu, round(num_1, 6) AS num_1, round(d1, 6) AS den_1 FROM s""")
 def b10(spark, d):
-    h, r = _sides(spark, d)
-    s = B.weighted_recall_bleu(h, r, KEY)
+    st = B.weighted_pair_stats(A.text_pairs(spark, d), KEY, "hyp", "ref", X.ws_tokens)
+    s = B.weighted_bleu_from_stats(st)
     return s.select(r6("bleu").alias("bleu"), r6("num_1").alias("num_1"), r6("den_1").alias("den_1"))
 
 
@@ -191,8 +193,8 @@ b AS (SELECT exp(((ln(num_1 + {TINY}) - ln(g1 + {TINY}))
   FROM st)
 SELECT round(avg(b0) * 100, 6) AS bleu, {", ".join(f"round(avg(b{k}) * 100, 6) AS bleu_{k}" for k in range(1, 5))} FROM b""")
 def b4(spark, d):
-    h, r = _sides(spark, d, _nist_tokens)
-    s = B.smoothed_pair_bleu(h, r, KEY)
+    st = B.pair_stats(A.text_pairs(spark, d), KEY, "hyp", "ref", _nist_tokens, by_pair=True)
+    s = B.smoothed_from_stats(st, KEY)
     return s.select(*[r6(c).alias(c) for c in ("bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4")])
 
 
@@ -201,5 +203,5 @@ SELECT conv_id, turn, round(CASE WHEN num_1 = 0 THEN 0.0 ELSE (CASE WHEN hl > rl
   ELSE exp(1 - rl/hl) END) * exp({" + ".join(f"0.25*ln((num_{k} + 1.0)/(d{k} + 1))" for k in range(1, 5))}) END, 6) AS bleu
 FROM st""")
 def b12(spark, d):
-    h, r = _sides(spark, d)
-    return B.sentence_bleu(h, r, KEY, smoothing="method2").select(*KEY, r6("bleu").alias("bleu"))
+    st = _pstats(spark, d, by_pair=True)
+    return B.bleu_from_stats(st, smoothing="method2").select(*KEY, r6("bleu").alias("bleu"))

@@ -71,3 +71,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
+
+
+def ensure_parallelism(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Spread rows over at least ``factor x defaultParallelism`` partitions
+    before heavy per-row work (tokenising, n-gram explosion).
+
+    A small input file is a single split, and a broadcast join keeps that
+    single partition, so the whole per-row workload would run in one task.
+    On a cluster reading large tables the input already has many splits
+    and this is a no-op (no extra shuffle); otherwise it adds one
+    round-robin exchange of the (compact) input rows.  Only planning is
+    done to count partitions, no job runs.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
