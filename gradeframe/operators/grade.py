@@ -160,18 +160,15 @@ def compare_runs(cases: DataFrame, lines: DataFrame, gt: str = "gt", gen: str =
     )
 
 
-def outcome_matrix(compared: DataFrame, members: bool = False, key: str = KEY) -> DataFrame:
+def outcome_matrix(compared: DataFrame) -> DataFrame:
     """Gt status x gen status with count, squared-error sum and
     agreement sum.  All nine cells are present (empty cells have count 0):
     the fixed 3x3 skeleton is the preserved side of an outer join with the
-    at-most-nine aggregated rows.  ``members`` adds the submission list per
-    cell (only for small inputs: a cell can hold every submission)."""
-    aggs = [F.count(F.lit(1)).alias("cnt"),
-            F.sum((F.col("gt_score") - F.col("gen_score")) ** 2).alias("se"),
-            F.sum("agreement").alias("agree")]
-    if members:
-        aggs.append(F.sort_array(F.collect_list(key)).alias("members"))
-    cells = compared.groupBy("gt_status", "gen_status").agg(*aggs)
+    at-most-nine aggregated rows.  Cell members are :func:`outcome_members`."""
+    cells = compared.groupBy("gt_status", "gen_status").agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.sum((F.col("gt_score") - F.col("gen_score")) ** 2).alias("se"),
+        F.sum("agreement").alias("agree"))
     spark = compared.sparkSession
     grid = spark.createDataFrame([(g, e) for g in range(3) for e in range(3)],
                                  "gt_status int, gen_status int")
@@ -179,8 +176,16 @@ def outcome_matrix(compared: DataFrame, members: bool = False, key: str = KEY) -
     return out.select("gt_status", "gen_status",
                       F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"),
                       F.coalesce("se", F.lit(0.0)).alias("se"),
-                      F.coalesce("agree", F.lit(0.0)).alias("agree"),
-                      *(["members"] if members else []))
+                      F.coalesce("agree", F.lit(0.0)).alias("agree"))
+
+
+def outcome_members(compared: DataFrame, key: str = KEY) -> DataFrame:
+    """A9 member lists as a flat table (cell, submission, squared error,
+    agreement): a cell can hold every submission, so it is never gathered
+    into one array."""
+    return compared.select("gt_status", "gen_status", key,
+                           ((F.col("gt_score") - F.col("gen_score")) ** 2).alias("se"),
+                           "agreement")
 
 
 def comparison_report(compared: DataFrame) -> DataFrame:

@@ -105,11 +105,19 @@ def ordered_prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: s
 
 
 def sequence_number(df: DataFrame, by: list[str], order_cols: list[str], out_col: str,
-                    buckets: int = 64, hot_rows: int = 2_000_000) -> DataFrame:
+                    buckets: int = 64, hot_rows: int | None = 2_000_000) -> DataFrame:
     """``row_number()`` (1-based) within ``by`` ordered by ``order_cols``,
     exact and skew-safe: hot groups are split by value ranges of the first
     order column, each range is numbered in its own task, and the number of
-    rows in earlier ranges of the group is added."""
+    rows in earlier ranges of the group is added.
+
+    The split costs extra passes over the input (group counts, cut points,
+    per-range counts).  ``hot_rows=None`` skips them and runs one plain
+    window: only for inputs whose groups are bounded by construction.
+    """
+    if hot_rows is None and by:
+        w = Window.partitionBy(*by).orderBy(*order_cols)
+        return df.withColumn(out_col, F.row_number().over(w).cast("long"))
     d = with_ranges(df, order_cols[0], by, buckets, hot_rows)
     cnt = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_rc"))
     wo = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)

@@ -84,3 +84,12 @@ def a10(spark, d):
 SELECT submission_id, gs AS gt_status, gs=2 AS gt_all_pass FROM t WHERE es=0""")
 def g8(spark, d):
     return G.failed_runs(_compared(spark, d))
+
+
+@register("A9_outcome_members", f"""WITH {Q.RUNS}
+SELECT gs AS gt_status, es AS gen_status, submission_id, round((ga-ea)*(ga-ea), 6) AS se,
+  round(agree, 6) AS agreement FROM t""")
+def a9(spark, d):
+    m = G.outcome_members(_compared(spark, d))
+    return m.select("gt_status", "gen_status", "submission_id", r6("se").alias("se"),
+                    r6("agreement").alias("agreement"))
