@@ -49,3 +49,51 @@ def s7(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     c = S.with_chunk_id(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 2000)
     return c.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _derived_csv_dir(spark, d, name):
+    import os
+    from gradeframe.session import table_path
+    tag = os.path.basename(d.rstrip("/"))
+    return table_path(spark, f"{name}_{tag}")
+
+
+def _cases_csv(spark, d):
+    """Write a test-case CSV derived from lineitem (no header, many files):
+    some ids are 'nan', some lines carry one field too many."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    pid = F.when(F.col("l_quantity") > 49, F.lit("nan")).otherwise(F.col("l_partkey").cast("string"))
+    line = F.concat_ws(",", pid, F.col("l_returnflag"), F.col("l_linestatus"),
+                       F.when(F.col("l_discount") > 0.09, F.lit("EXTRA")))
+    path = _derived_csv_dir(spark, d, "cases_csv")
+    li.select(line.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+@register("S2_read_cases_skip", """SELECT CAST(l_partkey AS BIGINT) AS coding_prompt_id, l_returnflag AS input,
+  l_linestatus AS expected_output FROM lineitem WHERE NOT l_discount > 0.09 AND NOT l_quantity > 49""")
+def s2(spark, d):
+    return S.read_cases(spark, _cases_csv(spark, d), on_bad="skip", header=False)
+
+
+@register("S3_read_cases_reject", """SELECT count(*) AS rejected FROM lineitem WHERE l_discount > 0.09""")
+def s3(spark, d):
+    _, bad = S.read_cases(spark, _cases_csv(spark, d), on_bad="warn", header=False)
+    return bad.agg(F.count(F.lit(1)).alias("rejected"))
+
+
+@register("S1_read_events", """SELECT EventType, count(*) AS cnt, count(DISTINCT SubjectID) AS subjects
+FROM (SELECT CAST(user_id AS VARCHAR) AS SubjectID, event_type AS EventType FROM events) GROUP BY 1""")
+def s1(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    cols = {c: F.lit(None).cast("string") for c in S.EVENT_COLUMNS}
+    cols.update({"SubjectID": F.col("user_id").cast("string"), "AssignmentID": F.col("user_id"),
+                 "ProblemID": F.col("event_id"), "CodeStateID": F.col("event_id").cast("string"),
+                 "ServerTimestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+                 "EventType": F.col("event_type"), "Score": F.col("value").cast("string")})
+    path = _derived_csv_dir(spark, d, "main_table_csv")
+    ev.select(*[cols[c].alias(c) for c in S.EVENT_COLUMNS]).write.mode("overwrite") \
+        .option("header", True).csv(path)
+    e = S.read_events(spark, path)
+    return e.groupBy("EventType").agg(F.count(F.lit(1)).alias("cnt"),
+                                      F.count_distinct("SubjectID").alias("subjects"))

@@ -41,7 +41,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
             .option("mode", "FAILFAST").option("escape", '"').csv(path))
 
 
-def _csv_with_rejects(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def _csv_with_rejects(spark: SparkSession, path: str, columns: list[str],
+                      header: bool = True) -> DataFrame:
     # With CSV column pruning the parser checks the field count only against
     # the referenced columns, so a count() would see no short rows.  Bad-line
     # detection needs the full field count: keep pruning off for CSV (it only
@@ -50,7 +51,7 @@ def _csv_with_rejects(spark: SparkSession, path: str, columns: list[str]) -> Dat
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns]
                           + [T.StructField(_OVERFLOW, T.StringType(), True),
                              T.StructField(_CORRUPT, T.StringType(), True)])
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+    df = (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", _CORRUPT).option("enforceSchema", True).csv(path))
     # with one overflow column a normal row is one field short, so it always
     # carries a corrupt-record marker; a row with too many fields either
@@ -59,11 +60,11 @@ def _csv_with_rejects(spark: SparkSession, path: str, columns: list[str]) -> Dat
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, columns: list[str],
-                      on_bad: str = "skip") -> DataFrame | tuple[DataFrame, DataFrame]:
+                      on_bad: str = "skip", header: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Read CSV, dropping lines with too many fields (pandas
     ``on_bad_lines='skip'``) or returning them as a reject table
     (``'warn'`` -> (good, bad))."""
-    df = _csv_with_rejects(spark, path, columns)
+    df = _csv_with_rejects(spark, path, columns, header)
     good = df.where(~F.col("_too_long")).select(*columns)
     if on_bad == "skip":
         return good
@@ -71,10 +72,10 @@ def read_csv_tolerant(spark: SparkSession, path: str, columns: list[str],
     return good, bad
 
 
-def read_cases(spark: SparkSession, path: str, on_bad: str = "skip"):
+def read_cases(spark: SparkSession, path: str, on_bad: str = "skip", header: bool = True):
     """S2 + P11: the test case table with NaN/NULL ids removed and ids cast
     to long."""
-    out = read_csv_tolerant(spark, path, CASE_COLUMNS, on_bad)
+    out = read_csv_tolerant(spark, path, CASE_COLUMNS, on_bad, header)
     good = out if on_bad == "skip" else out[0]
     pid = F.col("coding_prompt_id").cast("double")
     good = good.where(pid.isNotNull() & ~F.isnan(pid)).withColumn("coding_prompt_id", pid.cast("long"))
