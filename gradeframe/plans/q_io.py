@@ -97,3 +97,24 @@ def s1(spark, d):
     e = S.read_events(spark, path)
     return e.groupBy("EventType").agg(F.count(F.lit(1)).alias("cnt"),
                                       F.count_distinct("SubjectID").alias("subjects"))
+
+
+@register("S9_write_csv", """SELECT l_returnflag, l_linestatus, count(*) AS cnt FROM lineitem GROUP BY 1, 2""")
+def s9(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    summary = li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("cnt"))
+    path = _derived_csv_dir(spark, d, "summary_csv")
+    S.write_csv(summary, path)
+    return spark.read.schema("l_returnflag string, l_linestatus string, cnt bigint") \
+        .option("header", True).csv(path)
+
+
+@register("S10_write_results", """SELECT o_orderpriority, count(*) AS cnt, round(avg(o_totalprice), 6) AS mean_price
+FROM orders GROUP BY 1""")
+def s10(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    res = o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("cnt"),
+                                           F.round(F.avg("o_totalprice"), 6).alias("mean_price"))
+    path = _derived_csv_dir(spark, d, "results_json")
+    S.write_results(res, path)
+    return spark.read.schema("o_orderpriority string, cnt bigint, mean_price double").json(path)
