@@ -47,7 +47,7 @@ def sides(pairs: DataFrame, key: list[str], hyp: str, ref: str, tokenize) -> tup
 
 def gram_rows(df: DataFrame, cols: list[str], max_n: int, tokens: str = "tokens") -> DataFrame:
     """(cols, n, gram) for every n-gram of order 1..max_n."""
-    return (ensure_parallelism(df).select(*cols, tokens, F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
+    return (ensure_parallelism(df, cols).select(*cols, tokens, F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
               .select(*cols, "n", F.explode(ngrams(F.col(tokens), F.col("n"))).alias("gram")))
 
 
@@ -113,7 +113,7 @@ def pair_gram_counts(pairs: DataFrame, key: list[str], hyp: str, ref: str, token
     input is scanned once and the n-grams cross the network once, after
     map-side partial counting.
     """
-    t = ensure_parallelism(pairs).select(*key, tokenize(F.col(hyp)).alias("_ht"),
+    t = ensure_parallelism(pairs, key).select(*key, tokenize(F.col(hyp)).alias("_ht"),
                                          tokenize(F.col(ref)).alias("_rt"))
 
     def side(col, h, r):

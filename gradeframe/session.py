@@ -73,18 +73,31 @@ def table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
 
 
-def ensure_parallelism(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Spread rows over at least ``factor x defaultParallelism`` partitions
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the relations ``df`` reads: the sum of the optimizer's size
+    estimates of the plan's leaves (planning only, no job).  Unlike the
+    estimate of the whole plan it is not inflated by join estimates."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return None
+
+
+def ensure_parallelism(df: DataFrame, key: list[str] | None = None, factor: int = 2,
+                       small_bytes: int = 512 << 20) -> DataFrame:
+    """Spread a *small* input over ``factor x defaultParallelism`` partitions
     before heavy per-row work (tokenising, n-gram explosion).
 
-    A small input file is a single split, and a broadcast join keeps that
-    single partition, so the whole per-row workload would run in one task.
-    On a cluster reading large tables the input already has many splits
-    and this is a no-op (no extra shuffle); otherwise it adds one
-    round-robin exchange of the (compact) input rows.  Only planning is
-    done to count partitions, no job runs.
+    A small table is often a single split, and a broadcast join keeps that
+    single partition, so all per-row work would run in one task.  The
+    decision uses the size of the scanned relations (no job runs); inputs
+    above ``small_bytes`` already arrive in many splits and are left alone,
+    so large inputs get no extra shuffle.  Rows are hashed on
+    ``key`` when given (deterministic on retry).
     """
+    size = input_bytes(df)
+    if size is None or size > small_bytes:
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return df.repartition(target, *key) if key else df.repartition(target)
