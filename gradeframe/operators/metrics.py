@@ -61,25 +61,29 @@ def f1(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            buckets: int = 64) -> DataFrame:
-    """M4: exact ROC AUC (Mann-Whitney, ties count one half).
-
-    Rows are first reduced to one row per distinct score with positive and
-    negative counts (hash aggregate with map-side combine).  The number of
-    positives strictly above each score is a distributed prefix sum over the
-    score order (see :func:`ordered_prefix_sum`), so no single task or the
-    driver ever sees all distinct scores.  NULL when only one class exists.
+            buckets: int = 64, by: list[str] | None = None) -> DataFrame:
+    """M4: exact ROC AUC (Mann-Whitney, ties count one half), overall or per
+    group of ``by``.
+
+    Rows are first reduced to one row per (group, distinct score) with
+    positive and negative counts (hash aggregate with map-side combine).
+    The number of positives strictly above each score is a distributed
+    prefix sum over the score order (see :func:`ordered_prefix_sum`; a hot
+    group is split into score ranges), so no single task or the driver ever
+    sees all distinct scores.  NULL when a group has only one class.
     """
+    by = list(by or [])
     d = _valid(df, label, score)
-    s = d.groupBy(F.col(score).cast("double").alias("_s")).agg(
+    s = d.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("_neg"))
-    s = ordered_prefix_sum(s, "_s", "_pos", "_above", descending=True,
+    s = ordered_prefix_sum(s, "_s", "_pos", "_above", by=by, descending=True,
                            inclusive=False, buckets=buckets)
-    tot = s.agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"),
-                F.sum(F.col("_neg") * (F.col("_above") + F.col("_pos") / 2.0)).alias("U"))
-    return tot.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                             F.col("U") / (F.col("P").cast("double") * F.col("N")))
+    aggs = [F.sum("_pos").alias("P"), F.sum("_neg").alias("N"),
+            F.sum(F.col("_neg") * (F.col("_above") + F.col("_pos") / 2.0)).alias("U")]
+    tot = s.groupBy(*by).agg(*aggs) if by else s.agg(*aggs)
+    return tot.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
+                                  F.col("U") / (F.col("P").cast("double") * F.col("N")))
                       .alias("auc"))
 
 
@@ -120,18 +124,30 @@ def weighted_mean(df: DataFrame, x: str, w: str, by: list[str] | None = None) ->
     return df.groupBy(*by).agg(agg) if by else df.agg(agg)
 
 
-def aggregate_log(log: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Per (epoch, split) summary of a batch log.
+def aggregate_log(log: DataFrame, by: list[str] | None = None,
+                  elements: DataFrame | None = None) -> DataFrame:
+    """Per (epoch, split) summary of a training log.
 
-    ``loss_batch_mean`` is the unweighted mean of batch losses; ``acc`` pools
-    hits over all elements (sum of hits / sum of counts) when the log carries
-    ``acc_hits`` / ``acc_n``.
+    ``log`` holds one row per batch with a scalar ``loss``:
+    ``loss_batch_mean`` is the unweighted mean over batches.  When the log
+    carries ``acc_hits`` / ``acc_n`` they are pooled (sum / sum).
+    ``elements`` (optional) holds one row per scored element with
+    ``label``, ``logit`` and ``pred``: it adds ``acc`` pooled over elements,
+    ``pred`` summed, and ``auc`` pooled over elements (M4 per group).
     """
     by = by or ["epoch", "split"]
     aggs = [F.avg("loss").alias("loss_batch_mean"), F.count(F.lit(1)).alias("batches")]
     if "acc_hits" in log.columns and "acc_n" in log.columns:
         aggs.append((F.sum("acc_hits") / F.sum("acc_n")).alias("acc"))
-    return log.groupBy(*by).agg(*aggs)
+    out = log.groupBy(*by).agg(*aggs)
+    if elements is not None:
+        e = _valid(elements, "label", "pred")
+        ea = e.groupBy(*by).agg(
+            F.avg(F.when(F.col("pred") == F.col("label"), 1.0).otherwise(0.0)).alias("acc_elements"),
+            F.sum("pred").alias("pred"))
+        auc = roc_auc(elements, "label", "logit", by=by)
+        out = out.join(ea, by, "left").join(auc, by, "left")
+    return out
 
 
 def best_epoch(summary: DataFrame, split_col: str = "split", valid: str = "valid",

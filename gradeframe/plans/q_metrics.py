@@ -180,3 +180,34 @@ def m10(spark, d):
         .withColumn("acc_n", F.lit(1))
     s = M.aggregate_log(log, by=["split"])
     return s.select("split", r6("loss_batch_mean").alias("loss_batch_mean"), "batches", r6("acc").alias("acc"))
+
+
+_ELEM = """el AS (SELECT CAST(o_orderkey % 10 AS BIGINT) AS epoch, o_orderpriority AS split,
+  CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS label, (l_discount - 0.05) * 40 AS logit,
+  CASE WHEN 1/(1+exp(-(l_discount - 0.05) * 40)) > 0.5 THEN 1 ELSE 0 END AS pred
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+sc AS (SELECT epoch, split, CAST(logit AS DOUBLE) s, sum(label) pos, sum(1-label) neg FROM el GROUP BY ALL),
+ca AS (SELECT *, coalesce(sum(pos) OVER (PARTITION BY epoch, split ORDER BY s DESC
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) above FROM sc),
+auc AS (SELECT epoch, split, sum(neg*(above+pos/2.0))/(sum(pos)*CAST(sum(neg) AS DOUBLE)) AS auc FROM ca GROUP BY ALL),
+ea AS (SELECT epoch, split, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS acc_elements,
+  sum(pred) AS pred FROM el GROUP BY ALL)"""
+
+
+@register("A6_element_log", f"""WITH {_LOG}, {_ELEM},
+lb AS (SELECT epoch, split, avg(loss) AS loss_batch_mean, count(*) AS batches FROM log GROUP BY ALL)
+SELECT lb.epoch, lb.split, round(loss_batch_mean, 6) AS loss_batch_mean, batches,
+  round(acc_elements, 6) AS acc_elements, CAST(pred AS BIGINT) AS pred, round(auc, 6) AS auc
+FROM lb LEFT JOIN ea USING (epoch, split) LEFT JOIN auc USING (epoch, split)""")
+def a6e(spark, d):
+    o = A.load(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 10).cast("long").alias("epoch"),
+                                          F.col("o_orderpriority").alias("split"))
+    li = A.load(spark, d, "lineitem")
+    el = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        "epoch", "split", F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("label"),
+        ((F.col("l_discount") - 0.05) * 40).alias("logit"))
+    el = el.withColumn("pred", M.predict_label("logit"))
+    r = M.aggregate_log(A.metric_log(spark, d), elements=el)
+    return r.select("epoch", "split", r6("loss_batch_mean").alias("loss_batch_mean"), "batches",
+                    r6("acc_elements").alias("acc_elements"), F.col("pred").cast("long").alias("pred"),
+                    r6("auc").alias("auc"))
