@@ -150,3 +150,19 @@ def problem_index(problems: DataFrame, id_col: str, out: str = "problem_ix") ->
     """Distinct problem ids -> dense 0-based index in id order."""
     d = problems.select(id_col).distinct()
     return sequence_number(d, [], [id_col], out).withColumn(out, F.col(out) - 1)
+
+
+def time_major(seqs: DataFrame, batch: str, member_order: list[str], arrays: list[str],
+               group: int = 2) -> DataFrame:
+    """Inside every batch, members form micro-groups of ``group`` (in
+    ``member_order``); each micro-group is regrouped time-major: one row per
+    (batch, micro, t, member) with the member's values at step t.  Member
+    numbering is per batch (a batch holds ``size`` members, bounded)."""
+    w = Window.partitionBy(batch).orderBy(*member_order)
+    d = seqs.withColumn("_m", F.row_number().over(w) - 1)
+    d = d.withColumn("micro", F.floor(F.col("_m") / group).cast("long")) \
+        .withColumn("member", (F.col("_m") % group).cast("int"))
+    z = F.arrays_zip(*[F.col(a) for a in arrays])
+    out = d.select(batch, "micro", "member", F.posexplode(z).alias("t", "_z"))
+    return out.select(batch, "micro", F.col("t").cast("int").alias("t"), "member",
+                      *[F.col(f"_z.{a}").alias(a) for a in arrays])

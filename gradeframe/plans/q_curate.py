@@ -320,3 +320,36 @@ def p11(spark, d):
     o = A.load(spark, d, "orders")
     c = C.clean_ids(o, "o_totalprice", "price_id")
     return c.groupBy("price_id").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@register("A1_prepare_cases", """WITH c AS (SELECT CAST((p_partkey - 1) // 26 AS BIGINT) AS problem_id, p_partkey AS test_no,
+  p_name || '\\"' AS input, p_brand || '\\"' AS expected FROM part)
+SELECT problem_id, count(*) AS n_cases,
+  string_agg(CASE WHEN problem_id IN (34, 39, 40) THEN replace(rtrim(input, '"'), '\\', '"') ELSE input END,
+    '|' ORDER BY test_no) AS inputs,
+  string_agg(CASE WHEN problem_id IN (34, 40) THEN replace(rtrim(expected, '"'), '\\', '') ELSE expected END,
+    '|' ORDER BY test_no) AS expected FROM c GROUP BY problem_id""")
+def a1p(spark, d):
+    p = A.load(spark, d, "part")
+    # a problem holds at most T_max = 26 test cases: consecutive part keys
+    c = p.select(F.floor((F.col("p_partkey") - 1) / 26).cast("long").alias("problem_id"),
+                 F.col("p_partkey").alias("test_no"),
+                 F.concat("p_name", F.lit('\\"')).alias("input"),
+                 F.concat("p_brand", F.lit('\\"')).alias("expected"))
+    s = C.cases_by_problem(C.prepare_cases(c))
+    return s.select("problem_id", F.col("length").cast("long").alias("n_cases"),
+                    F.array_join("input", "|").alias("inputs"),
+                    F.array_join("expected", "|").alias("expected"))
+
+
+@register("W7_time_major", f"""WITH {Q.SUBS}, {SEG},
+sq AS (SELECT seq_id, CAST(min(subject_id) AS BIGINT) AS subject_id, min(segment) AS segment,
+  list(problem_id ORDER BY timestep) AS problems FROM seq GROUP BY seq_id),
+b AS (SELECT *, CAST((row_number() OVER (ORDER BY seq_id) - 1) // 8 AS BIGINT) AS batch FROM sq),
+m AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY seq_id) - 1 AS k FROM b)
+SELECT batch, CAST(k // 2 AS BIGINT) AS micro, CAST(t - 1 AS INTEGER) AS t, CAST(k % 2 AS INTEGER) AS member,
+  problems[t] AS problems FROM m, unnest(range(1, len(problems) + 1)) u(t)""")
+def w7t(spark, d):
+    seqs = S.to_sequences(_segments(spark, d), "seq_id", "timestep", ["problem_id"])
+    b = S.assign_batches(seqs, ["seq_id"], 8)
+    return S.time_major(b, "batch", ["seq_id"], ["problem_id"]).withColumnRenamed("problem_id", "problems")
