@@ -322,7 +322,7 @@ def p11(spark, d):
     return c.groupBy("price_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@register("A1_prepare_cases", """WITH c AS (SELECT CAST((p_partkey - 1) // 26 AS BIGINT) AS problem_id, p_partkey AS test_no,
+@register("A1_prepare_cases", """WITH c AS (SELECT CAST(p_partkey // 26 AS BIGINT) AS problem_id, p_partkey AS test_no,
   p_name || '\\"' AS input, p_brand || '\\"' AS expected FROM part)
 SELECT problem_id, count(*) AS n_cases,
   string_agg(CASE WHEN problem_id IN (34, 39, 40) THEN replace(rtrim(input, '"'), '\\', '"') ELSE input END,
@@ -332,7 +332,7 @@ SELECT problem_id, count(*) AS n_cases,
 def a1p(spark, d):
     p = A.load(spark, d, "part")
     # a problem holds at most T_max = 26 test cases: consecutive part keys
-    c = p.select(F.floor((F.col("p_partkey") - 1) / 26).cast("long").alias("problem_id"),
+    c = p.select(F.floor(F.col("p_partkey") / 26).cast("long").alias("problem_id"),
                  F.col("p_partkey").alias("test_no"),
                  F.concat("p_name", F.lit('\\"')).alias("input"),
                  F.concat("p_brand", F.lit('\\"')).alias("expected"))
