@@ -85,7 +85,7 @@ def p10(spark, d):
 def x11(spark, d):
     p = A.load(spark, d, "pages")
     links = T.extract_all("html", HREF, 1)
-    return p.select("page_id", F.size(links).alias("n_links"), F.array_join(links, "|").alias("links"))
+    return p.select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, "|").alias("links"))
 
 
 _R1_RE2 = T.COMMENT_TOKENS.replace("(?dsm)", "(?sm)").replace("'", "''")
@@ -105,7 +105,7 @@ def x15(spark, d):
   ELSE len(string_split(text, chr(10))) - 1 END AS n_lines FROM documents""")
 def x9(spark, d):
     docs = A.load(spark, d, "documents")
-    return docs.select("doc_id", F.size(T.output_lines("text")).alias("n_lines"))
+    return docs.select("doc_id", F.size(T.output_lines("text")).cast("long").alias("n_lines"))
 
 
 @register("X10_failed_runs", """SELECT count(*) FILTER (WHERE contains(text, 'compilation failed')

@@ -14,7 +14,7 @@ def s4(spark, d):
         .select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@register("S5_read_shards", """SELECT lang, count(*) AS docs, sum(n_chars) AS chars FROM documents GROUP BY lang""")
+@register("S5_read_shards", """SELECT lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang""")
 def s5(spark, d):
     return S.read_shards(spark, f"{d}/doc*.parquet").groupBy("lang").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))

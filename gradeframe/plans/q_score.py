@@ -56,7 +56,7 @@ def x21(spark, d):
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("code_emb"))
     j = e.join(b, "vec_id")
     c = V.concat_vectors("embedding", "code_emb")
-    return j.select("vec_id", F.size(c).alias("width"),
+    return j.select("vec_id", F.size(c).cast("long").alias("width"),
                     r6(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("total"))
 
 

@@ -111,7 +111,7 @@ SELECT conv_id, turn, len(regexp_extract_all(hyp, '{WS}')) AS n_tokens,
 def x16(spark, d):
     p = A.text_pairs(spark, d)
     t = X.ws_tokens("hyp")
-    return p.select(*KEY, F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("joined"))
+    return p.select(*KEY, F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("joined"))
 
 
 @register("X19_ngrams", f"""WITH {Q.PAIRS}, {TOK}
@@ -137,7 +137,7 @@ full_ AS (SELECT o.n, coalesce(pr.num, 0.0) AS num, coalesce(pr.den, 1.0) AS den
   FROM tok, ord o LEFT JOIN pr ON pr.conv_id = tok.conv_id AND pr.turn = tok.turn AND pr.n = o.n),
 s AS (SELECT {", ".join(f"sum(num) FILTER (WHERE n={k}) AS num_{k}, sum(den) FILTER (WHERE n={k}) AS d{k}" for k in range(1, 5))},
   (SELECT sum(len(ht)) FROM tok) AS hl, (SELECT 2.0 * count(*) FROM tok) AS rl FROM full_)
-SELECT round({_bleu_sql()}, 6) AS bleu, round(num_1, 6) AS num_1, round(d1, 6) AS den_1 FROM s""")
+SELECT round({_bleu_sql()}, 6) AS bleu, CAST(round(num_1, 6) AS DOUBLE) AS num_1, CAST(round(d1, 6) AS DOUBLE) AS den_1 FROM s""")
 def b10(spark, d):
     st = B.weighted_pair_stats(A.text_pairs(spark, d), KEY, "hyp", "ref", X.ws_tokens)
     s = B.weighted_bleu_from_stats(st)
@@ -174,7 +174,7 @@ SELECT conv_id, turn, len({_norm_sql('hyp')}) AS n_tokens,
 def x17(spark, d):
     p = A.text_pairs(spark, d)
     t = _nist_tokens(F.col("hyp"))
-    return p.select(*KEY, F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    return p.select(*KEY, F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 @register("X18_split_puncts", f"""WITH {Q.PAIRS}
