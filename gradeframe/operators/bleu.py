@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.functions.text import ngrams
-from gradeframe.session import ensure_parallelism
+from gradeframe.session import ensure_parallelism, partition_by_key
 
 FLOAT_MIN = sys.float_info.min
 
@@ -107,14 +107,16 @@ def pair_gram_counts(pairs: DataFrame, key: list[str], hyp: str, ref: str, token
                      max_n: int = 4) -> DataFrame:
     """Single-reference fast path: (key, n, gram, hc, rc) in ONE pass.
 
-    Each pair row is tokenised once; both sides' n-grams (orders 1..N) and
-    one length row (n = 0: hc = hypothesis length, rc = reference length)
-    are exploded together and counted by one hash aggregate, so the pairs
-    input is scanned once and the n-grams cross the network once, after
-    map-side partial counting.
+    Pair rows are hash-partitioned by key once (the only shuffle of the
+    statistics); each row is tokenised once; both sides' n-grams (orders
+    1..N) and one length row (n = 0: hc = hypothesis length, rc = reference
+    length) are exploded together and counted by a hash aggregate that
+    needs no further exchange.  The n-grams never cross the network.
     """
-    t = ensure_parallelism(pairs, key).select(*key, tokenize(F.col(hyp)).alias("_ht"),
-                                         tokenize(F.col(ref)).alias("_rt"))
+    # shuffle the compact pair rows by key once; every aggregation below is
+    # keyed by a superset of the key and runs where the pair already is
+    t = partition_by_key(pairs, key).select(*key, tokenize(F.col(hyp)).alias("_ht"),
+                                            tokenize(F.col(ref)).alias("_rt"))
 
     def side(col, h, r):
         per_n = F.transform(F.sequence(F.lit(1), F.lit(max_n)), lambda n: F.transform(

@@ -101,3 +101,19 @@ def ensure_parallelism(df: DataFrame, key: list[str] | None = None, factor: int
         return df
     target = df.sparkSession.sparkContext.defaultParallelism * factor
     return df.repartition(target, *key) if key else df.repartition(target)
+
+
+def partition_by_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` into
+    ``max(spark.sql.shuffle.partitions, 2 x defaultParallelism)`` partitions.
+
+    Used before per-key work whose intermediate rows are much larger than
+    the input (n-gram explosion): every later aggregation keyed by a
+    superset of ``key`` is then satisfied without another shuffle, so only
+    the compact input crosses the network.  The explicit count keeps AQE
+    from coalescing the partitions away before the heavy per-row work.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+            spark.sparkContext.defaultParallelism * 2)
+    return df.repartition(n, *key)
