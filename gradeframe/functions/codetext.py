@@ -28,8 +28,14 @@ CATCH_RETURNS = {"int": "return -999;\n", "boolean": "return false;\n",
                  "String": 'return "ERROR";\n', "int[]": "return new int[] {-999};\n",
                  "String[]": 'return new String[] {"ERROR"};\n'}
 
-# Java comment / literal tokenizer (unix lines, dot-all, multi-line).
+# Regex patterns.
+# Java comment / literal tokenizer (unix lines, dot-all, multi-line): line
+# comments, block comments, char literals, string literals, other runs.
 COMMENT_TOKENS = r"""(?dsm)//.*?$|/\*.*?\*/|'(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*"|[^/'"]+|."""
+# compiler messages: text after 'error: ' up to the end of its line
+COMPILE_ERROR = r"(?d)error: ([^\n]+?)(?:\n|$)"
+# runtime failures: the class word of 'Exception: ...' / 'Error: ...'
+RUN_ERROR = r"(?d)(Exception|Error): ([^\n]+?)(?:\n|$)"
 
 
 def _c(x) -> Column:
@@ -162,12 +168,12 @@ def output_lines(output) -> Column:
 
 def compile_errors(stderr) -> Column:
     """X11: every ``error: <message>`` up to the end of its line."""
-    return F.regexp_extract_all(_c(stderr), F.lit(r"(?d)error: ([^\n]+?)(?:\n|$)"), 1)
+    return F.regexp_extract_all(_c(stderr), F.lit(COMPILE_ERROR), 1)
 
 
 def run_errors(stderr) -> Column:
     """X11: the class word (Exception / Error) of every ``...: message``."""
-    return F.regexp_extract_all(_c(stderr), F.lit(r"(?d)(Exception|Error): ([^\n]+?)(?:\n|$)"), 1)
+    return F.regexp_extract_all(_c(stderr), F.lit(RUN_ERROR), 1)
 
 
 def extract_all(text, pattern: str, group: int = 1) -> Column:

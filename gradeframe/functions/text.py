@@ -21,6 +21,20 @@ PY_WORD = r"\p{L}\p{N}_"
 PUNCT_TOKEN = f"[{PY_WORD}]+|[^{PY_WHITESPACE}{PY_WORD}]"
 
 
+# NIST mteval-style normalisation, applied in this order.
+# Language-independent replacements (literal text):
+NIST_STRIP = [("<skipped>", ""), ("-\n", ""), ("\n", " ")]
+# Entities unescaped (literal, in this order):
+NIST_UNESCAPE = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
+# Tokenisation rules (Java regex, $n back references):
+NIST_RULES = [
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),   # punctuation, apostrophe excluded
+    (r"([^0-9])([\.,])", "$1 $2 "),                      # period / comma unless after a digit
+    (r"([\.,])([^0-9])", " $1 $2"),                      # period / comma unless before a digit
+    (r"([0-9])(-)", "$1 $2 "),                            # dash after a digit
+]
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -84,16 +98,13 @@ def nist_normalize(text, preserve_case: bool = False) -> Column:
     after a digit.
     """
     s = _c(text)
-    s = F.regexp_replace(s, "<skipped>", "")
-    s = F.regexp_replace(s, "-\n", "")
-    s = F.regexp_replace(s, "\n", " ")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    for a, b in NIST_STRIP:
+        s = F.replace(s, F.lit(a), F.lit(b))
+    for a, b in NIST_UNESCAPE:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.concat(F.lit(" "), s, F.lit(" "))
     if not preserve_case:
         s = F.lower(s)
-    s = F.regexp_replace(s, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
-    s = F.regexp_replace(s, r"([^0-9])([\.,])", "$1 $2 ")
-    s = F.regexp_replace(s, r"([\.,])([^0-9])", " $1 $2")
-    s = F.regexp_replace(s, r"([0-9])(-)", "$1 $2 ")
+    for pattern, repl in NIST_RULES:
+        s = F.regexp_replace(s, pattern, repl)
     return ws_tokens(s)

@@ -149,17 +149,14 @@ def _nist_tokens(c):
 
 
 def _norm_sql(x: str) -> str:
+    """The same normalisation in DuckDB SQL, built from the same fixed rules."""
     s = f"array_to_string(regexp_extract_all(lower({x}), '{X.PUNCT_TOKEN}'), ' ')"
-    s = f"replace({s}, '<skipped>', '')"
-    s = f"regexp_replace({s}, '-' || chr(10), '', 'g')"
-    s = f"replace({s}, chr(10), ' ')"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        s = f"replace({s}, '{a}', '{b}')"
+    for a, b in X.NIST_STRIP + X.NIST_UNESCAPE:
+        a_sql = a.replace("\n", "' || chr(10) || '")
+        s = f"replace({s}, '{a_sql}', '{b}')"
     s = f"lower(' ' || {s} || ' ')"
-    s = f"regexp_replace({s}, '([\\{{-\\~\\[-\\` -\\&\\(-\\+\\:-\\@\\/])', ' \\1 ', 'g')"
-    s = f"regexp_replace({s}, '([^0-9])([\\.,])', '\\1 \\2 ', 'g')"
-    s = f"regexp_replace({s}, '([\\.,])([^0-9])', ' \\1 \\2', 'g')"
-    s = f"regexp_replace({s}, '([0-9])(-)', '\\1 \\2 ', 'g')"
+    for pattern, repl in X.NIST_RULES:
+        s = f"regexp_replace({s}, '{pattern}', '{repl.replace('$', chr(92))}', 'g')"
     return f"regexp_extract_all({s}, '{WS}')"
 
 
