@@ -75,3 +75,12 @@ def test_sample_is_reproducible(spark):
     a = [r.id for r in S.sample_n(df, 20, 42, ["id"]).collect()]
     b = [r.id for r in S.sample_n(df, 20, 42, ["id"]).collect()]
     assert a == b and len(set(a)) == 20
+
+
+def test_fixture_segment_counts(spark):
+    from gradeframe.plans import catalog
+    w1 = catalog.QUERIES["W1_segment_records"](spark, "/root/testdata/sf0.01")
+    r = w1.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq_id").alias("segs"),
+               F.max("timestep").alias("mx"), F.count_if(F.col("timestep") == 0).alias("z")).collect()[0]
+    assert (r.n, r.segs, r.mx, r.z) == (10000, 569, 19, 569)
+    assert catalog.QUERIES["W2_first_submission"](spark, "/root/testdata/sf0.01").count() == 750
