@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 _B = "_range_ix"
 _CUTS = "_range_cuts"
+_HOT = "_range_hot"
 
 
 def order_number(df: DataFrame, col: str) -> Column:
@@ -67,7 +68,8 @@ def with_ranges(df: DataFrame, order_col: str, by: list[str] | None = None,
         # at most N / hot_rows rows: AQE broadcasts it when small, else SMJ
         d = d.join(cuts, by, "left")
     ix = F.coalesce(F.size(F.filter(F.col(_CUTS), lambda c: c < F.col("_ov"))), F.lit(0))
-    return d.withColumn(_B, ix).drop(_CUTS)
+    # _hot: the row's group was split into ranges (always true without a key)
+    return d.withColumn(_B, ix).withColumn(_HOT, F.col(_CUTS).isNotNull()).drop(_CUTS)
 
 
 def ordered_prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str,
@@ -85,7 +87,9 @@ def ordered_prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: s
     if st is not None:
         df = df.withColumn(value_col, F.col(value_col).cast(st))
     d = with_ranges(df, order_col, by, buckets, hot_rows, descending)
-    tot = d.groupBy(*by, _B).agg(F.sum(value_col).alias("_rt"))
+    # only split groups have earlier ranges: their per-range totals are at
+    # most (N / hot_rows) x buckets rows; other groups get offset 0
+    tot = d.where(F.col(_HOT)).groupBy(*by, _B).agg(F.sum(value_col).alias("_rt"))
     if st is not None:
         tot = tot.withColumn("_rt", F.col("_rt").cast(st))
     wo = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
@@ -97,11 +101,13 @@ def ordered_prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: s
     run = F.sum(value_col).over(w_in)
     if not inclusive:
         run = run - F.sum(value_col).over(Window.partitionBy(*by, _B, "_ov"))
+    off_c = F.coalesce(F.col("_off"), F.lit(0))
     if st is not None:
         run = run.cast(st)
-        d = d.withColumn("_off", F.col("_off").cast(st))
-    res = F.col("_off") + run
-    return d.withColumn(out_col, res.cast(st) if st is not None else res).drop("_off", "_ov", _B)
+        off_c = off_c.cast(st)
+    res = off_c + run
+    return d.withColumn(out_col, res.cast(st) if st is not None else res) \
+        .drop("_off", "_ov", _B, _HOT)
 
 
 def sequence_number(df: DataFrame, by: list[str], order_cols: list[str], out_col: str,
@@ -119,7 +125,7 @@ def sequence_number(df: DataFrame, by: list[str], order_cols: list[str], out_col
         w = Window.partitionBy(*by).orderBy(*order_cols)
         return df.withColumn(out_col, F.row_number().over(w).cast("long"))
     d = with_ranges(df, order_cols[0], by, buckets, hot_rows)
-    cnt = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_rc"))
+    cnt = d.where(F.col(_HOT)).groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_rc"))
     wo = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.select(*by, _B, F.coalesce(F.sum("_rc").over(wo), F.lit(0)).alias("_off"))
     # only ranges after the first need an offset; those exist only in hot
@@ -129,4 +135,4 @@ def sequence_number(df: DataFrame, by: list[str], order_cols: list[str], out_col
     d = d.withColumn("_rn0", F.row_number().over(w))
     d = d.join(off, by + [_B], "left")
     return (d.withColumn(out_col, (F.col("_rn0") + F.coalesce("_off", F.lit(0))).cast("long"))
-             .drop("_rn0", "_off", "_ov", _B))
+             .drop("_rn0", "_off", "_ov", _B, _HOT))
