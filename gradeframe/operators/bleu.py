@@ -46,8 +46,9 @@ def sides(pairs: DataFrame, key: list[str], hyp: str, ref: str, tokenize) -> tup
 
 
 def gram_rows(df: DataFrame, cols: list[str], max_n: int, tokens: str = "tokens") -> DataFrame:
-    """(cols, n, gram) for every n-gram of order 1..max_n."""
-    return (ensure_parallelism(df, cols).select(*cols, tokens, F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
+    """(cols, n, gram) for every n-gram of order 1..max_n (partitioning of
+    ``df`` is kept: both explodes are narrow)."""
+    return (df.select(*cols, tokens, F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
               .select(*cols, "n", F.explode(ngrams(F.col(tokens), F.col("n"))).alias("gram")))
 
 
@@ -55,19 +56,32 @@ def _counts(df, cols, max_n, name):
     return gram_rows(df, cols, max_n).groupBy(*cols, "n", "gram").agg(F.count(F.lit(1)).alias(name))
 
 
+def _keyed(hyps: DataFrame, refs: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides hash-partitioned by the pair key with the same partition
+    count, so every later aggregate and the length join stay local."""
+    return partition_by_key(hyps, key), partition_by_key(refs, key)
+
+
 def precision_matches(hyps: DataFrame, refs: DataFrame, key: list[str], max_n: int = 4) -> DataFrame:
     """(key, n, m): hypothesis n-gram counts clipped by the maximum count
-    over the references (J9, A12)."""
-    hc = _counts(hyps, key, max_n, "hc")
-    rc = _counts(refs, key + ["ref_no"], max_n, "rc").groupBy(*key, "n", "gram") \
-        .agg(F.max("rc").alias("rc"))
-    return hc.join(rc, key + ["n", "gram"]).select(*key, "n", F.least("hc", "rc").alias("m"))
+    over the references (J9, A12).  Hypothesis counts and per-reference
+    maxima meet in a union + aggregate on (key, n, gram) -- no join -- all
+    inside the pair-key partitioning."""
+    h, r = _keyed(hyps, refs, key)
+    hc = _counts(h, key, max_n, "hc").withColumn("rc", F.lit(None).cast("long"))
+    rc = (_counts(r, key + ["ref_no"], max_n, "rc").groupBy(*key, "n", "gram")
+          .agg(F.max("rc").alias("rc")).withColumn("hc", F.lit(None).cast("long")))
+    u = hc.unionByName(rc.select(*hc.columns))
+    g = u.groupBy(*key, "n", "gram").agg(F.max("hc").alias("hc"), F.max("rc").alias("rc"))
+    return g.where(F.col("hc").isNotNull() & F.col("rc").isNotNull()) \
+        .select(*key, "n", F.least("hc", "rc").alias("m"))
 
 
 def pair_lengths(hyps: DataFrame, refs: DataFrame, key: list[str]) -> DataFrame:
     """(key, hyp_len, ref_closest, ref_shortest, ref_first_closest, ref_avg)."""
-    hl = hyps.select(*key, F.size("tokens").alias("hyp_len"))
-    rl = refs.select(*key, "ref_no", F.size("tokens").alias("rlen"))
+    h, r = _keyed(hyps, refs, key)
+    hl = h.select(*key, F.size("tokens").alias("hyp_len"))
+    rl = r.select(*key, "ref_no", F.size("tokens").alias("rlen"))
     j = hl.join(rl, key)
     diff = F.abs(F.col("rlen") - F.col("hyp_len"))
     return j.groupBy(*key).agg(
