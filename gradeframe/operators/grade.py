@@ -8,12 +8,13 @@ lines : (key, run, line_no, line)         captured output, one row per line
 Plan shape (why it scales)
 --------------------------
 Cases and output lines are *unioned* and aggregated twice: first by
-``(key, position)`` (lines with the test at the same position meet here),
-then by ``key``.  Both aggregations are hash aggregates with map-side
-partial aggregation, so a single submission that prints billions of lines
-never lands in one task: its rows are spread over positions in the first
-shuffle and pre-counted per map task before the second.  There is no join
-between cases and lines and no per-submission array.
+``(key, position)`` (lines with the test at the same position meet here;
+a sort-based aggregate, since it carries the texts), then by ``key`` (a
+hash aggregate with map-side partial aggregation).  A single submission
+that prints billions of lines therefore never lands in one task: its rows
+are spread over positions in the first shuffle and pre-counted per map
+task before the second.  There is no join between cases and lines and no
+per-submission array.
 """
 
 from __future__ import annotations
@@ -48,23 +49,26 @@ def failed_run(output: str = "output"):
 
 
 def _aligned(cases: DataFrame, lines: DataFrame, runs: list[str], key: str) -> DataFrame:
-    """(key, pos, expected, <run>...) with one row per position that holds a
-    test or any captured line; plus 0/1 presence flags per source."""
-    srcs = [cases.select(key, F.col("test_no").cast("long").alias("pos"),
-                         F.col("expected").cast("string").alias("_e"),
-                         *[F.lit(None).cast("string").alias(f"_l{i}") for i in range(len(runs))])]
+    """(key, pos, expected, line_<run>..., _is_test, _has_<run>...) with one
+    row per position that holds a test or any captured line.  Presence is
+    counted from explicit markers, so NULL texts still count as present."""
+    n = len(runs)
+
+    def row(pos, e, lines_, marks):
+        return [F.col(key), pos.cast("long").alias("pos"), e.cast("string").alias("_e"),
+                *[v.cast("string").alias(f"_l{j}") for j, v in enumerate(lines_)],
+                *[F.lit(m).cast("int").alias(f"_m{j}") for j, m in enumerate(marks)]]
+
+    none = F.lit(None)
+    u = cases.select(*row(F.col("test_no"), F.col("expected"), [none] * n, [1] + [0] * n))
     for i, r in enumerate(runs):
-        cols = [F.lit(None).cast("string").alias("_e")]
-        for j in range(len(runs)):
-            cols.append((F.col("line") if j == i else F.lit(None)).cast("string").alias(f"_l{j}"))
-        srcs.append(lines.where(F.col("run") == r)
-                    .select(key, F.col("line_no").cast("long").alias("pos"), *cols))
-    u = srcs[0]
-    for s in srcs[1:]:
-        u = u.unionByName(s)
-    aggs = [F.max("_e").alias("expected"), F.count("_e").alias("_is_test")]
+        vals = [F.col("line") if j == i else none for j in range(n)]
+        marks = [0] + [1 if j == i else 0 for j in range(n)]
+        u = u.unionByName(lines.where(F.col("run") == r)
+                          .select(*row(F.col("line_no"), none, vals, marks)))
+    aggs = [F.max("_e").alias("expected"), F.sum("_m0").alias("_is_test")]
     for i, r in enumerate(runs):
-        aggs += [F.max(f"_l{i}").alias(f"line_{r}"), F.count(f"_l{i}").alias(f"_has_{r}")]
+        aggs += [F.max(f"_l{i}").alias(f"line_{r}"), F.sum(f"_m{i + 1}").alias(f"_has_{r}")]
     return u.groupBy(key, "pos").agg(*aggs)
 
 

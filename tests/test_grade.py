@@ -78,3 +78,11 @@ def test_flagship_matrix_matches_fixture(spark):
     g6 = catalog.QUERIES["G6_comparison_report"](spark, "/root/testdata/sf0.01").collect()[0]
     assert (g6.n, g6.gt_mean, g6.gen_mean, g6.mse, g6.agreement) == \
         (14743, 0.382965, 0.396969, 0.207253, 0.383757)
+
+
+def test_null_expected_still_counts_as_a_test(spark):
+    cases = spark.createDataFrame([(1, 1, "1"), (1, 2, None)],
+                                  "submission_id long, test_no long, expected string")
+    lines = _lines(spark, ["1", "x"])
+    s = G.grade_summary(cases, lines).collect()[0]
+    assert (s.n_tests, s.hits, s.score) == (2, 1, 0.5)
