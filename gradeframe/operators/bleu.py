@@ -17,7 +17,6 @@ are used; nothing is sampled or truncated.
 
 from __future__ import annotations
 
-import math
 import sys
 
 from pyspark.sql import Column, DataFrame

@@ -44,7 +44,6 @@ def test_signature_body(spark):
 
 
 def test_harness_moves_helper_out(spark):
-    code = "public int f(int a) {\n return g(a);\n}\npublic int g(int b) {\n return b;\n}"
     # the whole text is one method whose body holds a second 'public'
     src = _one(spark, T.harness_source("c", F.lit("f"), F.lit("F1"), F.array(F.lit("3")),
                                        F.lit("int")), c="public int f(int a) {\n return 1;\n}\n"
@@ -52,7 +51,6 @@ def test_harness_moves_helper_out(spark):
     assert src.startswith("public class F1{\npublic int f(int a){\ntry {\n")
     assert "public int g(int b)" in src and "System.out.println(f(3));" in src
     assert "return -999;" in src and src.endswith("obj.f_test(args);\n}\n\n}\n")
-    del code
 
 
 def test_output_lines_and_errors(spark):
