@@ -390,7 +390,8 @@ def weighted_recall_bleu(hyps: DataFrame, refs: DataFrame, key: list[str],
                          keyword_weight: float = 1.0, other_weight: float = 0.2,
                          smoothing: str = "method1", epsilon: float = 0.1,
                          brevity: str = "reference_compatible") -> DataFrame:
-    """Weighted n-gram *recall* BLEU.
+    """Weighted n-gram *recall* BLEU over hypotheses and (several)
+    references per pair.
 
     For every reference: clip its n-gram counts by the hypothesis counts;
     unigrams weigh ``keyword_weight`` for keywords and ``other_weight``
@@ -399,31 +400,36 @@ def weighted_recall_bleu(hyps: DataFrame, refs: DataFrame, key: list[str],
     ``reference_compatible`` takes the reference length as 2 per pair (the
     length of the [tokens, weights] entry, D25); ``true_length`` uses the
     closest true reference length.
+
+    Plan: both sides are hash-partitioned by pair key; hypothesis counts and
+    per-reference counts meet in one local aggregate per (pair, n, gram)
+    (the per-gram reference list is bounded by the pair's references), so
+    nothing after the key partitioning shuffles except the one-row total.
     """
     keywords = JAVA_KEYWORDS if keywords is None else keywords
-    spark = hyps.sparkSession
-    kw = F.broadcast(spark.createDataFrame([(k,) for k in keywords], "gram string")
-                     .withColumn("_kw", F.lit(True)))  # fixed word list
-    hc = _counts(hyps, key, max_n, "hc")
-    rc = _counts(refs, key + ["ref_no"], max_n, "rc")
-    j = rc.join(hc, key + ["n", "gram"], "left").join(kw, "gram", "left")
-    w = F.when(F.col("n") == 1, F.when(F.col("_kw"), F.lit(keyword_weight))
+    h, r = _keyed(hyps, refs, key)
+    hc = _counts(h, key, max_n, "hc").select(*key, "n", "gram", "hc",
+                                             F.lit(None).cast("int").alias("ref_no"),
+                                             F.lit(None).cast("long").alias("rc"))
+    rc = _counts(r, key + ["ref_no"], max_n, "rc").select(
+        *key, "n", "gram", F.lit(None).cast("long").alias("hc"), F.col("ref_no").cast("int"), "rc")
+    g = hc.unionByName(rc).groupBy(*key, "n", "gram").agg(
+        F.max("hc").alias("hc"),
+        F.collect_list(F.when(F.col("ref_no").isNotNull(), F.struct("ref_no", "rc"))).alias("_refs"))
+    e = g.select(*key, "n", "gram", F.coalesce("hc", F.lit(0)).alias("hc"),
+                 F.explode("_refs").alias("_r")).select(*key, "n", "gram", "hc", "_r.ref_no", "_r.rc")
+    n = F.col("n")
+    w = F.when(n == 1, F.when(F.col("gram").isin(keywords), F.lit(keyword_weight))
                .otherwise(F.lit(other_weight))).otherwise(F.lit(1.0))
-    clipped = F.least(F.col("rc"), F.coalesce(F.col("hc"), F.lit(0))) * w
-    per_ref = j.groupBy(*key, "ref_no", "n").agg(F.sum(clipped).alias("_num"),
-                                                 F.sum(F.col("rc") * w).alias("_rsum"))
-    per_ref = per_ref.select("n", "_num", F.greatest(F.lit(1.0), F.col("_rsum")).alias("_den"))
-    # references whose order-n count is 0 never appear above but still add
-    # a denominator of 1 each: add them from the reference lengths
-    nrefs = refs.select(*key, "ref_no", F.size("tokens").alias("_len"))
-    lens = pair_lengths(hyps, refs, key)
-    missing = []
+    per_ref = e.groupBy(*key, "ref_no", "n").agg(
+        F.sum(F.least("rc", "hc") * w).alias("_num"), F.sum(F.col("rc") * w).alias("_rsum"))
+    rows = per_ref.select("n", "_num", F.greatest(F.lit(1.0), F.col("_rsum")).alias("_den"))
+    # a reference without any order-k n-gram still adds a denominator of 1
+    rlen = r.select(F.size("tokens").alias("_len"))
     for k in range(1, max_n + 1):
-        missing.append(nrefs.where(F.col("_len") < k).select(
+        rows = rows.unionByName(rlen.where(F.col("_len") < k).select(
             F.lit(k).alias("n"), F.lit(0.0).alias("_num"), F.lit(1.0).alias("_den")))
-    rows = per_ref
-    for mdf in missing:
-        rows = rows.unionByName(mdf)
+    lens = pair_lengths(hyps, refs, key)
     nd = rows.select("n", "_num", "_den", *[F.lit(None).cast("double").alias(c)
                                              for c in ("hyp_len", "ref_closest", "npairs")])
     ln = lens.select(F.lit(0).alias("n"), F.lit(None).cast("double").alias("_num"),
@@ -437,11 +443,7 @@ def weighted_recall_bleu(hyps: DataFrame, refs: DataFrame, key: list[str],
         aggs.append(F.sum(F.when(F.col("n") == k, F.col("_den"))).alias(f"den_{k}"))
     aggs += [F.sum("hyp_len").alias("hyp_len"), F.sum("ref_closest").alias("ref_closest"),
              F.sum("npairs").alias("pairs")]
-    st = u.agg(*aggs)
-    ref_len = (F.col("pairs") * 2.0) if brevity == "reference_compatible" else F.col("ref_closest")
-    st = st.withColumn("_ref_len", ref_len)
-    score = _score(max_n, None, smoothing, epsilon, False, "_ref_len")
-    return st.withColumn("bleu", score).drop("_ref_len")
+    return weighted_bleu_from_stats(u.agg(*aggs), max_n, smoothing, epsilon, brevity)
 
 
 def distinct_n(texts: DataFrame, text: str, n: int, tokenize) -> DataFrame:

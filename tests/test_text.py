@@ -155,3 +155,17 @@ def test_sentence_smoothing_variants(spark, method):
         bp = 1.0 if s.hyp_len > s.ref_closest else math.exp(1 - s.ref_closest / s.hyp_len)
         exp = bp * math.exp(sum(0.25 * math.log(x) for x in p))
         assert got[i] == pytest.approx(exp, rel=1e-9), (i, method)
+
+
+def test_single_and_multi_reference_paths_agree(spark):
+    from gradeframe.plans import adapters as A
+    p = A.text_pairs(spark, "/root/testdata/sf0.001")
+    key = ["conv_id", "turn"]
+    h, r = B.sides(p, key, "hyp", "ref", X.ws_tokens)
+    multi = B.corpus_bleu(h, r, key).collect()[0]
+    single = B.bleu_from_stats(B.pair_stats(p, key, "hyp", "ref", X.ws_tokens)).collect()[0]
+    assert multi.bleu == pytest.approx(single.bleu, rel=1e-12)
+    assert [multi[f"num_{k}"] for k in range(1, 5)] == [single[f"num_{k}"] for k in range(1, 5)]
+    wm = B.weighted_recall_bleu(h, r, key).collect()[0]
+    ws = B.weighted_bleu_from_stats(B.weighted_pair_stats(p, key, "hyp", "ref", X.ws_tokens)).collect()[0]
+    assert wm.bleu == pytest.approx(ws.bleu, rel=1e-12)
