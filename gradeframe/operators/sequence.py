@@ -17,14 +17,15 @@ from gradeframe.operators.ordered import sequence_number
 
 
 def segment_records(df: DataFrame, student: str, order: list[str], max_len: int = 200,
-                    seq_col: str = "seq_id") -> DataFrame:
+                    seq_col: str = "seq_id", hot_rows: int | None = 2_000_000,
+                    buckets: int = 64) -> DataFrame:
     """Cut each student's ordered rows into segments of ``max_len``.
 
     k = 0-based position of the row in the student's order (ts, id: D4);
     timestep = k mod max_len, segment = k div max_len + 1,
     seq_id = "{student}_{segment}".
     """
-    d = sequence_number(df, [student], order, "_k")
+    d = sequence_number(df, [student], order, "_k", buckets=buckets, hot_rows=hot_rows)
     k = F.col("_k") - 1
     return (d.withColumn("timestep", (k % max_len).cast("int"))
              .withColumn("segment", (F.floor(k / max_len) + 1).cast("int"))
@@ -97,10 +98,11 @@ def pad_sequences(seqs: DataFrame, cols: dict[str, object], length=None) -> Data
 
 
 def assign_batches(df: DataFrame, order: list[str], size: int, by: list[str] | None = None,
-                   out: str = "batch") -> DataFrame:
+                   out: str = "batch", hot_rows: int | None = 2_000_000,
+                   buckets: int = 64) -> DataFrame:
     """Consecutive rows (in ``order``, within ``by``) form batches of
     ``size``; numbering is the skew-safe :func:`sequence_number`."""
-    d = sequence_number(df, list(by or []), order, "_rn")
+    d = sequence_number(df, list(by or []), order, "_rn", buckets=buckets, hot_rows=hot_rows)
     return d.withColumn(out, F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")
 
 
