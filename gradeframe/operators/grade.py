@@ -48,28 +48,36 @@ def failed_run(output: str = "output"):
     return o.contains("compilation failed") | (F.upper(o) == "TIMEOUT")
 
 
-def _aligned(cases: DataFrame, lines: DataFrame, runs: list[str], key: str) -> DataFrame:
+EXPECTED = "expected"
+
+
+def texts_from(cases: DataFrame, lines: DataFrame, key: str = KEY) -> DataFrame:
+    """The canonical long form of grading input: (key, source, pos, text),
+    where source is ``'expected'`` for test cases and the run name for
+    captured lines.  Producers that hold both in one table (one scan) can
+    build this directly and use the ``*_texts`` operators."""
+    c = cases.select(key, F.lit(EXPECTED).alias("source"), F.col("test_no").cast("long").alias("pos"),
+                     F.col("expected").cast("string").alias("text"))
+    ln = lines.select(key, F.col("run").alias("source"), F.col("line_no").cast("long").alias("pos"),
+                      F.col("line").cast("string").alias("text"))
+    return c.unionByName(ln)
+
+
+def aligned_texts(texts: DataFrame, runs: list[str], key: str = KEY) -> DataFrame:
     """(key, pos, expected, line_<run>..., _is_test, _has_<run>...) with one
     row per position that holds a test or any captured line.  Presence is
-    counted from explicit markers, so NULL texts still count as present."""
-    n = len(runs)
-
-    def row(pos, e, lines_, marks):
-        return [F.col(key), pos.cast("long").alias("pos"), e.cast("string").alias("_e"),
-                *[v.cast("string").alias(f"_l{j}") for j, v in enumerate(lines_)],
-                *[F.lit(m).cast("int").alias(f"_m{j}") for j, m in enumerate(marks)]]
-
-    none = F.lit(None)
-    u = cases.select(*row(F.col("test_no"), F.col("expected"), [none] * n, [1] + [0] * n))
-    for i, r in enumerate(runs):
-        vals = [F.col("line") if j == i else none for j in range(n)]
-        marks = [0] + [1 if j == i else 0 for j in range(n)]
-        u = u.unionByName(lines.where(F.col("run") == r)
-                          .select(*row(F.col("line_no"), none, vals, marks)))
-    aggs = [F.max("_e").alias("expected"), F.sum("_m0").alias("_is_test")]
-    for i, r in enumerate(runs):
-        aggs += [F.max(f"_l{i}").alias(f"line_{r}"), F.sum(f"_m{i + 1}").alias(f"_has_{r}")]
-    return u.groupBy(key, "pos").agg(*aggs)
+    counted from the source tag, so NULL texts still count as present."""
+    src = F.col("source")
+    aggs = [F.max(F.when(src == EXPECTED, F.col("text"))).alias("expected"),
+            F.sum(F.when(src == EXPECTED, 1).otherwise(0)).alias("_is_test")]
+    for r in runs:
+        aggs += [F.max(F.when(src == r, F.col("text"))).alias(f"line_{r}"),
+                 F.sum(F.when(src == r, 1).otherwise(0)).alias(f"_has_{r}")]
+    return texts.where(src.isin(EXPECTED, *runs)).groupBy(key, "pos").agg(*aggs)
+
+
+def _aligned(cases: DataFrame, lines: DataFrame, runs: list[str], key: str) -> DataFrame:
+    return aligned_texts(texts_from(cases, lines, key), runs, key)
 
 
 def _hit(run: str):
@@ -85,7 +93,12 @@ def grade_summary(cases: DataFrame, lines: DataFrame, run: str = "gt",
     many lines as tests, then 0.  A missing line counts as a fail (D10).
     status (G4): 0 no output, 2 every test passes, else 1.
     """
-    a = _aligned(cases, lines, [run], key)
+    return grade_summary_texts(texts_from(cases, lines, key), run, key)
+
+
+def grade_summary_texts(texts: DataFrame, run: str = "gt", key: str = KEY) -> DataFrame:
+    """G1 on the long text table (see :func:`texts_from`)."""
+    a = aligned_texts(texts, [run], key)
     is_test = F.col("_is_test") > 0
     s = a.groupBy(key).agg(
         F.sum(F.col("_is_test")).alias("n_tests"),
@@ -108,11 +121,16 @@ def grade_tests(cases: DataFrame, lines: DataFrame, run: str = "gt",
                 key: str = KEY) -> DataFrame:
     """One row per (submission, test) with ``passed`` after the run-level
     rules of G1 (no output / too many lines -> every test fails)."""
-    a = _aligned(cases, lines, [run], key)
+    return grade_tests_texts(texts_from(cases, lines, key), run, key)
+
+
+def grade_tests_texts(texts: DataFrame, run: str = "gt", key: str = KEY) -> DataFrame:
+    """G2 on the long text table (see :func:`texts_from`)."""
+    a = aligned_texts(texts, [run], key)
     tests = a.where(F.col("_is_test") > 0).select(
         key, F.col("pos").alias("test_no"), "expected",
         F.col(f"line_{run}").alias("line"), _hit(run).alias("hit"))
-    summ = grade_summary(cases, lines, run, key).select(key, "n_tests", "n_lines")
+    summ = grade_summary_texts(texts, run, key).select(key, "n_tests", "n_lines")
     ok = (F.col("n_lines") > 0) & (F.col("n_lines") < 2 * F.col("n_tests"))
     # per-test rows join the one-row-per-submission summary: N:1, and AQE's
     # skew-join split handles a submission with very many tests.
@@ -131,7 +149,12 @@ def compare_runs(cases: DataFrame, lines: DataFrame, gt: str = "gt", gen: str =
     agreement (G3): both runs without output -> 1, one without -> 0, else the
     share of tests where plain positional pass/fail agrees (no 2x rule).
     """
-    a = _aligned(cases, lines, [gt, gen], key)
+    return compare_texts(texts_from(cases, lines, key), gt, gen, key)
+
+
+def compare_texts(texts: DataFrame, gt: str = "gt", gen: str = "gen", key: str = KEY) -> DataFrame:
+    """G3 + G6 inputs on the long text table (see :func:`compare_runs`)."""
+    a = aligned_texts(texts, [gt, gen], key)
     t = F.col("_is_test") > 0
     hg, he = _hit(gt), _hit(gen)
     s = a.groupBy(key).agg(

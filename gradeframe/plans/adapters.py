@@ -97,6 +97,31 @@ def cases_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return cases, lines
 
 
+def run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cases and runs as :func:`cases_and_lines` in the long text
+    form (submission_id, source, pos, text), produced in ONE pass over the
+    numbered tests: each test row emits its expected output and its lines."""
+    li = _numbered_lineitems(spark, sf_dir)
+    n = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).cast("long")
+    k = li.select(F.col("l_orderkey").alias("submission_id"), "test_no", n.alias("n"),
+                  "l_linestatus", "l_returnflag", "l_discount")
+    sid, t, n = F.col("submission_id"), F.col("test_no"), F.col("n")
+    gt_out = sid % 7 != 0
+
+    def item(source, pos, text, ok):
+        return F.struct(F.lit(source).alias("source"), pos.alias("pos"), text.alias("text"),
+                        ok.alias("ok"))
+
+    cand = F.array(
+        item("expected", t, F.col("l_linestatus"), F.lit(True)),
+        item("gt", t, F.when(F.col("l_returnflag") == "N", "O").otherwise("F"),
+             gt_out & ((sid % 11 != 0) | (2 * t <= n + 1))),
+        item("gt", t + n, F.lit("X"), gt_out & (sid % 11 != 0) & (sid % 13 == 0)),
+        item("gen", t, F.when(F.col("l_discount") > 0.05, "O").otherwise("F"), sid % 5 != 0))
+    return k.select("submission_id", F.explode(F.filter(cand, lambda x: x["ok"])).alias("_x")) \
+        .select("submission_id", "_x.source", "_x.pos", "_x.text")
+
+
 # --- text pairs --------------------------------------------------------------
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,7 @@ from gradeframe.plans.catalog import r6, register
 
 
 def _compared(spark, d):
-    cases, lines = A.cases_and_lines(spark, d)
-    return G.compare_runs(cases, lines)
+    return G.compare_texts(A.run_texts(spark, d))
 
 
 @register("G5_outcome_matrix", f"""WITH {Q.RUNS}
@@ -46,16 +45,15 @@ def g6(spark, d):
 SELECT submission_id, n AS n_tests, gm AS n_lines, round(ga,6) AS score,
   CASE WHEN gm=0 THEN 0 WHEN ga=1 THEN 2 ELSE 1 END AS status FROM t""")
 def g1(spark, d):
-    cases, lines = A.cases_and_lines(spark, d)
-    s = G.grade_summary(cases, lines, run="gt")
+    s = G.grade_summary_texts(A.run_texts(spark, d), run="gt")
     return s.select("submission_id", "n_tests", "n_lines", r6("score").alias("score"), "status")
 
 
 @register("G2_grade_tests", f"""WITH {Q.RUNS}
 SELECT submission_id, test_no, ge AS hit, gp AS passed FROM g""")
 def g2(spark, d):
-    cases, lines = A.cases_and_lines(spark, d)
-    return G.grade_tests(cases, lines, run="gt").select("submission_id", "test_no", "hit", "passed")
+    return G.grade_tests_texts(A.run_texts(spark, d), run="gt") \
+        .select("submission_id", "test_no", "hit", "passed")
 
 
 @register("G3_agreement", f"""WITH {Q.RUNS}
