@@ -200,6 +200,12 @@ def welch_p_value(t: float, dof: float) -> float:
     function (continued fraction, no scipy)."""
     import math
 
+    if t is None or dof is None or math.isnan(t) or math.isnan(dof):
+        return float("nan")
+    if t == 0:
+        return 1.0
+    if math.isinf(t):
+        return 0.0
     x = dof / (dof + t * t)
     a, b = dof / 2.0, 0.5
 

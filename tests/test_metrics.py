@@ -88,3 +88,9 @@ def test_fixture_metric_values(spark):
     assert q["M2_f1"](spark, d).collect()[0].f1 == 0.472058
     r = q["M6_pass_rate_mse"](spark, d).collect()[0]
     assert (r.mse, r.n_submissions) == (0.166278, 14743)
+
+
+@pytest.mark.parametrize("t,dof,p", [(2.228, 10, 0.05), (2.0, 10, 0.0734), (1.96, 1e6, 0.05),
+                                     (3.0, 3, 0.0577), (0.0, 5, 1.0), (-2.0, 10, 0.0734)])
+def test_welch_p_value_known(t, dof, p):
+    assert M.welch_p_value(t, dof) == pytest.approx(p, abs=1e-4)
