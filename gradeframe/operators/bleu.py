@@ -239,7 +239,8 @@ def _smoothed(max_n: int, smoothing: str, epsilon: float, k: float = 5.0,
             out.append(F.when(a == 0, 1.0 / (F.pow(F.lit(2.0), zeros) * b)).otherwise(a / b))
     elif smoothing in ("method4", "method7"):
         for i, (a, b) in enumerate(zip(num[:max_n], den)):
-            inc = F.lit(float(i)) + F.lit(k) / F.log(hl)
+            # undefined (NULL) for a one-token hypothesis: ln(1) = 0
+            inc = F.lit(float(i)) + F.try_divide(F.lit(k), F.log(hl))
             out.append(F.when((a == 0) & (hl != 0), inc / b).otherwise(a / b))
         if smoothing == "method7":
             out = _neighbour_mean(out, plain[max_n])

@@ -202,3 +202,29 @@ FROM st""")
 def b12(spark, d):
     st = _pstats(spark, d, by_pair=True)
     return B.bleu_from_stats(st, smoothing="method2").select(*KEY, r6("bleu").alias("bleu"))
+
+
+def _sent_sql(p_exprs: list[str]) -> str:
+    logs = " + ".join(f"0.25*ln({p})" for p in p_exprs)
+    return (f"CASE WHEN num_1 = 0 THEN 0.0 ELSE (CASE WHEN hl > rl THEN 1.0 WHEN hl = 0 THEN 0.0 "
+            f"ELSE exp(1 - rl/hl) END) * exp({logs}) END")
+
+
+_M3 = [f"CASE WHEN num_{k} = 0 THEN 1.0 / (pow(2, {' + '.join(f'(num_{j} = 0)::INT' for j in range(1, k + 1))}) * d{k}) "
+       f"ELSE num_{k} / d{k} END" for k in range(1, 5)]
+_M4 = [f"CASE WHEN num_{k} = 0 AND hl <> 0 THEN ({k - 1} + 5.0 / nullif(ln(hl), 0)) / d{k} ELSE num_{k} / d{k} END"
+       for k in range(1, 5)]
+
+
+@register("B12_sentence_method3", f"""WITH {Q.PAIRS}, {TOK}, {_stats_sql(True)}
+SELECT conv_id, turn, round({_sent_sql(_M3)}, 6) AS bleu FROM st""")
+def b12m3(spark, d):
+    st = _pstats(spark, d, by_pair=True)
+    return B.bleu_from_stats(st, smoothing="method3").select(*KEY, r6("bleu").alias("bleu"))
+
+
+@register("B12_sentence_method4", f"""WITH {Q.PAIRS}, {TOK}, {_stats_sql(True)}
+SELECT conv_id, turn, round({_sent_sql(_M4)}, 6) AS bleu FROM st""")
+def b12m4(spark, d):
+    st = _pstats(spark, d, by_pair=True)
+    return B.bleu_from_stats(st, smoothing="method4").select(*KEY, r6("bleu").alias("bleu"))
