@@ -353,3 +353,15 @@ def w7t(spark, d):
     seqs = S.to_sequences(_segments(spark, d), "seq_id", "timestep", ["problem_id"])
     b = S.assign_batches(seqs, ["seq_id"], 8)
     return S.time_major(b, "batch", ["seq_id"], ["problem_id"]).withColumnRenamed("problem_id", "problems")
+
+
+@register("W6_pad_to_longest", f"""WITH {Q.SUBS}, {SEG},
+l AS (SELECT seq_id, list(CAST(round(score) AS BIGINT) ORDER BY timestep) AS s FROM seq GROUP BY seq_id),
+m AS (SELECT max(len(s)) AS mx FROM l)
+SELECT seq_id, array_to_string(list_concat(s, list_transform(range(mx - len(s)), lambda x: 0)), ',')
+  AS scores_padded FROM l, m""")
+def w6l(spark, d):
+    seg = _segments(spark, d).withColumn("s", F.round("score").cast("long"))
+    seqs = S.to_sequences(seg, "seq_id", "timestep", ["s"])
+    p = S.pad_sequences(seqs, {"s": 0})          # length: longest sequence (scalar subquery)
+    return p.select("seq_id", F.array_join("s", ",").alias("scores_padded"))

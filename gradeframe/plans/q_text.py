@@ -228,3 +228,15 @@ SELECT conv_id, turn, round({_sent_sql(_M4)}, 6) AS bleu FROM st""")
 def b12m4(spark, d):
     st = _pstats(spark, d, by_pair=True)
     return B.bleu_from_stats(st, smoothing="method4").select(*KEY, r6("bleu").alias("bleu"))
+
+
+@register("B3_nmt_bleu_plain", f"""WITH {Q.PAIRS}, {TOK}, {_stats_sql(False)},
+p AS (SELECT *, CASE WHEN g1 > 0 THEN num_1 / g1 ELSE 0.0 END p1, CASE WHEN g2 > 0 THEN num_2 / g2 ELSE 0.0 END p2,
+  CASE WHEN g3 > 0 THEN num_3 / g3 ELSE 0.0 END p3, CASE WHEN g4 > 0 THEN num_4 / g4 ELSE 0.0 END p4,
+  hl / rl AS ratio FROM st)
+SELECT round(CASE WHEN least(p1, p2, p3, p4) > 0 THEN exp((ln(p1)+ln(p2)+ln(p3)+ln(p4))/4) ELSE 0.0 END
+  * CASE WHEN ratio > 1 THEN 1.0 ELSE exp(1 - 1/ratio) END, 6) AS bleu,
+  round(p1, 6) AS precision_1, round(p4, 6) AS precision_4 FROM p""")
+def b3p(spark, d):
+    s = B.nmt_bleu_from_stats(_pstats(spark, d, by_pair=False), smooth=False)
+    return s.select(*[r6(c).alias(c) for c in ("bleu", "precision_1", "precision_4")])
