@@ -206,14 +206,34 @@ def x3(spark, d):
                     T.bool_text(F.col("c_acctbal") > 0).alias("expected"))
 
 
-@register("X8_harness_source")
+NL_ = "chr(10)"
+X8_SQL = f"""WITH {METHODS_SQL},
+t AS (SELECT l_orderkey, arg_min(l_partkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) AS p_partkey
+  FROM lineitem GROUP BY l_orderkey),
+pr AS (SELECT l.l_orderkey, string_agg('System.out.println(m' || CAST(t.p_partkey AS VARCHAR) || '(' || l.q
+  || '));' || {NL_}, '' ORDER BY l.l_linenumber, l.q) AS prints FROM (SELECT l_orderkey, l_linenumber,
+  CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem) l JOIN t USING (l_orderkey) GROUP BY 1),
+h AS (SELECT t.l_orderkey, 'm' || CAST(t.p_partkey AS VARCHAR) AS fn,
+  'M' || CAST(t.p_partkey AS VARCHAR) || CAST(t.l_orderkey AS VARCHAR) AS cn, pr.prints,
+  trim(split_part(m.code, '{{', 1)) AS sig,
+  trim(regexp_extract(m.code, '(?s)^[^{{]*\\{{(.*)\\}}', 1), ' ' || chr(9) || {NL_} || chr(13)) AS body
+  FROM t JOIN pr USING (l_orderkey) JOIN m ON t.p_partkey = m.p_partkey),
+s AS (SELECT l_orderkey, 'public class ' || cn || '{{' || {NL_} || sig || '{{' || {NL_} || 'try {{' || {NL_} || body
+  || {NL_} || '}} catch (Exception e) {{' || {NL_} || 'System.out.print("Error ");' || {NL_} || 'return -999;' || {NL_}
+  || '}}' || {NL_} || '}}' || {NL_} || {NL_} || 'public void ' || fn || '_test(String []s){{' || {NL_} || prints
+  || '}}' || {NL_} || {NL_} || 'public static void main(String []args){{' || {NL_} || cn || ' obj = new ' || cn
+  || '();' || {NL_} || 'obj.' || fn || '_test(args);' || {NL_} || '}}' || {NL_} || {NL_} || '}}' || {NL_} AS src FROM h)
+SELECT l_orderkey, CAST(length(src) AS INTEGER) AS length, md5(src) AS source_md5 FROM s"""
+
+
+@register("X8_harness_source", X8_SQL)
 def x8(spark, d):
     """One harness per order: the method text of its first part, the order's
     quantities as test inputs (an order has a handful of lines)."""
     m = _methods(spark, d)
     li = A.load(spark, d, "lineitem")
     tests = li.groupBy("l_orderkey").agg(
-        F.min_by("l_partkey", "l_linenumber").alias("p_partkey"),
+        F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("p_partkey"),
         F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int")
                                              .cast("string").alias("q")))).alias("t"))
     j = tests.join(m, "p_partkey")
