@@ -126,8 +126,7 @@ def x19(spark, d):
 KW = ", ".join(f"('{k}')" for k in B.JAVA_KEYWORDS)
 
 
-@register("B10_weighted_recall_bleu", f"""WITH {Q.PAIRS}, {TOK},
-kw AS (SELECT * FROM (VALUES {KW}) v(g)),
+B10_CTES = f"""kw AS (SELECT * FROM (VALUES {KW}) v(g)),
 j AS (SELECT rc.n, rc.conv_id, rc.turn, least(rc.c, coalesce(hc.c, 0)) *
    (CASE WHEN rc.n = 1 THEN (CASE WHEN kw.g IS NOT NULL THEN 1.0 ELSE 0.2 END) ELSE 1.0 END) AS cl,
    rc.c * (CASE WHEN rc.n = 1 THEN (CASE WHEN kw.g IS NOT NULL THEN 1.0 ELSE 0.2 END) ELSE 1.0 END) AS rw
@@ -136,7 +135,10 @@ pr AS (SELECT n, conv_id, turn, sum(cl) AS num, greatest(1.0, sum(rw)) AS den FR
 full_ AS (SELECT o.n, coalesce(pr.num, 0.0) AS num, coalesce(pr.den, 1.0) AS den
   FROM tok, ord o LEFT JOIN pr ON pr.conv_id = tok.conv_id AND pr.turn = tok.turn AND pr.n = o.n),
 s AS (SELECT {", ".join(f"sum(num) FILTER (WHERE n={k}) AS num_{k}, sum(den) FILTER (WHERE n={k}) AS d{k}" for k in range(1, 5))},
-  (SELECT sum(len(ht)) FROM tok) AS hl, (SELECT 2.0 * count(*) FROM tok) AS rl FROM full_)
+  (SELECT sum(len(ht)) FROM tok) AS hl, (SELECT 2.0 * count(*) FROM tok) AS rl FROM full_)"""
+
+
+@register("B10_weighted_recall_bleu", f"""WITH {Q.PAIRS}, {TOK}, {B10_CTES}
 SELECT round({_bleu_sql()}, 6) AS bleu, CAST(round(num_1, 6) AS DOUBLE) AS num_1, CAST(round(d1, 6) AS DOUBLE) AS den_1 FROM s""")
 def b10(spark, d):
     st = B.weighted_pair_stats(A.text_pairs(spark, d), KEY, "hyp", "ref", X.ws_tokens)
