@@ -63,9 +63,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (reliable, survives
-    executor loss) and return a DataFrame whose lineage starts there."""
+    executor loss) and return a DataFrame whose lineage starts there.
+
+    The rows are persisted while the checkpoint is written, so the plan runs
+    once (a reliable checkpoint otherwise recomputes it for the write); the
+    cache is released as soon as the files exist.
+    """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist(blocking=False)
 
 
 def table_path(spark: SparkSession, name: str) -> str:
