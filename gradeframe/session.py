@@ -71,11 +71,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
+    owned = not df.is_cached          # never drop a cache the caller made
+    if owned:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return df.checkpoint(eager=True)
     finally:
-        df.unpersist(blocking=False)
+        if owned:
+            df.unpersist(blocking=False)
 
 
 def table_path(spark: SparkSession, name: str) -> str:
