@@ -8,13 +8,15 @@ lines : (key, run, line_no, line)         captured output, one row per line
 Plan shape (why it scales)
 --------------------------
 Cases and output lines are *unioned* and aggregated twice: first by
-``(key, position)`` (lines with the test at the same position meet here;
-a sort-based aggregate, since it carries the texts), then by ``key`` (a
-hash aggregate with map-side partial aggregation).  A single submission
-that prints billions of lines therefore never lands in one task: its rows
-are spread over positions in the first shuffle and pre-counted per map
-task before the second.  There is no join between cases and lines and no
-per-submission array.
+``(key, position, text)`` -- an expected output and a captured line are
+equal exactly when they fall into the same group, so string equality is
+decided by hash grouping -- then by ``key``.  Both are hash aggregates
+with map-side partial aggregation, so a single submission that prints
+billions of lines never lands in one task: its rows are spread over
+positions and texts in the first shuffle and pre-counted per map task
+before the second.  There is no join between cases and lines and no
+per-submission array.  (Per-test output with the texts, G2, aligns by
+position instead.)
 """
 
 from __future__ import annotations
@@ -76,6 +78,26 @@ def aligned_texts(texts: DataFrame, runs: list[str], key: str = KEY) -> DataFram
     return texts.where(src.isin(EXPECTED, *runs)).groupBy(key, "pos").agg(*aggs)
 
 
+def text_flags(texts: DataFrame, runs: list[str], key: str = KEY) -> DataFrame:
+    """(key, pos, text, _e, _r0, _r1, ...): how many expected outputs and
+    lines of each run carry exactly this text at this position.
+
+    Equality of an expected output and a captured line is decided by the
+    grouping itself (same text -> same group), so the aggregate is a hash
+    aggregate on (key, pos, text) with map-side partial counts, and exact.
+    """
+    src = F.col("source")
+    aggs = [F.sum(F.when(src == EXPECTED, 1).otherwise(0)).alias("_e")]
+    aggs += [F.sum(F.when(src == r, 1).otherwise(0)).alias(f"_r{i}") for i, r in enumerate(runs)]
+    return texts.where(src.isin(EXPECTED, *runs)).groupBy(key, "pos", "text").agg(*aggs)
+
+
+def _flag_hit(i: int):
+    """At an expected-output row: 1 when run ``i`` printed that same
+    (non-NULL) text at that position."""
+    return F.when(F.col("text").isNotNull() & (F.col(f"_r{i}") > 0), 1).otherwise(0)
+
+
 def _aligned(cases: DataFrame, lines: DataFrame, runs: list[str], key: str) -> DataFrame:
     return aligned_texts(texts_from(cases, lines, key), runs, key)
 
@@ -97,13 +119,14 @@ def grade_summary(cases: DataFrame, lines: DataFrame, run: str = "gt",
 
 
 def grade_summary_texts(texts: DataFrame, run: str = "gt", key: str = KEY) -> DataFrame:
-    """G1 on the long text table (see :func:`texts_from`)."""
-    a = aligned_texts(texts, [run], key)
-    is_test = F.col("_is_test") > 0
-    s = a.groupBy(key).agg(
-        F.sum(F.col("_is_test")).alias("n_tests"),
-        F.sum(F.col(f"_has_{run}")).alias("n_lines"),
-        F.sum(F.when(is_test, _hit(run)).otherwise(0)).alias("hits"),
+    """G1 on the long text table (see :func:`texts_from`): two hash
+    aggregates, by (key, pos, text) and by key."""
+    f = text_flags(texts, [run], key)
+    e = F.col("_e") > 0
+    s = f.groupBy(key).agg(
+        F.sum("_e").alias("n_tests"),
+        F.sum("_r0").alias("n_lines"),
+        F.sum(F.when(e, _flag_hit(0)).otherwise(0)).alias("hits"),
     ).where(F.col("n_tests") > 0)
     ok = (F.col("n_lines") > 0) & (F.col("n_lines") < 2 * F.col("n_tests"))
     score = F.when(ok, F.col("hits").cast("double") / F.col("n_tests")).otherwise(F.lit(0.0))
@@ -154,13 +177,13 @@ def compare_runs(cases: DataFrame, lines: DataFrame, gt: str = "gt", gen: str =
 
 def compare_texts(texts: DataFrame, gt: str = "gt", gen: str = "gen", key: str = KEY) -> DataFrame:
     """G3 + G6 inputs on the long text table (see :func:`compare_runs`)."""
-    a = aligned_texts(texts, [gt, gen], key)
-    t = F.col("_is_test") > 0
-    hg, he = _hit(gt), _hit(gen)
-    s = a.groupBy(key).agg(
-        F.sum("_is_test").alias("n_tests"),
-        F.sum(f"_has_{gt}").alias("gt_lines"),
-        F.sum(f"_has_{gen}").alias("gen_lines"),
+    f = text_flags(texts, [gt, gen], key)
+    t = F.col("_e") > 0
+    hg, he = _flag_hit(0), _flag_hit(1)
+    s = f.groupBy(key).agg(
+        F.sum("_e").alias("n_tests"),
+        F.sum("_r0").alias("gt_lines"),
+        F.sum("_r1").alias("gen_lines"),
         F.sum(F.when(t, hg).otherwise(0)).alias("_gh"),
         F.sum(F.when(t, he).otherwise(0)).alias("_eh"),
         F.sum(F.when(t, hg * he).otherwise(0)).alias("_both"),
