@@ -147,12 +147,23 @@ def grade_tests(cases: DataFrame, lines: DataFrame, run: str = "gt",
     return grade_tests_texts(texts_from(cases, lines, key), run, key)
 
 
-def grade_tests_texts(texts: DataFrame, run: str = "gt", key: str = KEY) -> DataFrame:
-    """G2 on the long text table (see :func:`texts_from`)."""
-    a = aligned_texts(texts, [run], key)
-    tests = a.where(F.col("_is_test") > 0).select(
-        key, F.col("pos").alias("test_no"), "expected",
-        F.col(f"line_{run}").alias("line"), _hit(run).alias("hit"))
+def grade_tests_texts(texts: DataFrame, run: str = "gt", key: str = KEY,
+                      with_texts: bool = True) -> DataFrame:
+    """G2 on the long text table (see :func:`texts_from`).
+
+    ``with_texts=False`` returns (key, test_no, hit, passed, n_tests,
+    n_lines) from the hash aggregate on (key, pos, text) alone; with the
+    texts, positions are aligned to carry expected and printed line.
+    """
+    if with_texts:
+        a = aligned_texts(texts, [run], key)
+        tests = a.where(F.col("_is_test") > 0).select(
+            key, F.col("pos").alias("test_no"), "expected",
+            F.col(f"line_{run}").alias("line"), _hit(run).alias("hit"))
+    else:
+        f = text_flags(texts, [run], key)
+        tests = f.where(F.col("_e") > 0).select(key, F.col("pos").alias("test_no"),
+                                                _flag_hit(0).alias("hit"))
     summ = grade_summary_texts(texts, run, key).select(key, "n_tests", "n_lines")
     ok = (F.col("n_lines") > 0) & (F.col("n_lines") < 2 * F.col("n_tests"))
     # per-test rows join the one-row-per-submission summary: N:1, and AQE's

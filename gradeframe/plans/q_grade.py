@@ -52,7 +52,7 @@ def g1(spark, d):
 @register("G2_grade_tests", f"""WITH {Q.RUNS}
 SELECT submission_id, test_no, ge AS hit, gp AS passed FROM g""")
 def g2(spark, d):
-    return G.grade_tests_texts(A.run_texts(spark, d), run="gt") \
+    return G.grade_tests_texts(A.run_texts(spark, d), run="gt", with_texts=False) \
         .select("submission_id", "test_no", "hit", "passed")
 
 

@@ -86,3 +86,12 @@ def test_null_expected_still_counts_as_a_test(spark):
     lines = _lines(spark, ["1", "x"])
     s = G.grade_summary(cases, lines).collect()[0]
     assert (s.n_tests, s.hits, s.score) == (2, 1, 0.5)
+
+
+def test_grade_tests_without_texts_agrees(spark):
+    cases = _cases(spark, ["1", "2", "3", "4"])
+    lines = _lines(spark, ["1", "9", "3"])
+    t = G.texts_from(cases, lines)
+    a = {(r.test_no, r.hit, r.passed) for r in G.grade_tests_texts(t, with_texts=True).collect()}
+    b = {(r.test_no, r.hit, r.passed) for r in G.grade_tests_texts(t, with_texts=False).collect()}
+    assert a == b == {(1, 1, 1), (2, 0, 0), (3, 1, 1), (4, 0, 0)}
