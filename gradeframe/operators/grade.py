@@ -98,10 +98,6 @@ def _flag_hit(i: int):
     return F.when(F.col("text").isNotNull() & (F.col(f"_r{i}") > 0), 1).otherwise(0)
 
 
-def _aligned(cases: DataFrame, lines: DataFrame, runs: list[str], key: str) -> DataFrame:
-    return aligned_texts(texts_from(cases, lines, key), runs, key)
-
-
 def _hit(run: str):
     """1 when the captured line at this test equals the expected output."""
     return F.when(F.col(f"line_{run}") == F.col("expected"), 1).otherwise(0)
