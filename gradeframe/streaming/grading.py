@@ -20,11 +20,14 @@ from gradeframe.operators import grade as G
 
 
 def grade_batch(raw: DataFrame, cases: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
-    """Grade one batch of raw outputs of ``run``: (per-test, per-run)."""
+    """Grade one batch of raw outputs of ``run``: (per-test, per-run).  Only
+    the test cases of the batch's submissions take part (semi join)."""
     lines = G.output_to_lines(raw.where(F.col("run") == run))
     subs = raw.where(F.col("run") == run).select("submission_id").distinct()
     c = cases.join(subs, "submission_id", "left_semi")
-    return G.grade_tests(c, lines, run=run), G.grade_summary(c, lines, run=run)
+    texts = G.texts_from(c, lines)
+    return (G.grade_tests_texts(texts, run=run, with_texts=False),
+            G.grade_summary_texts(texts, run=run))
 
 
 def start_grading_stream(raw_stream: DataFrame, cases: DataFrame, sink_dir: str,
