@@ -242,3 +242,11 @@ SELECT round(CASE WHEN least(p1, p2, p3, p4) > 0 THEN exp((ln(p1)+ln(p2)+ln(p3)+
 def b3p(spark, d):
     s = B.nmt_bleu_from_stats(_pstats(spark, d, by_pair=False), smooth=False)
     return s.select(*[r6(c).alias(c) for c in ("bleu", "precision_1", "precision_4")])
+
+
+@register("B5_distinct_n_punct", f"""WITH {Q.PAIRS}, x AS (SELECT regexp_extract_all(hyp, '{X.PUNCT_TOKEN}') AS t FROM pairs)
+SELECT {_distinct_sql(1)}, {_distinct_sql(2)}, {_distinct_sql(3)} FROM x""")
+def b5p(spark, d):
+    """B5 with the punctuation-splitting tokenizer (D11 option)."""
+    out = B.distinct_ns(A.text_pairs(spark, d), "hyp", [1, 2, 3], X.punct_tokens)
+    return out.select(*[r6(f"distinct_{n}").alias(f"distinct_{n}") for n in (1, 2, 3)])
