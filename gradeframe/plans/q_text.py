@@ -250,3 +250,13 @@ def b5p(spark, d):
     """B5 with the punctuation-splitting tokenizer (D11 option)."""
     out = B.distinct_ns(A.text_pairs(spark, d), "hyp", [1, 2, 3], X.punct_tokens)
     return out.select(*[r6(f"distinct_{n}").alias(f"distinct_{n}") for n in (1, 2, 3)])
+
+
+@register("X16_document_tokens", f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{WS}')) AS BIGINT) AS n_tokens,
+  md5(array_to_string(regexp_extract_all(text, '{WS}'), ' ')) AS tokens_md5 FROM documents""")
+def x16d(spark, d):
+    """X16 over whole documents (up to 20,000 words each)."""
+    docs = A.load(spark, d, "documents")
+    t = X.ws_tokens("text")
+    return docs.select("doc_id", F.size(t).cast("long").alias("n_tokens"),
+                       F.md5(F.array_join(t, " ")).alias("tokens_md5"))
