@@ -14,9 +14,21 @@ from gradeframe.session import cut_lineage, ensure_checkpoint_dir  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """One of the given tables."""
+    _workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the
+    driver did; on a cluster it is installed or shipped with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files."""
     return cut_lineage(df)

@@ -7,6 +7,7 @@ from importlib import import_module
 #: operator module and query function, in the order of the operators.
 MODULES = [
     ("token_count", "op5_two_tier_counts"),
+    ("quality_llr", "op6_ngram_llr"),
     ("bpe", "op9_batched_bpe"),
     ("feistel", "op10_feistel_shards"),
 ]
