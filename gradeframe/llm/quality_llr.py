@@ -172,18 +172,21 @@ split AS (
   SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM rows),
+words AS (
+  SELECT r, doc_id, x, i, n FROM (
+    SELECT r, doc_id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM split)),
 windows AS (
-  SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k
-  FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM split WHERE len(w) >= {WINDOW})),
+  SELECT r, i, k FROM (
+    SELECT r, i, n, string_agg(x, ' ') OVER (
+      PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS k FROM words)
+  WHERE i + {WINDOW - 1} <= n),
 again AS (
   SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM windows) WHERE c > 1),
 covered AS (
   SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, unnest(range(0, {WINDOW})) AS o FROM again) GROUP BY r),
-lined AS (
-  SELECT r, doc_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM split WHERE len(w) > 0),
 grams AS (
-  SELECT r, doc_id, (unicode(s[i]) * 40503 + unicode(s[i + 1]) * 30103 + 1) % {BUCKETS} AS b
-  FROM (SELECT r, doc_id, s, unnest(range(1, length(s))) AS i FROM lined)),
+  SELECT r, doc_id, (unicode(s[j]) * 40503 + unicode(s[j + 1]) * 30103 + 1) % {BUCKETS} AS b
+  FROM (SELECT r, doc_id, ' ' || x || ' ' AS s, unnest(range(1, length(x) + 2)) AS j FROM words)),
 trusted AS (
   SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL
   ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {TRUSTED_ROWS}),
