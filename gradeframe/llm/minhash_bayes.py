@@ -3,12 +3,13 @@ exact confirmation, connected components.
 
 1. Texts with the same set of shingles are one node; only nodes go on.
 2. A node's signature has ``BANDS`` bands; nodes that share a band share a
-   bucket.  Every node is paired with one node of its buckets, the hub with
-   which it shares most: pairs grow with nodes, not with the square of a
-   group.
+   bucket.  Buckets are dealt into subgroups of about ``SUBGROUP`` nodes and
+   every node is paired with the least of its subgroup: pairs grow with nodes,
+   not with the square of a group.
 3. A pair's signatures are compared batch by batch.  It is dropped as soon as
    the posterior probability of the wanted similarity falls under ``MISS``.
-   Survivors are confirmed on the full sets.
+   Of the survivors each node's ``PARTNERS`` most alike are confirmed on the
+   full sets.
 4. Links are closed to components.  In a bucket that still holds several
    components, every node outside its largest one is compared with every
    bucket mate of another component, in blocks of ``BLOCK`` nodes (a pair that
@@ -27,6 +28,8 @@ rows fall in one component.  An empty table gives none.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +45,7 @@ HASHES, BANDS, BATCH = 128, 32, 16
 ROWS = HASHES // BANDS
 MISS = 1e-9
 BLOCK = 256
+SUBGROUP, PARTNERS = 8, 3
 BROADCAST_NODES = 300_000
 
 _rng = np.random.default_rng(8)
@@ -93,8 +97,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
+@lru_cache
 def survival_table(similarity: float = SIMILARITY / 100, miss: float = MISS) -> np.ndarray:
-    """For each count of compared hashes (batches of ``BATCH``) the least
+    """For each number of compared hashes (batches of ``BATCH``) the least
     number of agreements with which the posterior probability, under an even
     prior, that the similarity is reached is still ``miss``."""
     s = (np.arange(4000) + 0.5) / 4000
@@ -108,22 +113,26 @@ def survival_table(similarity: float = SIMILARITY / 100, miss: float = MISS) ->
     return np.array(least)
 
 
-def survivors(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which rows of two signature matrices pass all batches."""
+def survivors(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two signature matrices pass all batches, and in how many
+    hashes they agree."""
     alive = np.arange(len(left))
     agree = np.zeros(len(left), np.int64)
     for i, least in enumerate(survival_table()):
         part = slice(i * BATCH, (i + 1) * BATCH)
         agree[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
         alive = alive[agree[alive] >= least]
-    return alive
+    return alive, agree[alive]
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILARITY) -> bool:
     """Whether two sorted sets reach the similarity, exactly."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -180,8 +189,9 @@ def _set(raw: bytes) -> np.ndarray:
 def _prune(batches):
     for batch in batches:
         if batch.num_rows:
-            keep = survivors(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")))
-            yield batch.select(["a", "b"]).take(pa.array(keep))
+            keep, agree = survivors(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")))
+            yield pa.RecordBatch.from_arrays([*batch.select(["a", "b"]).take(pa.array(keep)).columns, pa.array(agree)],
+                                             names=["a", "b", "agree"])
 
 
 def _confirm(batches):
@@ -191,14 +201,23 @@ def _confirm(batches):
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def hub_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    def both(df, table, column):
-        for side in "ab":
-            df = df.join(table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-        return df
-    alive = both(pairs, nodes, "sig").mapInArrow(_prune, "a long, b long")
-    return both(alive, sets, "set").mapInArrow(_confirm, "a long, b long")
+def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """A column of ``table`` for either node of every pair."""
+    for side in "ab":
+        pairs = pairs.join(table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs
+
+
+def best_partners(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, its most alike partners (an array) and whether it had more."""
+    sub = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("c") / SUBGROUP))
+    dealt = shared.withColumn("sub", sub)
+    hubs = dealt.groupBy("bucket", "sub").agg(F.min("node").alias("b"))
+    pairs = dealt.join(hubs, ["bucket", "sub"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    alive = with_both(pairs, nodes, "sig").mapInArrow(_prune, "a long, b long, agree long")
+    ranked = F.sort_array(F.collect_list(F.struct("agree", "b")), asc=False)        # BANDS partners at most
+    return (alive.groupBy(F.col("a").alias("node")).agg(ranked.alias("p"))
+            .select("node", F.slice("p", 1, PARTNERS)["b"].alias("partners"), (F.size("p") > PARTNERS).alias("cut")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,7 +242,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def block_items(members: DataFrame) -> DataFrame:
-    """Blocks of open buckets: rows (bucket, band, i, j, node, comp, hub, few).
+    """Blocks of open buckets: rows (bucket, band, i, j, node, comp, few).
     ``few`` marks the side outside the bucket's largest component."""
     sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = (sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("total"), F.max("c").alias("most"))
@@ -234,27 +253,28 @@ def block_items(members: DataFrame) -> DataFrame:
     n_few, n_all = (F.ceil(c / BLOCK).cast("int") for c in (F.col("total") - F.col("most"), F.col("total")))
     few = rows.where("few").withColumn("i", F.pmod(h, n_few).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), n_all - 1)))
     every = rows.withColumn("j", F.pmod(h, n_all).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), n_few - 1)))
-    return few.unionByName(every.withColumn("few", F.lit(False))).select("bucket", "band", "i", "j", "node", "comp", "hub", "few")
+    return few.unionByName(every.withColumn("few", F.lit(False))).select("bucket", "band", "i", "j", "node", "comp", "few")
 
 
 def _open_pairs(table: pa.Table):
     """Candidate pairs of a block that pass the pruning: positions in the few
     and the all side, most alike first."""
     few = np.array(table.column("few").to_pylist(), bool)
-    node, comp, hub = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "comp", "hub"))
+    node, comp = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "comp"))
     sig = _matrix(table.column("sig"))
     a, b = np.flatnonzero(few), np.flatnonzero(~few)
-    x, y = (v.ravel() for v in np.meshgrid(a, b, indexing="ij"))
-    twice = np.isin(node[y], node[a]) & (node[x] > node[y])       # both on the few side: one order
-    open_ = (comp[x] != comp[y]) & (hub[x] != node[y]) & (hub[y] != node[x]) & ~twice
-    x, y = x[open_], y[open_]
-    band = table.column("band")[0].as_py()
-    same = (sig[x].reshape(-1, BANDS, ROWS) == sig[y].reshape(-1, BANDS, ROWS)).all(axis=2)
-    first = same.argmax(axis=1) == band
-    x, y = x[first], y[first]
-    keep = survivors(sig[x], sig[y])
-    x, y = x[keep], y[keep]
-    order = np.argsort(-(sig[x] == sig[y]).sum(axis=1), kind="stable")
+    twice = np.isin(node[b], node[a])[None, :] & (node[a][:, None] > node[b][None, :])      # both on the few side: one order
+    open_ = (comp[a][:, None] != comp[b][None, :]) & ~twice
+    bands = sig.view(np.uint64).reshape(len(sig), BANDS, -1)
+    for earlier in range(table.column("band")[0].as_py()):                                  # met in an earlier band already
+        same = np.ones_like(open_)
+        for half in range(bands.shape[2]):
+            same &= bands[a, earlier, half][:, None] == bands[b, earlier, half][None, :]
+        open_ &= ~same
+    x, y = np.nonzero(open_)
+    x, y = a[x], b[y]
+    keep, agree = survivors(sig[x], sig[y])
+    order = keep[np.argsort(-agree, kind="stable")]
     return x[order], y[order], node, comp
 
 
@@ -289,7 +309,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
-ITEM = "bucket long, band int, i int, j int, node long, comp long, hub long, few boolean, sig binary"
+ITEM = "bucket long, band int, i int, j int, node long, comp long, few boolean, sig binary"
 
 
 def open_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -313,22 +333,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     spread = (nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
               .select("node", "band", F.xxhash64("band", F.col("sig").substr(band * ROWS * 4 + 1, F.lit(ROWS * 4))).alias("bucket")))
     buckets = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = common.checkpoint(spread.join(buckets.select("bucket", "low"), "bucket"))
-    hubs = (shared.where("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("node").agg(F.max_by("low", F.struct("c", -F.col("low"))).alias("hub")))
-    hubs = common.checkpoint(hubs)
+    shared = common.checkpoint(spread.join(buckets, "bucket"))
+    partners = common.checkpoint(best_partners(shared, nodes))
     wanted = common.checkpoint(nodes.join(shared.select("node").distinct(), "node").select("node", "k1", "k2", "doc"))
     sets = full_sets(docs, wanted, k)
-    links = common.checkpoint(hub_links(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes, sets))
+    pairs = partners.select(F.col("node").alias("a"), F.explode("partners").alias("b"))
+    links = common.checkpoint(with_both(pairs, sets, "set").mapInArrow(_confirm, "a long, b long"))
     label = components(links)
-    members = (shared.join(label, "node", "left").join(hubs, "node", "left")
-               .select("bucket", "band", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("hub", F.lit(-1)).alias("hub"), "low"))
-    # a bucket of two whose pair is tested, or whose nodes hang together, is closed
-    members = members.join(buckets.select("bucket", "c"), "bucket")
-    closed = members.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.max("c").alias("c"),
-                                           F.max((F.col("hub") == F.col("low")).cast("int")).alias("t"))
-    closed = closed.where("p <> q and not (c = 2 and t = 1)").select("bucket")
-    members = common.checkpoint(members.join(closed, "bucket").select("bucket", "band", "node", "comp", "hub"))
+    members = (shared.join(label, "node", "left").join(partners.select("node", "cut"), "node", "left")
+               .withColumn("comp", F.coalesce("comp", "node")))
+    # closed: buckets whose nodes hang together, and those of two nodes whose pair is decided
+    decided = (F.col("node") != F.col("low")) & ~F.coalesce("cut", F.lit(False))
+    still = (members.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.max("c").alias("c"),
+                                           F.max(decided.cast("int")).alias("t"))
+             .where("p <> q and not (c = 2 and t = 1)").select("bucket"))
+    members = common.checkpoint(members.join(still, "bucket").select("bucket", "band", "node", "comp"))
     more = common.checkpoint(open_links(members, nodes, sets).distinct())
     if more.limit(1).count():
         label = components(links.unionAll(more))
