@@ -1,20 +1,78 @@
-"""The corpus pipeline: stages applied to ``documents`` one after another."""
+"""The corpus pipeline: stages applied to ``documents`` one after another.
+
+Every stage takes what the one before has kept and returns the columns of
+``documents`` (the last one: the encoded documents).  Columns beyond these are
+left out at the start of each stage.  Null and empty texts fail the quality
+rules; where a stage gets them all the same it keeps them as they are.  An
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradeframe.llm import bpe, common, decontam, minhash_bayes, quality_llr, secrets
 
-from gradeframe.llm import bpe, common
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SHINGLE = 5                # words, for near duplicates
 
+#: The models and similarity joins have no SQL form; tests hold every stage
+#: against a brute-force version.
 ORACLE_SQL = None
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood ratio stay."""
+    scored = quality_llr.score_documents(docs.select(*COLUMNS), common.read(spark, sf_dir, "labels"), COLUMNS)
+    return scored.where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of every group stays."""
+    docs = docs.select(*COLUMNS)
+    found = minhash_bayes.near_duplicates(docs, SHINGLE)
+    gone = found.where("not (doc_id <=> component_id)").select("doc_id", "k1", "k2").distinct()
+    return _without(docs, gone)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    docs = docs.select(*COLUMNS)
+    found = decontam.contamination(docs, common.read(spark, sf_dir, "benchmark"), ["doc_id"], proximity=False)
+    return _without(docs, found.where("n_hit > 0").select("doc_id", "k1", "k2").distinct())
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in them are replaced by a mark."""
+    docs = docs.select(*COLUMNS)
+    return secrets.redact(docs, secrets.train(docs))
+
+
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, and their decoded text."""
-    return bpe.encode_documents(docs, common.tokenizer_path(bpe.MODEL), ["doc_id"])
+    """Token ids of every document that is left, and the digest of their
+    decoded text."""
+    coded = bpe.encode_documents(docs.select(*COLUMNS), common.tokenizer_path(bpe.MODEL), ["doc_id", "lang", "source"])
+    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
+    return coded.select("doc_id", "lang", "source", "n_tokens", ids.alias("ids"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and text ``gone`` names."""
+    few = common.checkpoint(gone.withColumnRenamed("doc_id", "gone_id"))
+    if common.small_enough(few, 1_000_000):
+        few = F.broadcast(few)
+    keyed = docs.select(*COLUMNS, *common.content_key("text"))
+    same = (keyed["k1"] == few["k1"]) & (keyed["k2"] == few["k2"]) & keyed["doc_id"].eqNullSafe(few["gone_id"])
+    return keyed.join(few, same, "left_anti").select(*COLUMNS)
 
 
 STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
     ("BPE encoding and decoding", bpe_encoding),
 ]
 

@@ -6,8 +6,14 @@ from importlib import import_module
 
 #: operator module and query function, in the order of the operators.
 MODULES = [
+    ("warc_fixity", "op1_merkle_fixity"),
+    ("crf_langid", "op2_crf_langid"),
+    ("wrapper", "op3_wrapper_text"),
+    ("secrets", "op4_markov_secrets"),
     ("token_count", "op5_two_tier_counts"),
     ("quality_llr", "op6_ngram_llr"),
+    ("decontam", "op7_positional_index"),
+    ("minhash_bayes", "op8_bayes_minhash"),
     ("bpe", "op9_batched_bpe"),
     ("feistel", "op10_feistel_shards"),
 ]
