@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MODEL = "word_bpe_49k.json"
-CACHE_BOUND = 200_000
+CACHE_BOUND = 100_000
 
 # Fixed values of the tokenizer's format.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -201,7 +201,7 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], text: str = "t
     def run(batches):
         enc = _encoder(path)
         for batch in batches:
-            for start, texts in common.text_blocks(batch, "_text", 2 << 20):
+            for start, texts in common.text_blocks(batch, "_text"):
                 got = enc.batch(texts)
                 put = _digest if digests else str
                 yield pa.RecordBatch.from_arrays(

@@ -34,21 +34,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def text_blocks(batch: pa.RecordBatch, text: str = "text", max_chars: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_blocks(batch: pa.RecordBatch, text: str = "text", max_chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Cut an Arrow batch into runs of rows of about ``max_chars`` of text, so
     that work arrays follow that size and not the number of rows; yields the
     first row's position and the texts (null reads as empty).  Texts are never
     cut: one longer than ``max_chars`` makes a run of its own."""
-    texts = batch.column(text).to_pylist()
+    column = batch.column(text)
     run: list[str] = []
     start = size = 0
-    for i, t in enumerate(texts):
-        t = t or ""
-        if run and size + len(t) > max_chars:
-            yield start, run
-            run, start, size = [], i, 0
-        run.append(t)
-        size += len(t)
+    for i in range(0, len(column), 128):
+        for j, t in enumerate(column.slice(i, 128).to_pylist(), i):
+            t = t or ""
+            if run and size + len(t) > max_chars:
+                yield start, run
+                run, start, size = [], j, 0
+            run.append(t)
+            size += len(t)
     if run:
         yield start, run
 

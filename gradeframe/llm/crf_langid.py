@@ -93,7 +93,7 @@ class Words:
 class Emitter:
     """Emission scores of words under one model, kept in a bounded cache."""
 
-    BOUND = 300_000
+    BOUND = 150_000
 
     def __init__(self, weight: np.ndarray):
         self.weight, self.place, self.rows = weight, {}, np.zeros((0, weight.shape[1]))
@@ -271,7 +271,7 @@ def predict(docs: DataFrame, model, labels: list[str], keep: list[str], text: st
 
     def run(batches):
         for batch in batches:
-            for start, texts in common.text_blocks(batch, max_chars=4 << 20):
+            for start, texts in common.text_blocks(batch, max_chars=1 << 20):
                 best, score = np.full(len(texts), len(labels)), np.zeros(len(texts))
                 if labels:
                     post, doc, split = label_words(texts, shipped.value, labels)

@@ -33,7 +33,7 @@ MODEL = "piece_bpe_32k.model"
 TABLE_SIZE = 32_768        # entries of the broadcast table
 SUMMARY_SIZE = 4_096       # entries of one partition's summary
 COUNTER_BOUND = 200_000    # entries a task holds while it counts
-CACHE_BOUND = 400_000      # entries of a worker's cache
+CACHE_BOUND = 200_000      # entries of a worker's cache
 FAN_IN = 32                # summaries merged by one task
 
 MARK = "▁"
