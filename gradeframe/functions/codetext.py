@@ -31,7 +31,7 @@ CATCH_RETURNS = {"int": "return -999;\n", "boolean": "return false;\n",
 # Regex patterns.
 # Java comment / literal tokenizer (unix lines, dot-all, multi-line): line
 # comments, block comments, char literals, string literals, other runs.
-COMMENT_TOKENS = r"""(?dsm)//.*?$|/\*.*?\*/|'(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*"|[^/'"]+|."""
+COMMENT_TOKENS = r"""(?dsm)//.*?$|/\*.*?\*/|'[^\\']*+(?:\\.[^\\']*+)*+'|"[^\\"]*+(?:\\.[^\\"]*+)*+"|[^/'"]+|."""
 # compiler messages: text after 'error: ' up to the end of its line
 COMPILE_ERROR = r"(?d)error: ([^\n]+?)(?:\n|$)"
 # runtime failures: the class word of 'Exception: ...' / 'Error: ...'
@@ -80,15 +80,16 @@ def remove_prints(code) -> Column:
 def _features(piece: Column) -> tuple[Column, Column]:
     """X5 core: in the first line with public/private and a word holding
     '(', the method name is that word up to '(' and the type is the word
-    before it (NULL when the '(' word is first, D7)."""
+    before it (NULL when the '(' word is first, D7).  Both are NULL where no
+    line declares a method."""
     lines = F.split(piece, "\n")
     cand = F.filter(lines, lambda l: (l.contains("public") | l.contains("private"))
                     & F.exists(F.split(l, " "), lambda w: w.contains("(")))
-    words = F.split(F.element_at(cand, 1), " ")
-    idx = F.element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
-                                lambda i: F.element_at(words, i).contains("(")), 1)
-    name = F.substring_index(F.element_at(words, idx), "(", 1)
-    typ = F.when(idx > 1, F.element_at(words, idx - 1))
+    words = F.split(F.try_element_at(cand, F.lit(1)), " ")
+    idx = F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
+                                lambda i: F.try_element_at(words, i).contains("(")), F.lit(1))
+    name = F.substring_index(F.try_element_at(words, idx), "(", 1)
+    typ = F.when(idx > 1, F.get(words, idx - 2))
     return name, typ
 
 
@@ -110,7 +111,7 @@ def main_function(code, expected_name) -> Column:
     pieces = F.split(c, "(?=public)")
     n_public = F.size(F.regexp_extract_all(c, F.lit("public"), 0))
     last = F.element_at(pieces, -1)
-    match = F.element_at(F.filter(pieces, lambda p: _features(p)[0] == _c(expected_name)), 1)
+    match = F.try_element_at(F.filter(pieces, lambda p: _features(p)[0] == _c(expected_name)), F.lit(1))
     piece = F.when(n_public == 1, last).otherwise(match)
     name, typ = _features(piece)
     return F.struct(name.alias("name"), typ.alias("type"))

@@ -126,11 +126,10 @@ def merge_all_submissions(orig: DataFrame, df: DataFrame, keys: list[str],
     return dedupe_first(orig.join(df, keys, "right"), dedupe_keys, order)
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, bounded: bool = True) -> DataFrame:
-    """Dictionary lookup (pandas ``Series.map``) as a left join.  Pass
-    ``bounded=True`` only for dimensions whose row count is fixed by
-    construction (problems); otherwise AQE chooses the strategy."""
-    return df.join(F.broadcast(dim) if bounded else dim, key, "left")
+def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Dictionary lookup (pandas ``Series.map``) as a left join; AQE
+    broadcasts the dimension where its measured size allows."""
+    return df.join(dim, key, "left")
 
 
 def keep_members(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -299,7 +299,7 @@ def error_report(errors: DataFrame, key: str = KEY,
         F.count_if(F.col("kind") == "run").alias("run_errors"),
         F.count(F.lit(1)).alias("total_errors"),
         F.count_distinct(key).alias("failed_runs"),
-        (F.count(F.lit(1)) / F.count_distinct(key)).alias("errors_per_failed_run"),
+        F.try_divide(F.count(F.lit(1)), F.count_distinct(key)).alias("errors_per_failed_run"),
         F.count_if(m).alias("marker_errors"),
         F.count_distinct(F.when(m, F.col(key))).alias("marker_runs"),
     )

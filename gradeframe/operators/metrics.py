@@ -8,6 +8,9 @@ padding mask (P8) and are skipped.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,14 +116,9 @@ def bce_with_logits(df: DataFrame, logit: str = "logit", label: str = "label") -
     return d.agg(F.avg(loss).alias("bce"))
 
 
-def masked_mse(df: DataFrame, a: str, b: str) -> DataFrame:
-    """A8 (regression head): mean squared error over non-null rows."""
-    return mse(df, a, b)
-
-
 def weighted_mean(df: DataFrame, x: str, w: str, by: list[str] | None = None) -> DataFrame:
-    """sum(x*w) / sum(w)."""
-    agg = (F.sum(F.col(x) * F.col(w)) / F.sum(w)).alias("weighted_mean")
+    """sum(x*w) / sum(w); NULL where the weights sum to zero."""
+    agg = F.try_divide(F.sum(F.col(x) * F.col(w)), F.sum(w)).alias("weighted_mean")
     return df.groupBy(*by).agg(agg) if by else df.agg(agg)
 
 
@@ -183,63 +181,40 @@ def prefix_metrics(log: DataFrame, every: int, by: list[str] | None = None) -> D
 
 
 def welch_t(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
-    """M7: Welch's t statistic and degrees of freedom between groups a and b.
+    """M7: Welch's t statistic and degrees of freedom between groups a and b
+    (NULL for groups of one row or without variance).
     The p value is :func:`welch_p_value` applied to this one-row result."""
     s = df.where(F.col(group).isin(a, b)).groupBy().agg(
         *[f(F.when(F.col(group) == g, F.col(value).cast("double"))).alias(f"{n}_{i}")
           for i, g in enumerate((a, b))
           for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
-    va, vb = F.col("v_0") / F.col("n_0"), F.col("v_1") / F.col("n_1")
-    t = (F.col("m_0") - F.col("m_1")) / F.sqrt(va + vb)
-    dof = (va + vb) ** 2 / (va ** 2 / (F.col("n_0") - 1) + vb ** 2 / (F.col("n_1") - 1))
+    va, vb = F.try_divide("v_0", "n_0"), F.try_divide("v_1", "n_1")
+    t = F.try_divide(F.col("m_0") - F.col("m_1"), F.sqrt(va + vb))
+    dof = F.try_divide((va + vb) ** 2, F.try_divide(va ** 2, F.col("n_0") - 1) + F.try_divide(vb ** 2, F.col("n_1") - 1))
     return s.select(t.alias("t"), dof.alias("df"))
 
 
 def welch_p_value(t: float, dof: float) -> float:
-    """Two-sided p value of Student's t via the regularised incomplete beta
-    function (continued fraction, no scipy)."""
-    import math
+    """Two-sided p value of Student's t.
 
+    With phi = atan(sqrt(dof) / |t|) it is 2 / B(dof/2, 1/2) times the integral
+    of sin(u)**(dof - 1) over 0..phi.  The integrand rises towards phi, so the
+    range is halved towards there and each piece takes Gauss-Legendre points.
+    """
     if t is None or dof is None or math.isnan(t) or math.isnan(dof):
         return float("nan")
     if t == 0:
         return 1.0
     if math.isinf(t):
         return 0.0
-    x = dof / (dof + t * t)
-    a, b = dof / 2.0, 0.5
-
-    def betacf(a, b, x):
-        qab, qap, qam = a + b, a + 1.0, a - 1.0
-        c, d = 1.0, 1.0 - qab * x / qap
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        h = d
-        for m in range(1, 300):
-            m2 = 2 * m
-            aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-            d = 1.0 + aa * d
-            d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-            c = 1.0 + aa / c
-            c = c if abs(c) > 1e-300 else 1e-300
-            h *= d * c
-            aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-            d = 1.0 + aa * d
-            d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-            c = 1.0 + aa / c
-            c = c if abs(c) > 1e-300 else 1e-300
-            de = d * c
-            h *= de
-            if abs(de - 1.0) < 1e-15:
-                break
-        return h
-
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(math.log(x) * a + math.log1p(-x) * b + lbeta)
-    if x < (a + 1) / (a + b + 2):
-        ib = front * betacf(a, b, x) / a
-    else:
-        ib = 1.0 - front * betacf(b, a, 1 - x) / b
-    return ib
+    phi = math.atan2(math.sqrt(dof), abs(t))
+    node, weight = np.polynomial.legendre.leggauss(64)
+    edge = np.r_[phi * (1 - 0.5 ** np.arange(52)), phi]
+    half, mid = np.diff(edge) / 2, (edge[1:] + edge[:-1]) / 2
+    u = mid[:, None] + half[:, None] * node
+    area = (np.exp((dof - 1) * np.log(np.sin(u))) * weight * half[:, None]).sum()
+    beta = math.lgamma(dof / 2) + math.lgamma(0.5) - math.lgamma((dof + 1) / 2)
+    return min(1.0, 2 * area * math.exp(-beta))
 
 
 def majority_baseline(df: DataFrame) -> DataFrame:
@@ -248,6 +223,14 @@ def majority_baseline(df: DataFrame) -> DataFrame:
 
 
 def random_baseline(df: DataFrame, seed: int = 0) -> DataFrame:
-    """M9: seeded normal logits, thresholded at 0.5 after the sigmoid."""
-    return df.withColumn("logit_rand", F.randn(seed)).withColumn(
+    """M9: seeded normal logits, thresholded at 0.5 after the sigmoid.
+
+    Each draw is a function of the row and the seed (Box-Muller over two
+    hashes of all columns), so it survives retries and any partitioning;
+    equal rows get equal draws."""
+    def unit(part):
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(part), *df.columns), F.lit(1 << 52)) + 0.5) / (1 << 52)
+
+    draw = F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * math.pi * unit(1))
+    return df.withColumn("logit_rand", draw).withColumn(
         "pred", predict_label(F.col("logit_rand")))

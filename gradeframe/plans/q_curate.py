@@ -179,7 +179,7 @@ SELECT s.code_state_id, p.problem_ix FROM subs s LEFT JOIN p ON s.problem_id = p
 def j4(spark, d):
     subs = A.submissions(spark, d)
     dim = S.problem_index(subs, "problem_id")
-    return C.lookup(subs, dim, "problem_id", bounded=False).select("code_state_id", "problem_ix")
+    return C.lookup(subs, dim, "problem_id").select("code_state_id", "problem_ix")
 
 
 @register("T6_problem_index", f"""WITH {Q.SUBS}

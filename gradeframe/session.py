@@ -49,11 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names a shared (HDFS/object store) folder there; we never pick
     a machine-local folder on our own unless the setting is absent, which
-    only happens in local runs and tests.
+    only happens in local runs and tests: elsewhere a missing setting is an
+    error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):  # several machines
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="gradeframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

@@ -52,7 +52,8 @@ def _csv_with_rejects(spark: SparkSession, path: str, columns: list[str],
                           + [T.StructField(_OVERFLOW, T.StringType(), True),
                              T.StructField(_CORRUPT, T.StringType(), True)])
     df = (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", _CORRUPT).option("enforceSchema", True).csv(path))
+          .option("columnNameOfCorruptRecord", _CORRUPT).option("enforceSchema", True)
+          .option("escape", '"').option("multiLine", True).csv(path))
     # with one overflow column a normal row is one field short, so it always
     # carries a corrupt-record marker; a row with too many fields either
     # fills the overflow or exactly fits (no marker)
@@ -77,7 +78,7 @@ def read_cases(spark: SparkSession, path: str, on_bad: str = "skip", header: boo
     to long."""
     out = read_csv_tolerant(spark, path, CASE_COLUMNS, on_bad, header)
     good = out if on_bad == "skip" else out[0]
-    pid = F.col("coding_prompt_id").cast("double")
+    pid = F.col("coding_prompt_id").try_cast("double")
     good = good.where(pid.isNotNull() & ~F.isnan(pid)).withColumn("coding_prompt_id", pid.cast("long"))
     return good if on_bad == "skip" else (good, out[1])
 
