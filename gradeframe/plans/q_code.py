@@ -88,7 +88,8 @@ def x11(spark, d):
     return p.select("page_id", F.size(links).cast("long").alias("n_links"), F.array_join(links, "|").alias("links"))
 
 
-_R1_RE2 = T.COMMENT_TOKENS.replace("(?dsm)", "(?sm)").replace("'", "''")
+# the same tokens without possessive quantifiers, which RE2 lacks and does not need
+_R1_RE2 = r"""(?sm)//.*?$|/\*.*?\*/|'(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*"|[^/'"]+|.""".replace("'", "''")
 
 
 @register("X15_strip_comments", f"""WITH t AS (SELECT page_id, array_to_string(list_transform(
