@@ -127,7 +127,7 @@ def _count(path: str, table, columns: list[str]):
         cache = _WORKER.setdefault(path, {})
         for batch in batches:
             n_bytes, n_tokens = [], []
-            for _, texts in common.text_blocks(batch):
+            for _, texts in common.text_blocks(batch, "_text"):
                 split = [pre_tokens(t) for t in texts]
                 if len(cache) > CACHE_BOUND:
                     cache.clear()
@@ -157,7 +157,7 @@ def count_tokens(docs: DataFrame, path: str, ids: list[str], text: str = "text")
     """``ids`` columns, n_bytes and n_tokens of every row of ``docs``."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(frequent_lengths(docs, path, text))
-    rows = docs.select(*ids, F.col(text).alias("text"))
+    rows = docs.select(*ids, F.col(text).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*ids).schema.fields),
                         "n_bytes long", "n_tokens long"])
     return rows.mapInArrow(_count(path, table, ids), schema)

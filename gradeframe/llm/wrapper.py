@@ -208,19 +208,21 @@ def heading(root: Node) -> str:
 def induce(pages: list[str]) -> list[int]:
     """Fingerprints of a host's template runs."""
     trees = {}
-    for html in sorted(set(pages)):
+    for html in sorted(set(pages) - {""}):
         root = parse(html)
         trees.setdefault(heading(root), runs_of(root))
-    trees = list(trees.values())
+
+    # aligned with the page of middling size, so that an odd page is not the base
+    trees = sorted(trees.values(), key=lambda t: sum(1 for _ in _paths(t)))
     if len(trees) < LEAST:
         return []
-    base = trees[0]
+    base = trees.pop(len(trees) // 2)
     same: dict[int, int] = {}
-    for other in trees[1:]:
+    for other in trees:
         for a, b in match(base, other)[1]:
             if a.text and a.text == b.text:
                 same[id(a)] = same.get(id(a), 0) + 1
-    need = ALIKE * (len(trees) - 1)
+    need = ALIKE * len(trees)
     return sorted({fingerprint(path, run.text) for run, path in _paths(base) if same.get(id(run), 0) >= need})
 
 
