@@ -64,15 +64,15 @@ def f1(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            buckets: int = 64, by: list[str] | None = None) -> DataFrame:
+            ranges: int | None = None, by: list[str] | None = None) -> DataFrame:
     """M4: exact ROC AUC (Mann-Whitney, ties count one half), overall or per
     group of ``by``.
 
     Rows are first reduced to one row per (group, distinct score) with
     positive and negative counts (hash aggregate with map-side combine).
     The number of positives strictly above each score is a distributed
-    prefix sum over the score order (see :func:`ordered_prefix_sum`; a hot
-    group is split into score ranges), so no single task or the driver ever
+    prefix sum over the score order (see :func:`ordered_prefix_sum`; all
+    groups are split into score ranges), so no single task or the driver ever
     sees all distinct scores.  NULL when a group has only one class.
     """
     by = list(by or [])
@@ -81,7 +81,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("_neg"))
     s = ordered_prefix_sum(s, "_s", "_pos", "_above", by=by, descending=True,
-                           inclusive=False, buckets=buckets)
+                           inclusive=False, ranges=ranges)
     aggs = [F.sum("_pos").alias("P"), F.sum("_neg").alias("N"),
             F.sum(F.col("_neg") * (F.col("_above") + F.col("_pos") / 2.0)).alias("U")]
     tot = s.groupBy(*by).agg(*aggs) if by else s.agg(*aggs)

@@ -3,19 +3,21 @@
 A plain ``Window.partitionBy(g).orderBy(o)`` sends every row of a group to
 one task, and a window without ``partitionBy`` sends the whole table to one
 task.  Both break when a group (a student, a split, the whole score domain)
-holds a large share of the rows.  The helpers here cut such a group into
-value ranges of its order column:
-
-1. Cut points come from ``percentile_approx`` (partial sketches per map
-   task).  Without a group key they are a scalar subquery; with a group key
-   only *hot* groups (more than ``hot_rows`` rows, so at most
-   ``N / hot_rows`` of them) get cut points.
-2. A row's range index is the number of cut points below its order value,
-   so equal order values always share a range and ranges follow the order.
-3. Per-range totals (tiny: one row per range) get an exclusive running
-   total over ranges; each row then adds its within-range window value.
-
-The result is exact: approximate cut points only affect balance.
+holds a large share of the rows.  One plan serves every size here:
+
+1. Rows are range-partitioned on the whole order: group columns, then order
+   columns, of any type.  A large group is spread over as many ranges as its
+   share of the rows asks for; small ones share a range.
+2. The rows, with the number of their range, are written to the shared
+   checkpoint folder, since the sampled range bounds may differ from one
+   execution to the next.  The input is read for the sample and once more.
+3. Each (group, range) is numbered or summed in its own task, and the totals
+   of the group's earlier ranges are added.  Only groups that go over a range
+   bound have such totals: fewer rows than there are ranges.
+
+The number of ranges is ``spark.sql.shuffle.partitions`` unless ``ranges``
+names another.  The result is exact; the bounds only affect balance.  Rows
+that tie in the whole order share a range.  Null keys form one group.
 """
 
 from __future__ import annotations
@@ -24,58 +26,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_B = "_range_ix"
-_CUTS = "_range_cuts"
-_HOT = "_range_hot"
+from gradeframe.session import cut_lineage
 
+_RANGE = "_range"
 
-def order_number(df: DataFrame, col: str) -> Column:
-    """A numeric column that is monotone (non-decreasing) in ``col``."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)").cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
-    return F.lit(0.0)  # strings etc.: no range split (one range per group)
 
+def with_ranges(df: DataFrame, by: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_range``, the number of the row's range of (``by``,
+    ``order``); stored in the shared checkpoint folder."""
+    keys = [*[F.col(c) for c in by], *order]
+    dealt = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    return cut_lineage(dealt.withColumn(_RANGE, F.spark_partition_id()))
 
-def _fractions(buckets: int) -> list[float]:
-    return [i / buckets for i in range(1, buckets)]
 
-
-def with_ranges(df: DataFrame, order_col: str, by: list[str] | None = None,
-                buckets: int = 64, hot_rows: int = 2_000_000,
-                descending: bool = False) -> DataFrame:
-    """Add ``_range_ix``: index of the value range of ``order_col`` (within
-    ``by`` when given), following the (optionally descending) order."""
-    by = list(by or [])
-    v = order_number(df, order_col)
-    if descending:
-        v = -v
-    d = df.withColumn("_ov", v)
-    if not by:
-        cuts = d.select(F.percentile_approx("_ov", _fractions(buckets), 10000)).scalar()
-        d = d.withColumn(_CUTS, cuts)
-    else:
-        hot = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-        cuts = (d.join(hot.select(*by), by, "left_semi")
-                 .groupBy(*by).agg(F.percentile_approx("_ov", _fractions(buckets), 10000).alias(_CUTS)))
-        # at most N / hot_rows rows: AQE broadcasts it when small, else SMJ
-        d = d.join(cuts, by, "left")
-    ix = F.coalesce(F.size(F.filter(F.col(_CUTS), lambda c: c < F.col("_ov"))), F.lit(0))
-    # _hot: the row's group was split into ranges (always true without a key)
-    return d.withColumn(_B, ix).withColumn(_HOT, F.col(_CUTS).isNotNull()).drop(_CUTS)
+def _add_earlier(ranged: DataFrame, by: list[str], total: Column, out: str) -> DataFrame:
+    """Add ``out``: ``total`` over the earlier ranges of the row's group (null
+    in the first)."""
+    earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, _RANGE).agg(total.alias("_t"))
+    sums = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(_RANGE).alias("_r"),
+                       F.sum("_t").over(earlier).alias(out)).where(F.col(out).isNotNull())
+    same = ranged[_RANGE] == sums["_r"]
+    for c in by:
+        same = same & ranged[c].eqNullSafe(sums[f"_by_{c}"])
+    return ranged.join(F.broadcast(sums), same, "left").drop("_r", *[f"_by_{c}" for c in by])
 
 
 def ordered_prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str,
                        by: list[str] | None = None, descending: bool = False,
-                       inclusive: bool = True, buckets: int = 64,
-                       hot_rows: int = 2_000_000) -> DataFrame:
+                       inclusive: bool = True, ranges: int | None = None) -> DataFrame:
     """Running total of ``value_col`` over rows ordered by ``order_col``
     (within ``by``).  RANGE semantics: rows with an equal order value share
     the result; ``inclusive=False`` excludes them (strictly before)."""
@@ -86,53 +65,22 @@ def ordered_prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: s
         if isinstance(vt, T.DecimalType) else None
     if st is not None:
         df = df.withColumn(value_col, F.col(value_col).cast(st))
-    d = with_ranges(df, order_col, by, buckets, hot_rows, descending)
-    # only split groups have earlier ranges: their per-range totals are at
-    # most (N / hot_rows) x buckets rows; other groups get offset 0
-    tot = d.where(F.col(_HOT)).groupBy(*by, _B).agg(F.sum(value_col).alias("_rt"))
-    if st is not None:
-        tot = tot.withColumn("_rt", F.col("_rt").cast(st))
-    wo = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*by, _B, F.coalesce(F.sum("_rt").over(wo), F.lit(0)).alias("_off"))
-    # without a group key the offsets table has at most `buckets` rows
-    off = F.broadcast(off) if not by else off
-    d = d.join(off, by + [_B], "left")
-    w_in = Window.partitionBy(*by, _B).orderBy("_ov").rangeBetween(Window.unboundedPreceding, 0)
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    d = _add_earlier(with_ranges(df, by, [order], ranges), by, F.sum(value_col), "_before")
+    w_in = Window.partitionBy(*by, _RANGE).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     run = F.sum(value_col).over(w_in)
     if not inclusive:
-        run = run - F.sum(value_col).over(Window.partitionBy(*by, _B, "_ov"))
-    off_c = F.coalesce(F.col("_off"), F.lit(0))
-    if st is not None:
-        run = run.cast(st)
-        off_c = off_c.cast(st)
-    res = off_c + run
-    return d.withColumn(out_col, res.cast(st) if st is not None else res) \
-        .drop("_off", "_ov", _B, _HOT)
+        run = run - F.sum(value_col).over(Window.partitionBy(*by, _RANGE, order_col))
+    before = F.coalesce("_before", F.lit(0))
+    res = (before.cast(st) + run.cast(st)).cast(st) if st is not None else before + run
+    return d.withColumn(out_col, res).drop("_before", _RANGE)
 
 
 def sequence_number(df: DataFrame, by: list[str], order_cols: list[str], out_col: str,
-                    buckets: int = 64, hot_rows: int | None = 2_000_000) -> DataFrame:
+                    ranges: int | None = None) -> DataFrame:
     """``row_number()`` (1-based) within ``by`` ordered by ``order_cols``,
-    exact and skew-safe: hot groups are split by value ranges of the first
-    order column, each range is numbered in its own task, and the number of
-    rows in earlier ranges of the group is added.
-
-    The split costs extra passes over the input (group counts, cut points,
-    per-range counts).  ``hot_rows=None`` skips them and runs one plain
-    window: only for inputs whose groups are bounded by construction.
-    """
-    if hot_rows is None and by:
-        w = Window.partitionBy(*by).orderBy(*order_cols)
-        return df.withColumn(out_col, F.row_number().over(w).cast("long"))
-    d = with_ranges(df, order_cols[0], by, buckets, hot_rows)
-    cnt = d.where(F.col(_HOT)).groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_rc"))
-    wo = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select(*by, _B, F.coalesce(F.sum("_rc").over(wo), F.lit(0)).alias("_off"))
-    # only ranges after the first need an offset; those exist only in hot
-    # groups, so this table has at most N / hot_rows * buckets rows
-    off = off.where(F.col(_B) > 0)
-    w = Window.partitionBy(*by, _B).orderBy(*order_cols)
-    d = d.withColumn("_rn0", F.row_number().over(w))
-    d = d.join(off, by + [_B], "left")
-    return (d.withColumn(out_col, (F.col("_rn0") + F.coalesce("_off", F.lit(0))).cast("long"))
-             .drop("_rn0", "_off", "_ov", _B, _HOT))
+    exact and spread over all ranges of the whole order."""
+    order = [F.col(c) for c in order_cols]
+    d = _add_earlier(with_ranges(df, by, order, ranges), by, F.count(F.lit(1)), "_before")
+    here = F.row_number().over(Window.partitionBy(*by, _RANGE).orderBy(*order))
+    return d.withColumn(out_col, (here + F.coalesce("_before", F.lit(0))).cast("long")).drop("_before", _RANGE)

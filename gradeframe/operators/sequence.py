@@ -2,9 +2,9 @@
 alignment, sequence assembly, padding, batching, splits and sampling
 (W1-W7, W10, T1-T6).
 
-Numbering inside a student uses :func:`sequence_number`, which splits a
-student holding a large share of all rows into value ranges of time, so no
-single task has to sort a hot student.  Per-segment windows and collects
+Numbering inside a student uses :func:`sequence_number`, which spreads a
+student holding a large share of all rows over ranges of the whole order, so
+no single task has to sort a hot student.  Per-segment windows and collects
 are bounded by ``max_len`` (a segment never holds more rows than that).
 """
 
@@ -17,15 +17,14 @@ from gradeframe.operators.ordered import sequence_number
 
 
 def segment_records(df: DataFrame, student: str, order: list[str], max_len: int = 200,
-                    seq_col: str = "seq_id", hot_rows: int | None = 2_000_000,
-                    buckets: int = 64) -> DataFrame:
+                    seq_col: str = "seq_id", ranges: int | None = None) -> DataFrame:
     """Cut each student's ordered rows into segments of ``max_len``.
 
     k = 0-based position of the row in the student's order (ts, id: D4);
     timestep = k mod max_len, segment = k div max_len + 1,
     seq_id = "{student}_{segment}".
     """
-    d = sequence_number(df, [student], order, "_k", buckets=buckets, hot_rows=hot_rows)
+    d = sequence_number(df, [student], order, "_k", ranges)
     k = F.col("_k") - 1
     return (d.withColumn("timestep", (k % max_len).cast("int"))
              .withColumn("segment", (F.floor(k / max_len) + 1).cast("int"))
@@ -37,9 +36,9 @@ def segment_records(df: DataFrame, student: str, order: list[str], max_len: int
 def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """W3 (and W2): keep the first row per ``keys`` in ``order``.
 
-    Implemented as ``min_by(struct(row), struct(order))`` in a hash
-    aggregate, so map-side partial aggregation collapses a hot key before
-    the shuffle (a window would send the whole group to one task).  NULL
+    Implemented as ``min_by(struct(row), struct(order))`` in a
+    sort aggregate, whose map-side partial step collapses a hot key before the
+    shuffle (a window would send the whole group to one task).  NULL
     keys form one group, like pandas ``drop_duplicates``.
     """
     rest = [c for c in df.columns if c not in keys]
@@ -98,11 +97,10 @@ def pad_sequences(seqs: DataFrame, cols: dict[str, object], length=None) -> Data
 
 
 def assign_batches(df: DataFrame, order: list[str], size: int, by: list[str] | None = None,
-                   out: str = "batch", hot_rows: int | None = 2_000_000,
-                   buckets: int = 64) -> DataFrame:
+                   out: str = "batch", ranges: int | None = None) -> DataFrame:
     """Consecutive rows (in ``order``, within ``by``) form batches of
     ``size``; numbering is the skew-safe :func:`sequence_number`."""
-    d = sequence_number(df, list(by or []), order, "_rn", buckets=buckets, hot_rows=hot_rows)
+    d = sequence_number(df, list(by or []), order, "_rn", ranges)
     return d.withColumn(out, F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")
 
 
@@ -137,7 +135,8 @@ def split_exact(df: DataFrame, key: list[str], test_size: float = 0.2, seed: int
                 out: str = "split") -> DataFrame:
     """T4 / T5 (exact sizes, D5): distinct keys ranked by hash; the last
     ceil(n*test_size) keys are held out, of which ceil(m/2) are test and the
-    rest valid.  The ranking is the skew-safe global numbering."""
+    rest valid.  The ranking is the skew-safe global numbering.  Rows with
+    null keys are one key like any other."""
     keys = df.select(*key).distinct().withColumn("_h", _unit_hash(key, seed))
     n = keys.select(F.count(F.lit(1))).scalar()
     ranked = sequence_number(keys, [], ["_h", *key], "_r")
@@ -145,7 +144,11 @@ def split_exact(df: DataFrame, key: list[str], test_size: float = 0.2, seed: int
     t = F.ceil(m / 2)
     lab = (F.when(F.col("_r") <= n - m, "train")
             .when(F.col("_r") <= n - m + (m - t), "valid").otherwise("test"))
-    return df.join(ranked.select(*key, lab.alias(out)), key, "left")
+    ranked = ranked.select(*[F.col(c).alias(f"_key_{c}") for c in key], lab.alias(out))
+    same = F.lit(True)
+    for c in key:
+        same = same & df[c].eqNullSafe(ranked[f"_key_{c}"])
+    return df.join(ranked, same, "left").drop(*[f"_key_{c}" for c in key])
 
 
 def problem_index(problems: DataFrame, id_col: str, out: str = "problem_ix") -> DataFrame:

@@ -25,12 +25,13 @@ def _nested(spark, d):
     nested per-student export shape), then flattened back (S6)."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     n = S.nest_by_key(o, "o_custkey", ["o_orderkey"], ["o_orderkey", "o_totalprice"])
-    return n.select("o_custkey", "chunk", F.struct(F.col("o_orderkey").alias("keys"),
-                                                   F.col("o_totalprice").alias("prices")).alias("v"))
+    return n.select("o_custkey", "chunk", "first_pos", F.struct(F.col("o_orderkey").alias("keys"),
+                                                                F.col("o_totalprice").alias("prices")).alias("v"))
 
 
-@register("S8_nest_by_key", """SELECT o_custkey, CAST(0 AS BIGINT) AS chunk, count(*) AS n_orders,
-  string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY o_custkey""")
+@register("S8_nest_by_key", """SELECT o_custkey, chunk, count(*) AS n_orders,
+  string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM (SELECT *, CAST((row_number() OVER
+  (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 10000 AS BIGINT) AS chunk FROM orders) GROUP BY o_custkey, chunk""")
 def s8(spark, d):
     n = _nested(spark, d)
     return n.select("o_custkey", "chunk", F.size("v.keys").cast("long").alias("n_orders"),
@@ -40,7 +41,7 @@ def s8(spark, d):
 @register("S6_flatten_nested", """SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1
   AS INTEGER) AS pos, o_orderkey AS keys, o_totalprice AS prices FROM orders""")
 def s6(spark, d):
-    return S.flatten_nested(_nested(spark, d), "o_custkey", "v", ["keys", "prices"])
+    return S.flatten_nested(_nested(spark, d), "o_custkey", "v", ["keys", "prices"], "first_pos")
 
 
 @register("S7_chunk_ids", """SELECT chunk, count(*) AS rows FROM (SELECT CAST((row_number() OVER (ORDER BY

@@ -104,18 +104,21 @@ def read_shards(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.option("mergeSchema", "false").parquet(*paths)
 
 
-def flatten_nested(df: DataFrame, key: str, value: str, fields: list[str]) -> DataFrame:
+def flatten_nested(df: DataFrame, key: str, value: str, fields: list[str],
+                   first: str | None = None) -> DataFrame:
     """A map<key, struct<array fields...>> column (or a struct column
     next to ``key``) -> one row per position; arrays of unequal length are
-    cut to the shortest (Python ``zip``, D2)."""
+    cut to the shortest (Python ``zip``, D2).  ``first`` names a column with
+    the position of a row's first item (:func:`nest_by_key`); else it is 0."""
     if isinstance(df.schema[value].dataType, T.MapType):
         df = df.select(F.explode(value).alias(key, "_v"))
         value = "_v"
-    n = F.least(*[F.size(F.col(f"{value}.{f}")) for f in fields])
+    n = F.array_min(F.array(*[F.size(F.col(f"{value}.{f}")) for f in fields]))
     z = F.arrays_zip(*[F.col(f"{value}.{f}").alias(f) for f in fields])
-    out = df.select(key, F.posexplode(z).alias("pos", "_z"), n.alias("_n"))
-    return out.where(F.col("pos") < F.col("_n")).select(
-        key, "pos", *[F.col(f"_z.{f}").alias(f) for f in fields])
+    start = F.col(first) if first else F.lit(0)
+    out = df.select(key, start.alias("_first"), F.posexplode(z).alias("_at", "_z"), n.alias("_n"))
+    return out.where(F.col("_at") < F.col("_n")).select(
+        key, (F.col("_first") + F.col("_at")).cast("int").alias("pos"), *[F.col(f"_z.{f}").alias(f) for f in fields])
 
 
 def nest_by_key(df: DataFrame, key: str, order: list[str], fields: list[str],
@@ -123,14 +126,14 @@ def nest_by_key(df: DataFrame, key: str, order: list[str], fields: list[str],
     """Flat rows -> per-key ordered arrays (the per-student export).
 
     A key with more than ``max_items`` rows becomes several rows (``chunk``
-    0, 1, ...), so no single collected group is unbounded; every row is
-    kept.  Positions come from the skew-safe :func:`sequence_number`.
+    0, 1, ...; ``first_pos`` is the 0-based position of its first item), so
+    no single collected group is unbounded; every row is kept.  Positions come from the skew-safe :func:`sequence_number`.
     """
     d = sequence_number(df, [key], order, "_pos")
     d = d.withColumn("chunk", F.floor((F.col("_pos") - 1) / max_items).cast("long"))
     g = d.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(
         F.struct(F.col("_pos"), *[F.col(f) for f in fields]))).alias("_s"))
-    return g.select(key, "chunk", *[F.col(f"_s.{f}").alias(f) for f in fields])
+    return g.select(key, "chunk", (F.col("chunk") * max_items).alias("first_pos"), *[F.col(f"_s.{f}").alias(f) for f in fields])
 
 
 def write_chunks(df: DataFrame, path: str, rows: int = 2000, order: list[str] | None = None,

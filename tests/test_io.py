@@ -66,3 +66,10 @@ def test_events_strict(spark, tmp_path):
     df = S.read_events(spark, str(p))
     r = df.collect()[0]
     assert r.SubjectID == "s1" and r.ProblemID == 2 and r.EventType == "Run.Program"
+
+
+def test_positions_run_on_over_chunks(spark):
+    df = spark.range(25).select(F.lit(1).alias("student"), F.col("id").alias("ts"), (F.col("id") * 10).alias("code"))
+    nested = S.nest_by_key(df, "student", ["ts"], ["code"], max_items=10)
+    flat = S.flatten_nested(nested.select("student", "first_pos", F.struct("code").alias("v")), "student", "v", ["code"], "first_pos")
+    assert sorted((r.pos, r.code) for r in flat.collect()) == [(i, i * 10) for i in range(25)]

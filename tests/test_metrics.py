@@ -31,7 +31,7 @@ def test_auc_brute_force_many_ties(spark):
     scores = [round(rnd.random(), 2) for _ in range(600)]
     df = spark.createDataFrame(list(zip(labels, scores)), "label int, score double")
     # few buckets to force several value ranges in the distributed prefix sum
-    got = M.roc_auc(df, buckets=7).collect()[0].auc
+    got = M.roc_auc(df, ranges=7).collect()[0].auc
     assert got == pytest.approx(_auc_brute(labels, scores), abs=1e-12)
     assert 0.0 <= got <= 1.0
 

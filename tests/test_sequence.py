@@ -24,7 +24,7 @@ def test_sequence_number_hot_group_equals_row_number(spark):
     data = [(0 if rnd.random() < 0.7 else rnd.randint(1, 20), rnd.randint(0, 50), i)
             for i in range(2000)]
     df = spark.createDataFrame(data, "k long, ts long, id long")
-    got = O.sequence_number(df, ["k"], ["ts", "id"], "rn", buckets=8, hot_rows=100)
+    got = O.sequence_number(df, ["k"], ["ts", "id"], "rn", ranges=8)
     ref = df.withColumn("rn2", F.row_number().over(Window.partitionBy("k").orderBy("ts", "id")))
     j = got.join(ref, ["k", "ts", "id"])
     assert j.where(F.col("rn") != F.col("rn2")).count() == 0
@@ -35,12 +35,12 @@ def test_ordered_prefix_sum_matches_brute_force(spark):
     rnd = random.Random(5)
     data = [(rnd.randint(0, 3), rnd.randint(0, 40), rnd.randint(1, 9)) for _ in range(800)]
     df = spark.createDataFrame(data, "g long, o long, v long")
-    got = O.ordered_prefix_sum(df, "o", "v", "cum", by=["g"], buckets=6, hot_rows=50,
+    got = O.ordered_prefix_sum(df, "o", "v", "cum", by=["g"], ranges=6,
                                inclusive=False).collect()
     for r in got[:200]:
         exp = sum(v for g, o, v in data if g == r.g and o < r.o)
         assert r.cum == exp
-    glob = O.ordered_prefix_sum(df, "o", "v", "cum", descending=True, buckets=5).collect()
+    glob = O.ordered_prefix_sum(df, "o", "v", "cum", descending=True, ranges=5).collect()
     for r in glob[:200]:
         assert r.cum == sum(v for g, o, v in data if o >= r.o)
 

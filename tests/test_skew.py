@@ -30,7 +30,7 @@ def test_auc_many_distinct_scores(spark):
     rnd = random.Random(11)
     rows = [(rnd.randint(0, 1), rnd.random()) for _ in range(20_000)]
     df = spark.createDataFrame(rows, "label int, score double")
-    got = M.roc_auc(df, buckets=32).collect()[0].auc
+    got = M.roc_auc(df, ranges=32).collect()[0].auc
     # brute force by ranks (scores are distinct)
     ranked = sorted(rows, key=lambda r: r[1])
     pos = sum(l for l, _ in rows)
@@ -42,13 +42,43 @@ def test_auc_many_distinct_scores(spark):
 
 def test_global_sequence_number(spark):
     df = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("v"))
-    got = O.sequence_number(df, [], ["v"], "rn", buckets=9)
+    got = O.sequence_number(df, [], ["v"], "rn", ranges=9)
     assert got.where(F.col("rn") != F.col("v") + 1).count() == 0
 
 
 def test_prefix_sum_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 7).alias("g"),
                                   F.col("id").alias("o"), F.lit(1).alias("v"))
-    got = O.ordered_prefix_sum(df, "o", "v", "c", by=["g"], buckets=5, hot_rows=100)
+    got = O.ordered_prefix_sum(df, "o", "v", "c", by=["g"], ranges=5)
     ref = df.withColumn("c2", F.sum("v").over(Window.partitionBy("g").orderBy("o")))
     assert got.join(ref, ["g", "o"]).where(F.col("c") != F.col("c2")).count() == 0
+
+
+def _range_sizes(df, by, order):
+    return sorted(r["count"] for r in O.with_ranges(df, by, [F.col(c) for c in order], 16).groupBy("_range").count().collect())
+
+
+def test_string_order_is_spread_and_exact(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("s"), F.lpad(((F.col("id") * 7919) % 20_000).cast("string"), 6, "0")).alias("k"))
+    sizes = _range_sizes(df, [], ["k"])
+    assert len(sizes) > 8 and sizes[-1] < 5_000
+    got = O.sequence_number(df, [], ["k"], "rn", ranges=16)
+    assert got.where(F.col("rn") != F.substring("k", 2, 6).cast("long") + 1).count() == 0
+
+
+def test_leading_key_with_most_rows_is_spread_and_exact(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, F.lit("hot")).when(F.col("id") % 20 > 0, F.col("id").cast("string")).alias("g"),
+                                    ((F.col("id") * 7919) % 20_000).alias("o"))
+    sizes = _range_sizes(df, ["g"], ["o"])
+    assert len(sizes) > 8 and sizes[-1] < 5_000
+    got = O.sequence_number(df, ["g"], ["o"], "rn", ranges=16)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("long"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 20_000      # the null group too
+
+
+def test_split_keeps_rows_without_a_key(spark):
+    from gradeframe.operators import sequence as S
+    df = spark.createDataFrame([(None,), (None,), (1,), (2,), (3,)], "k long")
+    got = S.split_exact(df, ["k"], 0.5, 1).collect()
+    assert len(got) == 5 and all(r.split for r in got)
+    assert len({r.split for r in got if r.k is None}) == 1
