@@ -129,9 +129,11 @@ def proximity_matches(index: DataFrame, bench: Benchmark, anchored: DataFrame, s
     the half-overlapping stretches of twice ``slop`` words."""
     rows = moved_postings(index, bench, anchored).select(
         "k1", "k2", "win", "need", F.expr("shiftleft(1, rank)").alias("bit"), F.floor(F.col("start") / slop).alias("c"))
-    rows = rows.distinct().withColumn("cell", F.explode(F.array(F.col("c"), F.col("c") + 1)))
-    met = (rows.groupBy("k1", "k2", "win", "cell").agg(F.bit_or("bit").alias("have"), F.min("need").alias("need"))
-           .where("have = need"))
+    # one shuffle by text and window serves both groupings
+    held = (rows.repartition("k1", "k2", "win").groupBy("k1", "k2", "win", "c")
+            .agg(F.bit_or("bit").alias("have"), F.min("need").alias("need")))
+    met = (held.withColumn("cell", F.explode(F.array(F.col("c"), F.col("c") + 1))).groupBy("k1", "k2", "win", "cell")
+           .agg(F.bit_or("have").alias("have"), F.min("need").alias("need")).where("have = need"))
     return met.select("k1", "k2", "win").distinct()
 
 
