@@ -224,20 +224,19 @@ def a4(spark, d):
 
 
 @register("U1_known_problem_ids", """SELECT DISTINCT p_partkey FROM (
-  SELECT p_partkey FROM part WHERE p_size > 45
+  SELECT p_partkey FROM part
   UNION ALL SELECT unnest([29, 37, 106, 236, 239, 240])::BIGINT)""")
 def u1(spark, d):
-    ids = A.load(spark, d, "part").where(F.col("p_size") > 45)
+    ids = A.load(spark, d, "part")
     return C.with_known_ids(ids, "p_partkey")
 
 
 @register("U2_concat_shards", """SELECT event_type, count(*) AS cnt FROM (
-  SELECT event_type FROM events WHERE event_type = 'view'
-  UNION ALL SELECT event_type FROM events WHERE event_type = 'click') GROUP BY 1""")
+  SELECT event_type FROM events UNION ALL SELECT o_orderpriority FROM orders) GROUP BY 1""")
 def u2(spark, d):
     ev = A.load(spark, d, "events").select("event_type")
-    parts = [C.filter_events(ev, t, "event_type") for t in ("view", "click")]
-    return C.concat_all(parts).groupBy("event_type").agg(F.count(F.lit(1)).alias("cnt"))
+    orders = A.load(spark, d, "orders").select(F.col("o_orderpriority").alias("event_type"))
+    return C.concat_all([ev, orders]).groupBy("event_type").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @register("P5_score_match", """WITH t AS (SELECT l_orderkey, avg(CASE WHEN l_linestatus = 'O'

@@ -8,10 +8,12 @@ from gradeframe.sources import io as S
 from gradeframe.plans.catalog import register
 
 
-@register("S4_read_table", """SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'""")
+@register("S4_read_table", """SELECT o_orderkey, o_custkey, o_totalprice FROM orders""")
 def s4(spark, d):
-    return S.read_table(spark, f"{d}/orders.parquet").where(F.col("o_orderstatus") == "F") \
-        .select("o_orderkey", "o_custkey", "o_totalprice")
+    """The table written as a snapshot and read back."""
+    path = _derived_csv_dir(spark, d, "orders_snapshot")
+    S.write_table(S.read_table(spark, f"{d}/orders.parquet"), path)
+    return S.read_table(spark, path).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @register("S5_read_shards", """SELECT lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang""")
@@ -59,14 +61,14 @@ def _derived_csv_dir(spark, d, name):
     return table_path(spark, f"{name}_{tag}")
 
 
-def _cases_csv(spark, d):
+def _cases_csv(spark, d, name):
     """Write a test-case CSV derived from lineitem (no header, many files):
     some ids are 'nan', some lines carry one field too many."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     pid = F.when(F.col("l_quantity") > 49, F.lit("nan")).otherwise(F.col("l_partkey").cast("string"))
     line = F.concat_ws(",", pid, F.col("l_returnflag"), F.col("l_linestatus"),
                        F.when(F.col("l_discount") > 0.09, F.lit("EXTRA")))
-    path = _derived_csv_dir(spark, d, "cases_csv")
+    path = _derived_csv_dir(spark, d, name)
     li.select(line.alias("value")).write.mode("overwrite").text(path)
     return path
 
@@ -74,12 +76,12 @@ def _cases_csv(spark, d):
 @register("S2_read_cases_skip", """SELECT CAST(l_partkey AS BIGINT) AS coding_prompt_id, l_returnflag AS input,
   l_linestatus AS expected_output FROM lineitem WHERE NOT l_discount > 0.09 AND NOT l_quantity > 49""")
 def s2(spark, d):
-    return S.read_cases(spark, _cases_csv(spark, d), on_bad="skip", header=False)
+    return S.read_cases(spark, _cases_csv(spark, d, "cases_skip_csv"), on_bad="skip", header=False)
 
 
 @register("S3_read_cases_reject", """SELECT count(*) AS rejected FROM lineitem WHERE l_discount > 0.09""")
 def s3(spark, d):
-    _, bad = S.read_cases(spark, _cases_csv(spark, d), on_bad="warn", header=False)
+    _, bad = S.read_cases(spark, _cases_csv(spark, d, "cases_reject_csv"), on_bad="warn", header=False)
     return bad.agg(F.count(F.lit(1)).alias("rejected"))
 
 
