@@ -5,11 +5,12 @@ window).  The terms of the windows are counted in all training texts; a
 window's rarest terms are its anchors.  The index stores, for the anchor terms
 of all windows, the postings of the training texts: the text's 128-bit key and
 the term's word position (and, for a window's rarest term, the words around
-it).  Lists are intersected after each posting is moved by its term's offset
-in the window: where all anchors of a window point at one start, the words
-around the rarest are compared with the whole window.  That gives the exact
-phrase matches.  Proximity matches are windows whose anchors point at starts
-within ``SLOP`` words of each other.
+it).  Intersection goes from the rarest term: each of its postings implies
+a start of the window, and the other anchors' lists, held as bits of positions,
+are asked for their terms at that start plus their offsets.  Where all are
+there and the words around the rarest spell the window, that is an exact
+phrase match.  Proximity matches are windows whose anchors point at starts
+within one of the half-overlapping stretches of twice ``SLOP`` words.
 
 All of it is DataFrame functions: no Python runs on the executors.  Windows,
 terms and anchors grow with the benchmark alone; they are broadcast up to
@@ -35,19 +36,22 @@ WINDOW = 10
 ANCHORS = 3
 SLOP = 20
 BROADCAST_WINDOWS = 200_000
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BIN = 64
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"       # A-Z are lower-cased, so no separators
 
 
-def lowered(text: Column) -> Column:
+def lowered(word: Column) -> Column:
     """A-Z in lower case and no other character changed."""
-    other = text.rlike(r"[^\x00-\x7F]")
-    return F.when(other, F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+    ascii_only = F.octet_length(word) == F.char_length(word)
+    return (F.when(ascii_only, F.lower(word))
+            .when(word.rlike("[A-Z]"), F.translate(word, string.ascii_uppercase, string.ascii_lowercase)).otherwise(word))
 
 
 def split_words(df: DataFrame, text: str) -> DataFrame:
-    """Add ``parts`` (the text between separators: an empty first or last part
-    is no word), ``skip`` (1 if the first is empty) and ``n_words``."""
-    df = df.withColumn("parts", F.split(lowered(F.coalesce(F.col(text), F.lit(""))), SEPARATORS, -1))
+    """Add ``parts`` (the text between separators, in its own case: an empty
+    first or last part is no word), ``skip`` (1 if the first is empty) and
+    ``n_words``."""
+    df = df.withColumn("parts", F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS, -1))
     df = df.withColumn("skip", (F.element_at("parts", 1) == "").cast("int"))
     last = ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
     return df.withColumn("n_words", F.size("parts") - F.col("skip") - last)
@@ -59,7 +63,7 @@ class Benchmark:
 
     def __init__(self, benchmark: DataFrame, width: int = WINDOW):
         items = split_words(benchmark.select("item_id", "text"), "text").where("n_words > 0")
-        items = items.select("item_id", "n_words", F.expr("slice(parts, skip + 1, n_words)").alias("w"))
+        items = items.select("item_id", "n_words", F.transform(F.expr("slice(parts, skip + 1, n_words)"), lowered).alias("w"))
         cut = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_words") - width, F.lit(0)))).alias("i"))
         cut = common.checkpoint(cut.select("item_id", F.array_join(F.slice("w", F.col("i") + 1, width), " ").alias("phrase")).distinct())
         numbered = cut.select("phrase").distinct().withColumn("win", F.monotonically_increasing_id())
@@ -78,7 +82,9 @@ def anchors(docs: DataFrame, bench: Benchmark, count: int = ANCHORS) -> DataFram
     """The rarest terms of every window that can occur: win, term, offset,
     rank (0: rarest) and need (a bit for each of the window's anchors)."""
     terms = bench.slots.select("term").distinct()
-    said = split_words(docs.select("text"), "text").select(F.explode("parts").alias("term"))
+    parts = F.split(F.coalesce(docs["text"], F.lit("")), SEPARATORS, -1)
+    # explode_outer: a plain explode is given a filter that splits every text again
+    said = docs.select(F.explode_outer(parts).alias("part")).select(lowered(F.col("part")).alias("term"))
     seen = common.checkpoint(said.join(bench.sent(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     known = bench.slots.join(bench.sent(seen), "term", "left")
     by_win = Window.partitionBy("win")
@@ -95,46 +101,67 @@ def build_index(docs: DataFrame, bench: Benchmark, anchored: DataFrame, ids: lis
     terms = anchored.groupBy("term").agg(F.min("rank").alias("best"))
     words = split_words(docs.select(*ids, F.coalesce("text", F.lit("")).alias("text")), "text")
     words = words.select(*ids, *common.content_key("text"), "parts", "skip", "n_words")
-    every = words.select(*ids, "k1", "k2", "parts", "skip", "n_words", F.posexplode("parts").alias("at", "term"))
+    every = words.select(*ids, "k1", "k2", "parts", "skip", "n_words", F.posexplode_outer("parts").alias("at", "part"))
+    every = every.withColumn("term", lowered(F.col("part")))
     found = every.join(bench.sent(terms), "term", "left").where("best is not null or at = 0")
     left = F.greatest(F.col("at") - (WINDOW - 1), F.col("skip"))
     around = F.array_join(F.slice("parts", left + 1, F.col("at") - left + WINDOW), " ")
     return common.checkpoint(found.select(
         *ids, "k1", "k2", "n_words", (F.col("at") == 0).alias("first"), (F.col("at") - F.col("skip")).alias("pos"),
         F.when(F.col("best").isNotNull(), F.col("term")).alias("term"),
-        F.when(F.col("best") == 0, around).alias("around"), (left - F.col("skip")).alias("left")))
+        F.when(F.col("best") == 0, lowered(around)).alias("around"), (left - F.col("skip")).alias("left")))
 
 
-def moved_postings(index: DataFrame, bench: Benchmark, anchored: DataFrame) -> DataFrame:
-    """Each posting as the start that it implies for each window it anchors."""
-    joined = index.where("term is not null").join(bench.sent(anchored), "term")
-    return joined.select("k1", "k2", "win", "rank", "need", "n_words", "around", "left", (F.col("pos") - F.col("offset")).alias("start"))
-
-
-def phrase_matches(index: DataFrame, bench: Benchmark, anchored: DataFrame) -> DataFrame:
-    """Exact matches: the text's key, win, start and size."""
-    rows = moved_postings(index, bench, anchored).where("start >= 0")
-    lead = F.col("rank") == 0
-    met = (rows.groupBy("k1", "k2", "win", "start")
-           .agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("have"), F.min("need").alias("need"),
-                F.max(F.when(lead, F.col("around"))).alias("around"), F.max(F.when(lead, F.col("left"))).alias("left"))
-           .where("have = need"))
-    whole = met.join(bench.sent(bench.windows.select("win", "phrase", "size")), "win")
+def leads(index: DataFrame, bench: Benchmark, anchored: DataFrame) -> DataFrame:
+    """The postings of the rarest terms as the starts that they imply: the
+    text's key, win, start, need and whether the words around spell the window."""
+    windows = bench.windows.select("win", "phrase", "size")
+    rarest = anchored.where("rank = 0").select("win", "term", "offset", "need").join(bench.sent(windows), "win")
+    rows = (index.where("around is not null").select("k1", "k2", "term", "pos", "around", "left")
+            .join(bench.sent(rarest), "term").withColumn("start", F.col("pos") - F.col("offset")))
+    inside = (F.col("start") >= 0) & (F.col("start") >= F.col("left"))
     there = F.array_join(F.slice(F.split("around", " "), F.col("start") - F.col("left") + 1, F.col("size")), " ")
-    return whole.where((F.col("start") >= F.col("left")) & (there == F.col("phrase"))).select("k1", "k2", "win", "start", "size")
-
-
-def proximity_matches(index: DataFrame, bench: Benchmark, anchored: DataFrame, slop: int = SLOP) -> DataFrame:
-    """The text's key and win where all anchors' implied starts lie in one of
-    the half-overlapping stretches of twice ``slop`` words."""
-    rows = moved_postings(index, bench, anchored).select(
-        "k1", "k2", "win", "need", F.expr("shiftleft(1, rank)").alias("bit"), F.floor(F.col("start") / slop).alias("c"))
-    # one shuffle by text and window serves both groupings
-    held = (rows.repartition("k1", "k2", "win").groupBy("k1", "k2", "win", "c")
-            .agg(F.bit_or("bit").alias("have"), F.min("need").alias("need")))
-    met = (held.withColumn("cell", F.explode(F.array(F.col("c"), F.col("c") + 1))).groupBy("k1", "k2", "win", "cell")
-           .agg(F.bit_or("have").alias("have"), F.min("need").alias("need")).where("have = need"))
-    return met.select("k1", "k2", "win").distinct()
+    spelt = F.when(inside, there == F.col("phrase")).otherwise(False)
+    return rows.select("k1", "k2", "win", "start", "need", "size", spelt.alias("spelt")).distinct()
+
+
+def matches(index: DataFrame, bench: Benchmark, anchored: DataFrame, proximity: bool, slop: int = SLOP) -> DataFrame:
+    """The text's key, win, start, size, exact and near of the leads that match.
+
+    The lists of the other anchors are kept as one bit per position, ``BIN``
+    positions to a row, and looked up where a lead wants them: at their exact
+    place, and within either of the two half-overlapping stretches of twice
+    ``slop`` words that hold the lead."""
+    lists = (index.where("term is not null").withColumn("bin", F.floor(F.col("pos") / BIN))
+             .groupBy("k1", "k2", "term", "bin").agg(F.expr(f"bit_or(shiftleft(1L, pos % {BIN}))").alias("bits")))
+    lead = common.checkpoint(leads(index, bench, anchored))
+    others = anchored.where("rank > 0").select("win", "term", "offset", "rank")
+    place = F.col("start") + F.col("offset")
+    cell = F.floor(F.col("start") / slop) * slop + F.col("offset")      # where the lead's first stretch has its middle
+    low, high = (F.greatest(cell - slop, F.lit(0)), cell + 2 * slop) if proximity else (place, place + 1)
+    wanted = lead if proximity else lead.where("spelt")
+    wanted = (wanted.join(bench.sent(others), "win").withColumn("bin", F.explode(F.sequence(F.floor(low / BIN), F.floor((high - 1) / BIN)))))
+
+    def has(start: Column, end: Column) -> Column:
+        """Whether the row's list has a position from ``start`` to before ``end``."""
+        a = F.greatest(start - F.col("bin") * BIN, F.lit(0)).cast("int")
+        b = F.least(end - F.col("bin") * BIN, F.lit(BIN)).cast("int")
+        span = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), BIN - (b - a)), a)
+        return F.when(b > a, F.col("bits").bitwiseAND(span) != 0).otherwise(False)
+
+    def bit(yes: Column) -> Column:
+        return F.when(yes, F.call_function("shiftleft", F.lit(1), F.col("rank"))).otherwise(0)
+
+    found = wanted.join(lists, ["k1", "k2", "term", "bin"]).select(
+        "k1", "k2", "win", "start", "need", "size", bit(has(place, place + 1)).alias("exact"),
+        bit(has(cell - slop, cell + slop)).alias("first"), bit(has(cell, cell + 2 * slop)).alias("second"))
+    own = lead.select("k1", "k2", "win", "start", "need", "size", F.col("spelt").cast("int").alias("exact"),
+                      F.lit(1).alias("first"), F.lit(1).alias("second"))
+    met = (own.unionByName(found).groupBy("k1", "k2", "win", "start", "need", "size")
+           .agg(*[F.bit_or(c).alias(c) for c in ("exact", "first", "second")]))
+    exact, near = F.col("exact") == F.col("need"), (F.col("first") == F.col("need")) | (F.col("second") == F.col("need"))
+    return (met.select("k1", "k2", "win", "start", "size", exact.alias("exact"), near.alias("near"))
+            .where((F.col("exact") | F.col("near")) if proximity else F.col("exact")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, ids: list[str], proximity: bool = True) -> DataFrame:
@@ -144,7 +171,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ids: list[str], proximi
     bench = Benchmark(benchmark)
     anchored = anchors(docs, bench)
     index = build_index(docs, bench, anchored, ids)
-    exact = common.checkpoint(phrase_matches(index, bench, anchored))
+    found = common.checkpoint(matches(index, bench, anchored, proximity))
+    exact = found.where("exact")
     hit = (exact.groupBy("k1", "k2", "start").agg(F.max("size").alias("size"))
            .select("k1", "k2", F.explode(F.expr("sequence(start, start + size - 1)")).alias("pos"))
            .distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit")))
@@ -153,8 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ids: list[str], proximi
              .groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item_id")).alias("items")))   # a document's share of the benchmark
     rows = index.where("first").select(*ids, "k1", "k2", "n_words").join(hit, ["k1", "k2"], "left").join(named, ["k1", "k2"], "left")
     if proximity:
-        near = (proximity_matches(index, bench, anchored)
-                .join(exact.select("k1", "k2", "win").distinct(), ["k1", "k2", "win"], "left_anti")
+        near = (found.groupBy("k1", "k2", "win").agg(F.max("exact").alias("exact")).where("not exact")
                 .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_near")))
         rows = rows.join(near, ["k1", "k2"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
     return (rows.withColumn("n_words", F.col("n_words").cast("long"))
