@@ -177,6 +177,14 @@ def run_errors(stderr) -> Column:
     return F.regexp_extract_all(_c(stderr), F.lit(RUN_ERROR), 1)
 
 
+def run_failures(stderr, compiled) -> Column:
+    """X11: the messages of one failed run: compile errors where ``compiled``
+    is false, else runtime classes; the whole stderr is the one message where
+    none is found."""
+    found = F.when(_c(compiled), run_errors(stderr)).otherwise(compile_errors(stderr))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(_c(stderr)))
+
+
 def extract_all(text, pattern: str, group: int = 1) -> Column:
     """X11 in general form: all matches of ``pattern`` (one group)."""
     return F.regexp_extract_all(_c(text), F.lit(pattern), group)

@@ -290,18 +290,28 @@ def error_report(errors: DataFrame, key: str = KEY,
                  marker: str = "cannot be applied to given types;") -> DataFrame:
     """Errors (key, kind, message) -> one row of counts.
 
-    compile / run error counts, total, mean errors per failed run, and the
-    ``marker`` message counted per error and once per run.
+    Failed runs by kind (a run counts once, whatever its number of messages),
+    errors in total and per failed run, the ``marker`` message counted per
+    error and once per run, and the errors without it.  All means are NULL
+    where nothing failed.
     """
     m = F.col("message").contains(marker)
-    return errors.agg(
-        F.count_if(F.col("kind") == "compile").alias("compile_errors"),
-        F.count_if(F.col("kind") == "run").alias("run_errors"),
-        F.count(F.lit(1)).alias("total_errors"),
-        F.count_distinct(key).alias("failed_runs"),
-        F.try_divide(F.count(F.lit(1)), F.count_distinct(key)).alias("errors_per_failed_run"),
-        F.count_if(m).alias("marker_errors"),
-        F.count_distinct(F.when(m, F.col(key))).alias("marker_runs"),
+    runs = errors.groupBy(key).agg(
+        F.max((F.col("kind") == "compile").cast("int")).alias("_compile"),
+        F.max((F.col("kind") == "run").cast("int")).alias("_run"),
+        F.count(F.lit(1)).alias("_n"), F.count_if(m).alias("_marked"))
+    n, marked, failed = F.sum("_n"), F.sum("_marked"), F.count(F.lit(1))
+    none = F.lit(0).cast("long")
+    return runs.agg(
+        F.coalesce(F.sum("_compile"), none).alias("compile_errors"),
+        F.coalesce(F.sum("_run"), none).alias("run_errors"),
+        F.coalesce(n, none).alias("total_errors"),
+        failed.alias("failed_runs"),
+        F.try_divide(n, failed).alias("errors_per_failed_run"),
+        F.coalesce(marked, none).alias("marker_errors"),
+        F.count_if(F.col("_marked") > 0).alias("marker_runs"),
+        F.coalesce(n - marked, none).alias("other_errors"),
+        F.try_divide(n - marked, failed).alias("other_errors_per_failed_run"),
     )
 
 

@@ -117,28 +117,39 @@ def x10(spark, d):
 
 
 def _errors(spark, d):
-    """Error rows derived from pages: each link is an error message;
-    links with a query string are run errors, others compile errors."""
+    """Errors of failed runs derived from pages.  A page's links are printed
+    as the compiler's ``error:`` lines (even page ids) or as thrown
+    ``Error:`` / ``Exception:`` lines (odd ones); a page without any link
+    leaves text that no pattern finds, so its whole stderr is one error."""
     p = A.load(spark, d, "pages")
-    e = p.select(F.col("page_id").alias("submission_id"),
-                 F.explode(T.extract_all("html", HREF, 1)).alias("message"))
-    return e.withColumn("kind", F.when(F.col("message").contains("?"), "run").otherwise("compile"))
+    compiled = F.col("page_id") % 2 == 1
+    links = T.extract_all("html", HREF, 1)
+    line = F.transform(links, lambda l: F.concat(F.when(~compiled, "M.java:1: error: ").when(l.contains("en/"), "java.lang.Error: ")
+                                                 .otherwise("java.lang.Exception: "), l))
+    stderr = F.when(F.size(links) > 0, F.array_join(line, "\n")).otherwise(F.lit("killed"))
+    return p.select(F.col("page_id").alias("submission_id"), F.when(compiled, "run").otherwise("compile").alias("kind"),
+                    F.explode(T.run_failures(stderr, compiled)).alias("message"))
 
 
-ERR_SQL = f"""e AS (SELECT page_id AS submission_id, unnest(regexp_extract_all(html, '{HREF}', 1)) AS message
-  FROM pages), e2 AS (SELECT *, CASE WHEN contains(message, '?') THEN 'run' ELSE 'compile' END AS kind FROM e)"""
+ERR_SQL = f"""l AS (SELECT page_id, regexp_extract_all(html, '{HREF}', 1) AS links FROM pages),
+e2 AS (SELECT page_id AS submission_id, CASE WHEN page_id % 2 = 1 THEN 'run' ELSE 'compile' END AS kind,
+  unnest(CASE WHEN len(links) = 0 OR links IS NULL THEN ['killed'] WHEN page_id % 2 = 0 THEN links
+    ELSE list_transform(links, lambda x: CASE WHEN contains(x, 'en/') THEN 'Error' ELSE 'Exception' END) END) AS message FROM l)"""
 
 
 @register("G7_error_report", f"""WITH {ERR_SQL}
-SELECT count(*) FILTER (WHERE kind = 'compile') AS compile_errors,
-  count(*) FILTER (WHERE kind = 'run') AS run_errors, count(*) AS total_errors,
+SELECT count(DISTINCT submission_id) FILTER (WHERE kind = 'compile') AS compile_errors,
+  count(DISTINCT submission_id) FILTER (WHERE kind = 'run') AS run_errors, count(*) AS total_errors,
   count(DISTINCT submission_id) AS failed_runs,
   round(count(*) / count(DISTINCT submission_id), 6) AS errors_per_failed_run,
   count(*) FILTER (WHERE contains(message, 'en/')) AS marker_errors,
-  count(DISTINCT CASE WHEN contains(message, 'en/') THEN submission_id END) AS marker_runs FROM e2""")
+  count(DISTINCT CASE WHEN contains(message, 'en/') THEN submission_id END) AS marker_runs,
+  count(*) FILTER (WHERE NOT contains(message, 'en/')) AS other_errors,
+  round(count(*) FILTER (WHERE NOT contains(message, 'en/')) / count(DISTINCT submission_id), 6)
+    AS other_errors_per_failed_run FROM e2""")
 def g7(spark, d):
     r = G.error_report(_errors(spark, d), marker="en/")
-    return r.withColumn("errors_per_failed_run", F.round("errors_per_failed_run", 6))
+    return r.withColumns({c: F.round(c, 6) for c in ("errors_per_failed_run", "other_errors_per_failed_run")})
 
 
 @register("A5_error_histogram", f"""WITH {ERR_SQL}

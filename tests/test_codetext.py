@@ -83,3 +83,10 @@ def test_prompts(spark):
     assert got == "Question: q\ntest case input: 1\nexpected output: 2\nStudent result: pass</s>"
     assert _one(spark, T.case_pair_text(F.lit("1"), F.lit("2"))) == \
         "Test case input: <1> Test case output: <2>"
+
+
+def test_run_failures_falls_back_to_the_whole_stderr(spark):
+    rows = [("M.java:3: error: ';' expected\n  x\nM.java:9: error: missing", False), ("out of memory", False),
+            ("Exception in thread: a\njava.lang.Error: b", True), ("killed", True), ("", False)]
+    got = spark.createDataFrame(rows, "err string, ok boolean").select(T.run_failures("err", "ok").alias("m")).collect()
+    assert [r.m for r in got] == [["';' expected", "missing"], ["out of memory"], ["Error"], ["killed"], [""]]

@@ -55,13 +55,16 @@ def test_output_to_lines(spark):
 def test_error_report(spark):
     e = spark.createDataFrame([
         (1, "compile", "cannot find symbol"), (1, "compile", "method f cannot be applied to given types;"),
-        (2, "run", "NullPointerException"), (2, "compile", "x cannot be applied to given types;"),
-        (2, "compile", "y cannot be applied to given types;")],
+        (2, "run", "Exception"), (3, "compile", "x cannot be applied to given types;"),
+        (3, "compile", "y cannot be applied to given types;")],
         "submission_id long, kind string, message string")
     r = G.error_report(e).collect()[0]
-    assert (r.compile_errors, r.run_errors, r.total_errors, r.failed_runs) == (4, 1, 5, 2)
+    assert (r.compile_errors, r.run_errors, r.total_errors, r.failed_runs) == (2, 1, 5, 3)
     assert r.marker_errors == 3 and r.marker_runs == 2
-    assert r.errors_per_failed_run == pytest.approx(2.5)
+    assert r.errors_per_failed_run == pytest.approx(5 / 3)
+    assert r.other_errors == 2 and r.other_errors_per_failed_run == pytest.approx(2 / 3)
+    none = G.error_report(e.limit(0)).collect()[0]
+    assert (none.total_errors, none.failed_runs, none.errors_per_failed_run) == (0, 0, None)
 
 
 def test_flagship_matrix_matches_fixture(spark):
