@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeframe.functions.codetext import main_function
+
 KEY = "submission_id"
 
 
@@ -318,3 +320,17 @@ def error_report(errors: DataFrame, key: str = KEY,
 def error_histogram(errors: DataFrame) -> DataFrame:
     """Counter of error messages."""
     return errors.groupBy("message").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def extraction_counters(generated: DataFrame, code: str = "code", expected: str = "expected") -> DataFrame:
+    """One row over generated programs.
+
+    Edge cases have no name or no type of the main method; a name that
+    differs from the expected one, or is missing, is a mismatch; valid ones
+    are no edge case and have a closing brace."""
+    f = generated.select(code, expected, main_function(code, expected).alias("_f"))
+    edge = F.col("_f.name").isNull() | F.col("_f.type").isNull()
+    return f.agg(F.count_if(edge).alias("edge_cases"),
+                 F.count_if(~F.col("_f.name").eqNullSafe(F.col(expected))).alias("name_mismatch"),
+                 F.count_if(~edge & F.col(code).contains("}")).alias("valid"),
+                 F.count(F.lit(1)).alias("total"))

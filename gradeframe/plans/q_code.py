@@ -255,20 +255,30 @@ def x8(spark, d):
     return j.select("l_orderkey", F.length(src).alias("length"), F.md5(src).alias("source_md5"))
 
 
-@register("A11_extraction_counters", f"""WITH {METHODS_SQL}
-SELECT count(*) FILTER (WHERE split_part(split_part(code, '(', 1), ' ', 3) IS NULL) AS edge_cases,
-  count(*) FILTER (WHERE split_part(split_part(code, '(', 1), ' ', 3) <> 'm' || CAST(p_partkey % 100 AS VARCHAR))
-    AS name_mismatch,
-  count(*) FILTER (WHERE contains(code, '}}')) AS valid, count(*) AS total FROM m""")
+A11_SQL = f"""WITH {METHODS_SQL},
+c AS (SELECT p_partkey % 5 AS v, p_partkey % 2 AS odd, 'm' || CAST(p_partkey AS VARCHAR) AS own, code FROM m),
+g AS (SELECT CASE WHEN v = 3 OR (v = 4 AND odd = 1) THEN 'other' ELSE own END AS expected,
+  CASE v WHEN 1 THEN replace(code, '(int a, int b)', '') WHEN 2 THEN replace(code, '}}', '')
+    WHEN 4 THEN replace(code, ' m', ' h') || chr(10) || code ELSE code END AS code FROM c),
+n AS (SELECT code, expected, regexp_extract_all(code, 'public \\w+ (\\w+)\\(', 1) AS names,
+  (length(code) - length(replace(code, 'public', ''))) / 6 AS publics FROM g),
+f AS (SELECT code, expected, CASE WHEN publics = 1 THEN names[1] WHEN list_contains(names, expected) THEN expected END
+  AS name FROM n)
+SELECT count(*) FILTER (WHERE name IS NULL) AS edge_cases,
+  count(*) FILTER (WHERE name IS DISTINCT FROM expected) AS name_mismatch,
+  count(*) FILTER (WHERE name IS NOT NULL AND contains(code, '}}')) AS valid, count(*) AS total FROM f"""
+
+
+@register("A11_extraction_counters", A11_SQL)
 def a11(spark, d):
-    """Extraction counters over generated methods: NULL name or type
-    (edge case), name differing from the expected one, valid (has a
-    closing brace), total."""
-    m = _methods(spark, d).withColumn("f", T.main_function("code", F.concat(
-        F.lit("m"), (F.col("p_partkey") % 100).cast("string"))))
-    f = T.function_name("code")
-    return m.agg(F.count_if(F.col("f.name").isNull() | F.col("f.type").isNull()).alias("edge_cases"),
-                 F.count_if(f != F.concat(F.lit("m"), (F.col("p_partkey") % 100).cast("string")))
-                 .alias("name_mismatch"),
-                 F.count_if(F.col("code").contains("}")).alias("valid"),
-                 F.count(F.lit(1)).alias("total"))
+    """A11 over generated methods: whole ones, ones without parameters, ones
+    never closed, ones of another name, and pairs of methods with and without
+    the expected name."""
+    v, own = F.col("p_partkey") % 5, F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
+    code = F.col("code")
+    changed = (F.when(v == 1, F.replace(code, F.lit("(int a, int b)"), F.lit("")))
+               .when(v == 2, F.replace(code, F.lit("}"), F.lit("")))
+               .when(v == 4, F.concat(F.replace(code, F.lit(" m"), F.lit(" h")), F.lit("\n"), code)).otherwise(code))
+    other = (v == 3) | ((v == 4) & (F.col("p_partkey") % 2 == 1))
+    m = _methods(spark, d).select(changed.alias("code"), F.when(other, "other").otherwise(own).alias("expected"))
+    return G.extraction_counters(m)

@@ -98,3 +98,10 @@ def test_grade_tests_without_texts_agrees(spark):
     a = {(r.test_no, r.hit, r.passed) for r in G.grade_tests_texts(t, with_texts=True).collect()}
     b = {(r.test_no, r.hit, r.passed) for r in G.grade_tests_texts(t, with_texts=False).collect()}
     assert a == b == {(1, 1, 1), (2, 0, 0), (3, 1, 1), (4, 0, 0)}
+
+
+def test_extraction_counters(spark):
+    rows = [("public int f(int x) { return x; }", "f"), ("public boolean isSix", "isSix"), ("public int g(int x) {", "g"),
+            ("public int h(int x) { }", "f"), ("public int a(int x) { }\npublic int f(int y) { }", "f"), ("int x = 1;", "f")]
+    c = G.extraction_counters(spark.createDataFrame(rows, "code string, expected string")).collect()[0]
+    assert (c.edge_cases, c.name_mismatch, c.valid, c.total) == (2, 3, 3, 6)
