@@ -12,7 +12,7 @@ its host's wrapper from its whole html.
 Elements that name their role (navigation, header, footer, sidebar, notice,
 advert, form, comments, ...) are left out in any page; where a page marks its
 article, only that is taken, else link lists are left out too.  Pages that
-repeat a heading count once, so copies of an article do not turn it into
+repeat a whole text count once, so copies of an article do not turn it into
 template; hosts with fewer than ``LEAST`` different pages have no wrapper.
 
 Text: character references decoded, white space inside a block made one
@@ -194,23 +194,12 @@ def fingerprint(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode("utf-8")) >> 1
 
 
-def heading(root: Node) -> str:
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, Node):
-            if x.tag in ("h1", "title"):
-                return " ".join(" ".join(p for p in x.parts if isinstance(p, str)).split())
-            todo += reversed(x.parts)
-    return ""
-
-
 def induce(pages: list[str]) -> list[int]:
     """Fingerprints of a host's template runs."""
     trees = {}
     for html in sorted(set(pages) - {""}):
         root = parse(html)
-        trees.setdefault(heading(root), runs_of(root))
+        trees.setdefault(text_of(root), runs_of(root))
 
     # aligned with the page of middling size, so that an odd page is not the base
     trees = sorted(trees.values(), key=lambda t: sum(1 for _ in _paths(t)))

@@ -191,3 +191,15 @@ def test_registered():
     import __spark_entry__ as entry
     assert list(queries.queries()) == [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert "pipeline" in entry.queries()
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrapper.main_text(df).orderBy("page_id").collect()]
+
+
+def test_wrapper_of_a_host_with_one_title(spark):
+    for head in ("<title>Site</title>", ""):
+        page = "<html><head>" + head + "</head><body><div class=x>Same on all</div><h1><b>own {i}</b></h1><p>Text number {i}</p></body></html>"
+        pages = [page.format(i=i) for i in range(6)] + [page.format(i=0)] * 30
+        assert texts_of(spark, pages) == [f"own {i}\nText number {i}" for i in [*range(6), *[0] * 30]]
