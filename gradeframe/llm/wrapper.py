@@ -1,19 +1,24 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned: their DOM trees (neighbouring siblings of one
-kind merged to a run, so lists of any length are one slot) are matched with
-simple tree matching, the largest order-keeping match of children with equal
-labels.  A run whose text is the same in nearly all pages is template; the
-other runs are slots of content.  What is learned per host is the set of
-template runs (path and text, hashed).  Wrappers are learned from a sample of
-about ``SAMPLE`` pages per host, chosen by a hash; every page is then cut with
-its host's wrapper from its whole html.
+Neighbouring siblings of one kind are merged to a run, so lists of any length
+are one slot.  Pages of one host are grouped by layout: pages whose outer
+structure (labels down to ``OUTER`` levels, not into an article) is equal have
+one shape, and shapes are aligned with simple tree matching, the largest
+order-keeping match of children with equal labels; those that match in
+``SIMILAR`` of their runs are one layout.  Over all pages of a layout, and of
+the host, it is then counted on how many different pages a slot (path of
+labels) stands and on how many it has which text.  A text recurs if it has at
+least ``LEAST`` pages and ``SHARE`` of the slot's; where recurring texts fill
+``ALIKE`` of a slot, they are template (one constant text, a menu per section,
+a banner that rotates), and every page is cut with them from its whole html.
+Inline elements inside the text of a paragraph are no slots.
+
+Copies of an article do not turn it into template: pages of a host with the
+same text (of the article, where one is marked, else of the page) count once.
 
 Elements that name their role (navigation, header, footer, sidebar, notice,
 advert, form, comments, ...) are left out in any page; where a page marks its
-article, only that is taken, else link lists are left out too.  Pages that
-repeat a whole text count once, so copies of an article do not turn it into
-template; hosts with fewer than ``LEAST`` different pages have no wrapper.
+article, only that is taken, else link lists are left out too.
 
 Text: character references decoded, white space inside a block made one
 space, blocks joined by a line break in page order.  A null or empty html, or
@@ -23,6 +28,7 @@ row gives one row; an empty table gives none.
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
 
@@ -33,9 +39,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = 24
 LEAST = 3
 ALIKE = 0.9
+SHARE = 0.01
+SIMILAR = 0.8
+OUTER = 4
 DEEPEST = 200
 BROADCAST_HOSTS = 50_000
 
@@ -51,6 +59,8 @@ ROLE_WORD = re.compile(
     r"banner|popup|modal|ads?|advert|adverts|advertisement|sponsor|sponsored|promo|form|newsletter|subscribe|signup|login|search|"
     r"comments?|replies|respond|disqus|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|toolbar|tags|meta)"
     r"(?:$|[-_\s\d])", re.I)
+HOLDERS = set("html body div section main article center td ul ol table tr tbody".split())
+OUTER_TAGS = HOLDERS - {"tr", "tbody"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
 STOPS = set("ul ol dl table body html div article section main td th".split())
@@ -141,8 +151,9 @@ def runs_of(root: Node) -> Run:
         run = todo.pop()
         groups: list[tuple[str, list[Node]]] = []
         for node in run.nodes:
+            mixed = node.tag not in HOLDERS and any(isinstance(p, str) and p.strip() for p in node.parts)
             for part in node.parts:
-                if isinstance(part, Node) and not part.out:
+                if isinstance(part, Node) and not part.out and not (mixed and part.tag not in BLOCKS):
                     if groups and groups[-1][0] == part.label:
                         groups[-1][1].append(part)
                     else:
@@ -182,37 +193,71 @@ def match(a: Run, b: Run, depth: int = 0) -> tuple[int, list[tuple[Run, Run]]]:
     return best[m][n] + 1, pairs
 
 
-def _paths(top: Run):
-    todo = [(top, top.label)]
-    while todo:
-        run, path = todo.pop()
-        yield run, path
-        todo += [(r, f"{path}/{r.label}") for r in run.runs]
-
-
-def fingerprint(path: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode("utf-8")) >> 1
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed) >> 1 or 1
 
 
-def induce(pages: list[str]) -> list[int]:
-    """Fingerprints of a host's template runs."""
-    trees = {}
-    for html in sorted(set(pages) - {""}):
-        root = parse(html)
-        trees.setdefault(text_of(root), runs_of(root))
-
-    # aligned with the page of middling size, so that an odd page is not the base
-    trees = sorted(trees.values(), key=lambda t: sum(1 for _ in _paths(t)))
-    if len(trees) < LEAST:
-        return []
-    base = trees.pop(len(trees) // 2)
-    same: dict[int, int] = {}
-    for other in trees:
-        for a, b in match(base, other)[1]:
-            if a.text and a.text == b.text:
-                same[id(a)] = same.get(id(a), 0) + 1
-    need = ALIKE * len(trees)
-    return sorted({fingerprint(path, run.text) for run, path in _paths(base) if same.get(id(run), 0) >= need})
+def slots(top: Run):
+    """Every run with the hash of its path of labels and of path and text."""
+    todo = [(top, _hash(top.label))]
+    while todo:
+        run, path = todo.pop()
+        if run.text:
+            yield run, path, _hash(run.text, path)
+        todo += [(r, _hash(r.label, path)) for r in run.runs]
+
+
+def outline(run: Run, depth: int = OUTER) -> list:
+    """Labels of a page's outer structure, numbers in them left open."""
+    under: list = []
+    if depth and run.nodes[0].tag not in ("article", "main"):
+        for r in run.runs:
+            if r.nodes[0].tag in OUTER_TAGS:
+                o = outline(r, depth - 1)
+                if not under or under[-1] != o:
+                    under.append(o)
+    return [re.sub(r"\d+", "#", " ".join(run.label.split())), *under]
+
+
+def described(html: str) -> tuple[int, str, list[int], list[int]]:
+    """A page's key (equal for copies), outline, and its slots: paths, and
+    hashes of path and text; each path stands once more with 0."""
+    root = parse(html)
+    marked = _articles(root)
+    top = runs_of(root)
+    found = {(path, t) for _, path, t in slots(top)}
+    found |= {(path, 0) for path, _ in found}
+    key = _hash("\n".join(map(text_of, marked or [root])))
+    ordered = sorted(found)
+    return key, json.dumps(outline(top)), [p for p, _ in ordered], [t for _, t in ordered]
+
+
+def _outer_run(o: list) -> Run:
+    run = Run(o[0], [])
+    run.runs = [_outer_run(x) for x in o[1:]]
+    return run
+
+
+def _size(run: Run) -> int:
+    return 1 + sum(map(_size, run.runs))
+
+
+def layouts(shapes: list[tuple[int, str, int]]) -> list[int]:
+    """The layout of each (shape, outline, pages) of a host: the shape with the
+    most pages that it matches."""
+    leaders: list[tuple[int, Run, int]] = []
+    named = {}
+    for shape, text, _ in sorted(shapes, key=lambda s: (-s[2], s[0])):
+        run = _outer_run(json.loads(text))
+        size = _size(run)
+        for leader, other, n in leaders:
+            if 2 * min(size, n) >= SIMILAR * (size + n) and 2 * match(run, other)[0] >= SIMILAR * (size + n):
+                named[shape] = leader
+                break
+        else:
+            leaders.append((shape, run, size))
+            named[shape] = shape
+    return [named[shape] for shape, _, _ in shapes]
 
 
 def _links(node: Node) -> int:
@@ -239,15 +284,18 @@ def _articles(root: Node) -> list[Node]:
     return found
 
 
-def extract(html: str, template: set[int]) -> str:
-    """The main text of a page, without its host's template runs."""
+def extract(html: str, template: set[int], layout_of: dict[int, int]) -> str:
+    """The main text of a page, without the template of its host and layout."""
     if not html:
         return ""
     root = parse(html)
     dropped: set[int] = set()
     if template:
-        for run, path in _paths(runs_of(root)):
-            if run.text and fingerprint(path, run.text) in template:
+        top = runs_of(root)
+        shape = _hash(json.dumps(outline(top)))
+        layout = layout_of.get(shape, shape)
+        for run, _, t in slots(top):
+            if t in template or t ^ layout in template:
                 dropped.update(map(id, run.nodes))
     marked = _articles(root)
     blocks, line = [], []
@@ -284,20 +332,51 @@ def extract(html: str, template: set[int]) -> str:
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host and the fingerprints of its template."""
-    counted = pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    counted = common.checkpoint(counted)
-    small = common.small_enough(counted, BROADCAST_HOSTS)
-    place = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) / (1 << 30)
-    sample = (pages.join(F.broadcast(counted) if small else counted, "host")
-              .where(place < SAMPLE / F.col("n")).select("host", "html").where("html is not null"))
+def _recurring(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and t of the texts that are template."""
+    slot = [*keys, "path"]
+    pages = counts.where("t = 0").where(F.col("n") >= LEAST).select(*slot, F.col("n").alias("pages"))
+    texts = counts.where("t <> 0").where(F.col("n") >= LEAST).join(pages, slot).where(F.col("n") >= SHARE * F.col("pages"))
+    filled = texts.groupBy(*slot, "pages").agg(F.sum("n").alias("filled")).where(F.col("filled") >= ALIKE * F.col("pages"))
+    return texts.join(filled.select(*slot), slot, "left_semi").select(*keys, "t")
 
-    def learn(table: pa.Table) -> pa.Table:
-        return pa.table({"host": table.column("host").slice(0, 1),
-                         "template": pa.array([induce(table.column("html").to_pylist())], pa.list_(pa.int64()))})
 
-    return common.checkpoint(sample.groupBy("host").applyInArrow(learn, "host string, template array<long>"))
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, the hashes of its template (a layout's own are xor-ed with the
+    layout), and its shapes that belong to another shape's layout, with it."""
+    def describe(batches):
+        for batch in batches:
+            rows = [described(h) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array([r[0] for r in rows], pa.int64()), pa.array([_hash(r[1]) for r in rows], pa.int64()),
+                 pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                 pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["host", "key", "shape", "outline", "paths", "texts"])
+
+    known = pages.where("host <> '' and html <> ''").select("host", "html").mapInArrow(
+        describe, "host string, key long, shape long, outline string, paths array<long>, texts array<long>")
+    # copies count once
+    known = common.checkpoint(known.groupBy("host", "key").agg(F.min(F.struct("shape", "outline", "paths", "texts")).alias("page"))
+                              .select("host", "page.*"))
+    shapes = known.groupBy("host", "shape", "outline").agg(F.count(F.lit(1)).alias("n"))
+
+    def group(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("shape", "outline", "n"))))
+        return pa.table({"host": table.column("host"), "shape": table.column("shape"), "layout": pa.array(layouts(rows), pa.int64())})
+
+    grouped = common.checkpoint(shapes.groupBy("host").applyInArrow(group, "host string, shape long, layout long"))
+    sent = F.broadcast(grouped) if common.small_enough(grouped, BROADCAST_HOSTS) else grouped
+    counts = common.checkpoint(
+        known.join(sent, ["host", "shape"]).select("host", "layout", F.explode(F.arrays_zip("paths", "texts")).alias("s"))
+        .groupBy("host", "layout", F.col("s.paths").alias("path"), F.col("s.texts").alias("t")).agg(F.count(F.lit(1)).alias("n")))
+    whole = counts.groupBy("host", "path", "t").agg(F.sum("n").alias("n"))
+    found = (_recurring(counts, ["host", "layout"]).select("host", F.col("t").bitwiseXOR(F.col("layout")).alias("t"))
+             .unionAll(_recurring(whole, ["host"])))
+    template = found.groupBy("host").agg(F.sort_array(F.collect_set("t")).alias("template"))
+    moved = (grouped.where("shape <> layout").groupBy("host")
+             .agg(F.sort_array(F.collect_list(F.struct("shape", "layout"))).alias("moved")))
+    return common.checkpoint(template.join(moved, "host", "left").select(
+        "host", "template", F.coalesce(F.col("moved.shape"), F.array().cast("array<long>")).alias("shapes"),
+        F.coalesce(F.col("moved.layout"), F.array().cast("array<long>")).alias("layouts")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -306,12 +385,19 @@ def main_text(pages: DataFrame) -> DataFrame:
     learned = wrappers(pages)
     if common.small_enough(learned, BROADCAST_HOSTS):
         learned = F.broadcast(learned)
-    rows = pages.join(learned, "host", "left").select("page_id", "url", "html", "template")
+    rows = pages.join(learned, "host", "left").select("page_id", "url", "html", "host", "template", "shapes", "layouts")
 
     def run(batches):
+        cache: dict = {}
         for batch in batches:
-            html, template = batch.column("html").to_pylist(), batch.column("template").to_pylist()
-            text = [extract(h or "", set(t or ())) for h, t in zip(html, template)]
+            text = []
+            for i, (h, host) in enumerate(zip(batch.column("html").to_pylist(), batch.column("host").to_pylist())):
+                if host not in cache:
+                    if len(cache) >= 200:
+                        cache.clear()
+                    t, a, b = (batch.column(c)[i].as_py() or () for c in ("template", "shapes", "layouts"))
+                    cache[host] = set(t), dict(zip(a, b))
+                text.append(extract(h or "", *cache[host]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())],
                                              names=["page_id", "url", "text"])
 

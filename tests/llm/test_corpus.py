@@ -203,3 +203,13 @@ def test_wrapper_of_a_host_with_one_title(spark):
         page = "<html><head>" + head + "</head><body><div class=x>Same on all</div><h1><b>own {i}</b></h1><p>Text number {i}</p></body></html>"
         pages = [page.format(i=i) for i in range(6)] + [page.format(i=0)] * 30
         assert texts_of(spark, pages) == [f"own {i}\nText number {i}" for i in [*range(6), *[0] * 30]]
+
+
+def test_wrapper_of_layouts_menus_and_banners(spark):
+    """Two layouts 60/40 that use one path for template and for content, a menu
+    per section and a banner of three texts."""
+    one = ("<body><div class=sect>Section {m} more</div><div class=top>Notice of layout one</div><div class=box>Article {i} of one</div>"
+           "<section>Offer {b}</section></body>")
+    two = "<body><div class=box>Notice of layout two</div><table><tr><td>Article {i} of two</table><section>Offer {b}</section></body>"
+    pages = [(one if i % 5 < 3 else two).format(i=i, m=i % 4, b=i % 3) for i in range(100)]
+    assert texts_of(spark, pages) == [f"Article {i} of {'one' if i % 5 < 3 else 'two'}" for i in range(100)]
