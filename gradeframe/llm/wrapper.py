@@ -16,9 +16,13 @@ Inline elements inside the text of a paragraph are no slots.
 Copies of an article do not turn it into template: pages of a host with the
 same text (of the article, where one is marked, else of the page) count once.
 
-Elements that name their role (navigation, header, footer, sidebar, notice,
-advert, form, comments, ...) are left out in any page; where a page marks its
-article, only that is taken, else link lists are left out too.
+Beside the template, tags decide: what is no text (head, scripts, controls) and
+nav, header, footer, aside and their ARIA roles are left out of any page, and
+where a page marks its article or main part, only that is taken.  Elements
+with a whole class token that names a role (comments, advert, ...) are left out
+unless they are headings, in an article, or hold half of the page's text or
+more.  On pages without a marked part whose host has no template, lists of
+links are left out.
 
 Text: character references decoded, white space inside a block made one
 space, blocks joined by a line break in page order.  A null or empty html, or
@@ -54,11 +58,11 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 LEFT_OUT = set("head title nav header footer aside form script style noscript template iframe object svg canvas button "
                "select option textarea label input dialog menu audio video".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
-ROLE_WORD = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|widget|notice|cookies?|consent|gdpr|alert|"
-    r"banner|popup|modal|ads?|advert|adverts|advertisement|sponsor|sponsored|promo|form|newsletter|subscribe|signup|login|search|"
-    r"comments?|replies|respond|disqus|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|toolbar|tags|meta)"
-    r"(?:$|[-_\s\d])", re.I)
+ROLE_WORDS = set("nav navbar navigation menu header masthead footer sidebar side aside widget notice cookie cookies consent gdpr alert "
+                 "banner popup modal ad ads advert adverts advertisement sponsor sponsored promo form newsletter subscribe signup login "
+                 "search comment comments reply replies respond disqus share sharing social related recommended breadcrumb breadcrumbs "
+                 "pagination pager toolbar tags meta".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 HOLDERS = set("html body div section main article center td ul ol table tr tbody".split())
 OUTER_TAGS = HOLDERS - {"tr", "tbody"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -67,14 +71,15 @@ STOPS = set("ul ol dl table body html div article section main td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "parts")
+    __slots__ = ("tag", "label", "out", "role", "parts")
 
     def __init__(self, tag: str, attrs=()):
         a = dict(attrs)
         names = f"{a.get('class') or ''} {a.get('id') or ''}".strip()
         self.tag, self.label = tag, f"{tag}.{names}" if names else tag
-        self.out = (tag in LEFT_OUT or (a.get("role") or "").lower() in ROLES or "hidden" in a
-                    or (tag not in ("body", "html", "article", "main") and bool(names) and bool(ROLE_WORD.search(names))))
+        self.out = tag in LEFT_OUT or (a.get("role") or "").lower() in ROLES or "hidden" in a
+        self.role = (tag not in HEADINGS and tag not in ("body", "html", "article", "main")
+                     and not ROLE_WORDS.isdisjoint((a.get("class") or "").lower().split()))
         self.parts: list = []           # texts and nodes in page order
 
 
@@ -118,9 +123,29 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    _leave_out_roles(builder.root)
     return builder.root
 
 
+def _leave_out_roles(root: Node) -> None:
+    """Leave out what a class token names, outside articles and unless it holds
+    half of the page's text or more."""
+    named, sizes = [], {}
+    todo = [(root, False, False)]
+    while todo:
+        x, inside, done = todo.pop()
+        if done:
+            sizes[id(x)] = sum(sizes.get(id(p), 0) if isinstance(p, Node) else sum(map(len, p.split())) for p in x.parts)
+        elif not x.out:
+            inside = inside or x.tag == "article"
+            if x.role and not inside:
+                named.append(x)
+            todo.append((x, inside, True))
+            todo += [(p, inside, False) for p in x.parts if isinstance(p, Node)]
+    for x in named:
+        x.out = 2 * sizes[id(x)] < sizes[id(root)] or not sizes[id(x)]
+
+
 def text_of(node: Node) -> str:
     """All text under a node that is not left out."""
     out, todo = [], [node]
@@ -284,6 +309,10 @@ def _articles(root: Node) -> list[Node]:
     return found
 
 
+def _link_list(node: Node) -> bool:
+    return node.tag in ("ul", "ol") and 2 * _links(node) > len(text_of(node))
+
+
 def extract(html: str, template: set[int], layout_of: dict[int, int]) -> str:
     """The main text of a page, without the template of its host and layout."""
     if not html:
@@ -319,7 +348,7 @@ def extract(html: str, template: set[int], layout_of: dict[int, int]) -> str:
         elif x.tag == "br":
             line.append(" ")
         elif x.tag in BLOCKS:
-            if marked or x.tag not in ("ul", "ol", "li", "p", "td", "div") or 2 * _links(x) <= len(text_of(x)):
+            if marked or template or not _link_list(x):
                 todo.append(None)
                 todo += reversed(x.parts)
                 todo.append(None)

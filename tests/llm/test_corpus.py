@@ -213,3 +213,12 @@ def test_wrapper_of_layouts_menus_and_banners(spark):
     two = "<body><div class=box>Notice of layout two</div><table><tr><td>Article {i} of two</table><section>Offer {b}</section></body>"
     pages = [(one if i % 5 < 3 else two).format(i=i, m=i % 4, b=i % 3) for i in range(100)]
     assert texts_of(spark, pages) == [f"Article {i} of {'one' if i % 5 < 3 else 'two'}" for i in range(100)]
+
+
+def test_role_words_leave_content(spark):
+    pages = ["<body><div class='content has-sidebar no-menu'><h2 id=related-work class=related>Work</h2><section id=meta-analysis>Meta</section>"
+             "<table class=side-by-side><tr><td>Cells</table><div class=form-group>Group</div><p><a href=x>Read on here</a></div>"
+             "<div class='x comments'>Nice</div><div class=ad></div></body>",
+             "<div class=search>All of the text of a page</div>",
+             "<article><p>One</p><div class=share>Two</div></article><div class=share>Three</div>"]
+    assert texts_of(spark, pages) == ["Work\nMeta\nCells\nGroup\nRead on here", "All of the text of a page", "One\nTwo"]
