@@ -8,8 +8,12 @@ character pair reaches ``THRESHOLD``.
 
 The models are trained from labelled samples, bounded by ``SAMPLE_DOCS`` and
 ``SAMPLE_RANDOM``: values that the assignment pattern labels as secrets and
-encoded digests are random; the words of a sample of texts, as they are and
-joined into identifiers, are ordinary.  Everything else covers all rows.
+encoded digests are random; the words of a sample of distinct texts, as they
+are and joined into identifiers (also with digits), its numbers and other short
+runs with digits or joiners, and coined numbers, dates and rule lines are
+ordinary.  Both models are smoothed against one pooled background model, so a
+pair that either knows little of counts little.  Everything else covers all
+rows, and runs of any length.
 
 Offsets are found without a Python function: the lengths of what a pattern
 leaves between its matches, and of the matches, are summed up in blocks.
@@ -41,6 +45,8 @@ THRESHOLD = 0.75           # nats per character pair
 UNIT = 1000                # weights are whole thousandths of a nat
 FIRST, WIDTH = 43, 80      # '+' .. 'z'
 BLOCK = 256
+TRUST, KNOWN = 0.995, 50   # most weight of a model against the background; pairs at which it is half of that
+LONGEST = 200              # characters of a training string
 
 
 def _total(values: Column) -> Column:
@@ -79,7 +85,7 @@ def with_matches(df: DataFrame, text: str, name: str, pattern: str, value_group:
 
 def pair_counts(strings: DataFrame, column: str) -> DataFrame:
     """How often each pair of neighbouring key characters stands in strings."""
-    s = F.regexp_replace(column, "[^A-Za-z0-9+/_-]", "")
+    s = F.substring(F.regexp_replace(column, "[^A-Za-z0-9+/_-]", ""), 1, LONGEST)
     pairs = (strings.select(s.alias("s")).where("length(s) > 1")
              .select("s", F.explode(F.expr("sequence(1, length(s) - 1)")).alias("i")))
     code = F.expr(f"(ascii(substr(s, i, 1)) - {FIRST}) * {WIDTH} + ascii(substr(s, i + 1, 1)) - {FIRST}")
@@ -89,8 +95,10 @@ def pair_counts(strings: DataFrame, column: str) -> DataFrame:
 def labelled_samples(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Random strings and ordinary identifiers, one per row."""
     spark = docs.sparkSession
-    sample = (docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
-              .orderBy("h", "text").limit(SAMPLE_DOCS).select("text"))
+    hashed = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
+    chosen = common.checkpoint(hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS))
+    sample = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text")).select("text")
+    sample = common.checkpoint(sample)
     found = sample.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("s")).where("length(s) >= 16")
     digest = spark.range(SAMPLE_RANDOM).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("hex"))
     encoded = F.regexp_replace(F.base64(F.unhex("hex")), "=", "")
@@ -103,9 +111,29 @@ def labelled_samples(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Every word joined to the next."""
         return F.transform("w", lambda w, i: F.concat_ws(mark, shape(w), shape(F.get("w", i + 1))))
 
+    def numbered(mark: str):
+        """Every eighth word with a number, and some with the next one after it."""
+        n = F.pmod(F.xxhash64("w"), F.lit(100)).cast("string")
+        return F.transform("w", lambda w, i: F.when(i % 8 == 0, F.concat(
+            w, F.lit(mark), n, F.when(i % 32 == 0, F.get("w", i + 1)).otherwise(""))))
+
     ordinary = words.select(F.explode(F.concat(
-        F.col("w"), pairs("_", F.lower), pairs("-", F.lower), pairs("/", F.lower), pairs("", F.initcap), pairs("_", F.upper))).alias("s"))
-    return coined.unionAll(found), ordinary
+        F.col("w"), pairs("_", F.lower), pairs("-", F.lower), pairs("/", F.lower), pairs("", F.initcap), pairs("_", F.upper),
+        numbered(""), numbered("_"))).alias("s")).where("s is not null")
+    # runs with digits or joiners that are no secrets: short ones, and long ones without letters
+    plain = F.regexp_replace("text", ASSIGN, " ")
+    runs = sample.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_-]{2,}"), F.lit(0))).alias("s"))
+    runs = runs.where(F.col("s").rlike("[0-9+/_-]") & ((F.length("s") < 20) | ~F.col("s").rlike("[A-Za-z]")))
+    number = F.pmod(F.xxhash64("id"), F.lit(10 ** 17)).cast("string")
+    day = F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(F.xxhash64("id", F.lit("day")), F.lit(15_000)).cast("int"))
+    clock = F.timestamp_seconds(F.pmod(F.xxhash64("id", F.lit("time")), F.lit(2 * 10 ** 9)))
+    written = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(
+        number, F.date_format(day, "yyyy-MM-dd/yyyy-MM-dd"), F.date_format(day, "yyyy/MM/dd"), F.date_format(day, "dd-MM-yyyy"),
+        F.date_format(clock, "yyyyMMddHHmmss"), F.date_format(clock, "yyyy-MM-dd'T'HH-mm-ss"), F.date_format(clock, "yyyyMMdd_HHmmss"),
+        F.concat(F.substring(number, 1, 3), F.lit("-"), F.substring(number, 4, 4), F.lit("-"), F.substring(number, 8, 4)))).alias("s"))
+    rules = spark.range(SAMPLE_RANDOM // 50).select(F.explode(F.array(
+        *[F.lit(c * 60) for c in "-_/+"], *[F.lit(m * 20) for m in ("-+", "--+", "_-", "/-", "__/")])).alias("s"))
+    return coined.unionAll(found), ordinary.unionAll(runs).unionAll(written).unionAll(rules)
 
 
 def train(docs: DataFrame) -> list[int]:
@@ -114,23 +142,37 @@ def train(docs: DataFrame) -> list[int]:
     random, ordinary = labelled_samples(docs)
     both = (pair_counts(random, "s").withColumn("kind", F.lit(0))
             .unionAll(pair_counts(ordinary, "s").withColumn("kind", F.lit(1))))
-    counts = [[0.5] * (WIDTH * WIDTH) for _ in range(2)]
+    counts = [[0] * (WIDTH * WIDTH) for _ in range(2)]
     for r in both.collect():               # 2 * WIDTH**2 rows at most
         counts[r["kind"]][r["pair"]] += r["n"]
     weights = []
     for first in range(WIDTH):
-        row = slice(first * WIDTH, (first + 1) * WIDTH)
-        a, b = counts[0][row], counts[1][row]
-        weights += [round(UNIT * (math.log(x / sum(a)) - math.log(y / sum(b)))) for x, y in zip(a, b)]
+        rows = [c[first * WIDTH:(first + 1) * WIDTH] for c in counts]
+        seen = min(map(sum, rows))
+        trust = TRUST * seen / (seen + KNOWN)
+        shares = [[n / max(sum(row), 1) for n in row] for row in rows]
+        for x, y in zip(*shares):
+            background = (x + y) / 2 + 0.5 / WIDTH / (seen + KNOWN)
+            weights.append(round(UNIT * (math.log(trust * x + (1 - trust) * background)
+                                         - math.log(trust * y + (1 - trust) * background))))
     return weights
 
 
 def score(token: Column, weights: Column) -> Column:
     """Sum of the weights of a string's pairs of neighbouring characters."""
-    def at(i):
-        return F.ascii(token.substr(i, F.lit(1))) - FIRST
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0),
-                       lambda a, i: a + F.get(weights, at(i) * WIDTH + at(i + 1)))
+    def code(part, i):
+        return F.ascii(part.substr(i, F.lit(1))) - FIRST
+
+    # in blocks, since a place in a string is found from its start; each with the next one's first character
+    parts = F.regexp_extract_all(token, F.lit(f".{{1,{BLOCK}}}"), F.lit(0))
+    linked = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(parts, i + 1).substr(1, 1), F.lit(""))))
+
+    def total(part):
+        return F.when(F.length(part) > 1, F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(2)) - 1), F.lit(0).cast("long"),
+            lambda a, i: a + F.get(weights, code(part, i) * WIDTH + code(part, i + 1)))).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(linked, F.lit(0).cast("long"), lambda a, p: a + total(p))
 
 
 def find_spans(docs: DataFrame, weights: list[int], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -141,7 +183,7 @@ def find_spans(docs: DataFrame, weights: list[int], text: str = "text", threshol
     df = with_matches(df, text, "access", ACCESS)
     df = with_matches(df, text, "hex", HEX)
     df = with_matches(df, text, "markov", CANDIDATE)
-    limit = round(threshold * UNIT)
+    limit = F.lit(round(threshold * UNIT)).cast("long")
     return df.withColumn("markov", F.filter(
         "markov", lambda s: score(s["value"], table) >= limit * (F.length(s["value"]) - 1)))
 

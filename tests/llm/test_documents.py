@@ -167,3 +167,19 @@ def test_shards(spark, docs):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert sorted(r["text_crc32"] for r in a) == sorted(zlib.crc32((r["text"] or "").encode()) for r in both.collect())
     assert feistel.shard_documents(both.limit(0)).count() == 0
+
+
+def test_rule_lines_numbers_and_dates_are_no_secrets(spark, weights):
+    strings = [c * 30 for c in "-_/+"] + [
+        "20240101123456789012345", "2024-01-01/2024-12-31", "2024-01-01T10-20-30_to_2024-01-02T11-00-00", "-----+-----+-----+-----",
+        "report_2024_summary_table_12", "/blog/2024/03/some-long-article-name", "_" * 1_000_000]
+    secret = [hashlib.sha256(bytes([i])).hexdigest()[:40] for i in range(20)] + ["9f" * 500_000 + "a3"]
+    df = spark.createDataFrame([(s, i >= len(strings)) for i, s in enumerate(strings + secret)], "s string, secret boolean")
+    for r in secrets.find_spans(df, weights, "s").select("s", "secret", F.size("markov").alias("n")).collect():
+        assert (r["n"] > 0) == r["secret"], r["s"][:60]
+
+
+def test_sample_of_distinct_texts(spark):
+    texts = ["same words here"] * 500 + [f"own{w} words" for w in "abcdefgh"]
+    _, ordinary = secrets.labelled_samples(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert ordinary.where("s = 'same'").count() == 1 and ordinary.where("s like 'own_'").count() == 8
