@@ -2,7 +2,8 @@
 
 Every benchmark item is cut into windows of ten words (a shorter item is one
 window).  The terms of the windows are counted in all training texts; a
-window's rarest terms are its anchors.  The index stores, for the anchor terms
+window's rarest terms are its anchors (of those that occur: a window with a
+term that occurs nowhere has proximity matches only).  The index stores, for the anchor terms
 of all windows, the postings of the training texts: the text's 128-bit key and
 the term's word position (and, for a window's rarest term, the words around
 it).  Intersection goes from the rarest term: each of its postings implies
@@ -79,8 +80,10 @@ class Benchmark:
 
 
 def anchors(docs: DataFrame, bench: Benchmark, count: int = ANCHORS) -> DataFrame:
-    """The rarest terms of every window that can occur: win, term, offset,
-    rank (0: rarest) and need (a bit for each of the window's anchors)."""
+    """The rarest of the terms that occur, for every window that has ``count``
+    of them or as many as it is long: win, term, offset, rank (0: rarest), need
+    (a bit for each of the window's anchors) and whole (whether all its terms
+    occur; no exact match without)."""
     terms = bench.slots.select("term").distinct()
     parts = F.split(F.coalesce(docs["text"], F.lit("")), SEPARATORS, -1)
     # explode_outer: a plain explode is given a filter that splits every text again
@@ -88,10 +91,12 @@ def anchors(docs: DataFrame, bench: Benchmark, count: int = ANCHORS) -> DataFram
     seen = common.checkpoint(said.join(bench.sent(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     known = bench.slots.join(bench.sent(seen), "term", "left")
     by_win = Window.partitionBy("win")
-    ranked = (known.withColumn("absent", F.sum(F.col("n").isNull().cast("int")).over(by_win)).where("absent = 0")
+    known = known.withColumn("size", F.count(F.lit(1)).over(by_win)).withColumn("left", F.count("n").over(by_win))
+    ranked = (known.where(F.col("n").isNotNull() & (F.col("left") >= F.least(F.lit(count), "size")))
+              .withColumn("whole", F.col("left") == F.col("size"))
               .withColumn("rank", F.row_number().over(by_win.orderBy("n", "offset")) - 1).where(F.col("rank") < count))
     return common.checkpoint(ranked.withColumn("need", F.sum(F.expr("shiftleft(1, rank)")).over(by_win))
-                             .select("win", "term", "offset", "rank", "need"))
+                             .select("win", "term", "offset", "rank", "need", "whole"))
 
 
 def build_index(docs: DataFrame, bench: Benchmark, anchored: DataFrame, ids: list[str]) -> DataFrame:
@@ -170,6 +175,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ids: list[str], proximi
     proximity only."""
     bench = Benchmark(benchmark)
     anchored = anchors(docs, bench)
+    if not proximity:
+        anchored = anchored.where("whole")
     index = build_index(docs, bench, anchored, ids)
     found = common.checkpoint(matches(index, bench, anchored, proximity))
     exact = found.where("exact")

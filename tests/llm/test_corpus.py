@@ -117,6 +117,16 @@ def test_proximity(spark):
     assert got[1] == (10, 0) and got[2] == (0, 1) and got[4][0] == 0
 
 
+def test_proximity_does_without_terms_that_occur_nowhere(spark):
+    item = "rare1 alpha rare2 beta rare3 gamma delta epsilon zeta eta"
+    docs = spark.createDataFrame([(2, item.replace("alpha", "other")), (3, "eta eta")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "the zeta is not said in any of these texts")], "item_id long, text string")
+    for proximity in (True, False):
+        found = decontam.contamination(docs, bench, ["doc_id"], proximity=proximity).collect()
+        got = {r["doc_id"]: (r["n_hit"], r["n_near"] if proximity else 0) for r in found}
+        assert got == {2: (0, int(proximity)), 3: (0, 0)}
+
+
 PAGE = ("<html><head><title>{t}</title><script>x('<p>no</p>')</script></head><body><header>Site</header><ul class='menu'><li><a href=/>Home</a></ul>"
         "<div class=story><h1>{t}</h1><p>First {t} &amp; more<p>Second   {t}</div><div class=legalese>Same words in all pages</div>"
         "<div class='comments'>nice {t}</div><footer>&copy; x</footer></body></html>")
