@@ -133,6 +133,11 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"])
 
 
+def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, t): every turn of every conversation, whatever its role."""
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
+
+
 # --- vectors -----------------------------------------------------------------
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,3 +260,57 @@ def x16d(spark, d):
     t = X.ws_tokens("text")
     return docs.select("doc_id", F.size(t).cast("long").alias("n_tokens"),
                        F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+# --- one-text operators over all turns of all conversations -------------------
+
+TURNS = "turns AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)"
+
+
+@register("X16_turn_tokens", f"""WITH {TURNS}
+SELECT conv_id, turn, len(regexp_extract_all(t, '{WS}')) AS n_tokens,
+  array_to_string(regexp_extract_all(t, '{WS}'), ' ') AS joined FROM turns""")
+def x16t(spark, d):
+    t = X.ws_tokens("t")
+    return A.all_turns(spark, d).select(*KEY, F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("joined"))
+
+
+@register("X17_turn_nist_normalize", f"""WITH {TURNS}
+SELECT conv_id, turn, len({_norm_sql('t')}) AS n_tokens,
+  md5(array_to_string({_norm_sql('t')}, ' ')) AS tokens_md5 FROM turns""")
+def x17t(spark, d):
+    t = _nist_tokens(F.col("t"))
+    return A.all_turns(spark, d).select(*KEY, F.size(t).cast("long").alias("n_tokens"),
+                                        F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+@register("X18_turn_split_puncts", f"""WITH {TURNS}
+SELECT conv_id, turn, md5(array_to_string(regexp_extract_all(t, '{X.PUNCT_TOKEN}'), ' ')) AS split_md5
+FROM turns""")
+def x18t(spark, d):
+    return A.all_turns(spark, d).select(*KEY, F.md5(X.split_puncts("t")).alias("split_md5"))
+
+
+@register("X19_turn_ngrams", f"""WITH {TURNS}, tok AS (SELECT regexp_extract_all(t, '{WS}') AS ht FROM turns),
+o AS (SELECT ht, unnest([1, 2, 3, 4]) AS n FROM tok),
+i AS (SELECT ht, n, unnest(range(1, len(ht)-n+2)) AS i FROM o),
+g AS (SELECT n, array_to_string(ht[i:i+n-1], ' ') AS g FROM i)
+SELECT n, count(*) AS grams, count(DISTINCT g) AS distinct_grams FROM g GROUP BY n""")
+def x19t(spark, d):
+    h = A.all_turns(spark, d).select(*KEY, X.ws_tokens("t").alias("tokens"))
+    return B.gram_rows(h, KEY, 4).groupBy("n").agg(F.count(F.lit(1)).alias("grams"),
+                                                   F.count_distinct("gram").alias("distinct_grams"))
+
+
+@register("B5_turn_distinct_n", f"""WITH {TURNS}, x AS (SELECT regexp_extract_all(turns.t, '{WS}') AS t FROM turns)
+SELECT {_distinct_sql(1)}, {_distinct_sql(2)}, {_distinct_sql(3)} FROM x""")
+def b5t(spark, d):
+    out = B.distinct_ns(A.all_turns(spark, d), "t", [1, 2, 3], X.ws_tokens)
+    return out.select(*[r6(f"distinct_{n}").alias(f"distinct_{n}") for n in (1, 2, 3)])
+
+
+@register("B5_turn_distinct_n_punct", f"""WITH {TURNS}, x AS (SELECT regexp_extract_all(turns.t, '{X.PUNCT_TOKEN}') AS t FROM turns)
+SELECT {_distinct_sql(1)}, {_distinct_sql(2)}, {_distinct_sql(3)} FROM x""")
+def b5pt(spark, d):
+    out = B.distinct_ns(A.all_turns(spark, d), "t", [1, 2, 3], X.punct_tokens)
+    return out.select(*[r6(f"distinct_{n}").alias(f"distinct_{n}") for n in (1, 2, 3)])

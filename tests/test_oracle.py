@@ -43,3 +43,17 @@ def test_query_matches_oracle(spark, con, name):
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
     stypes = [f.dataType.simpleString() for f in df.schema.fields]
     assert type_diffs(df.columns, stypes, dcols, [str(d[1]) for d in cur.description]) == []
+
+
+TURN_NAMES = ["X16_turn_tokens", "X17_turn_nist_normalize", "X18_turn_split_puncts", "X19_turn_ngrams",
+              "B5_turn_distinct_n", "B5_turn_distinct_n_punct"]
+
+
+@pytest.mark.parametrize("name", TURN_NAMES)
+def test_one_text_queries_read_all_turns(spark, con, name):
+    from gradeframe.plans import catalog
+    test_query_matches_oracle(spark, con, name)
+    turns, rows = (con.execute(q).fetchone()[0] for q in (
+        "SELECT count(*) FROM conversations", f"SELECT count(*) FROM ({catalog.ORACLE[name]})"))
+    if name[:3] in ("X16", "X17", "X18"):
+        assert rows == turns
