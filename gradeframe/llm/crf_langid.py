@@ -10,10 +10,13 @@ posterior.  A text's language is the label of the largest mean posterior over
 all its words, which is also its score.
 
 Training reads only text and lang of documents outside the held-out fold, a
-sample bounded by about ``TRAIN_DOCS`` rows per language (chosen by a hash of their
-id, twice as many at most), cut into stretches that are strung together across languages, so
-that the chain sees switches.  Prediction reads whole texts; chains are
-stretches of at most ``CHAIN`` words.
+sample bounded by about ``TRAIN_DOCS`` different rows per language (chosen by a hash of
+their id and text, the first of that order and twice as many at most), cut into
+stretches that are strung together across languages, so that the chain sees switches.
+Every language of those documents is learned, however rare: the model is ``DIM``
+weights per language (262 MB for 1000 languages; driver and workers hold it whole, the
+driver while training three times and with the sample).  Prediction reads whole texts;
+chains are stretches of at most ``CHAIN`` words.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every
 text when no labelled row is there to learn from.  Ties go to the label that
@@ -27,7 +30,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,13 +38,17 @@ from . import common
 FOLDS = 5
 TRAIN_DOCS = 150           # per language
 TRAIN_WORDS = 150          # longest stretch taken from a training text at a time
-MAX_LABELS = 200
 DIM = 1 << 15
 CHAIN = 64
 EPOCHS, RATE = 3, 0.2
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def _room(n: int, labels: int) -> int:
+    """``n`` for few labels, and less for many: work arrays keep their size."""
+    return max(1, n * 8 // max(8, labels))
+
+
 def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
     x = (x + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
@@ -99,7 +106,7 @@ class Emitter:
         self.weight, self.place, self.rows = weight, {}, np.zeros((0, weight.shape[1]))
 
     def __call__(self, distinct) -> np.ndarray:
-        if len(self.place) > self.BOUND:
+        if len(self.place) > _room(self.BOUND, self.weight.shape[1]):
             self.place, self.rows = {}, self.rows[:0]
         new = [w for w in distinct if w not in self.place]
         self.place.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
@@ -117,8 +124,9 @@ def _emitter(weight: np.ndarray) -> Emitter:
 
 
 def forward_backward(emit: np.ndarray, move: np.ndarray, real: np.ndarray):
-    """Posteriors of the labels (chain, place, label) and expected transitions
-    of many chains at once; ``real`` marks the places that hold a word."""
+    """Posteriors of the labels (chain, place, label) of many chains at once,
+    the sum of their expected transitions, and which places have a word
+    followed by one; ``real`` marks the places that hold a word."""
     n, t, k = emit.shape
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     m = np.exp(move - move.max())
@@ -136,8 +144,10 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, real: np.ndarray):
         beta[:, i] = np.where(real[:, i + 1, None], step, 1.0)
     post = alpha * beta
     post /= post.sum(axis=2, keepdims=True)
-    pair = alpha[:, :-1, :, None] * m * (e * beta)[:, 1:, None, :] if t > 1 else np.zeros((n, 0, k, k))
-    return post, pair, real[:, 1:]
+    both, before, ahead = real[:, 1:], alpha[:, :-1], (e * beta)[:, 1:]
+    share = both / ((before @ m) * ahead).sum(axis=2)
+    expected = m * np.tensordot(before * share[..., None], ahead, axes=([0, 1], [0, 1]))
+    return post, expected, both
 
 
 def chains(code: np.ndarray, doc: np.ndarray, length: int = CHAIN):
@@ -156,10 +166,10 @@ def train(rows: list[tuple[str, str]], labels: list[str], seed: int = 7):
     rng = np.random.default_rng(seed)
     k = len(labels)
     weight, move = np.zeros((DIM, k)), np.zeros((k, k))
-    stretches = []
+    stretches, number = [], {lang: i for i, lang in enumerate(labels)}
     for text, lang in rows:
         words = WORD.findall(text)
-        stretches += [(words[i:i + TRAIN_WORDS], labels.index(lang)) for i in range(0, len(words), TRAIN_WORDS)]
+        stretches += [(words[i:i + TRAIN_WORDS], number[lang]) for i in range(0, len(words), TRAIN_WORDS)]
     if not stretches:
         return weight, move
     order = rng.permutation(len(stretches))
@@ -180,7 +190,7 @@ def train(rows: list[tuple[str, str]], labels: list[str], seed: int = 7):
             score = np.zeros((len(used), k))
             np.add.at(score, owner, weight[feats])
             emit = (score / words.size[used][:, None])[local.reshape(here.shape)]
-            post, pair, both = forward_backward(emit * 4, move, real)
+            post, expected, both = forward_backward(emit * 4, move, real)
             y = gold[np.maximum(idx, 0)]
             error = -post * real[..., None]
             error[np.arange(len(idx))[:, None], np.arange(idx.shape[1])[None, :], y] += real
@@ -188,8 +198,6 @@ def train(rows: list[tuple[str, str]], labels: list[str], seed: int = 7):
             np.add.at(per_word, local.reshape(-1), error.reshape(-1, k))
             grad = np.zeros_like(weight)
             np.add.at(grad, feats, (per_word / words.size[used][:, None])[owner])
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
-            expected = (pair * both[..., None, None]).sum(axis=(0, 1))
             seen = np.zeros((k, k))
             np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
             change = seen - expected
@@ -203,15 +211,18 @@ def train(rows: list[tuple[str, str]], labels: list[str], seed: int = 7):
 def training_rows(docs: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
     """A bounded sample of labelled rows outside the held-out fold."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counted = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-               .orderBy(F.desc("n"), "lang").limit(MAX_LABELS).collect())
+    # copies count once, wherever their ids are the same
+    h = F.xxhash64("doc_id", "text")
+    counted = rows.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not counted:
         return [], []
-    labels = sorted(r["lang"] for r in counted)
-    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], TRAIN_DOCS / r["n"])])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.where(place < F.try_element_at(share, F.col("lang"))).limit(2 * TRAIN_DOCS * len(labels))
-    return sorted((r["text"], r["lang"]) for r in chosen.select("text", "lang").collect()), labels
+    labels = [r["lang"] for r in counted]
+    shares = docs.sparkSession.createDataFrame([(r["lang"], TRAIN_DOCS / r["n"]) for r in counted], "lang string, share double")
+    drawn = (rows.join(F.broadcast(shares), "lang").where(F.pmod(h, F.lit(1 << 30)) / (1 << 30) < F.col("share"))
+             .groupBy("lang", "text").agg(F.min(h).alias("h")))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    chosen = drawn.withColumn("first", first).where(F.col("first") <= 2 * TRAIN_DOCS)
+    return sorted((r["text"], r["lang"]) for r in chosen.select("text", "lang").collect()), sorted(labels)
 
 
 def held_out():
@@ -232,7 +243,7 @@ def label_words(texts: list[str], model, labels: list[str]) -> tuple[np.ndarray,
     out = np.zeros((len(code), len(labels)))
     if len(code):
         emit = _emitter(weight)(distinct)
-        for part in np.array_split(at, -(-len(at) // 2048)):
+        for part in np.array_split(at, -(-len(at) // _room(2048, len(labels)))):
             real = part >= 0
             post = posterior(emit[code[np.maximum(part, 0)]], move, real)
             out[part[real]] = post[real]
@@ -265,13 +276,13 @@ def posterior(emit: np.ndarray, move: np.ndarray, real: np.ndarray) -> np.ndarra
 
 def predict(docs: DataFrame, model, labels: list[str], keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, lang_pred and score of every row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)      # DIM * MAX_LABELS numbers at most
+    shipped = docs.sparkSession.sparkContext.broadcast(model)      # DIM * labels numbers
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
     names = np.array([*labels, "und"], object)
 
     def run(batches):
         for batch in batches:
-            for start, texts in common.text_blocks(batch, max_chars=1 << 20):
+            for start, texts in common.text_blocks(batch, max_chars=_room(1 << 20, len(labels))):
                 best, score = np.full(len(texts), len(labels)), np.zeros(len(texts))
                 if labels:
                     post, doc, split = label_words(texts, shipped.value, labels)

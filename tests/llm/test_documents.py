@@ -183,3 +183,18 @@ def test_sample_of_distinct_texts(spark):
     texts = ["same words here"] * 500 + [f"own{w} words" for w in "abcdefgh"]
     _, ordinary = secrets.labelled_samples(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert ordinary.where("s = 'same'").count() == 1 and ordinary.where("s like 'own_'").count() == 8
+
+
+def test_every_language_is_learned(spark):
+    """Also beyond 200 of them, and where one id is repeated very often."""
+    langs = [f"l{i:03}" for i in range(205)]
+    own = {x: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}qx{chr(97 + j)}" for j in range(6)) for i, x in enumerate(langs)}
+    rows = [(i * 1000 + j, own[x], x) for i, x in enumerate(langs) for j in range(3 if x == "l204" else 4)]
+    rows += [(7, f"{own['l000']} again {'z' * (j % 9)}", "l000") for j in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~crf_langid.held_out())
+    found, labels = crf_langid.training_rows(df)
+    assert labels == langs and {x for _, x in found} == set(langs) and len(found) == len(set(found))
+    assert (found, labels) == crf_langid.training_rows(df.repartition(5))
+    model = crf_langid.train(found, labels)
+    said = crf_langid.label_words([own["l204"], own["l203"]], model, labels)[0].argmax(axis=1)
+    assert [labels[i] for i in said] == ["l204"] * 6 + ["l203"] * 6
