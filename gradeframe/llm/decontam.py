@@ -6,12 +6,11 @@ window's rarest terms are its anchors (of those that occur: a window with a
 term that occurs nowhere has proximity matches only).  The index stores, for the anchor terms
 of all windows, the postings of the training texts: the text's 128-bit key and
 the term's word position (and, for a window's rarest term, the words around
-it).  Intersection goes from the rarest term: each of its postings implies
-a start of the window, and the other anchors' lists, held as bits of positions,
-are asked for their terms at that start plus their offsets.  Where all are
-there and the words around the rarest spell the window, that is an exact
-phrase match.  Proximity matches are windows whose anchors point at starts
-within one of the half-overlapping stretches of twice ``SLOP`` words.
+it).  Each posting of a window's rarest term implies a start of the window;
+where the words around it spell the window, that is an exact phrase match, which
+the stored words alone decide.  For proximity the other anchors' lists, held as
+bits of positions, are intersected with these starts.
+Proximity matches are windows whose anchors point at starts within one of the half-overlapping stretches of twice ``SLOP`` words.
 
 All of it is DataFrame functions: no Python runs on the executors.  Windows,
 terms and anchors grow with the benchmark alone; they are broadcast up to
