@@ -9,8 +9,9 @@ the term's word position (and, for a window's rarest term, the words around
 it).  Each posting of a window's rarest term implies a start of the window;
 where the words around it spell the window, that is an exact phrase match, which
 the stored words alone decide.  For proximity the other anchors' lists, held as
-bits of positions, are intersected with these starts.
-Proximity matches are windows whose anchors point at starts within one of the half-overlapping stretches of twice ``SLOP`` words.
+bits of positions, are intersected with these starts: matches are windows whose
+anchors point at starts within one of the half-overlapping stretches of twice
+``SLOP`` words.
 
 All of it is DataFrame functions: no Python runs on the executors.  Windows,
 terms and anchors grow with the benchmark alone; they are broadcast up to
