@@ -16,6 +16,9 @@ MODULES = [
     ("minhash_bayes", "op8_bayes_minhash"),
     ("bpe", "op9_batched_bpe"),
     ("feistel", "op10_feistel_shards"),
+    ("resident_lloyd", "op11_resident_lloyd"),
+    ("suffix_dedup", "op12_suffix_dedup"),
+    ("prefix_trie", "op13_prefix_trie"),
 ]
 
 
