@@ -83,8 +83,7 @@ def lyndon_groups(text: bytes) -> tuple[list[list[int]], list[int]]:
         size.append(len(leaving))
         below.append(h)
         above.append(up)
-        above[h] = g
-        below[up] = g
+        above[h] = below[up] = g
         for i in leaving:
             group[i] = g
 
@@ -94,6 +93,17 @@ def lyndon_groups(text: bytes) -> tuple[list[list[int]], list[int]]:
         if len(own) != size[g]:
             own = sorted(i for i in own if group[i] == g)
         final.append(own)
+        if len(own) == 1:         # most are
+            i = own[0]
+            done[i] = 1
+            p = i - 1
+            while p >= 0 and done[p]:
+                p = smaller[p]
+            smaller[i] = p
+            if p >= 0 and size[group[p]] > 1:
+                split(group[p], [p])
+            g = below[g]
+            continue
         for i in own:
             done[i] = 1
         counts: dict[int, int] = {}
@@ -104,17 +114,12 @@ def lyndon_groups(text: bytes) -> tuple[list[list[int]], list[int]]:
             smaller[i] = p
             if p >= 0:
                 counts[p] = counts.get(p, 0) + 1
-        if len(counts) == 1:
-            (p,) = counts
-            if size[group[p]] > 1:
-                split(group[p], [p])
-        elif counts:
-            lengthened: dict[tuple[int, int], list[int]] = {}
-            for p in sorted(counts):
-                lengthened.setdefault((counts[p], group[p]), []).append(p)
-            for times, h in sorted(lengthened, reverse=True):
-                if len(lengthened[times, h]) < size[h]:
-                    split(h, lengthened[times, h])
+        lengthened: dict[tuple[int, int], list[int]] = {}
+        for p in sorted(counts):
+            lengthened.setdefault((counts[p], group[p]), []).append(p)
+        for times, h in sorted(lengthened, reverse=True):
+            if len(lengthened[times, h]) < size[h]:
+                split(h, lengthened[times, h])
         g = below[g]
     final.reverse()
     return final, smaller
@@ -280,12 +285,16 @@ def _cut_regions(found: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(cut, "s1 long, s2 long, weight long, h long, first long, region binary")
 
 
+RANGES = "array<struct<a: long, z: long>>"
+RANGE_LIST = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
+
+
 def _sort_groups(regions: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, a, z): ranges of repeated windows of every region, from one
-    suffix array for each hash."""
+    """(r1, r2, ranges): the repeated windows of every region that has any,
+    from one suffix array for each hash."""
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, group = None, []
-        found: list[tuple[int, int, int, int]] = []
+        found: list[tuple[int, int, list[dict]]] = []
         for batch in batches:
             for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "r1", "r2", "weight", "region")), strict=True):
                 if h != name and group:
@@ -301,18 +310,36 @@ def _sort_groups(regions: DataFrame, length: int) -> DataFrame:
         if found:
             yield out(found)
 
-    def windows(group) -> Iterator[tuple[int, int, int, int]]:
+    def windows(group) -> Iterator[tuple[int, int, list[dict]]]:
         r1, r2, weights, bodies = zip(*group, strict=True)
-        for i, ranges in enumerate(repeated_windows(bodies, weights, length)):
-            for a, z in ranges:
-                yield r1[i], r2[i], a, z
+        if min(weights) > 1:                 # nothing is open: every region is there twice
+            ranges = [[(0, len(b) - length)] for b in bodies]
+        else:
+            ranges = repeated_windows(bodies, weights, length)
+        for i, own in enumerate(ranges):
+            if own:
+                yield r1[i], r2[i], [{"a": a, "z": z} for a, z in own]
 
     def out(found) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)],
-                                          names=["r1", "r2", "a", "z"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), RANGE_LIST], strict=True)],
+            names=["r1", "r2", "ranges"])
 
     dealt = regions.select("h", "r1", "r2", "weight", "region").repartition("h").sortWithinPartitions("h", "r1", "r2")
-    return dealt.mapInArrow(sort, "r1 long, r2 long, a long, z long")
+    return dealt.mapInArrow(sort, f"r1 long, r2 long, ranges {RANGES}")
+
+
+def _merge(ranges: DataFrame) -> DataFrame:
+    """(s1, s2, ranges) of each text: its ranges of starts, joined where they
+    meet."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[{"a": a, "z": z - 1} for a, z in merged(r, 1)] for r in batch.column("ranges").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("s1"), batch.column("s2"), pa.array(out, RANGE_LIST)],
+                                             names=[*PARTS, "ranges"])
+
+    return ranges.groupBy(*PARTS).agg(F.flatten(F.collect_list("ranges")).alias("ranges")).mapInArrow(
+        merge, f"s1 long, s2 long, ranges {RANGES}")
 
 
 # -- levels -----------------------------------------------------------------
@@ -324,10 +351,11 @@ def ladder(length: int) -> list[int]:
 
 def _level(texts: DataFrame, length: int, ks: list[int], most: int) -> tuple[DataFrame, DataFrame]:
     """The texts with candidate runs (s1, s2, weight, text, runs), one row for
-    equal ones, and the repeated windows (s1, s2, a, z) of texts (s1, s2,
-    weight, text)."""
+    equal ones, and the ranges of starts of repeated windows (s1, s2, ranges)
+    of texts (s1, s2, weight, text)."""
     runs = common.stored(_anchor_rows(texts, ks[0], length))
-    often = runs.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h")
+    # stored, so that a hot hash can be split in the join
+    often = common.stored(runs.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h"))
     runs = runs.join(often, "h", "left_semi").groupBy(*PARTS).agg(
         F.collect_set(F.struct("h", "first", "last")).alias("runs"))
     once = texts.groupBy(*PARTS).agg(F.first("text").alias("text"), F.sum("weight").alias("weight"))
@@ -346,9 +374,10 @@ def _level(texts: DataFrame, length: int, ks: list[int], most: int) -> tuple[Dat
             F.col("r1").alias("s1"), F.col("r2").alias("s2"), "weight", F.col("region").alias("text"))
         windows = _sort_groups(distinct.join(large, "h", "left_anti"), length).union(
             _level(common.stored(hot), length, ks[1:], most)[1])
-    windows = common.stored(windows.toDF("r1", "r2", "a", "z"))
+    windows = common.stored(windows.toDF("r1", "r2", "ranges"))
     members = regions.select(*PARTS, "first", "r1", "r2").join(windows, ["r1", "r2"])
-    return found, members.select(*PARTS, (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("z")).alias("z"))
+    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["z"] + F.col("first")).alias("z")))
+    return found, _merge(members.select(*PARTS, moved.alias("ranges")))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, most: int = MOST_BYTES) -> DataFrame:
@@ -358,8 +387,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, mo
     texts = docs.select(body.alias("text")).select(
         F.xxhash64(F.lit(1), "text").alias("s1"), F.xxhash64(F.lit(2), "text").alias("s2"),
         F.lit(1).cast("long").alias("weight"), "text")
-    found, windows = _level(texts, length, ladder(length), most)
-    ranges = windows.groupBy(*PARTS).agg(F.collect_set(F.struct("a", "z")).alias("ranges"))
+    found, ranges = _level(texts, length, ladder(length), most)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
