@@ -9,7 +9,8 @@ came in; matches end at a text's end.
    so a text becomes runs of windows (hash, first, last).  Equal windows have
    equal names: only runs whose hash occurs twice go on.
 2. *Regions.*  The bytes of such a run are cut out of the text, equal regions
-   are merged and their number kept as a weight.
+   are merged and their number kept as a weight.  Texts and regions that are
+   there twice are repeated as a whole; the others are open.
 3. *Suffix arrays.*  The regions of one hash are sorted together by
    :func:`suffix_order`: suffixes are grouped by their longest Lyndon prefix,
    the groups taken in descending order and the groups before them refined
@@ -290,8 +291,8 @@ RANGE_LIST = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
 
 
 def _sort_groups(regions: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, ranges): the repeated windows of every region that has any,
-    from one suffix array for each hash."""
+    """(r1, r2, ranges): the repeated windows of every open region that has
+    any, from one suffix array for each hash."""
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, group = None, []
         found: list[tuple[int, int, list[dict]]] = []
@@ -312,12 +313,8 @@ def _sort_groups(regions: DataFrame, length: int) -> DataFrame:
 
     def windows(group) -> Iterator[tuple[int, int, list[dict]]]:
         r1, r2, weights, bodies = zip(*group, strict=True)
-        if min(weights) > 1:                 # nothing is open: every region is there twice
-            ranges = [[(0, len(b) - length)] for b in bodies]
-        else:
-            ranges = repeated_windows(bodies, weights, length)
-        for i, own in enumerate(ranges):
-            if own:
+        for i, own in enumerate(repeated_windows(bodies, weights, length)):
+            if own and weights[i] == 1:
                 yield r1[i], r2[i], [{"a": a, "z": z} for a, z in own]
 
     def out(found) -> pa.RecordBatch:
@@ -346,13 +343,19 @@ def _merge(ranges: DataFrame) -> DataFrame:
 
 def ladder(length: int) -> list[int]:
     """Bytes of an anchor at each level; the last is the window itself."""
-    return sorted({max(1, length * 4 // 25), max(1, length * 29 // 50), length})
+    return sorted({max(1, length * share // 100) for share in (16, 58, 85, 95, 100)})
+
+
+def _whole(text: str, length: int) -> F.Column:
+    """The range of all windows of a text."""
+    last = F.octet_length(text).cast("long") - length
+    return F.array(F.struct(F.lit(0).cast("long").alias("a"), last.alias("z"))).alias("ranges")
 
 
 def _level(texts: DataFrame, length: int, ks: list[int], most: int) -> tuple[DataFrame, DataFrame]:
-    """The texts with candidate runs (s1, s2, weight, text, runs), one row for
+    """Of texts (s1, s2, weight, text): those with candidate runs, one row for
     equal ones, and the ranges of starts of repeated windows (s1, s2, ranges)
-    of texts (s1, s2, weight, text)."""
+    of the open ones, whose weight is 1."""
     runs = common.stored(_anchor_rows(texts, ks[0], length))
     # stored, so that a hot hash can be split in the join
     often = common.stored(runs.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h"))
@@ -364,18 +367,17 @@ def _level(texts: DataFrame, length: int, ks: list[int], most: int) -> tuple[Dat
     regions = common.stored(_cut_regions(found, length).select("*", *key))
     distinct = common.stored(regions.groupBy("r1", "r2").agg(
         F.first("h").alias("h"), F.first("region").alias("region"), F.sum("weight").alias("weight")))
-    sizes = distinct.groupBy("h").agg(F.sum(F.octet_length("region")).alias("bytes"))
-    large = sizes.where(F.col("bytes") > most).select("h") if len(ks) > 1 else None
-    if large is None or large.isEmpty():
-        windows = _sort_groups(distinct, length)
-    else:
-        large = common.checkpoint(large)
-        hot = distinct.join(large, "h", "left_semi").select(
+    groups = common.stored(distinct.groupBy("h").agg(
+        F.sum(F.octet_length("region")).alias("bytes"), F.min("weight").alias("least")).where("least = 1"))
+    hot = F.col("bytes") > (most if len(ks) > 1 else 2 ** 62)
+    windows = distinct.where("weight > 1").select("r1", "r2", _whole("region", length)).union(
+        _sort_groups(distinct.join(groups.where(~hot), "h", "left_semi"), length))
+    if not groups.where(hot).isEmpty():
+        large = distinct.join(groups.where(hot), "h", "left_semi").select(
             F.col("r1").alias("s1"), F.col("r2").alias("s2"), "weight", F.col("region").alias("text"))
-        windows = _sort_groups(distinct.join(large, "h", "left_anti"), length).union(
-            _level(common.stored(hot), length, ks[1:], most)[1])
-    windows = common.stored(windows.toDF("r1", "r2", "ranges"))
-    members = regions.select(*PARTS, "first", "r1", "r2").join(windows, ["r1", "r2"])
+        windows = windows.union(_level(common.stored(large), length, ks[1:], most)[1])
+    windows = common.stored(windows)
+    members = regions.where("weight = 1").select(*PARTS, "first", "r1", "r2").join(windows, ["r1", "r2"])
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["z"] + F.col("first")).alias("z")))
     return found, _merge(members.select(*PARTS, moved.alias("ranges")))
 
@@ -388,6 +390,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, mo
         F.xxhash64(F.lit(1), "text").alias("s1"), F.xxhash64(F.lit(2), "text").alias("s2"),
         F.lit(1).cast("long").alias("weight"), "text")
     found, ranges = _level(texts, length, ladder(length), most)
+    ranges = ranges.union(found.where("weight > 1").select(*PARTS, _whole("text", length)))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
