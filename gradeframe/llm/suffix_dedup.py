@@ -313,6 +313,8 @@ def _sort_groups(regions: DataFrame, length: int) -> DataFrame:
 
     def windows(group) -> Iterator[tuple[int, int, list[dict]]]:
         r1, r2, weights, bodies = zip(*group, strict=True)
+        if min(weights) > 1:
+            return
         for i, own in enumerate(repeated_windows(bodies, weights, length)):
             if own and weights[i] == 1:
                 yield r1[i], r2[i], [{"a": a, "z": z} for a, z in own]
@@ -367,15 +369,16 @@ def _level(texts: DataFrame, length: int, ks: list[int], most: int) -> tuple[Dat
     regions = common.stored(_cut_regions(found, length).select("*", *key))
     distinct = common.stored(regions.groupBy("r1", "r2").agg(
         F.first("h").alias("h"), F.first("region").alias("region"), F.sum("weight").alias("weight")))
-    groups = common.stored(distinct.groupBy("h").agg(
-        F.sum(F.octet_length("region")).alias("bytes"), F.min("weight").alias("least")).where("least = 1"))
-    hot = F.col("bytes") > (most if len(ks) > 1 else 2 ** 62)
-    windows = distinct.where("weight > 1").select("r1", "r2", _whole("region", length)).union(
-        _sort_groups(distinct.join(groups.where(~hot), "h", "left_semi"), length))
-    if not groups.where(hot).isEmpty():
-        large = distinct.join(groups.where(hot), "h", "left_semi").select(
+    hot = distinct.groupBy("h").agg(F.sum(F.octet_length("region")).alias("bytes"), F.min("weight").alias("least"))
+    hot = common.stored(hot.where((F.col("bytes") > most) & (F.col("least") == 1)).select("h"))
+    whole = distinct.where("weight > 1").select("r1", "r2", _whole("region", length))
+    if len(ks) == 1 or hot.isEmpty():
+        windows = whole.union(_sort_groups(distinct, length))
+    else:
+        large = distinct.join(hot, "h", "left_semi").select(
             F.col("r1").alias("s1"), F.col("r2").alias("s2"), "weight", F.col("region").alias("text"))
-        windows = windows.union(_level(common.stored(large), length, ks[1:], most)[1])
+        windows = whole.union(_sort_groups(distinct.join(hot, "h", "left_anti"), length)).union(
+            _level(common.stored(large), length, ks[1:], most)[1])
     windows = common.stored(windows)
     members = regions.where("weight = 1").select(*PARTS, "first", "r1", "r2").join(windows, ["r1", "r2"])
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["z"] + F.col("first")).alias("z")))
