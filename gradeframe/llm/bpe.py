@@ -31,6 +31,7 @@ from . import common
 
 MODEL = "word_bpe_49k.json"
 CACHE_BOUND = 100_000
+CACHE_CHARS = 1 << 23      # characters of its words, ids and decoded texts
 
 # Fixed values of the tokenizer's format.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -158,15 +159,17 @@ class Encoder:
 
     def _reset(self):
         self.cache.clear()
+        self.chars = 0
         for content, i in self.voc.special.items():
             self.cache[content] = (1, str(i), content)
 
     def learn(self, split: list[list[str]]) -> None:
-        if len(self.cache) > self.bound:
+        if len(self.cache) > self.bound or self.chars > CACHE_CHARS:
             self._reset()
         words = sorted({w for ws in split for w in ws} - self.cache.keys())
         for w, ids in zip(words, self.voc.encode_words(words) if words else ()):
-            self.cache[w] = (len(ids), " ".join(map(str, ids)), self.voc.decode(ids))
+            entry = self.cache[w] = (len(ids), " ".join(map(str, ids)), self.voc.decode(ids))
+            self.chars += len(w) + len(entry[1]) + len(entry[2])
 
     def batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text: token count, its ids and its decoded text."""
@@ -212,7 +215,7 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], text: str = "t
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields),
                         f"{names[0]} long", f"{names[1]} string", f"{names[2]} string"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.lean(run), schema)
 
 
 def op9_batched_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +57,27 @@ def text_blocks(batch: pa.RecordBatch, text: str = "text", max_chars: int = 1 <<
         yield start, run
 
 
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that gives its task's memory back to the system.
+
+    Workers are reused: what the allocators hold of one stage's arrays would
+    stay beside those of the next, and an executor's memory would climb from
+    stage to stage."""
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):     # another C library
+                pass
+
+    return task
+
+
 def content_key(col: str = "text") -> list:
     """Two differently seeded 64-bit hashes of a column: a 128-bit key of its
     value (null has its own)."""

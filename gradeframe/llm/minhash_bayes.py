@@ -157,7 +157,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     names=["doc_id", "k1", "k2", "s1", "s2", "n", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, s1 long, s2 long, n long, sig binary")
+    return rows.mapInArrow(common.lean(run), f"doc_id {kind}, k1 long, k2 long, s1 long, s2 long, n long, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -175,7 +175,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     [batch.column("node").slice(start, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())],
                     names=["node", "set"])
 
-    return common.stored(text.mapInArrow(run, "node long, set binary"))
+    return common.stored(text.mapInArrow(common.lean(run), "node long, set binary"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -186,6 +186,7 @@ def _set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
+@common.lean
 def _prune(batches):
     for batch in batches:
         if batch.num_rows:
@@ -194,6 +195,7 @@ def _prune(batches):
                                              names=["a", "b", "agree"])
 
 
+@common.lean
 def _confirm(batches):
     for batch in batches:
         pairs = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())

@@ -89,6 +89,7 @@ def base_counts(texts: list[str], split: list[list[bytes]]) -> dict[str, list[in
             "n_repeat_words": repeated_words(split)}
 
 
+@common.lean
 def _histogram(batches):
     """Sums of a task's texts: bucket, n-grams of all rows, of trusted rows."""
     raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -156,7 +157,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str], thresho
 
     kinds = [f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     schema = ", ".join([*kinds, *(f"{c} long" for c in COLUMNS), "base_failed boolean, kept boolean, n_grams long, llr_units long"])
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(common.lean(run), schema)
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *ADDED)
 
 

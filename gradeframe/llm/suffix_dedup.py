@@ -258,7 +258,7 @@ def _anchor_rows(texts: DataFrame, k: int, length: int) -> DataFrame:
             names=["h", *PARTS, "weight", "first", "last"])
 
     return texts.select(*PARTS, "weight", "text").mapInArrow(
-        cut, "h long, s1 long, s2 long, weight long, first long, last long")
+        common.lean(cut), "h long, s1 long, s2 long, weight long, first long, last long")
 
 
 def _cut_regions(found: DataFrame, length: int) -> DataFrame:
@@ -283,7 +283,7 @@ def _cut_regions(found: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)],
                                           names=[*PARTS, "weight", "h", "first", "region"])
 
-    return found.mapInArrow(cut, "s1 long, s2 long, weight long, h long, first long, region binary")
+    return found.mapInArrow(common.lean(cut), "s1 long, s2 long, weight long, h long, first long, region binary")
 
 
 RANGES = "array<struct<a: long, z: long>>"
@@ -325,7 +325,7 @@ def _sort_groups(regions: DataFrame, length: int) -> DataFrame:
             names=["r1", "r2", "ranges"])
 
     dealt = regions.select("h", "r1", "r2", "weight", "region").repartition("h").sortWithinPartitions("h", "r1", "r2")
-    return dealt.mapInArrow(sort, f"r1 long, r2 long, ranges {RANGES}")
+    return dealt.mapInArrow(common.lean(sort), f"r1 long, r2 long, ranges {RANGES}")
 
 
 def _merge(ranges: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def _merge(ranges: DataFrame) -> DataFrame:
                                              names=[*PARTS, "ranges"])
 
     return ranges.groupBy(*PARTS).agg(F.flatten(F.collect_list("ranges")).alias("ranges")).mapInArrow(
-        merge, f"s1 long, s2 long, ranges {RANGES}")
+        common.lean(merge), f"s1 long, s2 long, ranges {RANGES}")
 
 
 # -- levels -----------------------------------------------------------------
@@ -408,7 +408,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, mo
                  pa.array(kept, pa.binary())], names=["k1", "k2", "spans", "kept"])
 
     return found.select(*PARTS, "text").join(ranges, PARTS).mapInArrow(
-        remove, "k1 long, k2 long, spans array<struct<start: long, end: long>>, kept binary")
+        common.lean(remove), "k1 long, k2 long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def merged(ranges: list[dict], length: int) -> list[tuple[int, int]]:
