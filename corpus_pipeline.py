@@ -29,11 +29,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of every group stays."""
+    """The document of the smallest doc_id of every group stays, once: of rows
+    with one doc_id and text that of the least lang, source and n_chars."""
     docs = docs.select(*COLUMNS)
-    found = minhash_bayes.near_duplicates(docs, SHINGLE)
+    found = common.stored(minhash_bayes.near_duplicates(docs, SHINGLE))
     gone = found.where("not (doc_id <=> component_id)").select("doc_id", "k1", "k2").distinct()
-    return _without(docs, gone)
+    left = _without(docs, gone)
+    own = ["doc_id", "k1", "k2"]
+    again = common.checkpoint(found.where("n_shingles > 0").groupBy(*own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if again.isEmpty():
+        return left
+    left = left.select("*", *common.content_key("text"))
+    same = (left["k1"] == again["k1"]) & (left["k2"] == again["k2"]) & left["doc_id"].eqNullSafe(again["doc_id"])
+    one = left.join(again, same, "left_semi").groupBy(*own).agg(
+        F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return left.join(again, same, "left_anti").select(*COLUMNS).union(
+        one.select("doc_id", "text", "rest.lang", "rest.source", "rest.n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +72,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id and text ``gone`` names."""
     few = common.checkpoint(gone.withColumnRenamed("doc_id", "gone_id"))
-    if common.small_enough(few, 1_000_000):
+    if common.small_enough(few, 100_000):
         few = F.broadcast(few)
     keyed = docs.select(*COLUMNS, *common.content_key("text"))
     same = (keyed["k1"] == few["k1"]) & (keyed["k2"] == few["k2"]) & keyed["doc_id"].eqNullSafe(few["gone_id"])
