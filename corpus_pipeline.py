@@ -16,6 +16,7 @@ from gradeframe.llm import bpe, common, decontam, minhash_bayes, quality_llr, se
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE = 5                # words, for near duplicates
+BATCH_ROWS = 1000          # rows sent to a Python worker at a time
 
 #: The models and similarity joins have no SQL form; tests hold every stage
 #: against a brute-force version.
@@ -24,14 +25,14 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio stay."""
-    scored = quality_llr.score_documents(docs.select(*COLUMNS), common.read(spark, sf_dir, "labels"), COLUMNS)
+    scored = quality_llr.score_documents(_start(docs), common.read(spark, sf_dir, "labels"), COLUMNS)
     return scored.where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of every group stays, once: of rows
     with one doc_id and text that of the least lang, source and n_chars."""
-    docs = docs.select(*COLUMNS)
+    docs = _start(docs)
     found = common.stored(minhash_bayes.near_duplicates(docs, SHINGLE))
     gone = found.where("not (doc_id <=> component_id)").select("doc_id", "k1", "k2").distinct()
     left = _without(docs, gone)
@@ -49,26 +50,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    docs = docs.select(*COLUMNS)
+    docs = _start(docs)
     found = decontam.contamination(docs, common.read(spark, sf_dir, "benchmark"), ["doc_id"], proximity=False)
     return _without(docs, found.where("n_hit > 0").select("doc_id", "k1", "k2").distinct())
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in them are replaced by a mark."""
-    docs = docs.select(*COLUMNS)
+    docs = _start(docs)
     return secrets.redact(docs, secrets.train(docs))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, and the digest of their
     decoded text."""
-    coded = bpe.encode_documents(docs.select(*COLUMNS), common.tokenizer_path(bpe.MODEL), ["doc_id", "lang", "source"])
+    coded = bpe.encode_documents(_start(docs), common.tokenizer_path(bpe.MODEL), ["doc_id", "lang", "source"])
     ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
     return coded.select("doc_id", "lang", "source", "n_tokens", ids.alias("ids"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def _start(docs: DataFrame) -> DataFrame:
+    """The columns of documents; from here on workers get texts in batches of
+    ``BATCH_ROWS``, since both ends of the pipe hold a batch and all stages
+    share the executors' memory."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs.select(*COLUMNS)
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id and text ``gone`` names."""
     few = common.checkpoint(gone.withColumnRenamed("doc_id", "gone_id"))
