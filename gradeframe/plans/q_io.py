@@ -54,6 +54,47 @@ def s7(spark, d):
     return c.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@register("S7_chunk_files", """SELECT chunk, count(*) AS rows, CAST(1 AS BIGINT) AS files, min(l_orderkey) AS first_key,
+  max(l_orderkey) AS last_key FROM (SELECT *, CAST((row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey,
+  l_suppkey) - 1) // 2000 AS BIGINT) AS chunk FROM lineitem) GROUP BY 1""")
+def s7_files(spark, d):
+    """Chunk files written, and read back by file."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    path = _derived_csv_dir(spark, d, "lineitem_chunks")
+    manifest = S.write_chunks(spark.read.parquet(f"{d}/lineitem.parquet").select(*order), path, 2000, order)
+    keys = spark.read.parquet(path).groupBy(F.col("chunk").cast("long").alias("chunk")).agg(
+        F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"))
+    return manifest.groupBy("chunk").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files")).join(keys, "chunk")
+
+
+@register("S5_shards_with_drift", """SELECT 'shard' || CAST(o_orderkey % 7 AS VARCHAR) AS shard, count(*) AS rows,
+  count(*) FILTER (WHERE o_orderkey % 7 <> 3) AS with_status, CAST(sum(o_custkey) AS BIGINT) AS custkeys,
+  round(sum(CASE WHEN o_orderkey % 7 = 5 THEN floor(o_totalprice) ELSE o_totalprice END), 2) AS price,
+  count(*) FILTER (WHERE o_orderkey % 7 = 6) AS noted FROM orders GROUP BY 1""")
+def s5_drift(spark, d):
+    """Seven shards; some lack a column, one has another order of columns,
+    one whole prices, some narrower keys, one a column of its own."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    paths = []
+    for i in range(7):
+        part = o.where(F.col("o_orderkey") % 7 == i)
+        if i == 2:
+            part = part.select("o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey")
+        if i == 3:
+            part = part.drop("o_orderstatus")
+        if i in (1, 4):
+            part = part.withColumn("o_custkey", F.col("o_custkey").cast("int"))
+        if i == 5:
+            part = part.withColumn("o_totalprice", F.floor("o_totalprice").cast("int"))
+        if i == 6:
+            part = part.withColumn("note", F.lit("late"))
+        paths.append(_derived_csv_dir(spark, d, "orders_shards") + f"/shard{i}")
+        S.write_table(part, paths[-1])
+    return S.read_shards(spark, paths, "shard").groupBy("shard").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("o_orderstatus").alias("with_status"), F.sum("o_custkey").alias("custkeys"),
+        F.round(F.sum("o_totalprice"), 2).alias("price"), F.count("note").alias("noted"))
+
+
 def _derived_csv_dir(spark, d, name):
     import os
     from gradeframe.session import table_path
@@ -121,3 +162,60 @@ def s10(spark, d):
     path = _derived_csv_dir(spark, d, "results_json")
     S.write_results(res, path)
     return spark.read.schema("o_orderpriority string, cnt bigint, mean_price double").json(path)
+
+
+def _quoted_cases(spark, d, name):
+    """Documents as cases without a header: quotes and line breaks in quotes,
+    short rows, and rows with one or two fields too many (empty ones too)."""
+    i = F.col("doc_id")
+    body = F.concat(F.lit('say "'), F.coalesce("text", F.lit("")), F.lit('"\nend'))
+    quoted = F.concat(F.lit('"'), F.replace(body, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.when(i % 7 == 0, i.cast("string")).when(i % 5 == 0, F.concat_ws(",", i, quoted, "lang", F.lit("EXTRA"))) \
+        .when(i % 11 == 0, F.concat_ws(",", i, F.lit(""), "lang", F.lit(""), F.lit(""))).otherwise(F.concat_ws(",", i, quoted, "lang"))
+    path = _derived_csv_dir(spark, d, name)
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("lang", F.coalesce("lang", F.lit("")))
+    docs.select(line.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+_BODY = """'say "' || coalesce(text, '') || '"' || chr(10) || 'end'"""
+
+
+@register("S2_quoted_records", f"""SELECT doc_id AS coding_prompt_id,
+  CASE WHEN doc_id % 7 <> 0 THEN md5({_BODY}) END AS input_md5,
+  CASE WHEN doc_id % 7 <> 0 THEN nullif(lang, '') END AS expected_output
+FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 5 <> 0 AND doc_id % 11 <> 0)""")
+def s2_quoted(spark, d):
+    good = S.read_cases(spark, _quoted_cases(spark, d, "quoted_skip_csv"), header=False)
+    return good.select("coding_prompt_id", F.md5("input").alias("input_md5"), "expected_output")
+
+
+@register("S3_quoted_rejects", f"""SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0
+    THEN doc_id || ',"' || replace({_BODY}, '"', '""') || '",' || coalesce(lang, '') || ',EXTRA'
+    ELSE doc_id || ',,' || coalesce(lang, '') || ',,' END) AS line_md5
+FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR doc_id % 11 = 0)""")
+def s3_quoted(spark, d):
+    _, bad = S.read_cases(spark, _quoted_cases(spark, d, "quoted_reject_csv"), on_bad="warn", header=False)
+    return bad.select(F.col("coding_prompt_id").cast("long").alias("doc_id"), F.md5("line").alias("line_md5"))
+
+
+@register("S1_short_rows", """SELECT event_type AS EventType, count(*) AS cnt,
+  count(*) FILTER (WHERE event_id % 3 <> 0) AS scored, count(*) FILTER (WHERE event_id % 3 = 1) AS messages,
+  CAST(sum(CASE WHEN event_id % 3 = 1 THEN length('at "' || event_type || '",' || chr(10) || CAST(event_id AS VARCHAR))
+    ELSE 0 END) AS BIGINT) AS message_chars FROM events GROUP BY 1""")
+def s1_short(spark, d):
+    """Rows that end after the event type or the score, and messages with
+    quotes, separators and line breaks."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    k, at = F.col("event_id"), S.EVENT_COLUMNS.index("CompileMessageData")
+    start = F.concat_ws(",", F.col("user_id").cast("string"), F.lit("1"), k.cast("string"), F.lit("c"),
+                        F.lit("2024-01-01 00:00:00"), "event_type")
+    message = F.concat(F.lit('"at ""'), "event_type", F.lit('"",\n'), k.cast("string"), F.lit('"'))
+    line = F.when(k % 3 == 0, start).when(k % 3 == 2, F.concat(start, F.lit(",0.5"))).otherwise(
+        F.concat(start, F.lit(",1" + "," * (at - 6)), message, F.lit("," * (len(S.EVENT_COLUMNS) - 1 - at))))
+    path = _derived_csv_dir(spark, d, "short_events_csv")
+    e.select(line.alias("value")).write.mode("overwrite").text(path)
+    found = S.read_events(spark, path, header=False)
+    return found.groupBy("EventType").agg(
+        F.count(F.lit(1)).alias("cnt"), F.count("Score").alias("scored"), F.count("CompileMessageData").alias("messages"),
+        F.coalesce(F.sum(F.length("CompileMessageData")), F.lit(0)).cast("long").alias("message_chars"))

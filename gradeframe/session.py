@@ -17,8 +17,6 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # exact pandas-style bad-line detection in CSV sources (see sources.io)
-    "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
 
 
@@ -64,6 +62,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the
+    driver did; on a cluster it is installed or shipped with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (reliable, survives
     executor loss) and return a DataFrame whose lineage starts there.

@@ -1,9 +1,9 @@
 """Sources and sinks.
 
 All reads use explicit schemas (no inference pass over the data) and
-columnar parquet for intermediate tables.  CSV bad-line handling follows
-pandas: a line with *too many* fields is a bad line; a short line is kept
-with NULLs (D1).
+columnar parquet for intermediate tables.  CSV is read by
+:mod:`gradeframe.sources.records`: a record with *too many* fields is bad, a
+short one is kept with NULLs (D1).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeframe.operators.ordered import sequence_number
+from gradeframe.sources.records import read_csv
 
 # Columns of the raw event log (all read as text first).
 EVENT_COLUMNS = [
@@ -25,52 +26,26 @@ EVENT_TYPES = {"AssignmentID": T.LongType(), "ProblemID": T.LongType(),
                "ServerTimestamp": T.TimestampType()}
 CASE_COLUMNS = ["coding_prompt_id", "input", "expected_output"]
 
-_OVERFLOW = "_overflow"
-_CORRUPT = "_corrupt_record"
-
-
-def event_schema() -> T.StructType:
-    return T.StructType([T.StructField(c, EVENT_TYPES.get(c, T.StringType()), True)
-                         for c in EVENT_COLUMNS])
-
-
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Event log CSV with header and a fixed schema; malformed rows fail
-    the read (strict)."""
-    return (spark.read.schema(event_schema()).option("header", True)
-            .option("mode", "FAILFAST").option("escape", '"').csv(path))
-
-
-def _csv_with_rejects(spark: SparkSession, path: str, columns: list[str],
-                      header: bool = True) -> DataFrame:
-    # With CSV column pruning the parser checks the field count only against
-    # the referenced columns, so a count() would see no short rows.  Bad-line
-    # detection needs the full field count: keep pruning off for CSV (it only
-    # costs parse CPU; parquet pruning is unaffected).
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns]
-                          + [T.StructField(_OVERFLOW, T.StringType(), True),
-                             T.StructField(_CORRUPT, T.StringType(), True)])
-    df = (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", _CORRUPT).option("enforceSchema", True)
-          .option("escape", '"').option("multiLine", True).csv(path))
-    # with one overflow column a normal row is one field short, so it always
-    # carries a corrupt-record marker; a row with too many fields either
-    # fills the overflow or exactly fits (no marker)
-    return df.withColumn("_too_long", F.col(_OVERFLOW).isNotNull() | F.col(_CORRUPT).isNull())
+def read_events(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Event log CSV with fixed columns.  A row with too many
+    fields ends the read and is named; a short one has nulls, as in pandas."""
+    df = read_csv(spark, path, EVENT_COLUMNS, header)
+    said = F.concat(F.lit(f"more than {len(EVENT_COLUMNS)} fields: "), "line")
+    strict = F.when(F.col("too_long"), F.raise_error(said).cast("string"))
+    typed = [F.coalesce(strict, F.col(f"`{c}`")).cast(EVENT_TYPES.get(c, T.StringType())).alias(c) for c in EVENT_COLUMNS]
+    return df.select(*typed)
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, columns: list[str],
                       on_bad: str = "skip", header: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """Read CSV, dropping lines with too many fields (pandas
-    ``on_bad_lines='skip'``) or returning them as a reject table
-    (``'warn'`` -> (good, bad))."""
-    df = _csv_with_rejects(spark, path, columns, header)
-    good = df.where(~F.col("_too_long")).select(*columns)
+    """Read CSV, dropping records with too many fields (pandas
+    ``on_bad_lines='skip'``) or returning them, each with its text in
+    ``line``, as a reject table (``'warn'`` -> (good, bad))."""
+    df = read_csv(spark, path, columns, header)
+    good = df.where(~F.col("too_long")).select(*columns)
     if on_bad == "skip":
         return good
-    bad = df.where(F.col("_too_long")).select(F.col(_CORRUPT).alias("line"), *columns)
-    return good, bad
+    return good, df.where("too_long").select("line", *columns)
 
 
 def read_cases(spark: SparkSession, path: str, on_bad: str = "skip", header: bool = True):
@@ -97,11 +72,42 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
-def read_shards(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Union of shards (a glob or a list of paths) in one scan."""
+#: Types in the order in which a column widens when shards differ.
+WIDER = ["boolean", "tinyint", "smallint", "int", "bigint", "float", "double"]
+
+
+def _wider(a: str, b: str, column: str) -> str:
+    """The type both shards' values of ``column`` can be read as."""
+    if a == b:
+        return a
+    if a in WIDER[1:] and b in WIDER[1:]:
+        a, b = sorted((a, b), key=WIDER.index)
+        return "double" if b == "float" and a in ("int", "bigint") else b
+    raise ValueError(f"shards hold {column} as {a} and as {b}")
+
+
+def read_shards(spark: SparkSession, paths: list[str] | str, shard: str | None = None) -> DataFrame:
+    """Union of shards in one scan.  A glob is read with one schema; a
+    list of paths may hold shards that differ: columns are matched by name
+    (those that a shard lacks are null there), numbers take the widest type,
+    anything else raises.  ``shard`` names a column for the file's shard: the
+    last part of the path it was given by.  Each shard's footer is asked for
+    its schema, one after another (shards are few, their files may be many)."""
     if isinstance(paths, str):
         return spark.read.parquet(paths)
-    return spark.read.option("mergeSchema", "false").parquet(*paths)
+    kinds: dict[str, str] = {}
+    for path in paths:
+        for f in spark.read.parquet(path).schema.fields:
+            kind = f.dataType.simpleString()
+            kinds[f.name] = _wider(kinds.get(f.name, kind), kind, f.name)
+    found = spark.read.schema(", ".join(f"`{c}` {kind}" for c, kind in kinds.items())).parquet(*paths)
+    if shard is None:
+        return found
+    if shard in kinds:
+        raise ValueError(f"the shards have a column {shard} of their own")
+    names = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
+    parts = F.split(F.regexp_replace("_metadata.file_path", "%20", " "), "/")
+    return found.withColumn(shard, F.filter(parts, lambda x: x.isin(names))[0])
 
 
 def flatten_nested(df: DataFrame, key: str, value: str, fields: list[str],
@@ -136,19 +142,31 @@ def nest_by_key(df: DataFrame, key: str, order: list[str], fields: list[str],
     return g.select(key, "chunk", (F.col("chunk") * max_items).alias("first_pos"), *[F.col(f"_s.{f}").alias(f) for f in fields])
 
 
-def write_chunks(df: DataFrame, path: str, rows: int = 2000, order: list[str] | None = None,
-                 mode: str = "overwrite") -> None:
-    """Export in files of at most ``rows`` rows (parquet)."""
-    out = df.sortWithinPartitions(*order) if order else df
-    out.write.mode(mode).option("maxRecordsPerFile", rows).parquet(path)
-
-
 def with_chunk_id(df: DataFrame, order: list[str], rows: int = 2000) -> DataFrame:
-    """S7 when a chunk id is needed: consecutive blocks of ``rows`` rows."""
+    """S7 when a chunk id is needed: consecutive blocks of ``rows`` rows.
+    Columns beside ``order`` are best selected away before: all are numbered."""
     d = sequence_number(df, [], order, "_rn")
     return d.withColumn("chunk", F.floor((F.col("_rn") - 1) / rows).cast("long")).drop("_rn")
 
 
+def write_chunks(df: DataFrame, path: str, rows: int = 2000, order: list[str] | None = None,
+                 mode: str = "overwrite") -> DataFrame:
+    """Export in chunks of ``rows`` rows of the order of ``order`` (all
+    columns, if none), each one file in a folder ``chunk=<id>``; the last chunk
+    has what is left.  Returns the manifest (chunk, file, rows), read back
+    from the files.  Rows of a chunk meet in one task, chunks are spread."""
+    numbered = with_chunk_id(df, order or df.columns, rows)
+    dealt = numbered.repartition("chunk").sortWithinPartitions("chunk", *(order or df.columns))
+    dealt.write.mode(mode).partitionBy("chunk").parquet(path)
+    return chunk_manifest(df.sparkSession, path)
+
+
+def chunk_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk, file, rows) of a folder written by :func:`write_chunks`."""
+    files = spark.read.parquet(path).select(F.col("chunk").cast("long").alias("chunk"), F.col("_metadata.file_name").alias("file"))
+    return files.groupBy("chunk", "file").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header, no index column."""
     df.write.mode(mode).option("header", True).csv(path)
