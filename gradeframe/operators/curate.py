@@ -98,10 +98,6 @@ def clean_ids(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.where(cond).withColumn(out or col, c.cast("long"))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def attach_event_time(subs: DataFrame, events: DataFrame, keys: list[str],
                       cols: list[str]) -> DataFrame:
     """Left join event columns onto submissions on several keys; NULL
@@ -118,12 +114,52 @@ def attach_labels(subs: DataFrame, labels: DataFrame, keys: list[str]) -> DataFr
     return subs.join(labels, keys, "left")
 
 
+def join_within(left: DataFrame, right: DataFrame, keys: list[str], score: str, tol: float,
+                how: str = "right") -> DataFrame:
+    """Join on ``keys`` and on scores that differ by at most ``tol``.
+
+    Scores fall into buckets of twice the tolerance.  A left row probes its
+    own bucket and the two beside it, by equality with the keys, and the
+    difference is checked exactly after; a pair meets in one bucket only.  So
+    it is a hash or sort-merge join over three times the left rows, never a
+    range join.  Null keys and null scores match each other (D3); NaN counts
+    as null.  ``how`` is ``inner`` or ``right``.  The result has the keys, the
+    right score as ``score``, the left one as ``<score>_left``, and the other
+    columns of both sides (their names must differ).
+    """
+    if not tol > 0 or how not in ("inner", "right"):
+        raise ValueError("a positive tolerance and an inner or right join are needed")
+
+    def bucket(c: Column) -> Column:
+        return F.floor(c / (2 * tol))
+
+    def plain(df: DataFrame) -> Column:
+        c = df[score].cast("double")
+        return F.when(~F.isnan(c), c)
+
+    own = [c for c in left.columns if c not in (*keys, score)]
+    near = F.when(F.col("_ls").isNull(), F.array(F.lit(None).cast("long"))).otherwise(
+        F.array(*[bucket(F.col("_ls")) + i for i in (-1, 0, 1)]))
+    probe = left.select(*[F.col(k).alias(f"_l_{k}") for k in keys], *own, plain(left).alias("_ls")).withColumn(
+        "_lb", F.explode(near))
+    kept = right.withColumn("_rs", plain(right)).withColumn("_rb", bucket(F.col("_rs")))
+    on = reduce(lambda a, b: a & b, [probe[f"_l_{k}"].eqNullSafe(kept[k]) for k in keys])
+    on = on & probe["_lb"].eqNullSafe(kept["_rb"])
+    on = on & (F.col("_ls").isNull() & F.col("_rs").isNull() | (F.abs(F.col("_ls") - F.col("_rs")) <= tol))
+    return probe.join(kept, on, how).select(
+        *keys, F.col("_rs").alias(score), F.col("_ls").alias(f"{score}_left"), *own,
+        *[c for c in right.columns if c not in (*keys, score)])
+
+
 def merge_all_submissions(orig: DataFrame, df: DataFrame, keys: list[str],
-                          dedupe_keys: list[str], order: list[str]) -> DataFrame:
-    """J3 + W3: right join on ``keys`` (exact match), then keep the first row
-    per ``dedupe_keys`` in ``order``."""
+                          dedupe_keys: list[str], order: list[str], score: str | None = None,
+                          tol: float | None = None) -> DataFrame:
+    """J3 + W3: right join on ``keys`` (exact match; with ``score`` and
+    ``tol`` the score, not among the keys then, may differ by the tolerance),
+    then keep the first row per ``dedupe_keys`` in ``order``."""
     from gradeframe.operators.sequence import dedupe_first
-    return dedupe_first(orig.join(df, keys, "right"), dedupe_keys, order)
+    joined = join_within(orig, df, keys, score, tol) if tol else orig.join(df, keys, "right")
+    return dedupe_first(joined, dedupe_keys, order)
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:

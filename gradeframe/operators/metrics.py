@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeframe.operators.ordered import ordered_prefix_sum
+from gradeframe.operators.sequence import unit_hash
 
 
 def sigmoid(z) -> Column:
@@ -90,6 +91,34 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
                       .alias("auc"))
 
 
+def roc_auc_histogram(df: DataFrame, label: str = "label", score: str = "score", bins: int = 1 << 16,
+                      low: float | None = None, high: float | None = None) -> DataFrame:
+    """M4 for very many distinct scores: (auc, bound) from counts of positives
+    and negatives in ``bins`` equal bins between ``low`` and ``high`` (the
+    least and greatest score unless given; scores beyond count at the ends).
+
+    Counts of parts of the data add up, map-side like any sum, and at most
+    ``bins`` rows are left to be put in order, whatever the input.  Pairs in
+    different bins count exactly; those of one bin count one half, so the
+    exact AUC lies within ``bound`` = sum(pos * neg) / (2 P N) over the bins.
+    Both are null with one class only."""
+    d = _valid(df, label, score).select((F.col(label) == 1).alias("_y"), F.col(score).cast("double").alias("_s"))
+    if low is None or high is None:
+        edge = d.agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))                     # one row
+    else:
+        edge = df.sparkSession.createDataFrame([(float(low), float(high))], "_lo double, _hi double")
+    share = F.coalesce(F.try_divide(F.col("_s") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(share * bins))).cast("int")
+    counts = d.crossJoin(F.broadcast(edge)).groupBy(place.alias("_b")).agg(
+        F.count_if("_y").alias("_pos"), F.count_if(~F.col("_y")).alias("_neg"))
+    above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)       # bins rows at most
+    c = counts.withColumn("_above", F.coalesce(F.sum("_pos").over(above), F.lit(0)))
+    pairs = F.sum("_pos").cast("double") * F.sum("_neg")
+    wins = F.sum(F.col("_neg").cast("double") * (F.col("_above") + F.col("_pos") / 2.0))
+    return c.agg(F.when(pairs > 0, wins / pairs).alias("auc"),
+                 F.when(pairs > 0, F.sum(F.col("_pos").cast("double") * F.col("_neg")) / 2 / pairs).alias("bound"))
+
+
 def mse(df: DataFrame, a: str, b: str) -> DataFrame:
     """M5: mean squared difference of two score columns."""
     d = _valid(df, a, b)
@@ -136,7 +165,7 @@ def aggregate_log(log: DataFrame, by: list[str] | None = None,
     by = by or ["epoch", "split"]
     aggs = [F.avg("loss").alias("loss_batch_mean"), F.count(F.lit(1)).alias("batches")]
     if "acc_hits" in log.columns and "acc_n" in log.columns:
-        aggs.append((F.sum("acc_hits") / F.sum("acc_n")).alias("acc"))
+        aggs.append(F.try_divide(F.sum("acc_hits"), F.sum("acc_n")).alias("acc"))
     out = log.groupBy(*by).agg(*aggs)
     if elements is not None:
         e = _valid(elements, "label", "pred")
@@ -149,13 +178,24 @@ def aggregate_log(log: DataFrame, by: list[str] | None = None,
 
 
 def best_epoch(summary: DataFrame, split_col: str = "split", valid: str = "valid",
-               metric: str = "loss_batch_mean", report: list[str] | None = None) -> DataFrame:
+               metric: str = "loss_batch_mean", report: dict[str, list[str]] | None = None) -> DataFrame:
     """The epoch with the smallest validation metric (first epoch
-    wins ties), with the requested split metrics at that epoch."""
-    v = summary.where(F.col(split_col) == valid)
-    best = v.agg(F.min_by("epoch", F.struct(F.col(metric), F.col("epoch"))).alias("best_epoch"),
-                 F.min(metric).alias("best_valid"))
-    return best
+    wins ties), and ``report`` (split -> its metrics) at that epoch as columns
+    ``<split>_<metric>`` (null where the split has no such epoch).
+
+    One conditional aggregate: the summary is reduced to one row per epoch, of
+    which the best is taken.
+    """
+    report = report or {}
+    here = F.col(split_col)
+    wanted = [F.max(F.when(here == s, F.col(m))).alias(f"{s}_{m}") for s, ms in report.items() for m in ms]
+    epochs = summary.groupBy("epoch").agg(F.min(F.when(here == valid, F.col(metric))).alias("_v"), *wanted)
+    names = [f"{s}_{m}" for s, ms in report.items() for m in ms]
+    order = F.struct("_v", "epoch")
+    best = epochs.where(F.col("_v").isNotNull()).agg(
+        F.min_by(F.struct(F.col("epoch"), F.col("_v"), *[F.col(f"`{c}`") for c in names]), order).alias("_b"))
+    return best.select(F.col("_b.epoch").alias("best_epoch"), F.col("_b._v").alias("best_valid"),
+                       *[F.col(f"_b.`{c}`").alias(c) for c in names])
 
 
 def running_best(summary: DataFrame, split_col: str = "split",
@@ -182,8 +222,8 @@ def prefix_metrics(log: DataFrame, every: int, by: list[str] | None = None) -> D
 
 def welch_t(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """M7: Welch's t statistic and degrees of freedom between groups a and b
-    (NULL for groups of one row or without variance).
-    The p value is :func:`welch_p_value` applied to this one-row result."""
+    (NULL for groups of one row or without variance), with its two-sided p
+    value (:func:`student_p`)."""
     s = df.where(F.col(group).isin(a, b)).groupBy().agg(
         *[f(F.when(F.col(group) == g, F.col(value).cast("double"))).alias(f"{n}_{i}")
           for i, g in enumerate((a, b))
@@ -191,7 +231,49 @@ def welch_t(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     va, vb = F.try_divide("v_0", "n_0"), F.try_divide("v_1", "n_1")
     t = F.try_divide(F.col("m_0") - F.col("m_1"), F.sqrt(va + vb))
     dof = F.try_divide((va + vb) ** 2, F.try_divide(va ** 2, F.col("n_0") - 1) + F.try_divide(vb ** 2, F.col("n_1") - 1))
-    return s.select(t.alias("t"), dof.alias("df"))
+    return s.select(t.alias("t"), dof.alias("df")).withColumn("p", student_p(F.col("t"), F.col("df")))
+
+
+def student_p(t: Column, dof: Column) -> Column:
+    """Two-sided p value of Student's t as a column: the regularised incomplete
+    beta function I_x(dof/2, 1/2) at x = dof / (dof + t^2).
+
+    Its continued fraction is folded step by step (more steps for more degrees
+    of freedom), on the side where it converges fast; the ratio
+    Gamma(a + 1/2) / Gamma(a) comes from its series at a + 50 and 50 factors.
+    """
+    a, b = dof / 2, F.lit(0.5)
+    odds = t * t / dof                                              # (1 - x) / x
+    x, rest = 1 / (1 + odds), odds / (1 + odds)
+    far = a + 50
+    series = F.log(far) / 2 - 1 / (8 * far) + 1 / (192 * far ** 3)
+    ratio = F.aggregate(F.sequence(F.lit(0), F.lit(49)), series, lambda s, i: s + F.log((a + i) / (a + i + 0.5)))
+    front = F.exp(-a * F.log1p(odds) + F.log(rest) / 2 + ratio - math.lgamma(0.5))
+    steps = F.sequence(F.lit(1), F.ceil(100 + 6 * F.sqrt(a)).cast("int"))
+
+    def fraction(p: Column, q: Column, z: Column) -> Column:
+        def safe(v):
+            return F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+        def turn(s: Column, coefficient: Column) -> Column:
+            d, c = 1 / safe(1 + coefficient * s["d"]), safe(1 + coefficient / s["c"])
+            return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+        def step(s: Column, m: Column) -> Column:
+            m = m.cast("double")
+            even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+            return F.transform(F.array(turn(s, even)), lambda u: turn(u, odd))[0]
+
+        d = 1 / safe(1 - (p + q) * z / (p + 1))
+        return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h")), step)["h"]
+
+    low = front * fraction(a, b, x) / a
+    high = 1 - front * fraction(b, a, rest) / b
+    value = F.when(x < (a + 1) / (a + b + 2), low).otherwise(high)
+    return (F.when(t.isNull() | dof.isNull() | F.isnan(t) | F.isnan(dof), F.lit(None).cast("double"))
+            .when(t == 0, F.lit(1.0)).when(F.abs(t) == float("inf"), F.lit(0.0))
+            .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))))
 
 
 def welch_p_value(t: float, dof: float) -> float:
@@ -222,15 +304,14 @@ def majority_baseline(df: DataFrame) -> DataFrame:
     return df.withColumn("pred", F.lit(1))
 
 
-def random_baseline(df: DataFrame, seed: int = 0) -> DataFrame:
+def random_baseline(df: DataFrame, seed: int = 0, key: list[str] | None = None) -> DataFrame:
     """M9: seeded normal logits, thresholded at 0.5 after the sigmoid.
 
-    Each draw is a function of the row and the seed (Box-Muller over two
-    hashes of all columns), so it survives retries and any partitioning;
-    equal rows get equal draws."""
-    def unit(part):
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(part), *df.columns), F.lit(1 << 52)) + 0.5) / (1 << 52)
-
-    draw = F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * math.pi * unit(1))
+    Each draw is a function of the row's ``key`` (all columns, unless named)
+    and the seed: Box-Muller over two portable hashes.  So it survives retries
+    and any partitioning; equal keys get equal draws."""
+    key = key or df.columns
+    first = (unit_hash(key, 2 * seed) * (1 << 52) + 0.5) / (1 << 52)             # never 0
+    draw = F.sqrt(-2 * F.log(first)) * F.cos(2 * math.pi * unit_hash(key, 2 * seed + 1))
     return df.withColumn("logit_rand", draw).withColumn(
         "pred", predict_label(F.col("logit_rand")))

@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(g).orderBy(o)`` sends every row of a group to
 one task, and a window without ``partitionBy`` sends the whole table to one
 task.  Both break when a group (a student, a split, the whole score domain)
-holds a large share of the rows.  One plan serves every size here:
+holds a large share of the rows.  Ordered work on such groups goes:
 
 1. Rows are range-partitioned on the whole order: group columns, then order
    columns, of any type.  A large group is spread over as many ranges as its
@@ -30,6 +30,8 @@ from gradeframe.session import cut_lineage
 
 _RANGE = "_range"
 
+HOT_ROWS = 1_000_000       # rows of a group that one task sorts
+
 
 def with_ranges(df: DataFrame, by: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
     """``df`` with ``_range``, the number of the row's range of (``by``,
@@ -77,10 +79,34 @@ def ordered_prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: s
 
 
 def sequence_number(df: DataFrame, by: list[str], order_cols: list[str], out_col: str,
-                    ranges: int | None = None) -> DataFrame:
-    """``row_number()`` (1-based) within ``by`` ordered by ``order_cols``,
-    exact and spread over all ranges of the whole order."""
+                    ranges: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``row_number()`` (1-based) within ``by`` ordered by ``order_cols``.
+
+    Groups of ``hot_rows`` rows at most are numbered by one window, each in a
+    task: the rows are shuffled once and nothing is stored.  Larger ones, found
+    by an aggregate that reads the group columns alone, and the table as a
+    whole where ``by`` is empty, are spread over ranges of the whole order.
+    Both give the same numbers; only rows that tie in the whole order may take
+    theirs in any order.
+    """
     order = [F.col(c) for c in order_cols]
-    d = _add_earlier(with_ranges(df, by, order, ranges), by, F.count(F.lit(1)), "_before")
-    here = F.row_number().over(Window.partitionBy(*by, _RANGE).orderBy(*order))
-    return d.withColumn(out_col, (here + F.coalesce("_before", F.lit(0))).cast("long")).drop("_before", _RANGE)
+
+    def window(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out_col, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        d = _add_earlier(with_ranges(rows, by, order, ranges), by, F.count(F.lit(1)), "_before")
+        here = F.row_number().over(Window.partitionBy(*by, _RANGE).orderBy(*order))
+        return d.withColumn(out_col, (here + F.coalesce("_before", F.lit(0))).cast("long")).drop("_before", _RANGE)
+
+    if not by:
+        return spread(df)
+    keys = [F.col(c).alias(f"_hot_{c}") for c in by]
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+    hot = cut_lineage(hot)                   # a row for every hot_rows rows of df at most
+    if hot.isEmpty():
+        return window(df)
+    same = F.lit(True)
+    for c in by:
+        same = same & df[c].eqNullSafe(hot[f"_hot_{c}"])
+    return window(df.join(hot, same, "left_anti")).unionByName(spread(df.join(hot, same, "left_semi")))

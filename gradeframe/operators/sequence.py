@@ -86,16 +86,51 @@ def pad_array(col: str, length, fill) -> F.Column:
 def pad_sequences(seqs: DataFrame, cols: dict[str, object], length=None) -> DataFrame:
     """Pad every array in ``cols`` (name -> fill value: -100 for labels,
     0 for inputs, '' for strings) to ``length`` or, when None, to the
-    longest sequence (a scalar subquery, no driver round trip)."""
+    longest array of any of them (a scalar subquery, no driver round trip)."""
     if length is None:
-        first = next(iter(cols))
-        length = seqs.select(F.max(F.size(first))).scalar()
+        length = seqs.select(F.max(F.greatest(F.lit(0), *[F.size(c) for c in cols]))).scalar()
     out = seqs
     for c, fill in cols.items():
         out = out.withColumn(c, pad_array(c, length, fill))
     return out
 
 
+def pad_steps(seqs: DataFrame, nested: dict[str, object], flat: dict[str, object] | None = None,
+              widths: dict[str, int] | None = None, length: int | None = None) -> DataFrame:
+    """W6 in two dimensions: a batch's padded tensors.
+
+    ``nested`` columns hold an array for each step (name -> fill value): every
+    step is padded to the column's width (``widths``, or its longest step: the
+    most tests of a problem, the length of a vector) and the sequence to the
+    longest one with steps of fill values.  ``flat`` columns hold one value
+    for each step and are padded to the same longest sequence.  Lengths are
+    taken over all named columns, each null counting as empty; nothing is cut.
+    All of them come from one aggregate of one row.
+    """
+    flat, widths = flat or {}, widths or {}
+    sizes = [F.coalesce(F.size(c), F.lit(0)) for c in (*nested, *flat)]
+    longest = [F.max(F.greatest(F.lit(0), *sizes)).alias("_steps")] + [
+        F.max(F.aggregate(F.coalesce(c, F.array().cast(seqs.schema[c].dataType)), F.lit(0),
+                          lambda n, x: F.greatest(n, F.size(x)))).alias(f"_w_{c}") for c in nested]
+    sized = seqs.crossJoin(F.broadcast(seqs.agg(*longest)))              # one row
+    steps = F.greatest(F.lit(length), F.col("_steps")) if length else F.col("_steps")
+
+    def filled(array, kind, value, size) -> F.Column:
+        whole = F.coalesce(array, F.array().cast(kind))
+        return F.concat(whole, F.array_repeat(value, size - F.size(whole)))
+
+    def padded(c: str, fill) -> F.Column:
+        kind = seqs.schema[c].dataType
+        if c in flat:
+            return filled(F.col(c), kind, F.lit(fill).cast(kind.elementType), steps)
+        width = F.greatest(F.lit(widths.get(c, 0)), F.col(f"_w_{c}"))
+        value = F.lit(fill).cast(kind.elementType.elementType)
+        whole = F.transform(F.coalesce(c, F.array().cast(kind)), lambda x: filled(x, kind.elementType, value, width))
+        return F.concat(whole, F.array_repeat(F.array_repeat(value, width), steps - F.size(whole)))
+
+    return sized.withColumns({c: padded(c, fill) for c, fill in {**nested, **flat}.items()}).select(*seqs.columns)
+
+
 def assign_batches(df: DataFrame, order: list[str], size: int, by: list[str] | None = None,
                    out: str = "batch", ranges: int | None = None) -> DataFrame:
     """Consecutive rows (in ``order``, within ``by``) form batches of
@@ -109,24 +144,25 @@ def state_at(states: DataFrame, requests: DataFrame, keys: list[str]) -> DataFra
     return requests.join(states, keys, "left")
 
 
+def unit_hash(cols: list[str], seed: int) -> F.Column:
+    """A uniform value in [0, 1) from the text of ``cols``: the first 52 bits
+    of an md5, which any engine gives alike."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in cols]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+
+
 def sample_n(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
     """A reproducible sample of ``n`` rows: the ``n`` smallest hashes of
     the row key (a top-k, planned as TakeOrderedAndProject)."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-    return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
-
-
-def _unit_hash(cols: list[str], seed: int) -> F.Column:
-    """A uniform value in [0, 1) from the hash of ``cols``."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
-    return (F.pmod(h, F.lit(1 << 30)).cast("double")) / float(1 << 30)
+    return df.withColumn("_h", unit_hash(key, seed)).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def split_by_hash(df: DataFrame, key: list[str], test_size: float = 0.2, seed: int = 0,
                   out: str = "split") -> DataFrame:
     """T4 / T5 (hash form): train / valid / test by a hash of ``key``.  All
     rows of one key land in the same split; no shuffle at all."""
-    u = _unit_hash(key, seed)
+    u = unit_hash(key, seed)
     return df.withColumn(out, F.when(u >= test_size, "train")
                          .when(u < test_size / 2, "valid").otherwise("test"))
 
@@ -137,7 +173,7 @@ def split_exact(df: DataFrame, key: list[str], test_size: float = 0.2, seed: int
     ceil(n*test_size) keys are held out, of which ceil(m/2) are test and the
     rest valid.  The ranking is the skew-safe global numbering.  Rows with
     null keys are one key like any other."""
-    keys = df.select(*key).distinct().withColumn("_h", _unit_hash(key, seed))
+    keys = df.select(*key).distinct().withColumn("_h", unit_hash(key, seed))
     n = keys.select(F.count(F.lit(1))).scalar()
     ranked = sequence_number(keys, [], ["_h", *key], "_r")
     m = F.ceil(n * F.lit(test_size))

@@ -172,6 +172,24 @@ def j3(spark, d):
     return m.select("subject_id", "code_state_id", "timestep", "score")
 
 
+@register("J3_within_tolerance", """WITH l AS (SELECT o_custkey, o_orderkey AS l_key,
+  CASE WHEN o_orderkey % 17 <> 0 THEN floor(o_totalprice / 1000) END AS score FROM orders),
+r AS (SELECT o_custkey, o_orderkey AS r_key, CASE WHEN o_orderkey % 19 <> 0 THEN floor(o_totalprice / 1000)
+  + CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 WHEN 3 THEN 0.75 WHEN 4 THEN -0.5 ELSE 1.5 END END AS score
+  FROM orders)
+SELECT r.o_custkey, l_key, r_key, l.score AS score_left, r.score FROM l RIGHT JOIN r ON l.o_custkey = r.o_custkey
+  AND (abs(l.score - r.score) <= 0.5 OR (l.score IS NULL AND r.score IS NULL))""")
+def j3_within(spark, d):
+    """J3 with a tolerance of 0.5: scores apart by less, by just as much (at
+    bucket borders) and by more, and null ones."""
+    o = A.load(spark, d, "orders")
+    base, k = F.floor(F.col("o_totalprice") / 1000).cast("double"), F.col("o_orderkey")
+    shift = F.element_at(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, -0.5, 1.5)]), (k % 6 + 1).cast("int"))
+    left = o.select("o_custkey", k.alias("l_key"), F.when(k % 17 != 0, base).alias("score"))
+    right = o.select("o_custkey", k.alias("r_key"), F.when(k % 19 != 0, base + shift).alias("score"))
+    return C.join_within(left, right, ["o_custkey"], "score", 0.5).select("o_custkey", "l_key", "r_key", "score_left", "score")
+
+
 @register("J4_lookup", f"""WITH {Q.SUBS},
 p AS (SELECT problem_id, CAST(row_number() OVER (ORDER BY problem_id) - 1 AS BIGINT) AS problem_ix
   FROM (SELECT DISTINCT problem_id FROM subs))
@@ -282,22 +300,36 @@ def t2(spark, d):
         .orderBy("subject_id", "problem_id", "code_state_id")
 
 
-@register("T3_sample_n")
+def unit_sql(seed: int, key: str) -> str:
+    """The portable hash of one column in DuckDB."""
+    return f"(CAST('0x' || substr(md5('{seed}|' || coalesce('=' || CAST({key} AS VARCHAR), '-')), 1, 13) AS BIGINT) / 4503599627370496)"
+
+
+@register("T3_sample_n", f"""WITH {Q.SUBS}
+SELECT * FROM subs ORDER BY {unit_sql(42, "code_state_id")}, code_state_id LIMIT 120""")
 def t3(spark, d):
     return S.sample_n(A.submissions(spark, d), 120, 42, ["code_state_id"])
 
 
-@register("T4_split_students")
+@register("T4_split_students", f"""WITH {Q.SUBS},
+k AS (SELECT subject_id, row_number() OVER (ORDER BY {unit_sql(42, "subject_id")}, subject_id) AS r,
+  count(*) OVER () AS n, CAST(ceil(count(*) OVER () * 0.2) AS BIGINT) AS m FROM (SELECT DISTINCT subject_id FROM subs)),
+l AS (SELECT subject_id, CASE WHEN r <= n - m THEN 'train'
+  WHEN r <= n - CAST(ceil(m / 2) AS BIGINT) THEN 'valid' ELSE 'test' END AS split FROM k)
+SELECT split, count(DISTINCT l.subject_id) AS students, count(*) AS rows, CAST(sum(hash_part) AS BIGINT) AS ids
+FROM l JOIN (SELECT subject_id, subject_id AS hash_part FROM subs) s ON s.subject_id IS NOT DISTINCT FROM l.subject_id
+GROUP BY split""")
 def t4(spark, d):
     s = S.split_exact(A.submissions(spark, d), ["subject_id"], 0.2, 42)
     return s.groupBy("split").agg(F.count_distinct("subject_id").alias("students"),
-                                  F.count(F.lit(1)).alias("rows"))
+                                  F.count(F.lit(1)).alias("rows"), F.sum("subject_id").alias("ids"))
 
 
-@register("T5_split_rows")
+@register("T5_split_rows", f"""WITH {Q.SUBS}, u AS (SELECT code_state_id, {unit_sql(42, "code_state_id")} AS u FROM subs)
+SELECT code_state_id, CASE WHEN u >= 0.2 THEN 'train' WHEN u < 0.1 THEN 'valid' ELSE 'test' END AS split FROM u""")
 def t5(spark, d):
     s = S.split_by_hash(A.submissions(spark, d), ["code_state_id"], 0.2, 42)
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return s.select("code_state_id", "split")
 
 
 @register("P3_valid_problems", """SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'""")
@@ -364,3 +396,27 @@ def w6l(spark, d):
     seqs = S.to_sequences(seg, "seq_id", "timestep", ["s"])
     p = S.pad_sequences(seqs, {"s": 0})          # length: longest sequence (scalar subquery)
     return p.select("seq_id", F.array_join("s", ",").alias("scores_padded"))
+
+
+@register("W6_pad_steps", """WITH st AS (SELECT o_custkey, o_orderkey, any_value(o_orderstatus) AS status,
+  list(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END ORDER BY l_linenumber, l_partkey, l_suppkey, l_linestatus) AS lab
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey),
+sq AS (SELECT o_custkey, list(lab ORDER BY o_orderkey) AS labs, list(o_orderkey ORDER BY o_orderkey) AS keys,
+  list(status ORDER BY o_orderkey) AS sts FROM st GROUP BY o_custkey),
+m AS (SELECT max(len(labs)) AS steps, (SELECT max(len(lab)) FROM st) AS w FROM sq)
+SELECT o_custkey, array_to_string(list_transform(list_concat(labs, list_transform(range(steps - len(labs)), lambda i: CAST([] AS INTEGER[]))),
+    lambda x: array_to_string(list_concat(x, list_transform(range(w - len(x)), lambda i: -100)), ',')), ';') AS labels,
+  array_to_string(list_concat(keys, list_transform(range(steps - len(keys)), lambda i: 0)), ',') AS problems,
+  array_to_string(list_concat(sts, list_transform(range(steps - len(sts)), lambda i: '')), ',') AS codes FROM sq, m""")
+def w6_steps(spark, d):
+    """customers' orders as sequences, an order's lines as its tests."""
+    li = A.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus",
+                                             F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("lab"))
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "lab")))
+    steps = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(lines["lab"].alias("labels"))
+    o = A.load(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("codes"))
+    seqs = S.to_sequences(o.join(steps, "o_orderkey").withColumn("problems", F.col("o_orderkey")),
+                          "o_custkey", "o_orderkey", ["labels", "problems", "codes"])
+    p = S.pad_steps(seqs, {"labels": -100}, {"problems": 0, "codes": ""})
+    return p.select("o_custkey", F.array_join(F.transform("labels", lambda x: F.array_join(x.cast("array<string>"), ",")), ";").alias("labels"),
+                    F.array_join(F.col("problems").cast("array<string>"), ",").alias("problems"), F.array_join("codes", ",").alias("codes"))

@@ -139,6 +139,53 @@ def m7(spark, d):
     return r.select(r6("t").alias("t"), r6("df").alias("df"))
 
 
+@register("M7_welch_p", f"""WITH {Q.PRED},
+s AS (SELECT avg(prob) FILTER (WHERE label=0) m0, var_samp(prob) FILTER (WHERE label=0) v0,
+  count(prob) FILTER (WHERE label=0) n0, avg(prob) FILTER (WHERE label=1) m1,
+  var_samp(prob) FILTER (WHERE label=1) v1, count(prob) FILTER (WHERE label=1) n1 FROM pred),
+r AS (SELECT (m0-m1)/sqrt(v0/n0+v1/n1) AS t,
+  (v0/n0+v1/n1)*(v0/n0+v1/n1)/((v0/n0)*(v0/n0)/(n0-1)+(v1/n1)*(v1/n1)/(n1-1)) AS df FROM s),
+g AS (SELECT t, df, atan2(sqrt(df), abs(t)) AS phi, greatest(0, atan2(sqrt(df), abs(t)) - 40 / sqrt(df)) AS lo FROM r)
+SELECT round(any_value(t), 6) AS t, round(any_value(df), 6) AS df, round(least(1, 2 * any_value(exp(lgamma((df+1)/2)
+  - lgamma(df/2) - lgamma(0.5))) * any_value((phi - lo) / 60000) * sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * pow(sin(lo + i * (phi - lo) / 20000), df - 1))), 6) AS p FROM g, range(20001) u(i)""")
+def m7p(spark, d):
+    """M7 with the p value; the oracle integrates the density by Simpson's rule."""
+    r = M.welch_t(A.predictions(spark, d), "prob", "label", 0, 1)
+    return r.select(r6("t").alias("t"), r6("df").alias("df"), r6("p").alias("p"))
+
+
+@register("M4_auc_histogram", """WITH x AS (SELECT l_extendedprice AS s, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y FROM lineitem),
+e AS (SELECT min(s) AS lo, max(s) AS hi FROM x),
+b AS (SELECT greatest(0, least(1023, floor((s - lo) / (hi - lo) * 1024))) AS b, sum(y) AS p, sum(1 - y) AS n FROM x, e GROUP BY 1),
+c AS (SELECT *, coalesce(sum(p) OVER (ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM b)
+SELECT round(sum(n * (above + p / 2.0)) / (CAST(sum(p) AS DOUBLE) * sum(n)), 6) AS auc,
+  round(CAST(sum(p * n) AS DOUBLE) / 2 / (CAST(sum(p) AS DOUBLE) * sum(n)), 6) AS bound, TRUE AS within FROM c""")
+def m4_histogram(spark, d):
+    """M4 over prices, nearly all distinct, in 1,024 bins; the exact AUC is
+    within the bound."""
+    x = A.load(spark, d, "lineitem").select(F.col("l_extendedprice").alias("score"),
+                                            F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("label"))
+    sketch = M.roc_auc_histogram(x, bins=1024)
+    both = sketch.crossJoin(M.roc_auc(x).select(F.col("auc").alias("exact")))                # two rows of one
+    return both.select(r6("auc").alias("auc"), r6("bound").alias("bound"),
+                       (F.abs(F.col("exact") - F.col("auc")) <= F.col("bound") + 1e-12).alias("within"))
+
+
+@register("W8_best_epoch_report", f"""WITH {_LOG},
+s AS (SELECT epoch, split, avg(loss) m, count(*) n FROM log GROUP BY 1, 2),
+b AS (SELECT arg_min(epoch, (m, epoch)) AS e, min(m) AS m FROM s WHERE split = '3-MEDIUM')
+SELECT b.e AS best_epoch, round(b.m, 6) AS best_valid, (SELECT round(m, 6) FROM s WHERE epoch = b.e AND split = '1-URGENT') AS test_loss,
+  (SELECT n FROM s WHERE epoch = b.e AND split = '1-URGENT') AS test_batches,
+  (SELECT round(m, 6) FROM s WHERE epoch = b.e AND split = '5-LOW') AS train_loss FROM b""")
+def w8_report(spark, d):
+    """Other splits' metrics at the epoch that is best in validation."""
+    b = M.best_epoch(M.aggregate_log(A.metric_log(spark, d)), valid="3-MEDIUM",
+                     report={"1-URGENT": ["loss_batch_mean", "batches"], "5-LOW": ["loss_batch_mean"]})
+    return b.select("best_epoch", r6("best_valid").alias("best_valid"), r6(F.col("`1-URGENT_loss_batch_mean`")).alias("test_loss"),
+                    F.col("`1-URGENT_batches`").alias("test_batches"), r6(F.col("`5-LOW_loss_batch_mean`")).alias("train_loss"))
+
+
 @register("P8_padding_mask", f"""WITH {Q.PRED},
 pad AS (SELECT submission_id, test_no, label, prob FROM pred
   UNION ALL SELECT submission_id, test_no + 100, -100, 0.9 FROM pred WHERE test_no = 1)
@@ -165,9 +212,17 @@ def m9(spark, d):
     return M.accuracy(p).select(r6("accuracy").alias("accuracy"))
 
 
-@register("M9_random_baseline")
+def _draw_sql(seed: int) -> str:
+    return (f"CAST('0x' || substr(md5('{seed}|=' || CAST(submission_id AS VARCHAR) || '|=' || CAST(test_no AS VARCHAR)), 1, 13) "
+            "AS BIGINT)")
+
+
+@register("M9_random_baseline", f"""WITH {Q.PRED},
+z AS (SELECT label, sqrt(-2 * ln(({_draw_sql(14)} + 0.5) / 4503599627370496)) * cos(2 * pi() * ({_draw_sql(15)} / 4503599627370496)) AS z
+  FROM pred)
+SELECT round(avg(CASE WHEN label = CASE WHEN z > 0 THEN 1 ELSE 0 END THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM z""")
 def m9r(spark, d):
-    p = M.random_baseline(A.predictions(spark, d), seed=7)
+    p = M.random_baseline(A.predictions(spark, d), seed=7, key=["submission_id", "test_no"])
     return M.accuracy(p).select(r6("accuracy").alias("accuracy"))
 
 

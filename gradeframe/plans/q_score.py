@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeframe.operators import score as V
@@ -41,11 +42,28 @@ def v3(spark, d):
     return out.select("vec_id", "label", r6("logit").alias("logit"))
 
 
+@register("V3_head_bank", """WITH heads AS (SELECT label, t, embedding AS w FROM (SELECT label, embedding,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t FROM embeddings) WHERE t <= 1 + (label * 7) % 26)
+SELECT e.vec_id, e.label, h.t AS test_no, round(list_sum(list_transform(range(1, len(e.embedding) + 1),
+  lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(h.w[i] AS DOUBLE))) + 0.125 * h.t, 6) AS logit
+FROM embeddings e JOIN heads h USING (label)""")
+def v3_bank(spark, d):
+    """V3: up to 26 heads a problem, another number for each: a label's first
+    vectors are its heads."""
+    e = A.embeddings(spark, d)
+    t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    heads = e.select("label", "embedding", t.alias("t")).where(F.col("t") <= 1 + (F.col("label") * 7) % 26)
+    bank = V.pack_bank(heads.withColumn("bias", 0.125 * F.col("t")), "label", "t", "embedding", "bias")
+    got = V.bank_logits(e.select("vec_id", "label", "embedding"), bank, "label", "embedding")
+    return V.long_logits(got, ["vec_id", "label"]).withColumn("logit", r6("logit"))
+
+
 @register("V4_single_head", """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 0.5))
   - 0.25, 6) AS logit FROM embeddings""")
 def v4(spark, d):
     e = A.embeddings(spark, d)
-    return e.select("vec_id", r6(V.single_head(e, "embedding", [0.5] * 64, -0.25)).alias("logit"))
+    width = e.select(F.max(F.size("embedding"))).first()[0]
+    return V.single_head(e, "embedding", [0.5] * width, -0.25).select("vec_id", r6("logit").alias("logit"))
 
 
 @register("X21_concat_vectors", """SELECT a.vec_id, len(list_concat(a.embedding, b.embedding)) AS width,

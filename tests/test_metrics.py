@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,55 @@ def test_fixture_metric_values(spark):
                                      (3.0, 3, 0.0577), (0.0, 5, 1.0), (-2.0, 10, 0.0734)])
 def test_welch_p_value_known(t, dof, p):
     assert M.welch_p_value(t, dof) == pytest.approx(p, abs=1e-4)
+
+
+def test_histogram_auc_is_within_its_bound(spark):
+    import random
+    rng = random.Random(2)
+    rows = [(int(rng.random() < 0.4), rng.gauss(0, 1)) for _ in range(400)] + [(None, 1.0), (1, None), (1, 9.0), (0, 9.0)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    pos = [s for y, s in rows if y == 1 and s is not None]
+    neg = [s for y, s in rows if y == 0]
+    exact = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    for bins in (1, 4, 64, 1 << 16):
+        r = M.roc_auc_histogram(df, bins=bins).first()
+        assert abs(r.auc - exact) <= r.bound + 1e-12
+    assert r.bound < 1e-3 and M.roc_auc_histogram(df, bins=1).first().bound == pytest.approx(0.5)
+    cut = M.roc_auc_histogram(df, bins=64, low=-1.0, high=1.0).first()
+    assert abs(cut.auc - exact) <= cut.bound
+    one = M.roc_auc_histogram(df.where("label = 1")).first()
+    assert one.auc is None and one.bound is None
+    same = spark.createDataFrame([(0, 1.0), (1, 1.0)], "label int, score double")
+    assert tuple(M.roc_auc_histogram(same).first()) == (0.5, 0.5)
+    assert M.roc_auc_histogram(df.limit(0)).first().auc is None
+
+
+def test_p_value_column_equals_quadrature(spark):
+    cases = [(t, dof) for t in (-3.2, 0.0, 1e-6, 0.3, 1.0, 2.5, 12.0, 300.0) for dof in (1.0, 2.0, 5.5, 30.0, 999.3, 1e6)]
+    df = spark.createDataFrame(cases, "t double, dof double").withColumn("p", M.student_p(F.col("t"), F.col("dof")))
+    for r in df.collect():
+        assert r.p == pytest.approx(M.welch_p_value(r.t, r.dof), rel=1e-6, abs=1e-12), r
+    # below one degree of freedom, with the singularity at 0 taken out
+    node, weight = np.polynomial.legendre.leggauss(200)
+    top = math.atan2(math.sqrt(0.7), 3.2) ** 0.7
+    u = (top * (node + 1) / 2) ** (1 / 0.7)
+    area = ((np.sin(u) / u) ** -0.3 * weight).sum() * top / 2 / 0.7
+    want = 2 * area / math.exp(math.lgamma(0.35) + math.lgamma(0.5) - math.lgamma(0.85))
+    few = spark.createDataFrame([(-3.2, 0.7)], "t double, dof double")
+    assert few.select(M.student_p(F.col("t"), F.col("dof"))).first()[0] == pytest.approx(want, rel=1e-8)
+    edge = spark.createDataFrame([(None, 1.0), (1.0, None), (float("nan"), 1.0), (float("inf"), 3.0)], "t double, dof double")
+    assert [r.p for r in edge.select(M.student_p(F.col("t"), F.col("dof")).alias("p")).collect()] == [None, None, None, 0.0]
+
+
+def test_best_epoch_reports_other_splits(spark):
+    log = spark.createDataFrame([(0, "valid", 2.0, 0.5), (1, "valid", 1.0, 0.6), (2, "valid", 1.0, 0.9), (1, "test", 7.0, 0.1),
+                                 (2, "test", 5.0, 0.2), (0, "train", 3.0, None), (3, "test", 0.0, 1.0)],
+                                "epoch long, split string, loss_batch_mean double, acc double")
+    r = M.best_epoch(log, report={"test": ["loss_batch_mean", "acc"], "train": ["acc"]}).first()
+    assert tuple(r) == (1, 1.0, 7.0, 0.1, None)
+    assert tuple(M.best_epoch(log).first()) == (1, 1.0)
+
+
+def test_accuracy_of_a_log_without_elements(spark):
+    log = spark.createDataFrame([(0, "a", 1.0, 0, 0), (0, "b", 1.0, 1, 2)], "epoch long, split string, loss double, acc_hits long, acc_n long")
+    assert {r.split: r.acc for r in M.aggregate_log(log).collect()} == {"a": None, "b": 0.5}

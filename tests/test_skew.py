@@ -71,7 +71,7 @@ def test_leading_key_with_most_rows_is_spread_and_exact(spark):
                                     ((F.col("id") * 7919) % 20_000).alias("o"))
     sizes = _range_sizes(df, ["g"], ["o"])
     assert len(sizes) > 8 and sizes[-1] < 5_000
-    got = O.sequence_number(df, ["g"], ["o"], "rn", ranges=16)
+    got = O.sequence_number(df, ["g"], ["o"], "rn", ranges=16, hot_rows=100)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("long"))
     assert got.exceptAll(want).count() == 0 and got.count() == 20_000      # the null group too
 
@@ -82,3 +82,20 @@ def test_split_keeps_rows_without_a_key(spark):
     got = S.split_exact(df, ["k"], 0.5, 1).collect()
     assert len(got) == 5 and all(r.split for r in got)
     assert len({r.split for r in got if r.k is None}) == 1
+
+
+def test_hot_and_cold_groups_get_the_same_numbers(spark):
+    """Groups beyond ``hot_rows`` are spread over ranges, the others not."""
+    import random
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 50), i) for i in range(600)]
+    rows += [("c", None, 1000), ("c", 1, 1001)]
+    df = spark.createDataFrame(rows, "g string, o long, i long")
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want.update({r[2]: n for n, r in enumerate(own, 1)})
+    for hot_rows in (0, 150, 1_000_000):
+        got = O.sequence_number(df, ["g"], ["o", "i"], "rn", ranges=7, hot_rows=hot_rows)
+        assert got.columns == ["g", "o", "i", "rn"]
+        assert {r.i: r.rn for r in got.collect()} == want
