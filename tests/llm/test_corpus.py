@@ -232,3 +232,16 @@ def test_role_words_leave_content(spark):
              "<div class=search>All of the text of a page</div>",
              "<article><p>One</p><div class=share>Two</div></article><div class=share>Three</div>"]
     assert texts_of(spark, pages) == ["Work\nMeta\nCells\nGroup\nRead on here", "All of the text of a page", "One\nTwo"]
+
+
+def test_pipeline_keeps_one_of_equal_rows(spark):
+    """Rows equal in doc_id and text; the least lang, source and n_chars stay.
+    Rows without words are no copies of each other."""
+    words = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, words, "en", "b", 3), (1, words, "en", "a", 9), (1, words, None, "z", 1), (2, words, "en", "a", 1),
+            (3, "another text of its own with some words in it", "en", "a", 1), (4, "", "en", "a", 1), (4, "", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    got = sorted(((r.doc_id, r.lang, r.source, r.n_chars) for r in kept.collect()), key=str)
+    assert got == [(1, None, "z", 1), (3, "en", "a", 1), (4, "en", "a", 1), (4, "en", "a", 1)]
