@@ -1,6 +1,6 @@
 """Language identification with a linear-chain conditional random field.
 
-Words (runs of letters) are labelled one by one, so code-switched text gets a
+Words (a letter, then letters and marks) are labelled one by one, so code-switched text gets a
 language per word.  A word's features are hashed: its prefixes and suffixes of
 1 to 3 characters, its character pairs and triples and the word itself (the
 learned lexicon).  Transition weights between the labels of neighbouring words
@@ -11,12 +11,18 @@ all its words, which is also its score.
 
 Training reads only text and lang of documents outside the held-out fold, a
 sample bounded by about ``TRAIN_DOCS`` different rows per language (chosen by a hash of
-their id and text, the first of that order and twice as many at most), cut into
-stretches that are strung together across languages, so that the chain sees switches.
+their id and text, the first of that order and twice as many at most; of a longer text
+a window of ``TRAIN_CHARS`` characters, placed by that hash and cut on the executors),
+cut into stretches that are strung together across languages, so that the chain sees
+switches; training takes ``CHAIN`` words at a time as one sequence.
 Every language of those documents is learned, however rare: the model is ``DIM``
 weights per language (262 MB for 1000 languages; driver and workers hold it whole, the
-driver while training three times and with the sample).  Prediction reads whole texts;
-chains are stretches of at most ``CHAIN`` words.
+driver while training three times and with the sample).  Prediction reads whole texts,
+and a text is one chain however long: its stretches of ``CHAIN`` words are worked on side
+by side, each starts from its neighbours' messages, and those whose messages still
+change are worked on again, until none does (``SETTLED``).  So ``CHAIN`` is a size of
+work and not a border: after n rounds the first and last n stretches are exact, and as a
+chain forgets its start soon, two or three rounds settle texts of any length.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every
 text when no labelled row is there to learn from.  Ties go to the label that
@@ -25,11 +31,10 @@ sorts first.  Every row gives one row; an empty table gives none.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +43,12 @@ from . import common
 FOLDS = 5
 TRAIN_DOCS = 150           # per language
 TRAIN_WORDS = 150          # longest stretch taken from a training text at a time
+TRAIN_CHARS = 20_000       # longest window taken from a training text
 DIM = 1 << 15
-CHAIN = 64
+CHAIN = 64                 # words worked on as one row of arrays
+SETTLED = 1e-12            # largest change of a message that counts as none
 EPOCHS, RATE = 3, 0.2
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def _room(n: int, labels: int) -> int:
@@ -150,9 +157,9 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, real: np.ndarray):
     return post, expected, both
 
 
-def chains(code: np.ndarray, doc: np.ndarray, length: int = CHAIN):
-    """Cut flat words into chains inside their documents: positions (chain,
-    place) with -1 where a chain has ended."""
+def stretches(code: np.ndarray, doc: np.ndarray, length: int):
+    """Cut flat words into stretches inside their documents: positions
+    (stretch, place) with -1 where a document has ended."""
     place = np.arange(len(doc)) - np.searchsorted(doc, doc)
     fresh = place % length == 0
     chain = np.cumsum(fresh) - 1
@@ -166,18 +173,18 @@ def train(rows: list[tuple[str, str]], labels: list[str], seed: int = 7):
     rng = np.random.default_rng(seed)
     k = len(labels)
     weight, move = np.zeros((DIM, k)), np.zeros((k, k))
-    stretches, number = [], {lang: i for i, lang in enumerate(labels)}
+    pieces, number = [], {lang: i for i, lang in enumerate(labels)}
     for text, lang in rows:
         words = WORD.findall(text)
-        stretches += [(words[i:i + TRAIN_WORDS], number[lang]) for i in range(0, len(words), TRAIN_WORDS)]
-    if not stretches:
+        pieces += [(words[i:i + TRAIN_WORDS], number[lang]) for i in range(0, len(words), TRAIN_WORDS)]
+    if not pieces:
         return weight, move
-    order = rng.permutation(len(stretches))
-    flat = [w for s in order for w in stretches[s][0]]
-    gold = np.array([y for s in order for y in [stretches[s][1]] * len(stretches[s][0])])
+    order = rng.permutation(len(pieces))
+    flat = [w for s in order for w in pieces[s][0]]
+    gold = np.array([y for s in order for y in [pieces[s][1]] * len(pieces[s][0])])
     code, distinct = pd.factorize(np.array(flat, object))
     words = Words(distinct)
-    at = chains(code, np.zeros(len(code), np.int64))     # stretches follow one another: switches inside chains
+    at = stretches(code, np.zeros(len(code), np.int64), CHAIN)     # pieces follow one another: switches inside chains
     sum_w, sum_m = np.full_like(weight, 1e-6), np.full_like(move, 1e-6)
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(at)), max(1, len(at) // 64)):
@@ -222,7 +229,9 @@ def training_rows(docs: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
              .groupBy("lang", "text").agg(F.min(h).alias("h")))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     chosen = drawn.withColumn("first", first).where(F.col("first") <= 2 * TRAIN_DOCS)
-    return sorted((r["text"], r["lang"]) for r in chosen.select("text", "lang").collect()), sorted(labels)
+    past = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0))
+    window = F.substring(F.col("text"), (F.pmod("h", past + 1) + 1).cast("int"), F.lit(TRAIN_CHARS))
+    return sorted((r["text"], r["lang"]) for r in chosen.select(window.alias("text"), "lang").collect()), sorted(labels)
 
 
 def held_out():
@@ -230,48 +239,69 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def label_words(texts: list[str], model, labels: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+def label_words(texts: list[str], model, labels: list[str],
+                length: int = CHAIN) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     """Posterior (word, label) of all words of several texts, the words'
-    documents, and the words."""
+    documents, and the words.  ``length`` words of a text are worked on as one
+    row; it does not change the posteriors."""
     weight, move = model
     split = [WORD.findall(t) for t in texts]
     doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])
     flat = np.empty(len(doc), object)
     flat[:] = [w for ws in split for w in ws]
     code, distinct = pd.factorize(flat)
-    at = chains(code, doc)
+    at = stretches(code, doc, length)
     out = np.zeros((len(code), len(labels)))
-    if len(code):
-        emit = _emitter(weight)(distinct)
-        for part in np.array_split(at, -(-len(at) // _room(2048, len(labels)))):
-            real = part >= 0
-            post = posterior(emit[code[np.maximum(part, 0)]], move, real)
-            out[part[real]] = post[real]
+    if not len(code):
+        return out, doc, split
+    emit = _emitter(weight)(distinct)
+    owner = doc[at[:, 0]]
+    tied = np.flatnonzero(owner[1:] == owner[:-1])       # stretches that the next one goes on
+    before, after = (np.full((len(at), len(labels)), 1 / len(labels)) for _ in range(2))
+    onward, backward = np.empty_like(before), np.empty_like(before)
+    todo = np.arange(len(at))
+    while len(todo):
+        for part in np.array_split(todo, -(-len(todo) // _room(2048, len(labels)))):
+            real = at[part] >= 0
+            post, onward[part], backward[part] = posterior(
+                emit[code[np.maximum(at[part], 0)]], move, real, before[part], after[part])
+            out[at[part][real]] = post[real]
+        change = np.zeros(len(at))
+        change[tied + 1] = np.abs(onward[tied] - before[tied + 1]).max(axis=1)
+        change[tied] = np.maximum(change[tied], np.abs(backward[tied + 1] - after[tied]).max(axis=1))
+        before[tied + 1], after[tied] = onward[tied], backward[tied + 1]
+        todo = np.flatnonzero(change > SETTLED)
     return out, doc, split
 
 
-def posterior(emit: np.ndarray, move: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """Posteriors alone, laid out for prediction."""
+def posterior(emit: np.ndarray, move: np.ndarray, real: np.ndarray, before: np.ndarray, after: np.ndarray):
+    """Posteriors of stretches (stretch, place, label), given the messages
+    ``before`` their first and ``after`` their last word (even ones where a
+    text begins or ends), and the messages that they send on and back."""
     n, t, k = emit.shape
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     m = np.exp(move - move.max())
-    alpha, beta = np.empty((t, n, k)), np.ones((t, n, k))
+    alpha, beta = np.empty((t, n, k)), np.empty((t, n, k))
     e = np.ascontiguousarray(e.transpose(1, 0, 2))
     live = real.T[:, :, None]
-    a = e[0] / e[0].sum(axis=1, keepdims=True)
+    a = before * e[0]
+    a /= a.sum(axis=1, keepdims=True)
     alpha[0] = a
     for i in range(1, t):
         step = (a @ m) * e[i]
         step /= step.sum(axis=1, keepdims=True)
         a = np.where(live[i], step, a)
         alpha[i] = a
+    beta[-1] = after
     for i in range(t - 2, -1, -1):
         step = (e[i + 1] * beta[i + 1]) @ m.T
         step /= step.sum(axis=1, keepdims=True)
-        beta[i] = np.where(live[i + 1], step, 1.0)
+        beta[i] = np.where(live[i + 1], step, after)
+    onward, backward = a @ m, (e[0] * beta[0]) @ m.T
     post = alpha * beta
     post /= post.sum(axis=2, keepdims=True)
-    return post.transpose(1, 0, 2)
+    return (post.transpose(1, 0, 2), onward / onward.sum(axis=1, keepdims=True),
+            backward / backward.sum(axis=1, keepdims=True))
 
 
 def predict(docs: DataFrame, model, labels: list[str], keep: list[str], text: str = "text") -> DataFrame:

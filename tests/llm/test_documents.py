@@ -1,10 +1,12 @@
 """Operators that map documents one by one, against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +147,65 @@ def test_language_held_out(spark, docs):
     assert {r["lang_pred"] for r in crf_langid.predict(docs, crf_langid.train([], []), [], ["doc_id"]).collect()} == {"und"}
 
 
+def plain_posteriors(emit, move):
+    """By adding up every sequence of labels."""
+    n, k = emit.shape
+    out = np.zeros((n, k))
+    for path in itertools.product(range(k), repeat=n):
+        weight = np.exp(sum(emit[i, y] for i, y in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:])))
+        out[range(n), path] += weight
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_crf_posteriors_equal_all_label_sequences():
+    rng = np.random.default_rng(3)
+    labels = ["a", "b", "c"]
+    for n in (1, 2, 5, 7):
+        emit, move = rng.normal(0, 2, (n, 3)), rng.normal(0, 2, (3, 3))
+        wanted = plain_posteriors(emit, move)
+        post, moves, _ = crf_langid.forward_backward(emit[None], move, np.ones((1, n), bool))
+        assert np.allclose(post[0], wanted)
+        assert np.allclose(moves.sum(), n - 1)
+    model = rng.normal(0, 2, (crf_langid.DIM, 3)), rng.normal(0, 2, (3, 3))
+    texts = ["one two three four five six seven", "", "un deux", "eins zwei drei vier", "x"]
+    for length in (1, 2, 3, 64):
+        post, doc, words = crf_langid.label_words(texts, model, labels, length)
+        for i, ws in enumerate(words):
+            if ws:
+                assert np.allclose(post[doc == i], plain_posteriors(crf_langid.Words(ws).emissions(model[0]), model[1]))
+
+
+def test_crf_long_texts_are_one_chain():
+    rng = np.random.default_rng(4)
+    labels, vocabulary = ["a", "b", "c", "d"], ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    for sticky in (0, 6):                    # chains that forget soon, and late
+        model = rng.normal(0, 1, (crf_langid.DIM, 4)), rng.normal(0, 1, (4, 4)) + sticky * np.eye(4)
+        texts = [" ".join(rng.choice(vocabulary, n)) for n in (5000, 64, 65, 128, 3, 700)]
+        whole = crf_langid.label_words(texts, model, labels, 5000)[0]
+        assert np.abs(crf_langid.label_words(texts, model, labels)[0] - whole).max() < 1e-8
+
+
+def test_crf_letters_decide_und(spark):
+    texts = ["\u00b2 \u00bd", "\u2167", "\u0660\u0661 _ 12", "\u0301", "\u00aa", "\u0928\u092e\u0938\u094d\u0924\u0947", "a", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = np.zeros((crf_langid.DIM, 2)), np.zeros((2, 2))
+    got = {r["doc_id"]: r for r in crf_langid.predict(df, model, ["en", "fr"], ["doc_id"]).collect()}
+    assert [got[i]["lang_pred"] for i in range(len(texts))] == ["und"] * 4 + ["en"] * 3 + ["und"] * 2   # ties: first label
+    assert crf_langid.WORD.findall(texts[5]) == [texts[5]]          # vowel signs do not cut words
+    assert crf_langid.predict(df.limit(0), model, ["en", "fr"], ["doc_id"]).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert crf_langid.training_rows(empty) == ([], [])
+
+
+def test_crf_training_windows_are_bounded(spark):
+    text = " ".join(f"w{'abcdefghij'[i % 10]}" for i in range(30_000))
+    df = spark.createDataFrame([(i, text + "z" * i, "en") for i in range(1, 20)], "doc_id long, text string, lang string")
+    rows, labels = crf_langid.training_rows(df)
+    assert labels == ["en"] and rows
+    assert all(len(t) == crf_langid.TRAIN_CHARS for t, _ in rows)
+    assert any(not text.startswith(t) for t, _ in rows)             # anywhere in the text
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_feistel_is_a_permutation(n):
     p = feistel.permute(range(n), n, 11)
