@@ -133,6 +133,21 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"])
 
 
+def reference_sets(spark: SparkSession, sf_dir: str, tokenize) -> tuple[DataFrame, DataFrame]:
+    """Replies with one to three references each: the user turn before the
+    reply and, where the conversation goes on, the next two user turns.
+    Returns hyps (conv_id, turn, tokens) and refs (conv_id, turn, ref_no, tokens)."""
+    c = load(spark, sf_dir, "conversations")
+    pairs = text_pairs(spark, sf_dir)
+    hyps = pairs.select("conv_id", "turn", tokenize(F.coalesce("hyp", F.lit(""))).alias("tokens"))
+    users = c.where(F.col("role") == "user").select("conv_id", "turn", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
+    # every user turn offers itself to the replies it may serve: an equi join
+    offers = users.select("conv_id", "turn", "tokens", F.explode(F.array(*map(F.lit, range(3)))).alias("ref_no"))
+    offers = offers.withColumn("turn", F.col("turn") - 2 * F.col("ref_no"))
+    refs = offers.join(pairs.select("conv_id", "turn"), ["conv_id", "turn"])
+    return hyps, refs.select("conv_id", "turn", "ref_no", "tokens")
+
+
 def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, t): every turn of every conversation, whatever its role."""
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))

@@ -91,3 +91,13 @@ def a9(spark, d):
     m = G.outcome_members(_compared(spark, d))
     return m.select("gt_status", "gen_status", "submission_id", r6("se").alias("se"),
                     r6("agreement").alias("agreement"))
+
+
+@register("J7_aligned_texts", f"""WITH {Q.RUNS}
+SELECT g.submission_id, g.test_no, g.expected, gt.line, ge AS hit, gp AS passed, g.n AS n_tests, gm AS n_lines
+FROM (SELECT g.*, k.expected FROM g JOIN k USING (submission_id, test_no)) g
+LEFT JOIN gt ON g.submission_id = gt.submission_id AND g.test_no = gt.line_no""")
+def j7(spark, d):
+    """Expected outputs beside the lines printed at their positions."""
+    return G.grade_tests_texts(A.run_texts(spark, d), run="gt").select(
+        "submission_id", "test_no", "expected", "line", "hit", "passed", "n_tests", "n_lines")

@@ -314,3 +314,153 @@ SELECT {_distinct_sql(1)}, {_distinct_sql(2)}, {_distinct_sql(3)} FROM x""")
 def b5pt(spark, d):
     out = B.distinct_ns(A.all_turns(spark, d), "t", [1, 2, 3], X.punct_tokens)
     return out.select(*[r6(f"distinct_{n}").alias(f"distinct_{n}") for n in (1, 2, 3)])
+
+
+# --- several references a reply (A12) ------------------------------------------
+
+def _multi_sql(ht: str, rt: str) -> str:
+    """Statistics per reply: clipping by the largest count over the references."""
+    nums = ", ".join(f"coalesce(sum(least(hc.c, xc.c)) FILTER (WHERE hc.n = {k}), 0) AS num_{k}" for k in range(1, 5))
+    sizes = ", ".join(f"greatest(1, len(ht)-{k - 1}) AS d{k}, greatest(0, len(ht)-{k - 1}) AS g{k}" for k in range(1, 5))
+    return f"""{Q.PAIRS}, tok AS (SELECT conv_id, turn, {ht} AS ht FROM (SELECT conv_id, turn, coalesce(hyp, '') AS hyp FROM pairs)),
+rf AS (SELECT conv_id, turn, ref_no, {rt} AS rt FROM (SELECT p.conv_id, p.turn, (c.turn - p.turn) // 2 AS ref_no,
+  coalesce(c.text, '') AS ref FROM pairs p JOIN conversations c ON c.conv_id = p.conv_id AND c.role = 'user'
+  AND c.turn IN (p.turn, p.turn + 2, p.turn + 4))),
+ord AS (SELECT unnest([1, 2, 3, 4]) AS n),
+hc AS (SELECT conv_id, turn, n, array_to_string(ht[i:i+n-1], ' ') AS g, count(*) AS c FROM
+  (SELECT conv_id, turn, ht, n, unnest(range(1, len(ht)-n+2)) AS i FROM tok, ord) GROUP BY ALL),
+rc AS (SELECT conv_id, turn, ref_no, n, array_to_string(rt[i:i+n-1], ' ') AS g, count(*) AS c FROM
+  (SELECT conv_id, turn, ref_no, rt, n, unnest(range(1, len(rt)-n+2)) AS i FROM rf, ord) GROUP BY ALL),
+xc AS (SELECT conv_id, turn, n, g, max(c) AS c FROM rc GROUP BY ALL),
+mp AS (SELECT hc.conv_id, hc.turn, {nums} FROM hc JOIN xc USING (conv_id, turn, n, g) GROUP BY 1, 2),
+rl AS (SELECT conv_id, turn, min({{'d': abs(len(rt) - len(ht)), 'l': len(rt)}}).l AS closest, min(len(rt)) AS shortest,
+  min({{'d': abs(len(rt) - len(ht)), 'i': ref_no, 'l': len(rt)}}).l AS first_closest, avg(len(rt)) AS average
+  FROM rf JOIN tok USING (conv_id, turn) GROUP BY ALL),
+per AS (SELECT tok.conv_id, tok.turn, {", ".join(f"coalesce(num_{k}, 0) AS num_{k}" for k in range(1, 5))}, {sizes},
+  len(ht) AS hl, closest, shortest, first_closest, average
+  FROM tok JOIN rl USING (conv_id, turn) LEFT JOIN mp USING (conv_id, turn))"""
+
+
+_MULTI = _multi_sql(f"regexp_extract_all(hyp, '{WS}')", f"regexp_extract_all(ref, '{WS}')")
+_MULTI_NIST = _multi_sql(_norm_sql("hyp"), _norm_sql("ref"))
+_SUMS = ", ".join(f"sum({c}) AS {c}" for c in ("hl", "closest", "shortest", *(f"{p}{k}" for p in ("num_", "d", "g")
+                                                                             for k in range(1, 5))))
+
+
+@register("A12_multi_reference_bleu", f"""WITH {_MULTI}, st AS (SELECT *, closest AS rl FROM (SELECT {_SUMS} FROM per))
+SELECT round({_bleu_sql()}, 6) AS bleu, {", ".join(f"CAST(num_{k} AS BIGINT) AS num_{k}" for k in range(1, 5))},
+  CAST(hl AS BIGINT) AS hyp_len, CAST(rl AS BIGINT) AS ref_len FROM st""")
+def a12(spark, d):
+    """B1 over one to three references a reply."""
+    s = B.corpus_bleu(*A.reference_sets(spark, d, X.ws_tokens), KEY)
+    return s.select(r6("bleu").alias("bleu"), "num_1", "num_2", "num_3", "num_4",
+                    F.col("hyp_len").cast("long").alias("hyp_len"), F.col("ref_closest").cast("long").alias("ref_len"))
+
+
+@register("B2_multi_reference", f"""WITH {_MULTI}, st AS (SELECT *, closest AS rl FROM per)
+SELECT conv_id, turn, round({_bleu_sql()}, 6) AS bleu FROM st""")
+def b2m(spark, d):
+    return B.sentence_bleu(*A.reference_sets(spark, d, X.ws_tokens), KEY).select(*KEY, r6("bleu").alias("bleu"))
+
+
+@register("B3_multi_reference", f"""WITH {_MULTI}, p AS (SELECT *, {", ".join(f"(num_{k}+1.0)/(g{k}+1) AS p{k}" for k in range(1, 5))},
+  hl/shortest AS ratio FROM (SELECT {_SUMS} FROM per))
+SELECT round(exp((ln(p1)+ln(p2)+ln(p3)+ln(p4))/4) * CASE WHEN ratio > 1 THEN 1.0 ELSE exp(1 - 1/ratio) END, 6) AS bleu,
+  {", ".join(f"round(p{k}, 6) AS precision_{k}" for k in range(1, 5))}, round(ratio, 6) AS ratio,
+  CAST(hl AS BIGINT) AS translation_length, CAST(shortest AS BIGINT) AS reference_length FROM p""")
+def b3m(spark, d):
+    s = B.nmt_bleu(*A.reference_sets(spark, d, X.ws_tokens), KEY, smooth=True)
+    return s.select(*[r6(c).alias(c) for c in ("bleu", *(f"precision_{k}" for k in range(1, 5)), "ratio")],
+                    "translation_length", "reference_length")
+
+
+def _b4_multi_sql(length: str) -> str:
+    logs = " + ".join(f"(ln(num_{k} + {min(k, 2) - 1} + {TINY}) - ln(g{k} + {min(k, 2) - 1} + {TINY}))" for k in range(1, 5))
+    each = ", ".join(f"CASE WHEN g{k} = 0 THEN 0.0 ELSE exp(ln(num_{k} + {TINY}) - ln(g{k})) END AS b{k}" for k in range(1, 5))
+    return f"""WITH {_MULTI_NIST}, b AS (SELECT exp(({logs}) / 4 + least(0, 1 - ({length} + 1) / (hl + 1))) AS b0, {each} FROM per)
+SELECT round(avg(b0) * 100, 6) AS bleu, {", ".join(f"round(avg(b{k}) * 100, 6) AS bleu_{k}" for k in range(1, 5))} FROM b"""
+
+
+def _b4_multi(spark, d, length):
+    s = B.smoothed_pair_bleu(*A.reference_sets(spark, d, lambda c: _nist_tokens(c)), KEY, ref_length=length)
+    return s.select(*[r6(c).alias(c) for c in ("bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4")])
+
+
+@register("B4_shortest_reference", _b4_multi_sql("shortest"))
+def b4_shortest(spark, d):
+    return _b4_multi(spark, d, "shortest")
+
+
+@register("B4_average_reference", _b4_multi_sql("average"))
+def b4_average(spark, d):
+    return _b4_multi(spark, d, "average")
+
+
+@register("B4_closest_reference", _b4_multi_sql("first_closest"))
+def b4_closest(spark, d):
+    return _b4_multi(spark, d, "closest")
+
+
+@register("B10_multi_reference", f"""WITH {_MULTI}, kw AS (SELECT * FROM (VALUES {KW}) v(g)),
+w AS (SELECT rc.*, coalesce(hc.c, 0) AS h, CASE WHEN rc.n = 1 AND kw.g IS NULL THEN 0.2 ELSE 1.0 END AS w
+  FROM rc LEFT JOIN hc USING (conv_id, turn, n, g) LEFT JOIN kw ON rc.g = kw.g),
+pr AS (SELECT conv_id, turn, ref_no, n, sum(least(c, h) * w) AS num, greatest(1.0, sum(c * w)) AS den FROM w GROUP BY ALL),
+al AS (SELECT o.n, coalesce(num, 0.0) AS num, coalesce(den, 1.0) AS den FROM rf CROSS JOIN ord o
+  LEFT JOIN pr ON pr.conv_id = rf.conv_id AND pr.turn = rf.turn AND pr.ref_no = rf.ref_no AND pr.n = o.n),
+s AS (SELECT {", ".join(f"sum(num) FILTER (WHERE n = {k}) AS num_{k}, sum(den) FILTER (WHERE n = {k}) AS d{k}" for k in range(1, 5))},
+  (SELECT sum(hl) FROM per) AS hl, (SELECT sum(closest) FROM per) AS rl FROM al)
+SELECT round({_bleu_sql()}, 6) AS bleu, {", ".join(f"CAST(round(num_{k}, 6) AS DOUBLE) AS num_{k}, CAST(round(d{k}, 6) AS DOUBLE) AS den_{k}" for k in range(1, 5))} FROM s""")
+def b10m(spark, d):
+    """B10 over several references, brevity by the closest true length."""
+    s = B.weighted_recall_bleu(*A.reference_sets(spark, d, X.ws_tokens), KEY, brevity="true_length")
+    return s.select(r6("bleu").alias("bleu"), *[r6(f"{p}_{k}").alias(f"{p}_{k}") for k in range(1, 5) for p in ("num", "den")])
+
+
+# --- the other smoothing variants of B12 ------------------------------------------
+
+TOK5 = TOK.replace("[1, 2, 3, 4]", "[1, 2, 3, 4, 5]")
+_STATS5 = f"""ms AS (SELECT conv_id, turn, {", ".join(f"coalesce(sum(m) FILTER (WHERE n = {k}), 0) AS num_{k}" for k in range(1, 6))}
+  FROM tok LEFT JOIN mp USING (conv_id, turn) GROUP BY ALL),
+st AS (SELECT ms.*, len(ht) AS hl, len(rt) AS rl, {", ".join(f"greatest(1, len(ht)-{k - 1}) AS d{k}, greatest(0, len(ht)-{k - 1}) AS g{k}" for k in range(1, 6))}
+  FROM ms JOIN tok USING (conv_id, turn))"""
+
+
+def _mean_sql(p: list[str]) -> str:
+    """Variant 5: each order's mean with the one before (averaged) and the one after."""
+    names = [f"({x}) AS p{k}" for k, x in enumerate([*p, "num_5 / d5"], start=1)]
+    steps = ["q AS (SELECT *, (p1 + 1 + p1 + p2) / 3 AS q1 FROM p0)"]
+    steps += [f"q{k} AS (SELECT *, (q{k - 1} + p{k} + p{k + 1}) / 3 AS q{k} FROM {'q' if k == 2 else f'q{k - 1}'})" for k in (2, 3, 4)]
+    return (f"WITH {Q.PAIRS}, {TOK5}, {_STATS5}, p0 AS (SELECT *, {', '.join(names)} FROM st), {', '.join(steps)} "
+            f"SELECT conv_id, turn, round({_sent_sql([f'q{k}' for k in range(1, 5)])}, 6) AS bleu FROM q4")
+
+
+def _b12(spark, d, smoothing, max_n=4):
+    st = B.pair_stats(A.text_pairs(spark, d), KEY, "hyp", "ref", X.ws_tokens, max_n=max_n, by_pair=True)
+    return B.bleu_from_stats(st, smoothing=smoothing).select(*KEY, r6("bleu").alias("bleu"))
+
+
+@register("B12_sentence_method0", f"""WITH {Q.PAIRS}, {TOK}, {_stats_sql(True)}
+SELECT conv_id, turn, round({_sent_sql([f"CASE WHEN num_{k} = 0 THEN {TINY} ELSE num_{k} / d{k} END" for k in range(1, 5)])}, 6) AS bleu
+FROM st""")
+def b12m0(spark, d):
+    return _b12(spark, d, "method0")
+
+
+@register("B12_sentence_method5", _mean_sql([f"num_{k} / d{k}" for k in range(1, 5)]))
+def b12m5(spark, d):
+    return _b12(spark, d, "method5", 5)
+
+
+@register("B12_sentence_method6", f"""WITH {Q.PAIRS}, {TOK}, {_stats_sql(True)},
+a AS (SELECT *, num_1 / d1 AS p1, num_2 / d2 AS p2 FROM st),
+b AS (SELECT *, (num_3 + 5 * CASE WHEN p1 = 0 THEN 0 ELSE p2 * p2 / p1 END) / (g3 + 5) AS p3 FROM a),
+c AS (SELECT *, (num_4 + 5 * CASE WHEN p2 = 0 THEN 0 ELSE p3 * p3 / p2 END) / (g4 + 5) AS p4 FROM b)
+SELECT conv_id, turn, round(CASE WHEN num_1 = 0 THEN 0.0 WHEN num_3 = 0 THEN NULL
+  ELSE {_sent_sql(["p1", "p2", "p3", "p4"])} END, 6) AS bleu FROM c""")
+def b12m6(spark, d):
+    return _b12(spark, d, "method6")
+
+
+@register("B12_sentence_method7", _mean_sql(_M4))
+def b12m7(spark, d):
+    return _b12(spark, d, "method7", 5)
