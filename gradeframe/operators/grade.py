@@ -247,16 +247,19 @@ def outcome_members(compared: DataFrame, key: str = KEY) -> DataFrame:
                            "agreement")
 
 
-def comparison_report(compared: DataFrame) -> DataFrame:
+def comparison_report(compared: DataFrame, generated: DataFrame | None = None, code: str = "code",
+                      expected: str = "expected") -> DataFrame:
     """G6 (+ A10, M1, M2 over tests): one row.
 
     n, mean gt/gen score, MSE between them, mean agreement, the four
     output quadrants (both / gt only / gen only / neither produced output),
-    F1 and accuracy of gen's per-test pass/fail against gt's.
+    F1 and accuracy of gen's per-test pass/fail against gt's.  With the
+    ``generated`` programs also their counters (:func:`extraction_counters`);
+    both reports are aggregates of their own, stacked and folded to one row.
     """
     gl, el = F.col("gt_lines") > 0, F.col("gen_lines") > 0
     tp, fp, fn, tn = (F.sum(c) for c in ("tp", "fp", "fn", "tn"))
-    return compared.agg(
+    report = compared.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("gt_score").alias("gt_mean"),
         F.avg("gen_score").alias("gen_mean"),
@@ -269,6 +272,10 @@ def comparison_report(compared: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"),
         F.try_divide((tp + tn).cast("double"), tp + tn + fp + fn).alias("accuracy"),
     )
+    if generated is None:
+        return report
+    both = report.unionByName(extraction_counters(generated, code, expected), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def quadrant_report(compared: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from gradeframe.functions import codetext as T
 from gradeframe.functions.text import PY_WHITESPACE
 from gradeframe.operators import grade as G
 from gradeframe.plans import adapters as A
-from gradeframe.plans.catalog import register
+from gradeframe.plans import sqlbase as Q
+from gradeframe.plans.catalog import r6, register
 
 HREF = 'href="/([^"]+)"'
 NL = "chr(10)"
@@ -271,14 +272,134 @@ SELECT count(*) FILTER (WHERE name IS NULL) AS edge_cases,
 
 @register("A11_extraction_counters", A11_SQL)
 def a11(spark, d):
-    """A11 over generated methods: whole ones, ones without parameters, ones
-    never closed, ones of another name, and pairs of methods with and without
-    the expected name."""
+    return G.extraction_counters(_a11_programs(spark, d))
+
+
+# --- programs that take every branch ----------------------------------------------
+
+def _programs(spark, d):
+    """Programs of several methods per part, with the expected name: a public
+    one before and one after it (0), a private one before the only public one
+    (1), two public ones of which none has the name (2), declarations after
+    comments and calls (3), no declaration (4)."""
+    p, k, v = A.load(spark, d, "part"), F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
+    typ = F.element_at(F.array(*map(F.lit, ("int", "boolean", "String", "int[]"))), (F.col("p_size") % 4 + 1).cast("int"))
+
+    def method(kind, t, name):
+        return F.concat(F.lit(kind + " "), t, F.lit(" " + name), k, F.lit("(int a) {\n  return f(a);\n}\n"))
+    own = method("public", typ, "m")
+    code = (F.when(v == 0, F.concat(method("public", F.lit("int"), "h"), own, method("public", F.lit("char"), "z")))
+            .when(v == 1, F.concat(method("private", F.lit("int"), "h"), own))
+            .when(v == 2, F.concat(method("public", F.lit("int"), "h"), method("public", F.lit("char"), "z")))
+            .when(v == 3, F.concat(F.lit("// public text\nf(private);\n"), own))
+            .otherwise(F.lit("int a = 1;\nf(a);")))
+    return p.select("p_partkey", F.concat(F.lit("m"), k).alias("expected"), code.alias("code"))
+
+
+PROGRAMS_SQL = f"""a AS (SELECT p_partkey, p_partkey % 5 AS v, CAST(p_partkey AS VARCHAR) AS k,
+  ['int', 'boolean', 'String', 'int[]'][p_size % 4 + 1] AS t, '(int a) {{' || {NL} || '  return f(a);' || {NL} || '}}' || {NL} AS e FROM part),
+g AS (SELECT p_partkey, 'm' || k AS expected, CASE v
+  WHEN 0 THEN 'public int h' || k || e || 'public ' || t || ' m' || k || e || 'public char z' || k || e
+  WHEN 1 THEN 'private int h' || k || e || 'public ' || t || ' m' || k || e
+  WHEN 2 THEN 'public int h' || k || e || 'public char z' || k || e
+  WHEN 3 THEN '// public text' || {NL} || 'f(private);' || {NL} || 'public ' || t || ' m' || k || e
+  ELSE 'int a = 1;' || {NL} || 'f(a);' END AS code FROM a)"""
+
+
+@register("X5_first_declaration", f"""WITH {PROGRAMS_SQL},
+l AS (SELECT p_partkey, list_filter(string_split(code, {NL}),
+  lambda x: regexp_matches(x, 'public|private') AND contains(x, '('))[1] AS line FROM g),
+w AS (SELECT p_partkey, string_split(line, ' ') AS w FROM l),
+i AS (SELECT p_partkey, w, list_position(list_transform(w, lambda x: contains(x, '(')), true) AS i FROM w)
+SELECT p_partkey, split_part(w[i], '(', 1) AS name, CASE WHEN i > 1 THEN w[i - 1] END AS type FROM i""")
+def x5_first(spark, d):
+    m = _programs(spark, d)
+    return m.select("p_partkey", T.function_name("code").alias("name"), T.function_type("code").alias("type"))
+
+
+@register("X6_among_methods", f"""WITH {PROGRAMS_SQL},
+f AS (SELECT p_partkey, expected, regexp_extract_all(code, 'public (\\S+) (\\w+)\\(', 1) AS types,
+  regexp_extract_all(code, 'public (\\S+) (\\w+)\\(', 2) AS names FROM g),
+i AS (SELECT *, CASE WHEN len(names) = 1 THEN 1 ELSE list_position(names, expected) END AS i FROM f)
+SELECT p_partkey, CASE WHEN i > 0 THEN names[i] END AS name, CASE WHEN i > 0 THEN types[i] END AS type FROM i""")
+def x6_among(spark, d):
+    f = _programs(spark, d).select("p_partkey", T.main_function("code", "expected").alias("f"))
+    return f.select("p_partkey", F.col("f.name").alias("name"), F.col("f.type").alias("type"))
+
+
+@register("X8_harness_types", f"""WITH a AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS k, p_partkey % 2 AS helper,
+  ['int', 'boolean', 'String', 'int[]', 'String[]'][p_size % 5 + 1] AS t,
+  ['return -999;', 'return false;', 'return "ERROR";', 'return new int[] {{-999}};', 'return new String[] {{"ERROR"}};'][p_size % 5 + 1] AS r
+  FROM part),
+b AS (SELECT p_partkey, concat_ws({NL}, 'public class M' || k || '{{', 'public ' || t || ' m' || k || '(int a)' || '{{', 'try {{',
+  CASE WHEN helper = 1 THEN 'return h(a);' || {NL} ELSE 'return a;' END, '}} catch (Exception e) {{',
+  'System.out.print("Error ");', r, '}}', '}}', CASE WHEN helper = 1 THEN concat_ws({NL}, 'public int h(int a) {{', '  return a;', '}} ', '')
+  ELSE '' END, 'public void m' || k || '_test(String []s){{', 'System.out.println(m' || k || '(' || k || '));',
+  'System.out.println(m' || k || '(0));', '}}', '', 'public static void main(String []args){{',
+  'M' || k || ' obj = new M' || k || '();', 'obj.m' || k || '_test(args);', '}}', '', '}}', '') AS source FROM a)
+SELECT p_partkey, source FROM b""")
+def x8_types(spark, d):
+    """Harnesses of every return type, with and without a helper method."""
+    p, k = A.load(spark, d, "part"), F.col("p_partkey").cast("string")
+    typ = F.element_at(F.array(*map(F.lit, ("int", "boolean", "String", "int[]", "String[]"))), (F.col("p_size") % 5 + 1).cast("int"))
+    code = F.concat(F.lit("public "), typ, F.lit(" m"), k, F.lit("(int a) {\n"), F.when(
+        F.col("p_partkey") % 2 == 1, "  return h(a);\n}\npublic int h(int a) {\n  return a;\n}").otherwise("  return a;\n}"))
+    return p.select("p_partkey", T.harness_source(code, F.concat(F.lit("m"), k), F.concat(F.lit("M"), k),
+                                                  F.array(k, F.lit("0")), typ).alias("source"))
+
+
+@register("X9_output_texts", f"""WITH s AS (SELECT doc_id, string_split(text, {NL}) AS l FROM documents)
+SELECT doc_id, array_to_string(l[1:len(l) - 1], '|') AS lines FROM s""")
+def x9_texts(spark, d):
+    docs = A.load(spark, d, "documents")
+    return docs.select("doc_id", F.array_join(T.output_lines("text"), "|").alias("lines"))
+
+
+@register("X10_run_outputs", f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN contains(text, 'compilation failed')
+  OR upper(text) = 'TIMEOUT' WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN contains(text, 'compilation failed')
+  WHEN 4 THEN true ELSE contains(text, 'compilation failed') END AS failed FROM documents""")
+def x10_outputs(spark, d):
+    """Outputs that say so in the text, are a time-out, only mention one, or are plain."""
+    t, v = F.col("text"), F.col("doc_id") % 6
+    out = (F.when(v == 1, F.concat(t, F.lit("\nM.java: compilation failed\n"))).when(v == 2, F.lit("Timeout"))
+           .when(v == 3, F.concat(F.lit("timeout\n"), t)).when(v == 4, F.lit("TIMEOUT"))
+           .when(v == 5, F.concat(t, F.lit("\nCompilation Failed"))).otherwise(t))
+    return A.load(spark, d, "documents").select("doc_id", out.alias("output")).select("doc_id", G.failed_run("output").alias("failed"))
+
+
+@register("P10_repeated_words", """WITH t AS (SELECT doc_id, regexp_extract_all(repeat('int ', doc_id % 230) ||
+  repeat('String ', (7 * doc_id) % 240) || repeat('boolean ', (11 * doc_id) % 250) || CASE WHEN doc_id % 3 > 0 THEN text ELSE '' END,
+  '[^""" + PY_WHITESPACE + """]+') AS t FROM documents)
+SELECT doc_id, len(t) >= 4 AND greatest(len(list_filter(t, lambda x: x = 'int')), len(list_filter(t, lambda x: x = 'String')),
+  len(list_filter(t, lambda x: x = 'boolean'))) <= 200 AS valid FROM t""")
+def p10_repeated(spark, d):
+    """Texts with up to 249 of each counted word before them, or nothing after."""
+    def words(word, n):
+        return F.repeat(F.lit(word + " "), n.cast("int"))
+    i = F.col("doc_id")
+    code = F.concat(words("int", i % 230), words("String", 7 * i % 240), words("boolean", 11 * i % 250),
+                    F.when(i % 3 > 0, F.col("text")).otherwise(""))
+    return A.load(spark, d, "documents").select("doc_id", T.is_valid_code(code).alias("valid"))
+
+
+def _a11_programs(spark, d):
+    """Whole methods, ones without parameters, ones never closed, ones of
+    another name, and pairs of methods with and without the expected name."""
     v, own = F.col("p_partkey") % 5, F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
     code = F.col("code")
     changed = (F.when(v == 1, F.replace(code, F.lit("(int a, int b)"), F.lit("")))
                .when(v == 2, F.replace(code, F.lit("}"), F.lit("")))
                .when(v == 4, F.concat(F.replace(code, F.lit(" m"), F.lit(" h")), F.lit("\n"), code)).otherwise(code))
     other = (v == 3) | ((v == 4) & (F.col("p_partkey") % 2 == 1))
-    m = _methods(spark, d).select(changed.alias("code"), F.when(other, "other").otherwise(own).alias("expected"))
-    return G.extraction_counters(m)
+    return _methods(spark, d).select(changed.alias("code"), F.when(other, "other").otherwise(own).alias("expected"))
+
+
+@register("G6_full_report", f"""WITH {Q.RUNS}, x AS ({A11_SQL})
+SELECT count(*) AS n, round(avg(ga),6) AS gt_mean, round(avg(ea),6) AS gen_mean, round(avg((ga-ea)*(ga-ea)),6) AS mse,
+  count(*) FILTER (WHERE gm>0 AND em=0) AS gt_only_output, (SELECT edge_cases FROM x) AS edge_cases,
+  (SELECT name_mismatch FROM x) AS name_mismatch, (SELECT valid FROM x) AS valid, (SELECT total FROM x) AS total FROM t""")
+def g6_full(spark, d):
+    """G6 with the counters of the generated programs beside the scores."""
+    r = G.comparison_report(G.compare_texts(A.run_texts(spark, d)), _a11_programs(spark, d))
+    return r.select("n", *[r6(c).alias(c) for c in ("gt_mean", "gen_mean", "mse")], "gt_only_output", "edge_cases",
+                    "name_mismatch", "valid", "total")

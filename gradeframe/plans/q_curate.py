@@ -125,6 +125,17 @@ def p4(spark, d):
     return C.apply_label_format(s, "binary")
 
 
+@register("P4_label_kinds", f"""WITH {Q.SUBS}
+SELECT code_state_id, CAST(floor(score / 125) AS INTEGER) AS ternary, round(score / 500, 6) AS raw FROM subs""")
+def p4_kinds(spark, d):
+    """P4's other kinds: the class itself and the raw score."""
+    s = A.submissions(spark, d).select(
+        "code_state_id", (F.col("score") / 500).alias("Score_x"), F.floor(F.col("score") / 125).cast("int").alias("Score_y"),
+        (F.col("score") / 500).alias("kept"))
+    t = C.apply_label_format(s, "ternary", out="ternary").withColumns({"Score_x": F.col("kept"), "Score_y": F.col("ternary")})
+    return C.apply_label_format(t, "raw", out="raw").select("code_state_id", "ternary", r6("raw").alias("raw"))
+
+
 @register("P2_filter_events", """SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'""")
 def p2(spark, d):
     return C.filter_events(A.load(spark, d, "events"), "purchase", "event_type") \
