@@ -21,7 +21,10 @@ nav, header, footer, aside and their ARIA roles are left out of any page, and
 where a page marks its article or main part, only that is taken.  Elements
 with a whole class token that names a role (comments, advert, ...) are left out
 unless they are headings, in an article, or hold half of the page's text or
-more.  On pages without a marked part whose host has no template, lists of
+more.  A header inside an article keeps its headings.  A nav, header, footer,
+aside or other left-out element that is never closed ends before the first
+element that holds an article or main part, an open nav also before the first
+block that is no list.  On pages without a marked part whose host has no template, lists of
 links are left out.
 
 Text: character references decoded, white space inside a block made one
@@ -63,6 +66,7 @@ ROLE_WORDS = set("nav navbar navigation menu header masthead footer sidebar side
                  "search comment comments reply replies respond disqus share sharing social related recommended breadcrumb breadcrumbs "
                  "pagination pager toolbar tags meta".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+LISTS = set("ul ol dl li dd dt menu".split())
 HOLDERS = set("html body div section main article center td ul ol table tr tbody".split())
 OUTER_TAGS = HOLDERS - {"tr", "tbody"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -71,7 +75,7 @@ STOPS = set("ul ol dl table body html div article section main td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "role", "parts")
+    __slots__ = ("tag", "label", "out", "role", "parts", "holds")
 
     def __init__(self, tag: str, attrs=()):
         a = dict(attrs)
@@ -81,6 +85,7 @@ class Node:
         self.role = (tag not in HEADINGS and tag not in ("body", "html", "article", "main")
                      and not ROLE_WORDS.isdisjoint((a.get("class") or "").lower().split()))
         self.parts: list = []           # texts and nodes in page order
+        self.holds = tag in ("article", "main")     # it, or one under it, is an article or main part
 
 
 class _Builder(HTMLParser):
@@ -88,11 +93,17 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.unclosed: list[tuple[Node, Node]] = []         # with the parent
+        self.headers: list[Node] = []                       # in articles
+
+    def _drop(self, i: int) -> None:
+        self.unclosed += [(self.open[k - 1], self.open[k]) for k in range(len(self.open) - 1, i, -1) if self.open[k].tag in LEFT_OUT]
+        del self.open[i:]
 
     def _close(self, tags, stops) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._drop(i)
                 return
             if self.open[i].tag in stops:
                 return
@@ -105,6 +116,13 @@ class _Builder(HTMLParser):
         if tag in ENDS:
             self._close(ENDS[tag], STOPS - {"td", "th"} if tag == "tr" else STOPS - ENDS[tag])
         node = Node(tag, attrs)
+        if tag == "header" and any(n.tag == "article" for n in self.open):
+            self.headers.append(node)
+        if node.holds:
+            for above in reversed(self.open):
+                if above.holds:
+                    break
+                above.holds = True
         self.open[-1].parts.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -123,10 +141,37 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    builder._drop(0)
+    for parent, node in builder.unclosed:                   # inner ones first
+        _end_early(parent, node)
+    for header in builder.headers:
+        _keep_headings(header)
     _leave_out_roles(builder.root)
     return builder.root
 
 
+def _end_early(parent: Node, node: Node) -> None:
+    """Give back to its parent what an element that was never closed took in."""
+    for k, p in enumerate(node.parts):
+        if isinstance(p, Node) and (p.holds or (node.tag == "nav" and p.tag in BLOCKS - LISTS)):
+            parent.parts += node.parts[k:]          # a node never closed is its parent's last part
+            del node.parts[k:]
+            return
+
+
+def _keep_headings(header: Node) -> None:
+    found, todo = [], list(reversed(header.parts))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and not x.out:
+            if x.tag in HEADINGS:
+                found.append(x)
+            else:
+                todo += reversed(x.parts)
+    if found:
+        header.parts, header.out = found, False
+
+
 def _leave_out_roles(root: Node) -> None:
     """Leave out what a class token names, outside articles and unless it holds
     half of the page's text or more."""

@@ -1,6 +1,7 @@
 """Operators over the whole corpus, pages and the pipeline."""
 
 import html as H
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -245,3 +246,34 @@ def test_pipeline_keeps_one_of_equal_rows(spark):
     assert kept.columns == corpus_pipeline.COLUMNS
     got = sorted(((r.doc_id, r.lang, r.source, r.n_chars) for r in kept.collect()), key=str)
     assert got == [(1, None, "z", 1), (3, "en", "a", 1), (4, "en", "a", 1), (4, "en", "a", 1)]
+
+
+def test_wrapper_keeps_article_headings_and_ends_open_elements(spark):
+    pages = ["<article><header><h1>Title</h1><p>by X</p></header><p>x</p></article>",
+             "<nav><a href='/'>home</a><div><p>Main text.</p><p>Second block.</p></div>",
+             "<nav><ul><li>a<li>b</ul><p>Text after the list.</p></body></html>",
+             "<aside><p>ad</p><article><h1>T</h1><p>In an open aside.</p></article>",
+             "<nav>menu<aside>note<header>top<div><article><p>Deep.</p></article></div></body>",
+             "<header><p>site</p></header><p>Body.</p><footer><p>never closed",
+             "<div><nav>x</div><article><p>After.</p></article>",
+             "<nav><p>closed menu</p></nav><p>Body.</p>"]
+    got = texts_of(spark, pages)
+    assert got == ["Title\nx", "Main text.\nSecond block.", "Text after the list.", "T\nIn an open aside.", "Deep.", "Body.",
+                   "After.", "Body."]
+
+
+def test_wrapper_takes_any_tag_soup():
+    rng = random.Random(11)
+    pieces = ["<nav>", "</nav>", "<article>", "</article>", "<header>", "</header>", "<h1>", "</h1>", "<p>", "<aside>", "<div>", "</div>",
+              "<ul>", "<li>", "</ul>", "<main>", "</body>", "<form>", "</form>", "text ", "<td>", "<tr>"]
+    for _ in range(3000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
+        root, seen, todo = wrapper.parse(html), set(), []
+        todo.append(root)
+        while todo:                                  # a tree: every node once, every text still there
+            x = todo.pop()
+            if isinstance(x, wrapper.Node):
+                assert id(x) not in seen
+                seen.add(id(x))
+                todo += x.parts
+        wrapper.described(html)
