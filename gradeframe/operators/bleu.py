@@ -4,11 +4,11 @@ smoothed per-pair BLEU, distinct-N and weighted n-gram recall
 
 Plan shape
 ----------
-Texts are tokenised per row (JVM regex), exploded into (pair, n, gram)
-rows and counted with hash aggregates (map-side partial counts).
-Hypothesis and reference counts meet in one equi join on (pair, n, gram)
-whose both sides are already hash-partitioned on exactly those keys, so
-the join adds no shuffle.  Per-pair lengths never leave the pair level.
+The compact texts are hash-partitioned by pair key, tokenised per row (JVM
+regex), exploded into (pair, n, gram) rows and counted where the pair is.
+Hypothesis and reference counts meet in a union and an aggregate on
+(pair, n, gram), not in a join; of several references the largest count
+clips.  Per-pair lengths never leave the pair level.
 All statistics end in one aggregate (per pair for sentence scores, global
 for corpus scores) over a union of match rows and length rows, and the
 score itself is a closed-form column expression on that row.  Whole texts

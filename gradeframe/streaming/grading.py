@@ -8,7 +8,8 @@ operators (:func:`output_to_lines` -> :func:`grade_tests` /
 sinks.  The checkpoint location (offsets + commit log) makes the query
 restart exactly where it stopped after a failure; the sink writes are
 idempotent per batch id because each batch overwrites only its own
-``batch_id`` partition.
+``batch_id`` partition.  A row is a whole run: a run whose output is sent in
+two rows is graded once in each micro-batch, on what that row holds.
 """
 
 from __future__ import annotations

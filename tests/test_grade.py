@@ -105,3 +105,16 @@ def test_extraction_counters(spark):
             ("public int h(int x) { }", "f"), ("public int a(int x) { }\npublic int f(int y) { }", "f"), ("int x = 1;", "f")]
     c = G.extraction_counters(spark.createDataFrame(rows, "code string, expected string")).collect()[0]
     assert (c.edge_cases, c.name_mismatch, c.valid, c.total) == (2, 3, 3, 6)
+
+
+def test_report_with_the_programs_counters(spark):
+    cases, lines = _cases(spark, ["1", "2"]), _lines(spark, ["1", "x"])
+    compared = G.compare_runs(cases, lines.unionByName(_lines(spark, ["1", "2"], "gen")))
+    programs = spark.createDataFrame([("public int f(int a) {\n}", "f"), ("public int g(int a) {\n", "f"), ("x = 1;", "f"),
+                                      ("", None)], "code string, expected string")
+    plain, full = G.comparison_report(compared), G.comparison_report(compared, programs)
+    r = full.collect()[0].asDict()
+    assert {c: r[c] for c in plain.columns} == plain.collect()[0].asDict()
+    assert (r["edge_cases"], r["name_mismatch"], r["valid"], r["total"]) == (2, 2, 1, 4)
+    none = G.comparison_report(compared.limit(0), programs.limit(0)).collect()
+    assert len(none) == 1 and none[0]["n"] == 0 and none[0]["total"] == 0 and none[0]["mse"] is None
