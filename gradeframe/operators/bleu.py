@@ -63,15 +63,14 @@ def _keyed(hyps: DataFrame, refs: DataFrame, key: list[str]) -> tuple[DataFrame,
 
 def precision_matches(hyps: DataFrame, refs: DataFrame, key: list[str], max_n: int = 4) -> DataFrame:
     """(key, n, m): hypothesis n-gram counts clipped by the maximum count
-    over the references (J9, A12).  Hypothesis counts and per-reference
-    maxima meet in a union + aggregate on (key, n, gram) -- no join -- all
-    inside the pair-key partitioning."""
-    h, r = _keyed(hyps, refs, key)
-    hc = _counts(h, key, max_n, "hc").withColumn("rc", F.lit(None).cast("long"))
-    rc = (_counts(r, key + ["ref_no"], max_n, "rc").groupBy(*key, "n", "gram")
-          .agg(F.max("rc").alias("rc")).withColumn("hc", F.lit(None).cast("long")))
-    u = hc.unionByName(rc.select(*hc.columns))
-    g = u.groupBy(*key, "n", "gram").agg(F.max("hc").alias("hc"), F.max("rc").alias("rc"))
+    over the references (J9, A12).  The compact texts of both sides are put
+    together before the one exchange, by pair key; n-grams are counted per
+    text, then per pair, where the pair is: no join, no n-gram is shuffled."""
+    texts = hyps.select(*key, F.lit(None).cast("int").alias("ref_no"), "tokens") \
+        .unionByName(refs.select(*key, F.col("ref_no").cast("int").alias("ref_no"), "tokens"))
+    c = _counts(partition_by_key(texts, key), [*key, "ref_no"], max_n, "c")
+    own = F.col("ref_no").isNull()
+    g = c.groupBy(*key, "n", "gram").agg(F.max(F.when(own, F.col("c"))).alias("hc"), F.max(F.when(~own, F.col("c"))).alias("rc"))
     return g.where(F.col("hc").isNotNull() & F.col("rc").isNotNull()) \
         .select(*key, "n", F.least("hc", "rc").alias("m"))
 
