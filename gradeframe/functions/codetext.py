@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeframe.functions.text import PY_WHITESPACE, ws_tokens
+from gradeframe.functions.text import PY_WHITESPACE
 
 # Prompt and harness text pieces.
 PROMPT_SEPARATOR = "student written code"
@@ -243,19 +243,17 @@ def strip_comments(source) -> Column:
 
 def is_valid_code(code, max_count: int = 200, min_tokens: int = 4) -> Column:
     """P10: at most ``max_count`` of each of int / String / boolean tokens
-    and at least ``min_tokens`` tokens."""
-    t = ws_tokens(_c(code))
-    ok = F.size(t) >= min_tokens
+    and at least ``min_tokens`` tokens.  The text is searched for them, never
+    cut into an array of its tokens."""
+    c = _c(code)
+    ok = c.rlike(f"^[{PY_WHITESPACE}]*+(?:[^{PY_WHITESPACE}]++[{PY_WHITESPACE}]++){{{min_tokens - 1}}}[^{PY_WHITESPACE}]") \
+        if min_tokens > 0 else F.length(c) >= 0
     for w in ("int", "String", "boolean"):
-        ok = ok & (F.size(F.filter(t, _equals(w))) <= max_count)
+        # the word where white space or the text's end stands on both sides
+        ok = ok & (F.regexp_count(c, F.lit(f"{w}(?![^{PY_WHITESPACE}])(?<![^{PY_WHITESPACE}]{w})")) <= max_count)
     return ok
 
 
-def _equals(word: str):
-    # one-argument lambda (a two-argument one would receive the index)
-    return lambda x: x == F.lit(word)
-
-
 def tsv_columns(line) -> Column:
     """X23: 'id<TAB>text' -> struct(id, text); text '' when absent."""
     parts = F.split(py_strip(line), "\t")

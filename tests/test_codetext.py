@@ -77,6 +77,18 @@ def test_valid_code_and_tsv(spark):
     assert _one(spark, T.tsv_columns("l"), l="8").text == ""
 
 
+def test_valid_code_is_found_by_search(spark):
+    """Words count between white space only, and no array of tokens is made."""
+    texts = ["int\u3000int\x1cint ints xint \U0001F600int int\U0001F600", "\t int\nString\x85boolean x", "String String\xa0", "int", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for count, tokens in ((1, 4), (3, 3), (2, 0), (0, 1)):
+        want = [None if t is None else len(t.split()) >= tokens and all(t.split().count(w) <= count for w in ("int", "String", "boolean"))
+                for t in texts]
+        got = df.select(T.is_valid_code("c", count, tokens).alias("v"))
+        assert [r.v for r in got.collect()] == want
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_prompts(spark):
     assert _one(spark, T.prompt_text("p"), p="Sum: two") == "Question: Sum two Student written code:"
     got = _one(spark, T.binary_prompt_text("p", F.lit("1"), F.lit("2"), F.lit(True), "</s>"), p="q")
