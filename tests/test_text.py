@@ -169,3 +169,16 @@ def test_single_and_multi_reference_paths_agree(spark):
     wm = B.weighted_recall_bleu(h, r, key).collect()[0]
     ws = B.weighted_bleu_from_stats(B.weighted_pair_stats(p, key, "hyp", "ref", X.ws_tokens)).collect()[0]
     assert wm.bleu == pytest.approx(ws.bleu, rel=1e-12)
+
+
+def test_ngram_partitions_grow_with_the_text(spark):
+    """A partition holds a bounded amount of text, however much there is."""
+    text = " ".join(f"w{i}" for i in range(6000))
+    pairs = spark.range(200).select("id", F.lit(text).alias("hyp"), F.lit("w1 w2 w9").alias("ref"))
+    counts = B.pair_gram_counts(pairs, ["id"], "hyp", "ref", X.ws_tokens, 2)
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    assert counts.rdd.getNumPartitions() >= 200 * len(text) / B.PARTITION_BYTES > int(few)
+    hyps, refs = B.sides(pairs, ["id"], "hyp", "ref", X.ws_tokens)
+    assert B.precision_matches(hyps, refs, ["id"], 2).rdd.getNumPartitions() >= 200 * len(text) / B.PARTITION_BYTES
+    one = B.pair_stats(pairs.where("id < 3"), ["id"], "hyp", "ref", X.ws_tokens).first()
+    assert (one.num_1, one.num_2, one.num_3, one.hyp_len, one.pairs) == (9, 3, 0, 18000.0, 3)
