@@ -3,6 +3,7 @@ versions."""
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -170,6 +171,60 @@ def test_dedup_of_repeated_rows_and_a_hot_passage(spark):
     assert got[0][1] >= 20 and got[320][1] == len(texts[320])
 
 
+@pytest.mark.parametrize("most", [1 << 18, 400])
+def test_periodic_passages_of_any_phase(spark, most):
+    rng = random.Random(most)
+    texts = [f"{i:04d}" + ("abcde" * 40)[rng.randint(0, 4):rng.randint(60, 200)] + f"{i * 7919 % 9973:04d}" for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = dedup(df, length=20, most=most), plain_dedup(texts, 20)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_equal_runs_of_a_text_are_one_row(spark):
+    common.read(spark, SF, "documents")
+    text = "abcde" * 100
+    df = spark.createDataFrame([(1, 2, 1, bytearray(text.encode()))], "s1 long, s2 long, weight long, text binary")
+    rows = suffix_dedup._anchor_rows(df, 40, 40).collect()
+    assert len(rows) == 5                                # 461 windows, five different ones
+    assert sorted(i for r in rows for i in [r["first"], *r["again"]]) == list(range(461))
+    assert sum(r["weight"] for r in rows) == 461
+
+
+def test_regions_are_cut_to_what_they_share(spark, monkeypatch):
+    rng = random.Random(7)
+    for _ in range(300):
+        regions = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 6))) + "#" for _ in range(rng.randint(1, 5))]
+        at = [len(r) - 1 for r in regions]
+        regions = [(r + "".join(rng.choice("ab") for _ in range(rng.randint(0, 6)))).encode() for r in regions]
+        want = []
+        for i, (r, p) in enumerate(zip(regions, at)):
+            others = [(o, q) for j, (o, q) in enumerate(zip(regions, at)) if j != i]
+            left = max((len(os.path.commonprefix([r[:p][::-1], o[:q][::-1]])) for o, q in others), default=0)
+            right = max((len(os.path.commonprefix([r[p:], o[q:]])) for o, q in others), default=0)
+            want.append((p - left, p + right))
+        assert suffix_dedup.shared_extents(regions, at) == want
+    # two regions that share a string, but not a window, are not sorted
+    sorted_bytes = []
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda bodies, *_: sorted_bytes.append(bodies) or [[] for _ in bodies])
+    monkeypatch.setattr(suffix_dedup.common, "lean", lambda f: f)
+    h = int(suffix_dedup.string_hashes(_bytes("#12345#"), 7, *suffix_dedup.powers(50)).view("int64")[0])
+    group = [(h, 1, 1, 1, b"a" * 20 + b"#12345#" + b"c" * 20), (h, 2, 2, 1, b"b" * 20 + b"#12345#" + b"c" * 20),
+             (h, 3, 3, 1, b"b" * 20 + b"#12345#" + b"d" * 20)]
+    run = {}
+
+    class Regions:
+        def __getattr__(self, _):
+            return lambda *a, **k: self
+
+        def mapInArrow(self, f, _):
+            run["f"] = f
+
+    import pyarrow as pa
+    suffix_dedup._sort_groups(Regions(), 40, 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*group)], names=["h", "r1", "r2", "weight", "region"])
+    assert list(run["f"](iter([batch]))) == [] and sorted_bytes == []
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     rng = random.Random(6)
