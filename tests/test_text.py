@@ -1,6 +1,8 @@
 """Text metrics (X16-X19, B1-B5, B10) against the published doctest values
 and worked cases."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,41 @@ def test_ngram_partitions_grow_with_the_text(spark):
     assert B.precision_matches(hyps, refs, ["id"], 2).rdd.getNumPartitions() >= 200 * len(text) / B.PARTITION_BYTES
     one = B.pair_stats(pairs.where("id < 3"), ["id"], "hyp", "ref", X.ws_tokens).first()
     assert (one.num_1, one.num_2, one.num_3, one.hyp_len, one.pairs) == (9, 3, 0, 18000.0, 3)
+
+
+def test_short_pairs_are_matched_in_their_row(spark, monkeypatch):
+    """Only long texts and repeated keys become rows of n-grams; both ways give the same counts."""
+    import random
+    rng = random.Random(7)
+    some = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, some(rng.randint(0, 12), ["int", "a", "b", "if"]), some(rng.randint(0, 12), ["int", "a", "b"])) for i in range(60)]
+    rows += [(100, some(300, ["int", "a", "b"]), some(200, ["int", "a", "b"])), (101, None, "int a"), (102, "int a", None), (103, None, None),
+             (104, "a b", "b c"), (104, "b c", "a b"), (104, None, "a"), (None, "a b", "a b"), (None, "x", "a b int"), (105, "", "  ")]
+    pairs = spark.createDataFrame(rows, "id long, hyp string, ref string")
+    long = []
+    kept = B._gram_counts
+    monkeypatch.setattr(B, "_gram_counts", lambda t, *a: long.append(t) or kept(t, *a))
+
+    def counted():
+        return sorted(map(tuple, B.pair_counts(pairs, ["id"], "hyp", "ref", X.ws_tokens, 4, ["int", "if"]).collect()), key=str)
+    in_row = counted()
+    assert sorted(r.id or 0 for r in long[0].collect()) == [0, 0, 100, 104, 104, 104]
+    stats = [B.pair_stats(pairs, ["id"], "hyp", "ref", X.ws_tokens).first(), B.weighted_pair_stats(pairs, ["id"], "hyp", "ref", X.ws_tokens).first()]
+    monkeypatch.setattr(B, "IN_ROW_BYTES", -1)
+    assert counted() == in_row and len(in_row) == len({r[0] for r in rows})
+    for s, as_rows in zip(stats, [B.pair_stats(pairs, ["id"], "hyp", "ref", X.ws_tokens).first(),
+                                  B.weighted_pair_stats(pairs, ["id"], "hyp", "ref", X.ws_tokens).first()]):
+        assert list(s) == pytest.approx(list(as_rows), rel=1e-12)
+    by_id = {r[0]: r for r in in_row}
+    h, r = rows[3][1].split(), rows[3][2].split()
+    for k in (1, 2, 3, 4):
+        hc, rc = (Counter(tuple(x[i:i + k]) for i in range(len(x) - k + 1)) for x in (h, r))
+        assert by_id[3][2 + k] == sum((hc & rc).values())
+
+
+def test_whitespace_tokens_split_as_python(spark):
+    odd = [chr(c) for c in [*range(1, 0x100), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x180E, 0xFEFF, 0x3000, 0x3001]]
+    texts = [f"a{c}b{c}{c} c" for c in odd] + ["", " ", " a  b ", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string") \
+        .select("i", X.ws_tokens(F.col("t")).alias("w")).orderBy("i").collect()
+    assert [r.w for r in got] == [None if t is None else t.split() for t in texts]
