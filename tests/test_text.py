@@ -209,6 +209,9 @@ def test_short_pairs_are_matched_in_their_row(spark, monkeypatch):
     for s, as_rows in zip(stats, [B.pair_stats(pairs, ["id"], "hyp", "ref", X.ws_tokens).first(),
                                   B.weighted_pair_stats(pairs, ["id"], "hyp", "ref", X.ws_tokens).first()]):
         assert list(s) == pytest.approx(list(as_rows), rel=1e-12)
+    # rows of one key: their n-grams together, not those of one text of that length
+    twice = B.weighted_pair_stats(pairs.where("id = 104 and hyp is not null"), ["id"], "hyp", "ref", X.ws_tokens).first()
+    assert (twice.den_2, twice.den_3, twice.num_2, twice.ref_closest) == (2.0, 0.0, 2.0, 4.0)
     by_id = {r[0]: r for r in in_row}
     h, r = rows[3][1].split(), rows[3][2].split()
     for k in (1, 2, 3, 4):
